@@ -56,11 +56,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends at files that outlive executors."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends at files that outlive executors.
+
+    by: a column that the files are partitioned by, so that a part of them can be deleted alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veriloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
