@@ -8,15 +8,19 @@ before that bound only drops documents that provably have no partner:
    into one block for each (batch, hash bucket). Documents with equal sets form a class, joined by digest.
 2. A pair with Jaccard >= t has an overlap of at least t * n, so the two sets share at least k of their first
    n - ceil(t * n) + k hashes. Each bucket counts, for each document, the hashes that others have too; documents under
-   the least such count leave. What is left (near copies, mostly) is fetched and its whole sets are stored.
+   the least such count leave. What is left (near copies, mostly) is fetched and its whole sets are stored; a bitmap of
+   fixed size spares most other texts the way to that join.
 3. The same count over whole sets, between classes: a document needs t * n shared shingles to stay.
-4. Grouping: classes with the same min-hash meet in sub-groups of bounded size, twice with independent min-hashes and
+4. Groups: classes with the same min-hash meet in sub-groups of bounded size, twice with independent min-hashes and
    salts; in each sub-group all links are found exactly. The components so far are the groups of the matrix.
-5. Matrix: a document stays if t * n of its shingles also occur in the token unions of other groups.
-6. Those few documents are cut into blocks in min-hash order. Blocks that share a prefix hash meet; a query is compared
-   with the members of another block only if its overlap with that block's union reaches t * n.
-
-Every link between different components is met in step 4 or 6, so the components are exact, not approximate (up to
+5. Matrix: a class stays if t * n of its shingles also occur in the token unions of other groups.
+6. What stays is regrouped more loosely (classes that share any of four min-hashes over tokens that aren't very common).
+   A group is opened for all its queries, in pairs of chunks where it is large.
+7. Matrix again, over the loose groups; the few classes that reach the bound elsewhere are cut into blocks. Blocks that
+   share a prefix hash meet; a query is compared with another block's members only if its overlap with that block's
+   union reaches t * n.
+
+Every link between different components is met in step 4, 6 or 7, so the components are exact, not approximate (up to
 collisions of 64-bit hashes). No step emits pairs of documents, and none collects a key's documents in one task:
 buckets are slices of the hash space, sub-groups and blocks have a fixed size.
 """
@@ -43,9 +47,12 @@ GROUP = 256
 BATCH_DOCS, BATCH_TOKENS = 60_000, 4_000_000
 #: Share of a set that is packed beyond the least prefix.
 EXTRA = Fraction(15, 100)
+#: Bits of the bitmap of text keys, entries and least count of the list of very common tokens: bounds of what is broadcast.
+BITS, COMMON, COMMON_LEAST = 1 << 24, 65_536, 256
 
 _FIRST = "kind int, batch long, idx int, doc_id long, text_key long, n long, digest string, bucket int, block binary"
 _SETS = "digest string, n long, h1 long, h2 long, tokens binary"
+_SEEDS = (0x51ED270B, 0x2545F491, 0x7F4A7C15, 0x1B873593)
 
 
 def _least(n: np.ndarray | int, t: Fraction) -> np.ndarray | int:
@@ -142,7 +149,7 @@ def _sets_pass(width: int, t: Fraction):
             out = []
             for s in shingle_sets(frame["text"].tolist(), width):
                 if len(s):
-                    h = [int(mix(s ^ np.uint64(seed)).min().view(np.int64)) for seed in (0x51ED270B, 0x2545F491)]
+                    h = [int(mix(s ^ np.uint64(seed)).min().view(np.int64)) for seed in _SEEDS[:2]]
                     out.append((xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), *h, s.tobytes()))
             yield pd.DataFrame(out, columns=["digest", "n", "h1", "h2", "tokens"]).astype({"digest": object})
 
@@ -159,41 +166,82 @@ def _owned_blocks(buckets: int):
             tokens = [np.frombuffer(x, np.uint64) for x in frame["tokens"]]
             sizes = [len(x) for x in tokens]
             every = np.concatenate(tokens)
-            own = np.repeat(np.array([xxhash.xxh3_64_intdigest(o) for o in frame["owner"]], np.uint64), sizes)
             doc = np.repeat(np.arange(len(frame)), sizes)
             bucket = (every % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            names = np.array(frame["digest"].tolist(), dtype="S32")
-            rows = []
+            owners = np.array([xxhash.xxh3_64_intdigest(o) for o in frame["owner"]], np.uint64)
+            names = np.array([bytes.fromhex(x) for x in frame["digest"]], dtype="V16")
+            short, rows = (every >> np.uint64(24)).astype(np.uint32), []
             for b in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[b] : cuts[b + 1]]
                 who, small = np.unique(doc[at], return_inverse=True)
-                rows.append((int(b), len(at), every[at].tobytes() + own[at].tobytes() + small.astype(np.uint32).tobytes() + names[who].tobytes()))
+                rows.append((int(b), len(at), short[at].tobytes() + small.astype(np.uint16).tobytes() + owners[who].tobytes() + names[who].tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "m", "block"])
 
     return run
 
 
 def _foreign_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each class, how many of its shingles in this bucket have another owner too."""
+    """For each class, how many of its shingles in this bucket have another owner too. Hashes are shortened, so a count
+    can be too high, never too low."""
     tokens, own, doc, names, at = [], [], [], [], 0
     for m, block in zip(frame["m"], frame["block"], strict=True):
-        tokens.append(np.frombuffer(block, np.uint64, m))
-        own.append(np.frombuffer(block, np.uint64, m, 8 * m))
-        doc.append(np.frombuffer(block, np.uint32, m, 16 * m).astype(np.int64) + at)
-        names.append(np.frombuffer(block, "S32", -1, 20 * m))
-        at += len(names[-1])
-    tok, own, doc, name = (np.concatenate(x) for x in (tokens, own, doc, names))
+        k = (len(block) - 6 * m) // 24
+        small = np.frombuffer(block, np.uint16, m, 4 * m).astype(np.int64)
+        tokens.append(np.frombuffer(block, np.uint32, m))
+        own.append(np.frombuffer(block[6 * m : 6 * m + 8 * k], np.uint64)[small])
+        doc.append(small + at)
+        names += [block[a : a + 16] for a in range(6 * m + 8 * k, len(block), 16)]
+        at += k
+    tok, own, doc = (np.concatenate(x) for x in (tokens, own, doc))
     order = np.lexsort((own, tok))
     st, so = tok[order], own[order]
-    new = np.concatenate([[True], st[1:] != st[:-1]])
-    group = np.cumsum(new) - 1
+    group = np.cumsum(np.concatenate([[True], st[1:] != st[:-1]])) - 1
     change = np.concatenate([[False], (st[1:] == st[:-1]) & (so[1:] != so[:-1])])
     foreign = np.bincount(group, weights=change, minlength=group[-1] + 1)[group] > 0
-    count = np.bincount(doc[order][foreign], minlength=len(name))
+    count = np.bincount(doc[order][foreign], minlength=len(names))
     hit = np.flatnonzero(count)
-    return pd.DataFrame({"digest": pd.Series([x.decode() for x in name[hit]], dtype=object), "shared": count[hit].astype(np.int64)})
+    return pd.DataFrame({"digest": pd.Series([names[i].hex() for i in hit], dtype=object), "shared": count[hit].astype(np.int64)})
+
+
+def _common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's most frequent tokens."""
+    for frame in frames:
+        if len(frame):
+            token, count = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["tokens"]]), return_counts=True)
+            top = np.argsort(-count, kind="stable")[:COMMON]
+            top = top[count[top] > 1]
+            yield pd.DataFrame({"token": token[top].view(np.int64), "n": count[top].astype(np.int64)})
+
+
+def _loose_keys(common):
+    """Min-hashes over the tokens that aren't very common; over all if those are the larger part."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = common.value
+        for frame in frames:
+            rows = []
+            for digest, tokens in zip(frame["digest"], frame["tokens"], strict=True):
+                s = np.frombuffer(tokens, np.uint64)
+                rare = s[~np.isin(s, often)] if len(often) else s
+                s = rare if 2 * len(rare) >= len(s) else s
+                rows += [(digest, f"{k}:{int(mix(s ^ np.uint64(seed)).min())}") for k, seed in enumerate(_SEEDS)]
+            yield pd.DataFrame(rows, columns=["a", "b"], dtype=object)
+
+    return run
+
+
+def _in_bitmap(bitmap):
+    """Rows whose text key has its bit set."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = bitmap.value
+        for frame in frames:
+            at = frame["text_key"].to_numpy(np.int64) & (BITS - 1)
+            yield frame[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+
+    return run
 
 
 def _overlaps(query: np.ndarray, ids: np.ndarray, starts: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -383,18 +431,25 @@ def jaccard_components(
         paths.append(path)
         return out
 
-    first = keep(source.mapInPandas(_first_pass(width, t, buckets), _FIRST), "shingles")
+    first, at = staged(source.mapInPandas(_first_pass(width, t, buckets), _FIRST), "shingles", by="kind")
     rows = first.where("kind = 0").select("batch", "idx", "doc_id", "text_key", "n", "digest")
     shared = first.where("kind = 1").select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_in_bucket, "batch long, idx int, shared long").groupBy("batch", "idx").agg(F.sum("shared").alias("shared"))
     least = f"((n * {t.numerator} + {t.denominator - 1}) div {t.denominator})"
     needed = f"greatest(1, ({least} * {EXTRA.numerator}) div {EXTRA.denominator})"
     near = rows.join(shared, ["batch", "idx"]).where(f"shared >= {needed}").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("pick")).select(F.col("pick.doc_id").alias("k"), F.col("pick.text_key").alias("key"))
-    fetched = source.join(near, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("key")), "left_semi").select("text")
+    near = keep(near, "near")
+    unstage(spark, f"{at}/kind=1")
+    filled = near.groupBy(F.expr(f"(key & {BITS - 1}) div 8").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(key & 7 as int)))").alias("bits")).collect()  # BITS / 8 rows at most
+    bitmap = np.zeros(BITS // 8, dtype=np.uint8)
+    bitmap[[r.byte for r in filled]] = [r.bits for r in filled]
+    likely = source.mapInPandas(_in_bitmap(spark.sparkContext.broadcast(bitmap)), source.schema)
+    fetched = likely.join(near, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("key")), "left_semi").select("text")
     sets = keep(fetched.mapInPandas(_sets_pass(width, t), _SETS).dropDuplicates(["digest"]), "sets")
+    few = max(4, buckets // 8)  # what is left is a small part
 
     def foreign(of: DataFrame) -> DataFrame:
         """The rows of `of` (digest, owner, n, tokens) with enough shingles that another owner has too."""
-        blocks = of.select("digest", "owner", "tokens").mapInPandas(_owned_blocks(buckets), "bucket int, m int, block binary")
+        blocks = of.select("digest", "owner", "tokens").mapInPandas(_owned_blocks(few), "bucket int, m int, block binary")
         counts = blocks.groupBy("bucket").applyInPandas(_foreign_in_bucket, "digest string, shared long").groupBy("digest").agg(F.sum("shared").alias("shared"))
         return of.join(counts, "digest").where(f"shared >= {least}").drop("shared")
 
@@ -407,13 +462,29 @@ def jaccard_components(
     edges = keep(found[0].unionByName(found[1]), "links")
     groups, more = components(edges)
     paths += more
-    owned = close.join(groups, close["digest"] == groups["node"], "left").select("digest", "n", "h1", "h2", "tokens", F.coalesce("root", "digest").alias("owner"))
-    rest = keep(foreign(owned), "rest")
-    cut = keep(rest.repartitionByRange("h1", "h2", "digest").sortWithinPartitions("h1", "h2", "digest").mapInPandas(_cut_blocks, "block long, digests array<string>, groups array<string>, sizes array<long>, tokens binary"), "blocks")
-    meet = cut.select("block", "sizes", "tokens").mapInPandas(_prefix_blocks(t, buckets), "bucket int, name long, tokens binary").groupBy("bucket").applyInPandas(_meeting, "x long, y long").distinct()
+
+    def owned(of: DataFrame, by: DataFrame) -> DataFrame:
+        return of.join(by, of["digest"] == by["node"], "left").select("digest", "n", "h1", "h2", "tokens", F.coalesce("root", "digest").alias("owner"))
+
+    rest = keep(foreign(owned(close, groups)).drop("owner"), "rest")
+    often = rest.select("tokens").mapInPandas(_common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    common = spark.sparkContext.broadcast(np.array([r.token for r in often], dtype=np.int64).view(np.uint64))
+    loose, more = components(keep(rest.select("digest", "tokens").mapInPandas(_loose_keys(common), "a string, b string"), "loose"))
+    paths += more
+    regrouped = keep(owned(rest, loose), "regrouped")
+    chunks = regrouped.groupBy("owner").count().where(F.col("count") > GROUP).select(F.col("owner").alias("_o"), F.ceil(F.col("count") / GROUP).alias("_k"))
+    split = regrouped.join(chunks, regrouped["owner"] == chunks["_o"], "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_s", F.pmod(F.xxhash64("digest", F.lit(5)), F.col("_k")))
+    paired = split.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).withColumns({"_x": F.least("_s", "_t"), "_y": F.greatest("_s", "_t")})
+    inner = paired.select("digest", "tokens", "owner", "_x", "_y").groupBy("owner", "_x", "_y").applyInPandas(_links_in_group(t), "a string, b string")
+    edges2 = keep(edges.unionByName(inner), "links")
+    groups, more = components(edges2)
+    paths += more
+    outer = foreign(regrouped).select("digest", "n", "h1", "h2", "tokens")
+    cut = keep(owned(outer, groups).repartitionByRange("h1", "h2", "digest").sortWithinPartitions("h1", "h2", "digest").mapInPandas(_cut_blocks, "block long, digests array<string>, groups array<string>, sizes array<long>, tokens binary"), "blocks")
+    meet = cut.select("block", "sizes", "tokens").mapInPandas(_prefix_blocks(t, few), "bucket int, name long, tokens binary").groupBy("bucket").applyInPandas(_meeting, "x long, y long").distinct()
     sides = [cut.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("digests", "groups", "sizes", "tokens")]) for s in "xy"]
     opened = meet.join(sides[0], "x").join(sides[1], "y").mapInPandas(_open_groups(t), "a string, b string")
-    last = keep(edges.unionByName(opened), "links")
+    last = keep(edges2.unionByName(opened), "links")
     roots, more = components(last)
     paths += more
 
@@ -424,7 +495,7 @@ def jaccard_components(
     out = rows.join(classes, rows["digest"] == classes["class_id"]).select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
-    unstage(spark, *[p for p in paths if not any(k in p for k in ("/shingles-", "/classes-"))])
+    unstage(spark, *[p for p in paths if "/classes-" not in p])
     return out
 
 
