@@ -1,0 +1,29 @@
+"""Ordered documents from rows: principles, commands and notes as Markdown, and a prompt pack as JSON. (RND, SNK)"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def joined(rows: DataFrame, by: list[str], order: list[str], line: Column, sep: str = "\n") -> DataFrame:
+    """(by, document): the lines of each group in order. (RND-01, RND-08)"""
+    pair = F.struct(*order, line.alias("_l"))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["_l"]), sep).alias("document"))
+
+
+def principle_detail(principles: DataFrame) -> DataFrame:
+    """(id, document) of principles (id, title, directive, quick_ref). (RND-10)"""
+    items = F.array_join(F.transform("quick_ref", lambda x: F.concat(F.lit("- "), x)), "\n")
+    return principles.select("id", F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), F.lit(""), F.col("directive"), F.lit(""), items).alias("document"))
+
+
+def digest(principles: DataFrame, top: int = 5) -> DataFrame:
+    """(document): the first principles by (ord, lower title), one line each. (RND-06, RND-11, SRT-01, SRT-08)"""
+    best = principles.orderBy("ord", F.lower("title"), "id").limit(top)
+    return joined(best.withColumns({"_o": F.col("ord"), "_t": F.lower("title")}), [], ["_o", "_t", "id"], F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.col("directive")))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """(path, document) rows as JSON lines, partitioned writers; the commit protocol makes it all or nothing. (SNK-01, SNK-04)"""
+    documents.write.mode("overwrite").json(path)

@@ -1,10 +1,468 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library with their SQL.
+
+The prose of `documents` holds no code, so queries that look for code patterns append lines chosen by doc_id, alike in
+Spark and in SQL (code_lines and CODE).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veriloom.functions import text as T
+from veriloom.operators import checks, overlay, python_facts, render, review
+from veriloom.session import table
+from veriloom.sources import config
+from veriloom.streaming import quiet_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Lines that are appended to documents by doc_id % 11.
+LINES = (
+    "print('plain')",
+    "-----BEGIN RSA PRIVATE KEY-----",
+    "<<<<<<< HEAD",
+    'query = "SELECT a FROM b WHERE c = 1"',
+    "#!/bin/bash",
+    "x = 1  # noqa: E501",
+    "INSERT INTO t (a) VALUES (1)",
+    "See Also: docs/one.md and docs/two.md.",
+    "TODO_FORBIDDEN here",
+    "y: int = 2  # type: ignore  \t",
+    "requires >=3.13, <4",
+)
+
+
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, doc_id, text): documents with a code-like line appended."""
+    line = F.element_at(F.array(*[F.lit(x) for x in LINES]), (F.col("doc_id") % 11 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "doc_id", F.concat(F.col("text"), F.lit("\n"), line).alias("text"))
+
+
+CODE = "c AS (SELECT 'src/' || CAST(doc_id AS VARCHAR) || '.py' AS path, doc_id, text || chr(10) || [" + ", ".join("'" + x.replace("'", "''").replace("\t", "' || chr(9) || '") + "'" for x in LINES) + "][CAST(doc_id % 11 + 1 AS INTEGER)] AS text FROM documents)"
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    severity = F.when(F.col("value") >= 150, "CRITICAL").when(F.col("value") >= 75, "WARNING").otherwise("INFO")
+    findings = table(spark, sf_dir, "events").select(F.col("event_type").alias("check"), F.col("user_id").alias("file"), (F.col("event_id") % 500).alias("line"), severity.alias("severity"), "event_id")
+    hunks = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select((F.col("o_custkey") % 150).alias("file"), (F.col("o_orderkey") % 500).alias("start"), (F.col("o_orderkey") % 4).alias("n")).distinct()
+    return findings, hunks
+
+
+_DIFF = """
+f AS (SELECT event_type AS "check", user_id AS file, event_id % 500 AS line, event_id, CASE WHEN value >= 150 THEN 'CRITICAL' WHEN value >= 75 THEN 'WARNING' ELSE 'INFO' END AS severity FROM events),
+h AS (SELECT DISTINCT o_custkey % 150 AS file, o_orderkey % 500 AS start, o_orderkey % 4 AS n FROM orders WHERE o_orderkey % 97 = 0),
+d AS (SELECT f.*, f.line = 0 OR EXISTS (SELECT 1 FROM h WHERE h.file = f.file AND f.line BETWEEN h.start AND h.start + h.n - 1) OR NOT EXISTS (SELECT 1 FROM h WHERE h.file = f.file) AS in_diff FROM f),
+s AS (SELECT "check", CASE WHEN bool_or(in_diff AND severity = 'CRITICAL') THEN 'FAIL' WHEN bool_or(in_diff AND severity = 'WARNING') THEN 'WARN' ELSE 'PASS' END AS status,
+  count(*) FILTER (in_diff) AS n_in_diff, count(*) FILTER (NOT in_diff) AS n_pre_existing FROM d GROUP BY "check")"""
+
+
+@query(f"WITH {_DIFF} SELECT * FROM s")
+def diff_classify_status(spark, sf_dir):
+    """Findings against changed lines, then the status of each check. (JOIN-07, AGG-03)"""
+    return review.status_by_check(review.classify_by_diff(*_findings(spark, sf_dir)))
+
+
+@query(f"WITH {_DIFF} SELECT event_id, in_diff FROM d")
+def diff_classify(spark, sf_dir):
+    """Each finding's class. (JOIN-07, FN-09)"""
+    return review.classify_by_diff(*_findings(spark, sf_dir)).select("event_id", "in_diff")
+
+
+@query(f"""WITH {_DIFF} SELECT bool_or(status = 'FAIL') AS any_fail, bool_or(status = 'ERROR') AS any_error, bool_or(status = 'WARN') AS any_warn,
+CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'ERROR') THEN 'ERROR' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS verdict FROM s""")
+def verdict(spark, sf_dir):
+    """Overall verdict. (AGG-02)"""
+    return review.overall(diff_classify_status(spark, sf_dir))
+
+
+@query(f"""WITH {_DIFF} SELECT string_agg(CASE status WHEN 'FAIL' THEN 'XX' WHEN 'WARN' THEN 'W ' ELSE '--' END || ' ' || "check" || ': ' || n_in_diff || ' in diff, ' || n_pre_existing || ' before', chr(10) ORDER BY "check") AS report
+FROM s WHERE NOT (status = 'PASS' AND n_in_diff = 0)""")
+def status_report(spark, sf_dir):
+    """The text report. (SNK-10, FLT-17)"""
+    return review.report_lines(diff_classify_status(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3 AS batch FROM documents)
+SELECT source, CAST(batch AS BIGINT) AS batch, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id) AS items FROM b GROUP BY ALL""")
+def batches(spark, sf_dir):
+    """Batches of three documents by source. (WIN-01, WIN-02, AGG-05)"""
+    return review.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 3)
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS uses, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) >= 2")
+def corpus_reuse(spark, sf_dir):
+    """Contents used twice or more. (AGG-01, FN-08)"""
+    return review.reused(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id"), "digest", "doc_id")
+
+
+@query("""SELECT user_id, max(ts) AS ts FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' AND ts >= TIMESTAMP '2024-01-08 00:00:00' GROUP BY user_id""")
+def cache_ttl(spark, sf_dir):
+    """Latest valid entry of each key. (JOIN-14, JOIN-15)"""
+    return review.latest_valid(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), 7)
+
+
+@query("SELECT doc_id, sha256(lang || chr(0) || source || chr(0) || CAST(n_chars AS VARCHAR)) AS cache_key FROM documents")
+def cache_key(spark, sf_dir):
+    """Keys over NUL-joined parts. (FN-07)"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.cache_key(F.col("lang"), F.col("source"), F.col("n_chars").cast("string")).alias("cache_key"))
+
+
+@query(r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '^(?:[^/]*\.html)$|^(?:a.*)$')")
+def allowlist_anti(spark, sf_dir):
+    """Pages whose path no glob allows. (JOIN-08, FLT-12)"""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("url", "^[a-z]+://[^/]*/", "").alias("_p"))
+    return review.not_allowed(pages, "_p", ["*.html", "a**"]).select("page_id", "url")
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+def unknown_reference(spark, sf_dir):
+    """References without a target. (JOIN-04, JOIN-06, JOIN-10)"""
+    known = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0")
+    return overlay.unknown(table(spark, sf_dir, "orders"), "o_custkey", known, "c_custkey")
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    """Keys that occur more than once. (JOIN-06, SET-01)"""
+    return overlay.duplicates(table(spark, sf_dir, "documents"), "text")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS p_name, p_size FROM part""")
+def overlay_update(spark, sf_dir):
+    """Present fields replace, present nulls too. (JOIN-05, JOIN-03, PRJ-06)"""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    key = F.col("p_partkey")
+    o = part.where((key % 7 == 0) | (key % 5 == 0)).select("p_partkey", F.when(key % 7 != 0, F.upper("p_name")).alias("p_name"), F.lit(True).alias("has_p_name"))
+    return overlay.update_join(part, o, "p_partkey", ("p_name",))
+
+
+@query("""WITH base AS (SELECT event_id AS doc, unnest(['a.x', 'a.y', 'b']) AS path, unnest([CAST(user_id AS VARCHAR), event_type, 'base']) AS value FROM events),
+o AS (SELECT event_id AS doc, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b.z' ELSE 'a.x' END AS path, CASE event_id % 3 WHEN 2 THEN NULL ELSE 'over' END AS value FROM events)
+SELECT doc, path, value FROM base WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc = base.doc AND (o.path = base.path OR starts_with(base.path, o.path || '.') OR starts_with(o.path, base.path || '.'))) UNION ALL SELECT doc, path, value FROM o""")
+def overlay_deep(spark, sf_dir):
+    """Nested maps overlaid as leaves. (JOIN-01, JOIN-02)"""
+    e = table(spark, sf_dir, "events")
+    base = e.select(F.col("event_id").alias("doc"), F.explode(F.create_map(F.lit("a.x"), F.col("user_id").cast("string"), F.lit("a.y"), F.col("event_type"), F.lit("b"), F.lit("base"))).alias("path", "value"))
+    k = F.col("event_id") % 3
+    over = e.select(F.col("event_id").alias("doc"), F.when(k == 0, "a").when(k == 1, "b.z").otherwise("a.x").alias("path"), F.when(k != 2, "over").alias("value"))
+    return overlay.deep_overlay(base, over)
+
+
+_RULES = [(1, "STANDARD", "std"), (2, "STANDARD P", "std-p"), (3, "PROMO", "promo"), (4, "SMALL", "small"), (5, "", "other")]
+
+
+@query("WITH r(ord, prefix, name) AS (VALUES " + ", ".join(f"({o}, '{p}', '{n}')" for o, p, n in _RULES) + ") SELECT p_partkey, p_type, arg_min(name, ord) AS rule FROM part JOIN r ON starts_with(p_type, prefix) GROUP BY ALL")
+def rule_first_match(spark, sf_dir):
+    """The first rule in order wins. (JOIN-12, FN-05)"""
+    rules = spark.createDataFrame(_RULES, "ord int, prefix string, name string")
+    return review.first_matching_rule(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", rules)
+
+
+@query("""WITH l AS (SELECT doc_id, len(string_split(regexp_replace(text, '\\n+$', ''), chr(10))) AS lines FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, lines - doc_id % 3 AS base FROM l WHERE doc_id % 4 <> 0)
+SELECT l.doc_id, l.lines, b.base FROM l LEFT JOIN b ON b.doc_id = l.doc_id WHERE l.lines > 10 AND (b.base IS NULL OR l.lines > b.base)""".replace("\\\\n", "\\n"))
+def line_limits(spark, sf_dir):
+    """Files over the limit that are new or grew. (JOIN-21, AGG-11, PRJ-20)"""
+    now = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", T.count_lines(F.col("text")).cast("long").alias("lines"))
+    before = now.where("doc_id % 4 <> 0").select("doc_id", (F.col("lines") - F.col("doc_id") % 3).alias("lines"))
+    return review.grown_over_limit(now, before, "doc_id", "lines", 10)
+
+
+@query(rf"WITH {CODE} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n+$', '') || chr(10) AS fixed FROM c")
+def fix_text(spark, sf_dir):
+    """Normalised texts. (FN-01, SNK-09)"""
+    return code_lines(spark, sf_dir).select("doc_id", T.fix_text(F.col("text")).alias("fixed"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'ethos') AS slug FROM part")
+def slugs(spark, sf_dir):
+    """Slugs of names. (FN-02)"""
+    return table(spark, sf_dir, "part").select("p_partkey", T.slugify(F.col("p_name")).alias("slug"))
+
+
+@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace('**' || text || '** and `code` [t](u)', '`([^`]*)`', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g')) AS plain FROM (SELECT item_id, regexp_replace(text, '\s+', ' ', 'g') AS text FROM benchmark)""")
+def markdown_plain(spark, sf_dir):
+    """Markdown unwrapped. (FN-03)"""
+    flat = F.regexp_replace("text", r"\s+", " ")
+    return table(spark, sf_dir, "benchmark").select("item_id", T.markdown_plain(F.concat(F.lit("**"), flat, F.lit("** and `code` [t](u)"))).alias("plain"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?](?:\s|$)')) AS BIGINT) AS n FROM documents")
+def sentence_counts(spark, sf_dir):
+    """Sentence ends. (FN-10, CHK-15)"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).cast("long").alias("n"))
+
+
+@query(rf"WITH {CODE} SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(CASE WHEN contains(text, 'See Also:') THEN regexp_replace(text, '(?s)^.*?See Also:', '') ELSE '' END, '[A-Za-z0-9_./-]+\.md'))), ',') AS refs FROM c WHERE doc_id % 11 = 7")
+def see_also(spark, sf_dir):
+    """References behind See Also. (FN-12, JOIN-09)"""
+    return code_lines(spark, sf_dir).where("doc_id % 11 = 7").select("doc_id", F.array_join(T.see_also(F.col("text")), ",").alias("refs"))
+
+
+@query(f"WITH {CODE} SELECT path FROM c WHERE contains(text, chr(10) || '<<<<<<<') OR contains(text, chr(10) || '=======') OR contains(text, chr(10) || '>>>>>>>') OR starts_with(text, '<<<<<<<')")
+def merge_conflicts(spark, sf_dir):
+    """Files with conflict marks. (CHK-01)"""
+    return code_lines(spark, sf_dir).where(checks.merge_conflict(F.col("text"))).select("path")
+
+
+@query(f"WITH {CODE} SELECT path FROM c WHERE regexp_matches(text, '-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----')")
+def private_keys(spark, sf_dir):
+    """Files with private keys. (CHK-03)"""
+    return code_lines(spark, sf_dir).where(checks.private_key(F.col("text"))).select("path")
+
+
+@query(f"WITH {CODE}, w AS (SELECT unnest(['TODO_FORBIDDEN', 'INSERT INTO']) AS word) SELECT path, word FROM c JOIN w ON contains(text, word) WHERE path <> 'src/8.py'")
+def forbidden_strings(spark, sf_dir):
+    """Forbidden strings but for the exempt file. (CHK-05, FLT-14)"""
+    return checks.forbidden(code_lines(spark, sf_dir), ("TODO_FORBIDDEN", "INSERT INTO"), exempt="src/8.py")
+
+
+_SQL_CASE = "CASE " + " ".join(f"WHEN regexp_matches(line, '{r}') THEN '{n}'" for r, n in checks.SQL_PATTERNS) + " END"
+
+
+@query(rf"WITH {CODE}, l AS (SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[-1], '\s+', ' ', 'g')) AS line FROM c) SELECT doc_id, {_SQL_CASE} AS pattern FROM l WHERE length(line) >= 12 AND {_SQL_CASE} IS NOT NULL")
+def sql_patterns(spark, sf_dir):
+    """The first SQL pattern of a line. (FN-13, AST-04)"""
+    last = F.element_at(F.split("text", "\n"), -1)
+    return code_lines(spark, sf_dir).select("doc_id", checks.sql_pattern(last).alias("pattern")).where("pattern is not null")
+
+
+_NOQA = "CASE " + " ".join(f"WHEN regexp_matches(line, '{r}') THEN '{n}'" for r, n in checks.SUPPRESSIONS) + " END"
+
+
+@query(f"WITH {CODE}, l AS (SELECT doc_id, string_split(text, chr(10))[-1] AS line FROM c) SELECT doc_id, {_NOQA} AS label FROM l WHERE {_NOQA} IS NOT NULL")
+def suppressions(spark, sf_dir):
+    """Suppression comments by the first pattern. (CHK-09)"""
+    last = F.element_at(F.split("text", "\n"), -1)
+    return code_lines(spark, sf_dir).select("doc_id", checks.first_pattern(last, checks.SUPPRESSIONS).alias("label")).where("label is not null")
+
+
+@query(f"""WITH {CODE}, s AS (SELECT path, string_split(text, chr(10))[-1] || chr(10) || 'run' AS text FROM c WHERE doc_id % 11 IN (0, 4)),
+e AS (SELECT path, unnest(list_filter([CASE WHEN NOT starts_with(text, '#!') THEN 'missing shebang' END, CASE WHEN NOT contains(text, 'set -euo pipefail') THEN 'missing strict mode' END, CASE WHEN NOT contains(text, 'common.sh') THEN 'missing helper' END], lambda x: x IS NOT NULL)) AS error FROM s) SELECT path, error FROM e""")
+def shell_practices(spark, sf_dir):
+    """Errors of shell scripts. (CHK-06, FLT-06)"""
+    scripts = code_lines(spark, sf_dir).where("doc_id % 11 in (0, 4)").select("path", F.concat(F.element_at(F.split("text", "\n"), -1), F.lit("\nrun")).alias("text"))
+    return scripts.select("path", F.explode(checks.shell_errors(F.col("text"), F.lit(True))).alias("error"))
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    k = F.col("conv_id") % 5
+    head = F.when(k == 0, "feat: ").when(k == 1, "fix(core)!: ").when(k == 2, "oops ").when(k == 3, "misc: ").otherwise("Merge ")
+    return rows.where("turn = 0").select("conv_id", F.concat(head, F.substring(F.regexp_replace("text", r"\s+", " "), 1, 62), F.when(F.col("conv_id") % 2 == 0, F.lit("\n\nBody\nCo-Authored-By: Robo")).otherwise(F.lit("\nBody"))).alias("text"))
+
+
+_MSG = r"m AS (SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'feat: ' WHEN 1 THEN 'fix(core)!: ' WHEN 2 THEN 'oops ' WHEN 3 THEN 'misc: ' ELSE 'Merge ' END || substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 62) || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'Body' || chr(10) || 'Co-Authored-By: Robo' ELSE chr(10) || 'Body' END AS text FROM conversations WHERE turn = 0)"
+
+
+@query(rf"""WITH {_MSG}, h AS (SELECT conv_id, list_transform(string_split(text, chr(10)), lambda x: rtrim(x)) AS l FROM m), k AS (SELECT conv_id, l, regexp_extract(l[1], '^([a-z]+)(\([^)]*\))?!?: .+', 1) AS kind FROM h WHERE NOT regexp_matches(l[1], '^(Merge|Revert) '))
+SELECT conv_id, unnest(list_filter([CASE WHEN kind = '' THEN 'malformed header' WHEN kind NOT IN ('build', 'chore', 'ci', 'docs', 'feat', 'fix', 'perf', 'refactor', 'style', 'test') THEN 'unknown type' END,
+CASE WHEN strlen(l[1]) > 72 THEN 'header too long' END, CASE WHEN len(l) > 1 AND l[2] <> '' THEN 'second line not blank' END], lambda x: x IS NOT NULL)) AS error FROM k""")
+def commit_lint(spark, sf_dir):
+    """Errors of commit messages. (CHK-07, SRC-13)"""
+    return _messages(table(spark, sf_dir, "conversations")).select("conv_id", F.explode(checks.commit_errors(F.col("text"))).alias("error"))
+
+
+@query(f"WITH {_MSG}, l AS (SELECT CAST(conv_id AS VARCHAR) AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM m) SELECT path, CAST(line AS INTEGER) AS line, text FROM l WHERE regexp_matches(text, '(?i)co-?authored-?by:\\s*(Robo)')")
+def attribution(spark, sf_dir):
+    """Lines that credit a tool. (CHK-08)"""
+    return checks.attribution(_messages(table(spark, sf_dir, "conversations")).select(F.col("conv_id").cast("string").alias("path"), "text"), ("Robo",))
+
+
+@query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k FROM events""")
+def config_get(spark, sf_dir):
+    """Path look-up with a default. (PRJ-12, PRJ-13, PRJ-14)"""
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("k"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 2 * 1024 THEN 'skipped-large' ELSE 'included' END AS status FROM documents")
+def classify_size(spark, sf_dir):
+    """Selected or skipped files. (FLT-02)"""
+    return table(spark, sf_dir, "documents").select("doc_id", checks.size_status(F.octet_length("text"), F.lit(2), F.contains("text", F.lit("\0"))).alias("status"))
+
+
+@query("SELECT page_id FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS path FROM pages) WHERE (ends_with(path, '.html') OR (contains(path, 'scripts/') AND NOT contains(string_split(path, '/')[-1], '.')) OR ends_with(path, '1')) AND NOT contains(path, 'vendor') AND NOT starts_with(path, 'b')")
+def file_selector(spark, sf_dir):
+    """Selection by ending, place and mark; exclusions win. (FLT-01, FLT-05, JOIN-16)"""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*/", "").alias("path"), F.col("html").alias("text"))
+    return checks.select_files(pages, extensions=(".html", "1"), exclude=("vendor",), exclude_prefixes=("b",)).select("page_id")
+
+
+@query("""SELECT conv_id, array_to_string(list_filter(['system', 'user', 'tool'], lambda x: NOT list_contains(r, x)), ',') AS missing FROM (SELECT conv_id, list(DISTINCT role) AS r FROM conversations GROUP BY conv_id)""")
+def import_except(spark, sf_dir):
+    """Required entries that are absent, in order. (SET-03, SET-04)"""
+    have = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("r"))
+    return have.select("conv_id", F.array_join(F.array_except(F.array(*[F.lit(x) for x in ("system", "user", "tool")]), "r"), ",").alias("missing"))
+
+
+@query("""WITH e AS (SELECT n_nationkey, n_name FROM nation), a AS (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation WHERE n_nationkey % 5 <> 0)
+SELECT e.n_nationkey, CASE WHEN a.n_nationkey IS NULL THEN 'missing' ELSE 'changed' END AS state FROM e LEFT JOIN a ON a.n_nationkey = e.n_nationkey WHERE a.n_nationkey IS NULL OR a.n_name IS DISTINCT FROM e.n_name""")
+def drift(spark, sf_dir):
+    """Missing or changed files. (JOIN-22, JOIN-23, JOIN-20, CHK-16)"""
+    e = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    a = e.where("n_nationkey % 5 <> 0").select("n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("n_name"))
+    return review.drift(e, a, "n_nationkey", "n_name")
+
+
+@query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 2")
+def tail_lines(spark, sf_dir):
+    """The last lines of each log. (WIN-06)"""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return table(spark, sf_dir, "conversations").withColumn("_k", F.row_number().over(w)).where("_k <= 2").select("conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL")
+def banner_first(spark, sf_dir):
+    """First occurrence of each banner. (WIN-04, SRC-05)"""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text || chr(10) || chr(10) || chr(10) || 'end', chr(10))) AS line, generate_subscripts(string_split(text || chr(10) || chr(10) || chr(10) || 'end', chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM l) SELECT doc_id, count(*) AS kept FROM k WHERE NOT (line = '' AND prior = '') OR prior IS NULL GROUP BY doc_id""")
+def blank_collapse(spark, sf_dir):
+    """Runs of blank lines count once. (WIN-05, SRC-18)"""
+    lines = F.split(F.concat("text", F.lit("\n\n\nend")), "\n")
+    kept = F.filter(lines, lambda x, i: ~((x == "") & (i > 0) & (F.get(lines, i - 1) == "")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("kept"))
+
+
+@query("""SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_size))[1:3], ',') AS sizes, count(*) AS n FROM part GROUP BY p_brand""")
+def sorted_keys(spark, sf_dir):
+    """Sorted distinct keys, the first three. (SRT-02, SRT-04, SRT-05)"""
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.slice(F.array_sort(F.collect_set("p_size")), 1, 3), ",").alias("sizes"), F.count("*").alias("n"))
+
+
+@query("""SELECT string_agg('- ' || p_name || ': ' || p_type, chr(10) ORDER BY p_size, lower(p_name), p_partkey) AS document FROM (SELECT * FROM part ORDER BY p_size, lower(p_name), p_partkey LIMIT 5)""")
+def digest(spark, sf_dir):
+    """The five first principles. (RND-06, RND-07, RND-11, SRT-01, SRT-08)"""
+    return render.digest(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("ord"), F.col("p_name").alias("title"), F.col("p_type").alias("directive")))
+
+
+@query("""SELECT p_partkey AS id, '# ' || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '- ' || p_brand || chr(10) || '- ' || p_type AS document FROM part""")
+def principle_detail(spark, sf_dir):
+    """One document a principle. (RND-10, PRJ-09)"""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("directive"), F.array("p_brand", "p_type").alias("quick_ref"))
+    return render.principle_detail(rows)
+
+
+@query("""SELECT n_regionkey, string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey) AS document FROM nation GROUP BY n_regionkey""")
+def index_list(spark, sf_dir):
+    """Ordered lists by group. (RND-01, RND-08, RND-09)"""
+    return render.joined(table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], F.concat(F.lit("- "), F.col("n_name")))
+
+
+@query("""WITH x AS (SELECT 'pre' || chr(10) || '<!-- b -->' || chr(10) || 'old' || chr(10) || '<!-- e -->' AS pre, r_regionkey, r_name FROM region)
+SELECT r_regionkey, 'pre' || chr(10) || chr(10) || '<!-- b -->' || chr(10) || r_name || chr(10) || '<!-- e -->' AS document FROM x""")
+def managed_block(spark, sf_dir):
+    """A block put in once, however often. (FN-23, FN-24, FN-25)"""
+    old = F.lit("pre\n<!-- b -->\nold\n<!-- e -->")
+    once = T.with_block(old, "<!-- b -->", "<!-- e -->", F.col("r_name"))
+    return table(spark, sf_dir, "region").select("r_regionkey", T.with_block(once, "<!-- b -->", "<!-- e -->", F.col("r_name")).alias("document"))
+
+
+@query("""SELECT s_suppkey, '"' || replace(replace(s_name || chr(10), '\\', '\\\\'), chr(10), '\\n') || '"' AS literal, CASE WHEN s_acctbal > 0 THEN CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) ELSE '3600' END || 's' AS ttl FROM supplier""".replace("\\\\", "\\"))
+def literals(spark, sf_dir):
+    """TOML strings and durations. (FN-26, FN-17)"""
+    whole = F.floor("s_acctbal").cast("long")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.toml_string(F.concat("s_name", F.lit("\n"))).alias("literal"), F.when(F.col("s_acctbal") > 0, F.concat(whole.cast("string"), F.lit("s"))).otherwise(T.duration_literal(F.lit(0))).alias("ttl"))
+
+
+@query(rf"WITH {CODE} SELECT doc_id, regexp_extract(text, '(?:>=|~=|==)\s*(\d+\.\d+)', 1) AS version FROM c WHERE doc_id % 11 = 10")
+def version_requirements(spark, sf_dir):
+    """Versions in requirement texts. (FN-16, SRC-12)"""
+    return code_lines(spark, sf_dir).where("doc_id % 11 = 10").select("doc_id", T.version_requirement(F.col("text")).alias("version"))
+
+
+@query("SELECT doc_id, trim(string_split(text, chr(10))[1]) AS snippet FROM documents")
+def source_snippets(spark, sf_dir):
+    """The first source line. (FN-22)"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.line_at(F.col("text"), F.lit(1)).alias("snippet"))
+
+
+@query("""SELECT o_orderpriority AS grp, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus = 'O') AS passed FROM orders GROUP BY 1""")
+def counters(spark, sf_dir):
+    """Conditional counters. (AGG-04, AGG-06, AGG-07)"""
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"), F.count_if(F.col("o_orderstatus") == "O").alias("passed"))
+
+
+@query("SELECT DISTINCT lang, source FROM documents UNION SELECT DISTINCT source, lang FROM documents")
+def distinct_findings(spark, sf_dir):
+    """A set-valued union. (AGG-12, AGG-10, SET-02)"""
+    d = table(spark, sf_dir, "documents")
+    return d.select("lang", "source").union(d.select("source", "lang")).distinct()
+
+
+def _sections(sql: bool = False):
+    return F.concat(F.col("text"), F.lit("\n## One\nbody\n## Two"))
+
+
+@query()
+def document_sections(spark, sf_dir):
+    """Documents cut at headings. (WIN-03, SRC-17, FN-05)"""
+    rows = checks.sections(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), _sections().alias("text")))
+    kind = T.first_rule(F.col("title"), [(("why", "reason"), "rationale"), (("how", "one"), "workflow")], "guidance")
+    return rows.select("path", "section", "title", kind.alias("kind"), F.sha2("body", 256).alias("body"))
+
+
+PYTHON = '''"""Module {0}."""
+import os
+from typing import TYPE_CHECKING
+try:
+    import fast
+except ImportError:
+    HAS_FAST = False
+
+
+def f{0}(a: int | None, b: str = "SELECT a FROM b") -> str | None:
+    logger.info("x %s", a)  # noqa
+    try:
+        return b
+    except ValueError:
+        pass
+'''
+
+
+@query()
+def python_facts_query(spark, sf_dir):
+    """Facts of derived Python sources. (AST-01 to AST-10, STM-04, EXT-06, SRC-15)"""
+    source = F.replace(F.lit(PYTHON), F.lit("{0}"), F.col("doc_id").cast("string"))
+    broken = F.when(F.col("doc_id") % 50 == 0, F.concat(source, F.lit("def ("))).otherwise(source)
+    return python_facts.python_facts(table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), broken.alias("text")))
+
+
+@query()
+def config_leaves(spark, sf_dir):
+    """Leaves of derived configuration files. (SRC-01 to SRC-03, SRC-12, CHK-14)"""
+    k = F.col("doc_id") % 4
+    name = F.concat(F.col("doc_id").cast("string"), F.when(k == 0, ".toml").when(k == 1, ".json").when(k == 2, ".ini").otherwise(".txt"))
+    body = F.when(k == 0, F.concat(F.lit("[tool.x]\nn = "), F.col("n_chars").cast("string"))).when(k == 1, F.concat(F.lit('{"tool": {"n": '), F.col("n_chars").cast("string"), F.lit("}}"))).when(k == 2, F.concat(F.lit("[tool]\nn = "), F.col("n_chars").cast("string"))).otherwise(F.col("lang"))
+    return config.config_leaves(table(spark, sf_dir, "documents").select(name.alias("path"), body.alias("text")))
+
+
+def log_lines(rows: DataFrame) -> DataFrame:
+    """(stream, ord, line): hook output derived from conversations."""
+    k = F.col("turn") % 4
+    line = F.when(k == 0, "lint.....Passed").when(k == 1, "types.....Failed").when(k == 2, "").otherwise(F.concat(F.lit("- duration: "), F.col("turn").cast("string")))
+    return rows.select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").alias("ord"), line.alias("line"))
+
+
+@query()
+def quiet_filter_query(spark, sf_dir):
+    """Hook output filtered by stream. (STM-01 to STM-03, FLT-03, EXT-04)"""
+    return quiet_filter.filter_batch(log_lines(table(spark, sf_dir, "conversations")))
