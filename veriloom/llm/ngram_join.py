@@ -122,7 +122,8 @@ def _first_pass(width: int, t: Fraction, buckets: int):
 
 
 def _shared_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each document of each batch, how many of its hashes in this bucket another document has as well."""
+    """For each document of each batch, how many of its hashes in this bucket another document has as well; one row a
+    batch, as packed numbers and counts."""
     tokens, idx, sizes = [], [], []
     for block in frame["block"]:
         n = len(block) // 6
@@ -139,8 +140,18 @@ def _shared_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     for batch, i, n in zip(frame["batch"], idx, sizes, strict=True):
         found, count = np.unique(i[shared[at : at + n]], return_counts=True)
         at += n
-        out.append(pd.DataFrame({"batch": np.full(len(found), batch), "idx": found.astype(np.int32), "shared": count.astype(np.int64)}))
-    return pd.concat(out, ignore_index=True)
+        if len(found):
+            out.append((batch, found.tobytes(), count.astype(np.uint32).tobytes()))
+    return pd.DataFrame(out, columns=["batch", "found", "counts"], dtype=object)
+
+
+def _sum_in_batch(frame: pd.DataFrame) -> pd.DataFrame:
+    """Counts of a batch's documents over all buckets."""
+    idx = np.concatenate([np.frombuffer(x, np.uint16) for x in frame["found"]])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]])
+    total = np.bincount(idx, weights=counts)
+    hit = np.flatnonzero(total)
+    return pd.DataFrame({"batch": np.full(len(hit), frame["batch"].iloc[0]), "idx": hit.astype(np.int32), "shared": total[hit].astype(np.int64)})
 
 
 def _sets_pass(width: int, t: Fraction):
@@ -183,8 +194,8 @@ def _owned_blocks(buckets: int):
 
 
 def _foreign_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each class, how many of its shingles in this bucket have another owner too. Hashes are shortened, so a count
-    can be too high, never too low."""
+    """For each class, how many of its shingles in this bucket have another owner too, packed by the first byte of the
+    digest. Hashes are shortened, so a count can be too high, never too low."""
     tokens, own, doc, names, at = [], [], [], [], 0
     for m, block in zip(frame["m"], frame["block"], strict=True):
         k = (len(block) - 6 * m) // 24
@@ -201,8 +212,19 @@ def _foreign_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     change = np.concatenate([[False], (st[1:] == st[:-1]) & (so[1:] != so[:-1])])
     foreign = np.bincount(group, weights=change, minlength=group[-1] + 1)[group] > 0
     count = np.bincount(doc[order][foreign], minlength=len(names))
-    hit = np.flatnonzero(count)
-    return pd.DataFrame({"digest": pd.Series([names[i].hex() for i in hit], dtype=object), "shared": count[hit].astype(np.int64)})
+    parts: dict[int, list[int]] = {}
+    for i in np.flatnonzero(count).tolist():
+        parts.setdefault(names[i][0], []).append(i)
+    rows = [(k, b"".join(names[i] for i in at), count[at].astype(np.uint32).tobytes()) for k, at in parts.items()]
+    return pd.DataFrame(rows, columns=["slice", "found", "counts"], dtype=object)
+
+
+def _sum_in_slice(frame: pd.DataFrame) -> pd.DataFrame:
+    """Counts of the classes of a slice of the digests over all buckets."""
+    names = np.concatenate([np.frombuffer(x, "V16") for x in frame["found"]])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]])
+    name, inverse = np.unique(np.array([x.tobytes().hex() for x in names]), return_inverse=True)
+    return pd.DataFrame({"digest": pd.Series(name.tolist(), dtype=object), "shared": np.bincount(inverse, weights=counts).astype(np.int64)})
 
 
 def _common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -433,7 +455,7 @@ def jaccard_components(
 
     first, at = staged(source.mapInPandas(_first_pass(width, t, buckets), _FIRST), "shingles", by="kind")
     rows = first.where("kind = 0").select("batch", "idx", "doc_id", "text_key", "n", "digest")
-    shared = first.where("kind = 1").select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_in_bucket, "batch long, idx int, shared long").groupBy("batch", "idx").agg(F.sum("shared").alias("shared"))
+    shared = first.where("kind = 1").select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_in_bucket, "batch long, found binary, counts binary").groupBy("batch").applyInPandas(_sum_in_batch, "batch long, idx int, shared long")
     least = f"((n * {t.numerator} + {t.denominator - 1}) div {t.denominator})"
     needed = f"greatest(1, ({least} * {EXTRA.numerator}) div {EXTRA.denominator})"
     near = rows.join(shared, ["batch", "idx"]).where(f"shared >= {needed}").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("pick")).select(F.col("pick.doc_id").alias("k"), F.col("pick.text_key").alias("key"))
@@ -450,7 +472,7 @@ def jaccard_components(
     def foreign(of: DataFrame) -> DataFrame:
         """The rows of `of` (digest, owner, n, tokens) with enough shingles that another owner has too."""
         blocks = of.select("digest", "owner", "tokens").mapInPandas(_owned_blocks(few), "bucket int, m int, block binary")
-        counts = blocks.groupBy("bucket").applyInPandas(_foreign_in_bucket, "digest string, shared long").groupBy("digest").agg(F.sum("shared").alias("shared"))
+        counts = blocks.groupBy("bucket").applyInPandas(_foreign_in_bucket, "slice int, found binary, counts binary").groupBy("slice").applyInPandas(_sum_in_slice, "digest string, shared long")
         return of.join(counts, "digest").where(f"shared >= {least}").drop("shared")
 
     close = keep(foreign(sets.withColumn("owner", F.col("digest"))).drop("owner"), "close")
