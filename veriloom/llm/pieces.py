@@ -312,7 +312,8 @@ def encode(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate: floa
         for batch in batches:
             yield pd.Series([np.array(x, dtype=np.int32) for x in model.encode_many(batch.tolist(), seed, rate)], dtype=object)
 
-    return docs.withColumn(out, ids(F.coalesce(F.col(text_col), F.lit(""))))
+    # not marked deterministic: else Catalyst copies the call into each use of the column, and texts are encoded again for each
+    return docs.withColumn(out, ids.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def decode(docs: DataFrame, ids_col: str = "piece_ids", *, path: str | None = None, out: str = "decoded") -> DataFrame:
