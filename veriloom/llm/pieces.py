@@ -31,7 +31,9 @@ VARIANTS = 4
 NONE, BIG, PAD = 1 << 40, 1 << 30, -(1 << 30)
 MASK = np.uint64(0xFFFFFFFF)
 #: Entries of a worker's cache, and the longest pre-token (characters) kept in it.
-CACHE, LONG = 600_000, 64
+CACHE, LONG = 300_000, 64
+#: Characters that are split into pre-tokens at once, but for a longer text.
+AT_ONCE = 1_000_000
 
 
 def dropped(key: int, place: int, piece: int, limit: int) -> bool:
@@ -64,6 +66,8 @@ class Pieces:
         raw = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.data = [b"" if kinds[i][1] else raw[i] if i in raw else names[i].replace(SPACE, " ").encode("utf-8", "surrogatepass") for i in range(n)]
         self._table()
+        #: One object for each id, which all kept segmentations share.
+        self.numbers = list(range(n))
         self.pairs: dict[int, tuple[int, int]] = {}
         self.kept: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
 
@@ -270,8 +274,9 @@ class Pieces:
                 marked.append(SPACE + w.replace(" ", SPACE))
                 keys.append(zlib.crc32(marked[-1].encode("utf-8", "surrogatepass"), (seed * VARIANTS + variant) & 0xFFFFFFFF))
         long = []
+        share = self.numbers.__getitem__
         for (variant, w), ids in zip(missed, self.segment_many(marked, keys, limit), strict=True):
-            self.kept[variant][w] = ids
+            self.kept[variant][w] = tuple(map(share, ids))
             if len(w) > LONG:
                 long.append((variant, w))
         out = [list(chain.from_iterable(map(self.kept[variant].__getitem__, words))) for variant, words in split]
@@ -285,6 +290,19 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+def parts(texts: list[str]) -> Iterator[list[str]]:
+    """texts in order, cut so that the memory of a step doesn't grow with the batch."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 @cache
 def pieces(path: str, seed: int, rate: float) -> Pieces:
     """One encoder a worker for each seed and rate, with its own cache."""
@@ -310,7 +328,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate: floa
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = pieces(path, seed, rate)
         for batch in batches:
-            yield pd.Series([np.array(x, dtype=np.int32) for x in model.encode_many(batch.tolist(), seed, rate)], dtype=object)
+            yield pd.Series([np.array(x, dtype=np.int32) for part in parts(batch.tolist()) for x in model.encode_many(part, seed, rate)], dtype=object)
 
     # not marked deterministic: else Catalyst copies the call into each use of the column, and texts are encoded again for each
     return docs.withColumn(out, ids.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
