@@ -346,3 +346,28 @@ def decode(docs: DataFrame, ids_col: str = "piece_ids", *, path: str | None = No
             yield pd.Series(["" if x is None else model.decode(x.tolist() if isinstance(x, np.ndarray) else list(x)) for x in batch], dtype=object)
 
     return docs.withColumn(out, texts(F.col(ids_col)))
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate: float = 0.1, path: str | None = None, out: str = "packed_ids", decoded: str = "decoded") -> DataFrame:
+    """docs with the ids of each whole text as little-endian unsigned 32-bit numbers, and the text that those ids give.
+
+    The same ids and texts as encode() and decode(), made in one pass of one worker: ids don't cross to the JVM and back
+    to be decoded. Null and empty texts have no ids (no bytes) and decode to the empty text. Columns named like `out`
+    and `decoded` are replaced, others and repeated rows stay.
+    """
+    path = _path(path)
+    ready(docs.sparkSession)
+
+    @F.pandas_udf("ids binary, text string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = pieces(path, seed, rate)
+        for batch in batches:
+            ids, texts = [], []
+            for part in parts(batch.tolist()):
+                for x in model.encode_many(part, seed, rate):
+                    ids.append(np.array(x, dtype="<u4").tobytes())
+                    texts.append(model.decode(np.frombuffer(ids[-1], dtype="<u4").tolist()))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "text": pd.Series(texts, dtype=object)})
+
+    done = docs.withColumn("__both", both.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+    return done.withColumns({out: F.col("__both.ids"), decoded: F.col("__both.text")}).drop("__both")

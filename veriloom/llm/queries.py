@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,15 +51,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmentation of each document with merge-dropout, decoded again: ids, their checksum, and whether it is lossless."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = pieces.encode(docs, seed=1, rate=0.1)
-
-    @F.pandas_udf("n_tokens long, ids_crc32 long")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"n_tokens": [len(x) for x in batch], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in batch]})
-
-    read = pieces.decode(coded.withColumn("d", digest("piece_ids")))
-    return read.select("doc_id", "d.n_tokens", "d.ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit("▁"), F.lit(" "))).alias("lossless"))
+    read = pieces.round_trip(docs, seed=1, rate=0.1)
+    return read.select(
+        "doc_id", (F.octet_length("packed_ids") / 4).cast("long").alias("n_tokens"), F.crc32("packed_ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit("▁"), F.lit(" "))).alias("lossless")
+    )
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
