@@ -44,7 +44,9 @@ THRESHOLD = Fraction(75, 100)
 #: Members of a sub-group or block.
 GROUP = 256
 #: Documents and hashes of a batch of the first pass; bounds a worker's memory.
-BATCH_DOCS, BATCH_TOKENS = 60_000, 4_000_000
+BATCH_DOCS, BATCH_TOKENS = 60_000, 2_000_000
+#: Hashes of a bucket that are looked up at once.
+STEP = 250_000
 #: Share of a set that is packed beyond the least prefix.
 EXTRA = Fraction(15, 100)
 #: Bits of the bitmap of text keys, entries and least count of the list of very common tokens: bounds of what is broadcast.
@@ -95,11 +97,11 @@ def _first_pass(width: int, t: Fraction, buckets: int):
             if sets:
                 idx = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 out += [(1, batch, None, None, None, None, None, b, x) for b, x in _blocks(np.concatenate(sets), idx, buckets)]
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _FIRST.split(", ")], dtype=object)
-            for c in ("idx", "doc_id", "text_key", "n", "bucket"):
-                frame[c] = frame[c].astype("Int64")
-            for a in range(0, len(frame), 2000):
-                yield frame.iloc[a : a + 2000]
+            for a in range(0, len(out), 2000):
+                frame = pd.DataFrame(out[a : a + 2000], columns=[c.split()[0] for c in _FIRST.split(", ")], dtype=object)
+                for c in ("idx", "doc_id", "text_key", "n", "bucket"):
+                    frame[c] = frame[c].astype("Int64")
+                yield frame
 
         held = 0
         for frame in frames:
@@ -196,22 +198,29 @@ def _owned_blocks(buckets: int):
 def _foreign_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     """For each class, how many of its shingles in this bucket have another owner too, packed by the first byte of the
     digest. Hashes are shortened, so a count can be too high, never too low."""
-    tokens, own, doc, names, at = [], [], [], [], 0
+    total = int(frame["m"].sum())
+    tok, doc, owners, names, at, start = np.empty(total, np.uint32), np.empty(total, np.int32), [], [], 0, 0
     for m, block in zip(frame["m"], frame["block"], strict=True):
-        k = (len(block) - 6 * m) // 24
-        small = np.frombuffer(block, np.uint16, m, 4 * m).astype(np.int64)
-        tokens.append(np.frombuffer(block, np.uint32, m))
-        own.append(np.frombuffer(block[6 * m : 6 * m + 8 * k], np.uint64)[small])
-        doc.append(small + at)
+        k, end = (len(block) - 6 * m) // 24, start + m
+        tok[start:end] = np.frombuffer(block, np.uint32, m)
+        doc[start:end] = np.frombuffer(block, np.uint16, m, 4 * m)
+        doc[start:end] += at
+        owners.append(np.frombuffer(block, np.uint64, k, 6 * m))
         names += [block[a : a + 16] for a in range(6 * m + 8 * k, len(block), 16)]
-        at += k
-    tok, own, doc = (np.concatenate(x) for x in (tokens, own, doc))
-    order = np.lexsort((own, tok))
-    st, so = tok[order], own[order]
-    group = np.cumsum(np.concatenate([[True], st[1:] != st[:-1]])) - 1
-    change = np.concatenate([[False], (st[1:] == st[:-1]) & (so[1:] != so[:-1])])
-    foreign = np.bincount(group, weights=change, minlength=group[-1] + 1)[group] > 0
-    count = np.bincount(doc[order][foreign], minlength=len(names))
+        at, start = at + k, end
+    number = np.unique(np.concatenate(owners), return_inverse=True)[1].astype(np.uint32)
+    pairs = tok.astype(np.uint64)
+    pairs <<= np.uint64(32)
+    pairs |= number[doc]
+    pairs.sort()
+    # tokens with several owners: equal halves above, unequal ones below
+    several = np.unique((pairs[1:][(pairs[1:] >> np.uint64(32) == pairs[:-1] >> np.uint64(32)) & (pairs[1:] != pairs[:-1])] >> np.uint64(32)).astype(np.uint32))
+    del pairs
+    count = np.zeros(len(names), dtype=np.int64)
+    for a in range(0, total if len(several) else 0, STEP):
+        part = tok[a : a + STEP]
+        hit = several[np.minimum(np.searchsorted(several, part), len(several) - 1)] == part
+        count += np.bincount(doc[a : a + STEP][hit], minlength=len(names))
     parts: dict[int, list[int]] = {}
     for i in np.flatnonzero(count).tolist():
         parts.setdefault(names[i][0], []).append(i)
