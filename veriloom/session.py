@@ -29,12 +29,18 @@ def session(app: str = "veriloom", master: str | None = None, **conf: str) -> Sp
     return ready(builder.getOrCreate())
 
 
+#: Python workers are used again by later stages: what one stage frees should go back to the system, not stay with them.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this library and keeps their Arrow batches small."""
+    """Lets Python workers import this library, keeps their Arrow batches small and has them return freed memory."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for key, value in WORKER_MEMORY.items():
+        env.setdefault(key, value)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
