@@ -211,3 +211,23 @@ def test_packing(docs, none):
             own = ids[r.doc_id]
             assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own[r.start : r.start + r.length]))
     assert packing.pack(none).count() == 0
+
+
+def test_packing_tiers():
+    draw = random.Random(7)
+    sizes = [draw.choice((draw.randint(1, 128), draw.randint(1, 128), draw.randint(129, 256), draw.randint(257, 512), draw.randint(513, 3000))) for _ in range(2000)]
+    made = packing.plan(sizes)
+    totals = [sum(n for _, _, n in s) for s in made]
+    assert all(totals.count(t) > 20 for t in packing.TIERS) and sum(t not in packing.TIERS for t in totals) <= 7 and made != packing.plan(sizes, tiers=(1024,))
+    for sequence, total in zip(made, totals, strict=True):
+        assert total & (total - 1) == 0 and all(n <= total for _, _, n in sequence)
+    parts = {}
+    for sequence in made:
+        for d, s, n in sequence:
+            parts.setdefault(d, []).append((s, n))
+    for d, size in enumerate(sizes):
+        at = 0
+        for s, n in sorted(parts[d]):
+            assert s == at and n > 0
+            at += n
+        assert at == size

@@ -5,8 +5,9 @@ windows of bounded size, so packing needs no shuffle and a lost task is simply r
 
 * full windows: a document of n ids gives n // 1024 sequences of its own; the rest is routed to the smallest tier
   (128, 256, 512, 1024) that holds it;
-* each tier is packed from its longest piece down; the gap behind a piece is filled with whole pieces from the same or
-  shorter tiers, best fit first, and what then is left of the gap with the head of a cut piece;
+* each tier, from the longest down, is packed into windows of its own length, from its longest piece down; the gap behind
+  a piece is filled with whole pieces from the same or shorter tiers, best fit first, and what then is left of the gap
+  with the head of a cut piece, whose tail is routed anew;
 * the last, incomplete sequence of a task is split into sequences of power-of-two lengths, which need no padding.
 
 Sequences are dealt to step groups by length, so that each group of a task holds about as many tokens and as many
@@ -118,7 +119,9 @@ class Lengths:
 
 
 def plan(sizes: list[int], length: int = LENGTH, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (document, start, length). All but the last hold exactly length ids or a power of two."""
+    """Sequences as lists of (document, start, length). All but the last few hold exactly as many ids as a tier's window;
+    those hold powers of two. The longest window is length."""
+    windows = [0, *sorted({t for t in tiers if t < length}), length]
     sequences: list[list[tuple[int, int, int]]] = []
     rest, starts = Lengths(length), {}
     for d, n in enumerate(sizes):
@@ -127,10 +130,9 @@ def plan(sizes: list[int], length: int = LENGTH, tiers: tuple[int, ...] = TIERS)
         if n > whole:
             starts[d] = whole
             rest.add(n - whole, d)
-    for tier in reversed(tiers):
-        below = tier // 2 if tier != tiers[0] else 0
+    for below, tier in reversed(list(zip(windows, windows[1:], strict=False))):
         while rest.present and rest.present[-1] > below:
-            sequence, gap = [], length
+            sequence, gap = [], tier
             while gap:
                 got = rest.take(gap)
                 cut = got is None
@@ -148,7 +150,7 @@ def plan(sizes: list[int], length: int = LENGTH, tiers: tuple[int, ...] = TIERS)
             if not gap:
                 sequences.append(sequence)
                 continue
-            used = length - gap  # nothing is left: powers of two need no padding
+            used = tier - gap  # nothing is left: powers of two need no padding
             pieces = iter(sequence)
             d, s, n = next(pieces)
             for bit in reversed(range(used.bit_length())):
