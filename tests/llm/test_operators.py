@@ -231,3 +231,17 @@ def test_packing_tiers():
             assert s == at and n > 0
             at += n
         assert at == size
+
+
+def test_packing_step_groups(spark):
+    draw = random.Random(9)
+    frame = spark.createDataFrame([(i, " ".join(draw.choice(VOCABULARY) for _ in range(draw.randint(1, 700)))) for i in range(600)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(frame, step=8192, window=100_000).collect()
+    sequences = {r.sequence_id: (r.step_group, r.sequence_tokens) for r in rows}
+    held = {}
+    for group, n in sequences.values():
+        held[group] = held.get(group, 0) + n
+    total = sum(held.values())
+    assert total > 300_000 and sorted(held) == list(range(min(held), min(held) + len(held))) and abs(len(held) - total / 8192) <= 4
+    *full, _ = [held[g] for g in sorted(held)]
+    assert all(0.8 * 8192 <= n <= 1.25 * 8192 for n in full)

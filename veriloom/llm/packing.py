@@ -10,8 +10,8 @@ windows of bounded size, so packing needs no shuffle and a lost task is simply r
   with the head of a cut piece, whose tail is routed anew;
 * the last, incomplete sequence of a task is split into sequences of power-of-two lengths, which need no padding.
 
-Sequences are dealt to step groups by length, so that each group of a task holds about as many tokens and as many
-sequences of each length as the others.
+Sequences are dealt to step groups by length, so that each group of a window holds about as many tokens and as many
+sequences of each length as the others. A task numbers its groups on from window to window.
 """
 
 from __future__ import annotations
@@ -167,31 +167,40 @@ def plan(sizes: list[int], length: int = LENGTH, tiers: tuple[int, ...] = TIERS)
     return sequences
 
 
-def _pack(path: str, length: int, tiers: tuple[int, ...], step: int):
+def deal(totals: list[int], step: int) -> tuple[list[int], int]:
+    """The group, from 0, of each sequence, and the number of groups; the longer ones are dealt first, one to each group
+    in turn, and the next length goes on where the last one ended."""
+    groups = max(1, round(sum(totals) / step))
+    out = [0] * len(totals)
+    for k, i in enumerate(sorted(range(len(totals)), key=lambda i: -totals[i])):
+        out[i] = k % groups
+    return out, groups
+
+
+def _pack(path: str, length: int, tiers: tuple[int, ...], step: int, window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        base, made = TaskContext.get().partitionId() << 40, 0
+        base, made, dealt = TaskContext.get().partitionId() << 40, 0, 0
         ids: list[np.ndarray] = []
         docs: list = []
         held, held_as = 0, np.uint16 if encoders(path)[0].get_vocab_size() <= 1 << 16 else np.uint32
 
         def flush() -> Iterator[pd.DataFrame]:
-            nonlocal made
+            nonlocal made, dealt
             sequences = plan([len(x) + 1 for x in ids], length, tiers)
             totals = [sum(n for _, _, n in s) for s in sequences]
-            groups = max(1, round(sum(totals) / step))
-            rank: dict[int, int] = {}
+            dealt_to, groups = deal(totals, step)
             flat = [np.append(x, np.uint32(END)).astype("<u4") for x in ids]
             rows = []
-            for sequence, total in zip(sequences, totals, strict=True):
-                k = rank[total] = rank.get(total, -1) + 1
-                name, group, offset = base + made, (base >> 20) + (made >> 20 << 10) + k % groups, 0
+            for sequence, total, k in zip(sequences, totals, dealt_to, strict=True):
+                name, group, offset = base + made, (base >> 10) + dealt + k, 0
                 tier = next((t for t in tiers if total <= t), length)
                 for d, s, n in sequence:
                     rows.append((docs[d], s, n, zlib.crc32(flat[d][s : s + n]), len(flat[d]), name, offset, total, tier, group))
                     offset += n
                 made += 1
+            dealt += groups
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             frame["doc_id"] = pd.array(frame["doc_id"].tolist(), dtype="Int64")
             for a in range(0, len(frame), 20_000):
@@ -202,7 +211,7 @@ def _pack(path: str, length: int, tiers: tuple[int, ...], step: int):
                 ids.append(encode(text or "", path).astype(held_as))
                 docs.append(None if doc_id is pd.NA else doc_id)
                 held += len(ids[-1]) + 1
-                if held >= WINDOW:
+                if held >= window:
                     yield from flush()
                     ids, docs, held = [], [], 0
         if docs:
@@ -211,7 +220,7 @@ def _pack(path: str, length: int, tiers: tuple[int, ...], step: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, length: int = LENGTH, tiers: tuple[int, ...] = TIERS, step: int = STEP) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, length: int = LENGTH, tiers: tuple[int, ...] = TIERS, step: int = STEP, window: int = WINDOW) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, tier, step_group.
 
     A null or empty text is one END id. Rows with equal or null ids are packed on their own; other columns are left
@@ -222,4 +231,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
     ready(docs.sparkSession)
     path = path or public_tokenizers.path(f"{VOCABULARY}.json")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(_pack(path, length, tiers, step), SCHEMA)
+    return source.mapInPandas(_pack(path, length, tiers, step, window), SCHEMA)
