@@ -245,3 +245,21 @@ def test_packing_step_groups(spark):
     assert total > 300_000 and sorted(held) == list(range(min(held), min(held) + len(held))) and abs(len(held) - total / 8192) <= 4
     *full, _ = [held[g] for g in sorted(held)]
     assert all(0.8 * 8192 <= n <= 1.25 * 8192 for n in full)
+
+
+def test_media_tags():
+    hits = 0
+    for n in (64, 128, 192, 256, 896, 960, 1024, 1920, 5056):
+        for o in range(max(0, n - 400), n - 2):
+            payload = b"x" * o + b"TAG" + b"y" * (n - o - 3)
+            stream = media.write_stream(payload)
+            x = media.read_stream(stream)
+            hits += stream[-128:-125] == b"TAG"
+            assert x["payload"] == payload and not x["skipped"] and x["table_frames"] == x["frames"]
+    assert hits > 4
+    tag = b"TAG" + b"title".ljust(125, b"\0")
+    for n in (64, 1024, 5056):
+        stream = media.write_stream(b"z" * n)
+        x = media.read_stream(stream + tag)
+        assert x["payload"] == b"z" * n and not x["skipped"] and ("ID3v1", "title") in x["tags"]
+        assert ("ID3v1", "title") in media.read_stream(stream[:-5] + tag)["tags"]

@@ -5,9 +5,9 @@ Xing table (frames, bytes, 100 seek points), then frames of varying bit rate who
 and whose remaining bytes carry the payload as ancillary data. Each frame's CRC-16 covers its header and side
 information.
 
-read_stream takes any bytes: it skips tags, resynchronises on frame headers (a header counts if the next one agrees, or
-the stream ends there), reads Xing, Info and VBRI tables, verifies checksums, and returns exact durations in samples,
-seek offsets and the ancillary payload.
+read_stream takes any bytes: it skips tags (at the end only where no frame goes on across the tag's start),
+resynchronises on frame headers (a header counts if the next one agrees, or the stream ends there), reads Xing, Info and
+VBRI tables, verifies checksums, and returns exact durations in samples, seek offsets and the ancillary payload.
 """
 
 from __future__ import annotations
@@ -129,22 +129,21 @@ def read_stream(data: bytes) -> dict:
                 stated = int(value[9:])
             k += 10 + n
         at += 10 + size
-    if data[-128:-125] == b"TAG" and end - 128 >= at:
-        end -= 128
-        tags.append(("ID3v1", data[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")))
+    mark = end - 128 if data[-128:-125] == b"TAG" and end - 128 >= at else end  # a tag, or payload of a frame across it
     parts, seeks, rates = [], [], set()
     frames = samples = skipped = right = wrong = hertz = 0
     table, locked = ("", 0, 0, b""), False
-    while at + 4 <= end:
+    while at + 4 <= end and at != mark:
         h = header(data[at : at + 4])
         fits = h is not None and at + h[0] <= end
-        if fits and not locked:
+        if fits and (not locked or at < mark < at + h[0]):
             behind = at + h[0]
-            fits = behind + 4 > end or header(data[behind : behind + 4]) is not None
+            fits = behind + 4 > end or behind == mark or header(data[behind : behind + 4]) is not None
         if not fits:
-            after = data.find(b"\xff", at + 1, end)
-            skipped += (after if after >= 0 else end) - at
-            at, locked = after if after >= 0 else end, False
+            stop = mark if at < mark else end
+            after = data.find(b"\xff", at + 1, stop)
+            skipped += (after if after >= 0 else stop) - at
+            at, locked = after if after >= 0 else stop, False
             continue
         locked = True
         size, count, hertz, side, has_crc, kbit = h
@@ -171,6 +170,9 @@ def read_stream(data: bytes) -> dict:
             frames, samples = frames + 1, samples + count
             rates.add(kbit)
         at += size
+    if at == mark < end:
+        tags.append(("ID3v1", data[mark + 3 : mark + 33].rstrip(b"\x00 ").decode("latin-1")))
+        at = end
     skipped += max(0, end - at)
     payload = b"".join(parts)
     return {
