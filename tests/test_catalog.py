@@ -51,3 +51,11 @@ def test_config_leaves(spark):
 
     bad = config_leaves(spark.createDataFrame([("a.toml", "x = "), ("b.json", "[1]"), ("c.ini", None)], "path string, text string")).toPandas()
     assert len(bad) == 2 and bad["error"].notna().all()
+
+
+def test_whole_texts(spark, tmp_path):
+    texts = ["x = 1  # noqa\nplain\nDELETE FROM t WHERE a = 1\n#!/bin/sh\nend", "#!/bin/bash\nset -euo pipefail\n. common.sh\nrun"]
+    spark.createDataFrame([(i * 11, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert run("suppression_lines") == [(0, 1, "noqa")] and run("sql_pattern_lines") == [(0, 3, "DELETE FROM")]
+    assert run("shell_errors_whole") == [("src/0.py", e) for e in ("missing helper", "missing shebang", "missing strict mode")]

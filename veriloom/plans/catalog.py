@@ -262,6 +262,32 @@ def shell_practices(spark, sf_dir):
     return scripts.select("path", F.explode(checks.shell_errors(F.col("text"), F.lit(True))).alias("error"))
 
 
+_LINES = f"{CODE}, a AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM c), l AS (SELECT doc_id, CAST(unnest(generate_series(1, len(parts))) AS INTEGER) AS line_no, unnest(parts) AS line FROM a)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, line): all lines of code_lines."""
+    return code_lines(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_p", "line")).select("doc_id", (F.col("_p") + 1).alias("line_no"), "line")
+
+
+@query(rf"WITH {_LINES}, f AS (SELECT doc_id, line_no, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM l) SELECT doc_id, line_no, {_SQL_CASE} AS pattern FROM f WHERE length(line) >= 12 AND {_SQL_CASE} IS NOT NULL")
+def sql_pattern_lines(spark, sf_dir):
+    """The first SQL pattern of each line of the whole texts. (FN-13)"""
+    return _lines(spark, sf_dir).select("doc_id", "line_no", checks.sql_pattern(F.col("line")).alias("pattern")).where("pattern is not null")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no, {_NOQA} AS label FROM l WHERE {_NOQA} IS NOT NULL")
+def suppression_lines(spark, sf_dir):
+    """Suppression comments of all lines of the whole texts, by the first pattern. (CHK-09)"""
+    return _lines(spark, sf_dir).select("doc_id", "line_no", checks.first_pattern(F.col("line"), checks.SUPPRESSIONS).alias("label")).where("label is not null")
+
+
+@query(f"""WITH {CODE}, e AS (SELECT path, unnest(list_filter([CASE WHEN NOT starts_with(text, '#!') THEN 'missing shebang' END, CASE WHEN NOT contains(text, 'set -euo pipefail') THEN 'missing strict mode' END, CASE WHEN NOT contains(text, 'common.sh') THEN 'missing helper' END], lambda x: x IS NOT NULL)) AS error FROM c) SELECT path, error FROM e""")
+def shell_errors_whole(spark, sf_dir):
+    """Errors of all documents, each whole text as one shell script. (CHK-06)"""
+    return code_lines(spark, sf_dir).select("path", F.explode(checks.shell_errors(F.col("text"), F.lit(True))).alias("error"))
+
+
 def _messages(rows: DataFrame) -> DataFrame:
     k = F.col("conv_id") % 5
     head = F.when(k == 0, "feat: ").when(k == 1, "fix(core)!: ").when(k == 2, "oops ").when(k == 3, "misc: ").otherwise("Merge ")
