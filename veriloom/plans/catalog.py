@@ -99,6 +99,39 @@ def status_report(spark, sf_dir):
     return review.report_lines(diff_classify_status(spark, sf_dir))
 
 
+def _all_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings and hunks of all orders, a file a customer, so that files have changed and unchanged lines at all sizes."""
+    hunks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 500).alias("start"), (F.col("o_orderkey") % 4).alias("n")).distinct()
+    return _findings(spark, sf_dir)[0], hunks
+
+
+_ALL_DIFF = _DIFF.replace(" WHERE o_orderkey % 97 = 0", "").replace("o_custkey % 150", "o_custkey")
+
+
+@query(f"WITH {_ALL_DIFF} SELECT * FROM s")
+def diff_all_status(spark, sf_dir):
+    """Findings against the changed lines of all orders, then the status of each check. (JOIN-07, AGG-03)"""
+    return review.status_by_check(review.classify_by_diff(*_all_findings(spark, sf_dir)))
+
+
+@query(f"WITH {_ALL_DIFF} SELECT event_id, in_diff FROM d")
+def diff_all_classify(spark, sf_dir):
+    """Each finding's class against the changed lines of all orders. (JOIN-07, FN-09)"""
+    return review.classify_by_diff(*_all_findings(spark, sf_dir)).select("event_id", "in_diff")
+
+
+@query(ORACLES["verdict"].replace(_DIFF, _ALL_DIFF))
+def diff_all_verdict(spark, sf_dir):
+    """Overall verdict over the changed lines of all orders. (AGG-02)"""
+    return review.overall(diff_all_status(spark, sf_dir))
+
+
+@query(ORACLES["status_report"].replace(_DIFF, _ALL_DIFF))
+def diff_all_report(spark, sf_dir):
+    """The text report over the changed lines of all orders. (SNK-10, FLT-17)"""
+    return review.report_lines(diff_all_status(spark, sf_dir))
+
+
 @query("""WITH b AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3 AS batch FROM documents)
 SELECT source, CAST(batch AS BIGINT) AS batch, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id) AS items FROM b GROUP BY ALL""")
 def batches(spark, sf_dir):
@@ -216,6 +249,12 @@ def see_also(spark, sf_dir):
     return code_lines(spark, sf_dir).where("doc_id % 11 = 7").select("doc_id", F.array_join(T.see_also(F.col("text")), ",").alias("refs"))
 
 
+@query(ORACLES["see_also"].removesuffix(" WHERE doc_id % 11 = 7"))
+def see_also_all(spark, sf_dir):
+    """References behind See Also of all documents. (FN-12, JOIN-09)"""
+    return code_lines(spark, sf_dir).select("doc_id", F.array_join(T.see_also(F.col("text")), ",").alias("refs"))
+
+
 @query(f"WITH {CODE} SELECT path FROM c WHERE contains(text, chr(10) || '<<<<<<<') OR contains(text, chr(10) || '=======') OR contains(text, chr(10) || '>>>>>>>') OR starts_with(text, '<<<<<<<')")
 def merge_conflicts(spark, sf_dir):
     """Files with conflict marks. (CHK-01)"""
@@ -415,6 +454,12 @@ def version_requirements(spark, sf_dir):
     return code_lines(spark, sf_dir).where("doc_id % 11 = 10").select("doc_id", T.version_requirement(F.col("text")).alias("version"))
 
 
+@query(ORACLES["version_requirements"].removesuffix(" WHERE doc_id % 11 = 10"))
+def version_requirements_all(spark, sf_dir):
+    """Versions in the requirement texts of all documents. (FN-16, SRC-12)"""
+    return code_lines(spark, sf_dir).select("doc_id", T.version_requirement(F.col("text")).alias("version"))
+
+
 @query("SELECT doc_id, trim(string_split(text, chr(10))[1]) AS snippet FROM documents")
 def source_snippets(spark, sf_dir):
     """The first source line. (FN-22)"""
