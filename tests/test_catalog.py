@@ -70,3 +70,22 @@ def test_all_rows(spark, tmp_path):
     assert run("see_also_all") == [(0, "a.md"), (1, ""), (2, "")] and run("version_requirements_all") == [(0, ""), (1, "1.2"), (2, "")]
     assert run("diff_all_classify") == [(41, False), (42, True), (43, True)] and run("diff_all_status") == [("lint", "FAIL", 2, 1)]
     assert catalog.QUERIES["diff_all_verdict"](spark, str(tmp_path)).first().verdict == "FAIL" and run("diff_all_report") == [("XX lint: 2 in diff, 1 before",)]
+
+
+SQL_LINES = {
+    "CREATE EXTENSION vector": "CREATE EXTENSION", "create or replace view": "CREATE OR REPLACE", "CREATE POLICY p1x": "CREATE POLICY", "DROP INDEX abc_i": "DROP INDEX", "ENABLE ROW LEVEL SECURITY": "ENABLE RLS",
+    "GRANT all ON t TO u": "GRANT ON", "REVOKE all ON t": "REVOKE ON", "SET LOCAL a = 1": "SET LOCAL", "LOAD 'extension'": "LOAD extension", "MATCH (n:Person)": "Cypher MATCH", "RETURN  id  (n) now": "Cypher RETURN",
+    "the value a$12 here": "Parameterized $N", "drop it IF EXISTS": "IF EXISTS", "x WHERE aa > 10": "WHERE clause", "DELETE FROM a UPDATE b SET c": "DELETE FROM", "nothing of note": None, "WHERE a=1": None,
+}
+
+
+def test_sql_and_attribution_patterns(spark):
+    from pyspark.sql import functions as F
+    from veriloom.operators import checks
+
+    assert len(checks.SQL_PATTERNS) == 33
+    rows = spark.createDataFrame([(x,) for x in SQL_LINES], "text string")
+    assert {r.text: r.p for r in rows.select("text", checks.sql_pattern(F.col("text")).alias("p")).collect()} == SQL_LINES
+    message = "feat: x\n\U0001F916 made\n  # \U0001F916\nassisted by C++ (x)\nassisted by Cxx\nby C++ (x) \U0001F916"
+    got = checks.attribution(spark.createDataFrame([("m", message)], "path string, text string"), ("C++ (x)",)).collect()
+    assert sorted(r.line for r in got) == [2, 4, 6]
