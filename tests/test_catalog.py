@@ -89,3 +89,25 @@ def test_sql_and_attribution_patterns(spark):
     message = "feat: x\n\U0001F916 made\n  # \U0001F916\nassisted by C++ (x)\nassisted by Cxx\nby C++ (x) \U0001F916"
     got = checks.attribution(spark.createDataFrame([("m", message)], "path string, text string"), ("C++ (x)",)).collect()
     assert sorted(r.line for r in got) == [2, 4, 6]
+
+
+def test_python_policies():
+    from veriloom.operators.python_facts import facts
+
+    source = """import os, pytest
+a = "SELECT"
+"standalone SELECT a FROM b"
+late = "x" * 1 + "%s select a from b"
+run(message="SELECT a FROM bcd", q=f"DELETE FROM {t} now")
+key = os.getenv("K", "sk-abc")
+other = os.environ.get("K", default="plain")
+sql = f"select abc from {t}"
+os.environ["A"] = "1"
+@pytest.mark.skipif(True)
+@pytest.mark.slow
+def f():
+    return 1
+""".replace("%s", "y" * 200)
+    got = [x for x in facts(source, "tests/a.py") if x[1] in ("sql", "banned_marker", "DEFAULT_SECRET", "SQL_INJECTION", "TEST_ENV_BYPASS")]
+    assert got == [(4, "sql", "SELECT FROM"), (5, "sql", "DELETE FROM"), (6, "DEFAULT_SECRET", "os.getenv"), (8, "SQL_INJECTION", "SELECT"), (8, "sql", "SELECT FROM"), (9, "TEST_ENV_BYPASS", "os.environ"), (10, "banned_marker", "pytest.mark.skipif")]
+    assert not [x for x in facts(source, "migrations/a.py") if x[1] in ("sql", "TEST_ENV_BYPASS")]

@@ -8,14 +8,26 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from veriloom.operators.checks import SQL_PATTERNS
 from veriloom.session import ready
 
+# Fixed values of the reference's settings. (AST-03, AST-04, AST-10)
+BANNED_MARKERS = ("skip", "skipif")
+MIGRATIONS = ("alembic", "migrations")
+ERROR_KEYWORDS = ("suggestion", "reason", "message", "match", "extra")
+LEAST = 15
+SECRETS = ("sk-", "pk-", "api_", "key_", "token_", "secret_", "password", "passwd", "credential")
+SQL_KEYWORDS = re.compile("(SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|TRUNCATE|EXECUTE|EXEC)(?![0-9A-Za-z])")
+TEST_MARKS = ("tests", "conftest", "test_", "_test.py")
+_PATTERNS = [(re.compile(r, re.A), name) for r, name in SQL_PATTERNS]
+
 SCHEMA = "path string, line int, kind string, detail string, snippet string"
 
 
@@ -46,9 +58,84 @@ def _docstrings(tree: ast.AST) -> set[int]:
     return {id(n.body[0].value) for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and n.body and isinstance(n.body[0], ast.Expr) and isinstance(n.body[0].value, ast.Constant)}
 
 
-def facts(source: str | None) -> list[tuple[int, str, str]]:
-    """(line, kind, detail) of one source: imports, decorators, strings, log calls, conditional imports, silent handlers,
-    optional annotations, type-checking imports, comments. (AST-01 to AST-09, STM-04)"""
+def _chain(node: ast.expr) -> list[str]:
+    if isinstance(node, ast.Call):
+        return _chain(node.func)
+    if isinstance(node, ast.Attribute):
+        return [*_chain(node.value), node.attr]
+    return [node.id] if isinstance(node, ast.Name) else []
+
+
+def _literal(node: ast.AST | None) -> str | None:
+    """The whole text of a string literal, a space for each interpolation; None for other nodes."""
+    if isinstance(node, ast.JoinedStr):
+        return "".join(x.value if isinstance(x, ast.Constant) else " " for x in node.values)
+    if isinstance(node, ast.Constant) and isinstance(node.value, bytes):
+        return node.value.decode("latin-1")
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
+
+def _exempt(tree: ast.AST) -> set[int]:
+    """Nodes that are no SQL literals: parts of f-strings, standalone strings at a block's start or behind an assignment,
+    values of error keywords."""
+    out: set[int] = set()
+    for n in ast.walk(tree):
+        if isinstance(n, ast.JoinedStr):
+            out |= {id(x) for x in n.values} | {id(x.format_spec) for x in n.values if isinstance(x, ast.FormattedValue)}
+        elif isinstance(n, ast.keyword) and n.arg in ERROR_KEYWORDS:
+            out.add(id(n.value))
+        for block in (getattr(n, b, None) for b in ("body", "orelse", "finalbody")):
+            if isinstance(block, list):
+                out |= {id(s.value) for k, s in enumerate(block) if isinstance(s, ast.Expr) and (not k or isinstance(block[k - 1], (ast.Assign, ast.AnnAssign)))}
+    return out
+
+
+def sql_literals(tree: ast.AST, path: str) -> list[tuple[int, str, str]]:
+    """(line, "sql", pattern) of whole string literals that hold SQL. (AST-04)"""
+    if any(m in path for m in MIGRATIONS):
+        return []
+    out, exempt = [], _exempt(tree)
+    for n in ast.walk(tree):
+        text = None if id(n) in exempt else _literal(n)
+        flat = " ".join((text or "").split())
+        if len(flat.encode("utf-8", "surrogatepass")) >= LEAST:
+            out += [(n.lineno, "sql", name) for name in [next((name for p, name in _PATTERNS if p.search(flat)), None)] if name]
+    return out
+
+
+def _is_getenv(call: ast.Call) -> bool:
+    f = call.func
+    if not isinstance(f, ast.Attribute):
+        return False
+    return f.attr == "getenv" and isinstance(f.value, ast.Name) and f.value.id == "os" or f.attr == "get" and isinstance(f.value, ast.Attribute) and f.value.attr == "environ"
+
+
+def security(tree: ast.AST, path: str) -> list[tuple[int, str, str]]:
+    """Secrets as defaults of environment variables, f-strings that begin with SQL, and assignments to os.environ in test
+    files. (AST-10)"""
+    name = path.rsplit("/", 1)[-1]
+    is_test, out = any(m in (name if m.endswith(".py") else path) for m in TEST_MARKS), []
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Call) and _is_getenv(n):
+            default = next((k.value for k in n.keywords if k.arg == "default"), n.args[1] if len(n.args) > 1 else None)
+            value = None if isinstance(default, ast.Constant) and isinstance(default.value, bytes) else _literal(default)
+            if value is not None and any(s in value.lower() for s in SECRETS):
+                out.append((default.lineno, "DEFAULT_SECRET", ast.unparse(n.func)))
+        elif isinstance(n, (ast.Assign, ast.AnnAssign)):
+            if isinstance(n.value, ast.JoinedStr) and any(isinstance(x, ast.FormattedValue) for x in n.value.values):
+                hit = SQL_KEYWORDS.match(_literal(n.value).upper().strip())
+                if hit:
+                    out.append((n.value.lineno, "SQL_INJECTION", hit[1]))
+            for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                if is_test and isinstance(t, ast.Subscript) and isinstance(t.value, ast.Attribute) and _chain(t.value) == ["os", "environ"]:
+                    out.append((t.lineno, "TEST_ENV_BYPASS", "os.environ"))
+    return out
+
+
+def facts(source: str | None, path: str = "") -> list[tuple[int, str, str]]:
+    """(line, kind, detail) of one source: imports, decorators, banned markers, strings, SQL literals, log calls,
+    conditional imports, silent handlers, optional annotations, type-checking imports, security findings, comments.
+    (AST-01, AST-03 to AST-10, STM-04)"""
     source = source or ""
     try:
         tree = ast.parse(source)
@@ -56,6 +143,7 @@ def facts(source: str | None) -> list[tuple[int, str, str]]:
         return [(getattr(e, "lineno", None) or 0, "parse_error", type(e).__name__)]
     out: list[tuple[int, str, str]] = []
     docs = _docstrings(tree)
+    out += sql_literals(tree, path) + security(tree, path)
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             out.append((n.lineno, "import", ", ".join(f"{a.name} as {a.asname}" if a.asname else a.name for a in n.names)))
@@ -84,6 +172,10 @@ def facts(source: str | None) -> list[tuple[int, str, str]]:
             out += [(n.lineno, "optional", "return")] * _none_union(n.returns)
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             out += [(d.lineno, "decorator", ast.unparse(d)) for d in n.decorator_list]
+            for d in n.decorator_list:
+                chain = _chain(d)
+                if chain[-2:-1] == ["mark"] and chain[-1] in BANNED_MARKERS:
+                    out.append((d.lineno, "banned_marker", f"pytest.mark.{chain[-1]}"))
             out.append((n.lineno, "documented" if ast.get_docstring(n) else "undocumented", n.name))
     try:
         out += [(t.start[0], "comment", t.string) for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
@@ -101,7 +193,7 @@ def python_facts(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(frame["path"], frame["text"], strict=True):
                 lines = (text or "").split("\n")
-                rows += [(path, line, kind, detail, lines[line - 1].strip()[:120] if 0 < line <= len(lines) else "<unknown>") for line, kind, detail in facts(text)]
+                rows += [(path, line, kind, detail, lines[line - 1].strip()[:120] if 0 < line <= len(lines) else "<unknown>") for line, kind, detail in facts(text, path or "")]
             yield pd.DataFrame(rows, columns=["path", "line", "kind", "detail", "snippet"])
 
     return files.select("path", "text").mapInPandas(run, SCHEMA)

@@ -518,7 +518,7 @@ def f{0}(a: int | None, b: str = "SELECT a FROM b") -> str | None:
 
 @query()
 def python_facts_query(spark, sf_dir):
-    """Facts of derived Python sources. (AST-01 to AST-10, STM-04, EXT-06, SRC-15)"""
+    """Facts of derived Python sources. (AST-01, AST-03 to AST-10, STM-04, SRC-15)"""
     source = F.replace(F.lit(PYTHON), F.lit("{0}"), F.col("doc_id").cast("string"))
     broken = F.when(F.col("doc_id") % 50 == 0, F.concat(source, F.lit("def ("))).otherwise(source)
     return python_facts.python_facts(table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), broken.alias("text")))
