@@ -1,34 +1,33 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Similar documents are put into groups; a group keeps the union of its members' tokens (shingles); the overlap of a
-query with a union bounds its overlap with every member, so only groups that reach the bound are opened. Every step
-before that bound only drops documents that provably have no partner:
-
-1. One pass over the texts gives each document's shingle set, as a digest, and the smallest hashes of the set, packed
-   into one block for each (batch, hash bucket). Documents with equal sets form a class, joined by digest.
-2. A pair with Jaccard >= t has an overlap of at least t * n, so the two sets share at least k of their first
-   n - ceil(t * n) + k hashes. Each bucket counts, for each document, the hashes that others have too; documents under
-   the least such count leave. What is left (near copies, mostly) is fetched and its whole sets are stored; a bitmap of
-   fixed size spares most other texts the way to that join.
-3. The same count over whole sets, between classes: a document needs t * n shared shingles to stay.
-4. Groups: classes with the same min-hash meet in sub-groups of bounded size, twice with independent min-hashes and
-   salts; in each sub-group all links are found exactly. The components so far are the groups of the matrix.
-5. Matrix: a class stays if t * n of its shingles also occur in the token unions of other groups.
-6. What stays is regrouped more loosely (classes that share any of four min-hashes over tokens that aren't very common).
-   A group is opened for all its queries, in pairs of chunks where it is large.
-7. Matrix again, over the loose groups; the few classes that reach the bound elsewhere are cut into blocks. Blocks that
-   share a prefix hash meet; a query is compared with another block's members only if its overlap with that block's
-   union reaches t * n.
-
-Every link between different components is met in step 4, 6 or 7, so the components are exact, not approximate (up to
-collisions of 64-bit hashes). No step emits pairs of documents, and none collects a key's documents in one task:
-buckets are slices of the hash space, sub-groups and blocks have a fixed size.
+Similar documents are put into groups, each group's token union is stored, the overlap of a query with a union bounds
+its overlap with every member, and only groups that reach the bound are opened. Tokens are hashed shingles.
+
+1. One pass over the texts gives each document's shingle set, as a digest, and the smallest hashes of the set. Documents
+   with equal sets form a class. A pair with Jaccard >= t overlaps in t * n tokens at least, so the two share at least k
+   of their first n - ceil(t * n) + k hashes: documents with fewer such hashes in common with any other text leave. Each
+   batch sends a hash once, however many of its texts hold it, so that common hashes don't gather in one task.
+2. Classes that stay are fetched and grouped by a min-hash, in sub-groups of bounded members and tokens. The linked parts
+   of a sub-group are the groups of the matrix: their members and token unions are written to a table. Groups of which
+   representatives meet under a second min-hash, and link, get one owner. Both steps only save work in the next ones.
+3. Matrix, as blocks of groups with their owners. A first bound takes all unions of other owners as one: each block sends
+   a token once, learns whether another owner has it, and members with fewer than t * n such tokens leave, for no union
+   can hold more of them. Groups without members leave.
+4. Second bound, group by group. A pair overlaps in at least t / (1 + t) * (n + m) tokens, all of which two owners have,
+   so a query meets a group only if they share one of the first tokens of their members, most common ones last, within
+   a band of sizes. A query qualifies if its overlap with the group's union reaches the bound for the group's smallest
+   member; only then the group is opened, and its members are compared one by one until a link is found.
+
+Every link between two groups of different owners passes both bounds, so components are exact (up to collisions of 64-bit
+hashes). Nothing emits pairs of documents, and nothing gathers a key's documents in one task: sub-groups and blocks have
+bounded tokens, buckets are slices of the hash space whose number follows the counted tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,25 +35,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.names import free
 from veriloom.llm.shingles import WIDTH, mix, shingle_sets
 from veriloom.session import ready, staged, unstage
 
 #: Linked if 100 * intersection >= 75 * union.
 THRESHOLD = Fraction(75, 100)
-#: Members of a sub-group or block.
-GROUP = 256
-#: Documents and hashes of a batch of the first pass; bounds a worker's memory.
-BATCH_DOCS, BATCH_TOKENS = 60_000, 2_000_000
-#: Hashes of a bucket that are looked up at once.
-STEP = 250_000
-#: Share of a set that is packed beyond the least prefix.
+#: Members and tokens of a sub-group; representatives of a group in the second round. (A longer set is a sub-group alone.)
+GROUP, GROUP_TOKENS, REPRESENTATIVES = 256, 300_000, 4
+#: Documents and hashes of a batch of the first pass, tokens of a block of the matrix, hashes of a bucket (about).
+BATCH_DOCS, BATCH_TOKENS, BLOCK_TOKENS, BUCKET_TOKENS = 60_000, 500_000, 60_000, 300_000
+#: Share of a set that is sent beyond the least prefix.
 EXTRA = Fraction(15, 100)
-#: Bits of the bitmap of text keys, entries and least count of the list of very common tokens: bounds of what is broadcast.
-BITS, COMMON, COMMON_LEAST = 1 << 24, 65_536, 256
+#: Bits of the bitmap of text keys (a multiple of 32,768), entries and least count of the list of very common tokens: bounds of what is broadcast.
+BITS, COMMON, COMMON_LEAST = 1 << 24, 65_536, 64
+#: Ratio of the sizes within a band.
+BAND = Fraction(106, 100)
 
-_FIRST = "kind int, batch long, idx int, doc_id long, text_key long, n long, digest string, bucket int, block binary"
-_SETS = "digest string, n long, h1 long, h2 long, tokens binary"
-_SEEDS = (0x51ED270B, 0x2545F491, 0x7F4A7C15, 0x1B873593)
+_FIRST = "kind int, batch long, idx int, doc_id long, text_key long, n long, digest string, bucket int, block binary, counts binary"
+_SETS = "digest string, n long, h long, tokens binary"
+_GROUPS = "gid string, digests array<string>, sizes array<int>, tokens binary, places binary"
+_BLOCKS = "block long, gids array<string>, owners array<string>, members array<int>, sizes array<int>, unions array<int>, tokens binary, places binary"
+_LIVE = "gid string, owner string, sizes array<int>, lengths array<int>, tokens binary, places binary"
+_SEEDS = (np.uint64(0x51ED270B), np.uint64(0x2545F491))
+_IN_BATCH, _MANY = np.uint16(0xFFFF), np.uint64(0)
 
 
 def _least(n: np.ndarray | int, t: Fraction) -> np.ndarray | int:
@@ -62,6 +66,11 @@ def _least(n: np.ndarray | int, t: Fraction) -> np.ndarray | int:
     return -(-n * t.numerator // t.denominator)
 
 
+def _pair(both: np.ndarray | int, t: Fraction) -> np.ndarray | int:
+    """The least overlap of two linked sets whose sizes add up to both."""
+    return -(-both * t.numerator // (t.numerator + t.denominator))
+
+
 def _prefix(n: int, t: Fraction) -> int:
     return n - _least(n, t) + max(1, n * EXTRA.numerator // EXTRA.denominator) if n else 0
 
@@ -71,18 +80,26 @@ def _needed(n: int, t: Fraction) -> int:
     return max(1, _least(n, t) * EXTRA.numerator // EXTRA.denominator)
 
 
-def _blocks(tokens: np.ndarray, idx: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, hashes shortened to 32 bits followed by 16-bit document numbers)."""
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+
+
+def _in_buckets(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts tokens by bucket, and each bucket's place in it."""
     bucket = (tokens % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    short, idx = (tokens >> np.uint64(32)).astype(np.uint32)[order], idx.astype(np.uint16)[order]
-    for b in np.flatnonzero(np.diff(cuts)):
-        a, z = cuts[b], cuts[b + 1]
-        yield int(b), short[a:z].tobytes() + idx[a:z].tobytes()
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """32 bits of a token; within a bucket others may have the same, which adds overlap but never loses any."""
+    return (tokens >> np.uint64(24)).astype(np.uint32)
 
 
 def _first_pass(width: int, t: Fraction, buckets: int):
+    """kind 0: a row for each document. kind 1: for each batch and bucket, hashes with the one document of the batch that
+    has them, or _IN_BATCH for several. kind 2: for each batch, how many hashes its documents share within the batch."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -93,10 +110,23 @@ def _first_pass(width: int, t: Fraction, buckets: int):
 
         def flush() -> Iterator[pd.DataFrame]:
             batch = (part << 24) | seq
-            out = [(0, batch, i, d, key, n, digest, None, None) for i, d, key, n, digest in rows]
+            out = [(0, batch, i, d, key, n, digest, None, None, None) for i, d, key, n, digest in rows]
             if sets:
-                idx = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                out += [(1, batch, None, None, None, None, None, b, x) for b, x in _blocks(np.concatenate(sets), idx, buckets)]
+                tok, idx = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+                order = np.argsort(tok, kind="stable")
+                tok, idx = tok[order], idx[order]
+                same = tok[1:] == tok[:-1]
+                first = np.concatenate([[True], ~same])
+                several = ~first | np.concatenate([same, [False]])
+                found, count = np.unique(idx[several], return_counts=True)
+                if len(found):
+                    out.append((2, batch, None, None, None, None, None, None, found.tobytes(), count.astype(np.uint32).tobytes()))
+                tok, idx = tok[first], np.where(several, _IN_BATCH, idx)[first]
+                order, cuts = _in_buckets(tok, buckets)
+                short, idx = _short(tok)[order], idx[order]
+                for b in np.flatnonzero(np.diff(cuts)):
+                    a, z = cuts[b], cuts[b + 1]
+                    out.append((1, batch, None, None, None, None, None, int(b), short[a:z].tobytes() + idx[a:z].tobytes(), None))
             for a in range(0, len(out), 2000):
                 frame = pd.DataFrame(out[a : a + 2000], columns=[c.split()[0] for c in _FIRST.split(", ")], dtype=object)
                 for c in ("idx", "doc_id", "text_key", "n", "bucket"):
@@ -124,8 +154,7 @@ def _first_pass(width: int, t: Fraction, buckets: int):
 
 
 def _shared_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each document of each batch, how many of its hashes in this bucket another document has as well; one row a
-    batch, as packed numbers and counts."""
+    """For each batch, how many of its documents' own hashes in this bucket another batch has as well."""
     tokens, idx, sizes = [], [], []
     for block in frame["block"]:
         n = len(block) // 6
@@ -140,146 +169,71 @@ def _shared_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     out, at = [], 0
     for batch, i, n in zip(frame["batch"], idx, sizes, strict=True):
-        found, count = np.unique(i[shared[at : at + n]], return_counts=True)
+        found, count = np.unique(i[shared[at : at + n] & (i != _IN_BATCH)], return_counts=True)
         at += n
         if len(found):
             out.append((batch, found.tobytes(), count.astype(np.uint32).tobytes()))
-    return pd.DataFrame(out, columns=["batch", "found", "counts"], dtype=object)
+    return pd.DataFrame(out, columns=["batch", "block", "counts"], dtype=object)
 
 
 def _sum_in_batch(frame: pd.DataFrame) -> pd.DataFrame:
     """Counts of a batch's documents over all buckets."""
-    idx = np.concatenate([np.frombuffer(x, np.uint16) for x in frame["found"]])
+    idx = np.concatenate([np.frombuffer(x, np.uint16) for x in frame["block"]])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]])
     total = np.bincount(idx, weights=counts)
     hit = np.flatnonzero(total)
     return pd.DataFrame({"batch": np.full(len(hit), frame["batch"].iloc[0]), "idx": hit.astype(np.int32), "shared": total[hit].astype(np.int64)})
 
 
-def _sets_pass(width: int, t: Fraction):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for s in shingle_sets(frame["text"].tolist(), width):
-                if len(s):
-                    h = [int(mix(s ^ np.uint64(seed)).min().view(np.int64)) for seed in _SEEDS[:2]]
-                    out.append((xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), *h, s.tobytes()))
-            yield pd.DataFrame(out, columns=["digest", "n", "h1", "h2", "tokens"]).astype({"digest": object})
-
-    return run
-
-
-def _owned_blocks(buckets: int):
-    """Blocks of whole sets with their owners (the class, or its component so far), for counts between owners."""
+def _in_bitmap(bitmap):
+    """Rows whose text key has its bit set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = bitmap.value
         for frame in frames:
-            if not len(frame):
-                continue
-            tokens = [np.frombuffer(x, np.uint64) for x in frame["tokens"]]
-            sizes = [len(x) for x in tokens]
-            every = np.concatenate(tokens)
-            doc = np.repeat(np.arange(len(frame)), sizes)
-            bucket = (every % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            owners = np.array([xxhash.xxh3_64_intdigest(o) for o in frame["owner"]], np.uint64)
-            names = np.array([bytes.fromhex(x) for x in frame["digest"]], dtype="V16")
-            short, rows = (every >> np.uint64(24)).astype(np.uint32), []
-            for b in np.flatnonzero(np.diff(cuts)):
-                at = order[cuts[b] : cuts[b + 1]]
-                who, small = np.unique(doc[at], return_inverse=True)
-                rows.append((int(b), len(at), short[at].tobytes() + small.astype(np.uint16).tobytes() + owners[who].tobytes() + names[who].tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "m", "block"])
+            at = frame["text_key"].to_numpy(np.int64) & (BITS - 1)
+            yield frame[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
 
     return run
 
 
-def _foreign_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each class, how many of its shingles in this bucket have another owner too, packed by the first byte of the
-    digest. Hashes are shortened, so a count can be too high, never too low."""
-    total = int(frame["m"].sum())
-    tok, doc, owners, names, at, start = np.empty(total, np.uint32), np.empty(total, np.int32), [], [], 0, 0
-    for m, block in zip(frame["m"], frame["block"], strict=True):
-        k, end = (len(block) - 6 * m) // 24, start + m
-        tok[start:end] = np.frombuffer(block, np.uint32, m)
-        doc[start:end] = np.frombuffer(block, np.uint16, m, 4 * m)
-        doc[start:end] += at
-        owners.append(np.frombuffer(block, np.uint64, k, 6 * m))
-        names += [block[a : a + 16] for a in range(6 * m + 8 * k, len(block), 16)]
-        at, start = at + k, end
-    number = np.unique(np.concatenate(owners), return_inverse=True)[1].astype(np.uint32)
-    pairs = tok.astype(np.uint64)
-    pairs <<= np.uint64(32)
-    pairs |= number[doc]
-    pairs.sort()
-    # tokens with several owners: equal halves above, unequal ones below
-    several = np.unique((pairs[1:][(pairs[1:] >> np.uint64(32) == pairs[:-1] >> np.uint64(32)) & (pairs[1:] != pairs[:-1])] >> np.uint64(32)).astype(np.uint32))
-    del pairs
-    count = np.zeros(len(names), dtype=np.int64)
-    for a in range(0, total if len(several) else 0, STEP):
-        part = tok[a : a + STEP]
-        hit = several[np.minimum(np.searchsorted(several, part), len(several) - 1)] == part
-        count += np.bincount(doc[a : a + STEP][hit], minlength=len(names))
-    parts: dict[int, list[int]] = {}
-    for i in np.flatnonzero(count).tolist():
-        parts.setdefault(names[i][0], []).append(i)
-    rows = [(k, b"".join(names[i] for i in at), count[at].astype(np.uint32).tobytes()) for k, at in parts.items()]
-    return pd.DataFrame(rows, columns=["slice", "found", "counts"], dtype=object)
-
-
-def _sum_in_slice(frame: pd.DataFrame) -> pd.DataFrame:
-    """Counts of the classes of a slice of the digests over all buckets."""
-    names = np.concatenate([np.frombuffer(x, "V16") for x in frame["found"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]])
-    name, inverse = np.unique(np.array([x.tobytes().hex() for x in names]), return_inverse=True)
-    return pd.DataFrame({"digest": pd.Series(name.tolist(), dtype=object), "shared": np.bincount(inverse, weights=counts).astype(np.int64)})
-
-
-def _common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's most frequent tokens."""
-    for frame in frames:
-        if len(frame):
-            token, count = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["tokens"]]), return_counts=True)
-            top = np.argsort(-count, kind="stable")[:COMMON]
-            top = top[count[top] > 1]
-            yield pd.DataFrame({"token": token[top].view(np.int64), "n": count[top].astype(np.int64)})
-
-
-def _loose_keys(common):
-    """Min-hashes over the tokens that aren't very common; over all if those are the larger part."""
-
+def _sets_pass(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = common.value
         for frame in frames:
-            rows = []
-            for digest, tokens in zip(frame["digest"], frame["tokens"], strict=True):
-                s = np.frombuffer(tokens, np.uint64)
-                rare = s[~np.isin(s, often)] if len(often) else s
-                s = rare if 2 * len(rare) >= len(s) else s
-                rows += [(digest, f"{k}:{int(mix(s ^ np.uint64(seed)).min())}") for k, seed in enumerate(_SEEDS)]
-            yield pd.DataFrame(rows, columns=["a", "b"], dtype=object)
+            sets = [s for s in shingle_sets(frame["text"].tolist(), width) if len(s)]
+            yield pd.DataFrame([(xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), _min_hash(s, 0), s.tobytes()) for s in sets], columns=["digest", "n", "h", "tokens"], dtype=object).astype({"n": "int64", "h": "int64"})
 
     return run
 
 
-def _in_bitmap(bitmap):
-    """Rows whose text key has its bit set."""
+def _min_hash(s: np.ndarray, k: int) -> int:
+    return int(mix(s ^ _SEEDS[k]).min().view(np.int64))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = bitmap.value
-        for frame in frames:
-            at = frame["text_key"].to_numpy(np.int64) & (BITS - 1)
-            yield frame[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
 
-    return run
+def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """Rows of each run of equal first two columns, of a partition that is sorted by them; repeated third columns go."""
+    held: list[tuple] = []
+    for frame in frames:
+        for row in frame.itertuples(index=False, name=None):
+            if held and row[:2] != held[-1][:2]:
+                yield held
+                held = []
+            if not held or row[2] != held[-1][2]:
+                held.append(row)
+    if held:
+        yield held
 
 
-def _overlaps(query: np.ndarray, ids: np.ndarray, starts: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    mask[query] = True
-    out = np.add.reduceat(mask[ids], starts, dtype=np.int64)
-    mask[query] = False
-    return out
+def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
+    """Frames of at most a thousand rows or about 4 MB."""
+    names, held, size = [c.split()[0] for c in schema.split(", ")], [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(held) == 1000 or size > 4 << 20:
+            yield pd.DataFrame(held, columns=names, dtype=object)
+            held, size = [], 0
+    yield pd.DataFrame(held, columns=names, dtype=object)
 
 
 class _Union(dict):
@@ -298,116 +252,248 @@ class _Union(dict):
         return a != b
 
 
+def _overlaps(query: np.ndarray, ids: np.ndarray, starts: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    mask[query] = True
+    out = np.add.reduceat(mask[ids], starts, dtype=np.int64)
+    mask[query] = False
+    return out
+
+
 def _linked(inter: np.ndarray, n: int, sizes: np.ndarray, t: Fraction) -> np.ndarray:
     return t.denominator * inter >= t.numerator * (n + sizes - inter)
 
 
-def _links_in_group(t: Fraction):
-    """Exact components of one sub-group, as a star around the smallest class of each."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("digest").reset_index(drop=True)
-        sets = [np.frombuffer(x, np.uint64) for x in frame["tokens"]]
-        sizes = np.array([len(x) for x in sets])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        mask, union, left = np.zeros(ids.max() + 1, dtype=bool), _Union(), len(sets) - 1
-        for i in range(len(sets)):
-            if not left:
-                break
-            own = ids[starts[i] : starts[i] + sizes[i]]
-            for j in np.flatnonzero(_linked(_overlaps(own, ids, starts, mask), sizes[i], sizes, t)):
-                left -= union.join(i, int(j))
-        pairs = [(frame.at[union.find(i), "digest"], frame.at[i, "digest"]) for i in range(len(sets)) if union.find(i) != i]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
+def _parts(sets: list[np.ndarray], t: Fraction) -> list[list[int]]:
+    """The linked parts of a few sets, exactly."""
+    if len(sets) == 1:
+        return [[0]]
+    sizes = np.array([len(x) for x in sets])
+    starts = _starts(sizes)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mask, union, left = np.zeros(ids.max() + 1, dtype=bool), _Union(), len(sets) - 1
+    for i in range(len(sets)):
+        if not left:
+            break
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        for j in np.flatnonzero(_linked(_overlaps(own, ids, starts, mask), sizes[i], sizes, t)):
+            left -= union.join(i, int(j))
+    out: dict[int, list[int]] = {}
+    for i in range(len(sets)):
+        out.setdefault(union.find(i), []).append(i)
+    return list(out.values())
+
+
+def _groups(t: Fraction):
+    """The groups of each sub-group (h, s, digest, tokens): members, token union, and members as places in the union
+    (none for a single member, whose union is its set)."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for run in _runs(frames):
+            sets = [np.frombuffer(r[3], np.uint64) for r in run]
+            for part in _parts(sets, t):
+                own = [sets[i] for i in part]
+                union, places = (own[0], np.zeros(0)) if len(part) == 1 else np.unique(np.concatenate(own), return_inverse=True)
+                digests = [run[i][2] for i in part]
+                yield min(digests), digests, [len(s) for s in own], union.tobytes(), places.astype(np.uint32).tobytes()
+
+    return lambda frames: _frames(rows(frames), _GROUPS)
 
-    return run
 
+def _representatives(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gid, n, h, tokens) of a few members of each group; digests are hashes, so the first ones are as good as any."""
 
-def _cut_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of up to GROUP classes in min-hash order (the partition is sorted by it)."""
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            for gid, sizes, tokens, places in zip(frame["gid"], frame["sizes"], frame["tokens"], frame["places"], strict=True):
+                union, at = np.frombuffer(tokens, np.uint64), np.frombuffer(places, np.uint32)
+                starts = _starts(sizes)
+                for k in range(min(len(sizes), REPRESENTATIVES)):
+                    s = union[at[starts[k] : starts[k] + sizes[k]]] if len(sizes) > 1 else union
+                    yield gid, len(s), _min_hash(s, 1), s.tobytes()
+
+    return _frames(rows(), "gid string, n long, h long, tokens binary")
+
+
+def _links(t: Fraction):
+    """Links between the groups of a sub-group (h, s, gid, tokens), as a star around the smallest of each part."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for run in _runs(frames):
+            for part in _parts([np.frombuffer(r[3], np.uint64) for r in run], t) if len(run) > 1 else ():
+                names = sorted({run[i][2] for i in part})
+                yield from ((names[0], x) for x in names[1:])
+
+    return lambda frames: _frames(rows(frames), "a string, b string")
+
+
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of groups with about BLOCK_TOKENS tokens."""
     from pyspark import TaskContext
 
-    part, seq, held = TaskContext.get().partitionId(), 0, []
+    part = TaskContext.get().partitionId() << 32
 
-    def block() -> pd.DataFrame:
-        return pd.DataFrame([((part << 24) | seq, [x[0] for x in held], [x[1] for x in held], [x[2] for x in held], b"".join(x[3] for x in held))], columns=["block", "digests", "groups", "sizes", "tokens"])
+    def rows() -> Iterator[tuple]:
+        seq, held, size = 0, [], 0
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                held.append(row)
+                size += len(row[3]) // 8
+                if size >= BLOCK_TOKENS:
+                    yield block(seq, held)
+                    seq, held, size = seq + 1, [], 0
+        if held:
+            yield block(seq, held)
 
-    for frame in frames:
-        for row in frame[["digest", "owner", "n", "tokens"]].itertuples(index=False):
-            held.append(row)
-            if len(held) == GROUP:
-                yield block()
-                seq, held = seq + 1, []
-    if held:
-        yield block()
+    def block(seq: int, held: list[tuple]) -> tuple:
+        gids, owners, sizes, tokens, places = zip(*held, strict=True)
+        return part | seq, list(gids), list(owners), [len(x) for x in sizes], [int(n) for x in sizes for n in x], [len(x) // 8 for x in tokens], b"".join(tokens), b"".join(places)
 
+    return _frames(rows(), _BLOCKS)
 
-def _prefix_blocks(t: Fraction, buckets: int):
-    """The union of the members' least prefixes, cut by bucket."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _columns(tokens: bytes, unions: list[int], owners: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct tokens, who of its owners has each (_MANY for several), and each union token's place among them."""
+    every = np.frombuffer(tokens, np.uint64)
+    own = np.repeat(np.array([xxhash.xxh3_64_intdigest(o) or 1 for o in owners], np.uint64), unions)
+    distinct, inverse = np.unique(every, return_inverse=True)
+    who = np.zeros(len(distinct), np.uint64)
+    who[inverse] = own
+    who[inverse[who[inverse] != own]] = _MANY
+    return distinct, who, inverse
+
+
+def _post(buckets: int):
+    """(bucket, block, tokens and who has them) of each block."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
-            rows = []
-            for name, sizes, tokens in zip(frame["block"], frame["sizes"], frame["tokens"], strict=True):
-                every, at, parts = np.frombuffer(tokens, np.uint64), 0, []
-                for n in map(int, sizes):
-                    parts.append(every[at : at + n - _least(n, t) + 1])
-                    at += n
-                union = np.unique(np.concatenate(parts))
-                bucket = (union % np.uint64(buckets)).astype(np.int64)
-                rows += [(int(b), name, union[bucket == b].tobytes()) for b in np.unique(bucket)]
-            yield pd.DataFrame(rows, columns=["bucket", "name", "tokens"])
+            for block, owners, unions, tokens in zip(frame["block"], frame["owners"], frame["unions"], frame["tokens"], strict=True):
+                distinct, who, _ = _columns(tokens, unions, owners)
+                order, cuts = _in_buckets(distinct, buckets)
+                short, who = _short(distinct)[order], who[order]
+                for b in np.flatnonzero(np.diff(cuts)):
+                    a, z = cuts[b], cuts[b + 1]
+                    yield int(b), block, short[a:z].tobytes() + who[a:z].tobytes()
 
-    return run
+    return lambda frames: _frames(rows(frames), "bucket int, block long, entries binary")
 
 
-def _meeting(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of blocks, itself included, that share a prefix hash of this bucket."""
-    parts = [np.frombuffer(x, np.uint64) for x in frame["tokens"]]
-    own = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    tok = np.concatenate(parts)
-    order = np.lexsort((own, tok))
-    tok, own = tok[order], own[order]
-    pairs = {(i, i) for i in range(len(parts))}
-    step = 1
-    while True:  # pairs at distance step within a run of equal hashes
-        same = np.flatnonzero(tok[step:] == tok[:-step])
-        if not len(same):
-            break
-        pairs.update(zip(own[same].tolist(), own[same + step].tolist(), strict=True))
-        step += 1
-    names = frame["name"].tolist()
-    return pd.DataFrame(sorted({(min(names[i], names[j]), max(names[i], names[j])) for i, j in pairs}), columns=["x", "y"], dtype="int64")
+def _foreign_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
+    """For each block, which of its tokens in this bucket have two owners or more; in a row of block -1 the tokens that
+    many blocks have, and how many."""
+    sizes = [len(x) // 12 for x in frame["entries"]]
+    tok = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(frame["entries"], sizes, strict=True)])
+    who = np.concatenate([np.frombuffer(x, np.uint64, n, 4 * n) for x, n in zip(frame["entries"], sizes, strict=True)])
+    order = np.argsort(tok, kind="stable")
+    first = np.concatenate([[True], tok[order][1:] != tok[order][:-1]])
+    start, run = np.flatnonzero(first), np.cumsum(first) - 1
+    ranked = who[order]
+    foreign = np.logical_or.reduceat((ranked != ranked[start][run]) | (ranked == _MANY), start)
+    flags = np.empty(len(tok), dtype=bool)
+    flags[order] = foreign[run]
+    ends, bucket = np.cumsum(sizes), int(frame["bucket"].iloc[0])
+    out = [(int(b), bucket, np.packbits(flags[z - n : z]).tobytes(), None) for b, n, z in zip(frame["block"], sizes, ends, strict=True) if flags[z - n : z].any()]
+    count = np.diff(np.append(start, len(tok)))
+    hot = count >= COMMON_LEAST
+    if hot.any():
+        out.append((-1, bucket, (np.uint64(bucket) << np.uint64(32) | tok[order][start][hot].astype(np.uint64)).tobytes(), count[hot].astype(np.int64).tobytes()))
+    return pd.DataFrame(out, columns=["block", "bucket", "flags", "counts"], dtype=object)
 
 
-def _open_groups(t: Fraction):
-    """Opens a pair of blocks for the queries whose overlap with the other block's token union reaches the bound."""
+def _common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for flags, counts in zip(frame["flags"], frame["counts"], strict=True):
+            yield pd.DataFrame({"token": np.frombuffer(flags, np.int64), "n": np.frombuffer(counts, np.int64)})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _live(t: Fraction, buckets: int, common):
+    """Groups of a block with the members that have t * n tokens of other owners, and only such tokens, the most common
+    last."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        often = common.value
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                distinct, _, inverse = _columns(r.tokens, r.unions, r.owners)
+                order, cuts = _in_buckets(distinct, buckets)
+                foreign = np.zeros(len(distinct), dtype=bool)
+                for x in r.told:
+                    a, z = cuts[x["bucket"]], cuts[x["bucket"] + 1]
+                    foreign[order[a:z]] = np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=z - a)
+                places, sizes = np.frombuffer(r.places, np.uint32), np.array(r.sizes)
+                at = member = place = 0
+                for gid, owner, n, u in zip(r.gids, r.owners, r.members, r.unions, strict=True):
+                    mask, own = foreign[inverse[at : at + u]], sizes[member : member + n]
+                    held = places[place : place + own.sum()] if n > 1 else np.arange(u)
+                    counts = np.add.reduceat(mask[held], _starts(own), dtype=np.int64)
+                    stay = np.flatnonzero(counts >= _least(own, t))
+                    if len(stay):
+                        keep = held[np.repeat(counts >= _least(own, t), own) & mask[held]]
+                        used = np.unique(keep)
+                        tokens = distinct[inverse[at : at + u][used]]
+                        rank = np.lexsort((tokens, np.isin((tokens % np.uint64(buckets)) << np.uint64(32) | _short(tokens).astype(np.uint64), often)))
+                        where = np.empty(u, dtype=np.uint32)
+                        where[used[rank]] = np.arange(len(used))
+                        parts = [np.sort(x) for x in np.split(where[keep], np.cumsum(counts[stay])[:-1])]
+                        yield gid, owner, own[stay].tolist(), counts[stay].tolist(), tokens[rank].tobytes(), np.concatenate(parts).astype(np.uint32).tobytes()
+                    at, member, place = at + u, member + n, place + (own.sum() if n > 1 else 0)
+
+    return lambda frames: _frames(rows(frames), _LIVE)
+
+
+@cache
+def bands(most: int) -> np.ndarray:
+    """The smallest size of each band, up to that of most."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, -(-out[-1] * BAND.numerator // BAND.denominator)))
+    return np.array(out)
+
+
+def _postings(t: Fraction, probe: bool):
+    """(band, token, gid, owner): the tokens under which a group is found, or under which its members look for groups
+    with members of a band that aren't larger than they."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out: list[tuple[str, str]] = []
-            for row in frame.itertuples(index=False):
-                union = _Union()
-                qs, ms = np.array(row.sizes_x), np.array(row.sizes_y)
-                qt, mt = np.frombuffer(row.tokens_x, np.uint64), np.frombuffer(row.tokens_y, np.uint64)
-                both, ids = np.unique(np.concatenate([qt, mt]), return_inverse=True)
-                qi, mi = ids[: len(qt)], ids[len(qt) :]
-                qa, ma = (np.concatenate([[0], np.cumsum(x)[:-1]]) for x in (qs, ms))
-                mask = np.zeros(len(both), dtype=bool)
-                bound = _overlaps(mi, qi, qa, mask)
-                members = np.array(row.groups_y, dtype=object)
-                for q in np.flatnonzero(bound >= _least(qs, t)):
-                    own = row.groups_x[q]
-                    if all(union.find(g) == union.find(own) for g in set(row.groups_y)):
-                        continue
-                    inter = _overlaps(qi[qa[q] : qa[q] + qs[q]], mi, ma, mask)
-                    for j in np.flatnonzero(_linked(inter, qs[q], ms, t)):
-                        if union.join(own, members[j]):
-                            out.append((row.digests_x[q], row.digests_y[j]))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=object)
+            for r in frame.itertuples(index=False):
+                places, found, at = np.frombuffer(r.places, np.uint32), {}, 0
+                start = bands(1 << int(max(r.sizes)).bit_length())
+                for n, f in zip(map(int, r.sizes), map(int, r.lengths), strict=True):
+                    last = int(np.searchsorted(start, n, "right")) - 1
+                    low = _least(n, t)
+                    for b in range(int(np.searchsorted(start, low, "right")) - 1, last + 1) if probe else (last,):
+                        k = f - _pair(n + (max(low, int(start[b])) if probe else n), t) + 1
+                        if k > 0:
+                            found.setdefault(b, []).append(places[at : at + k])
+                    at += f
+                tokens = np.frombuffer(r.tokens, np.int64)
+                for b, parts in found.items():
+                    token = tokens[np.unique(np.concatenate(parts))]
+                    yield pd.DataFrame({"band": np.full(len(token), b, np.int32), "token": token, "gid": r.gid, "owner": r.owner})
+
+    return rows
+
+
+def _open(t: Fraction):
+    """Links between two groups: the second is opened for the queries of the first whose overlap with its token union
+    reaches the bound; one link is enough, for a group's members are linked already."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                qn, mn, ql, ml = (np.array(x) for x in (r.sizes_x, r.sizes_y, r.lengths_x, r.lengths_y))
+                xt, yt = np.frombuffer(r.tokens_x, np.uint64), np.frombuffer(r.tokens_y, np.uint64)
+                both, ids = np.unique(np.concatenate([xt, yt]), return_inverse=True)
+                qi, mi = ids[: len(xt)][np.frombuffer(r.places_x, np.uint32)], ids[len(xt) :][np.frombuffer(r.places_y, np.uint32)]
+                qa, ma, mask = _starts(ql), _starts(ml), np.zeros(len(both), dtype=bool)
+                bound = _overlaps(ids[len(xt) :], qi, qa, mask)
+                for q in np.flatnonzero(bound >= np.maximum(_least(qn, t), _pair(qn + mn.min(), t))):
+                    if _linked(_overlaps(qi[qa[q] : qa[q] + ql[q]], mi, ma, mask), qn[q], mn, t).any():
+                        yield r.x, r.y
+                        break
 
-    return run
+    return lambda frames: _frames(rows(frames), "a string, b string")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, list[str]]:
@@ -448,12 +534,14 @@ def jaccard_components(
     class_id names the set (rows with equal sets have equal ids), component_id is the smallest id reachable by links.
     Null and empty texts, and texts of white space, have n_shingles 0 and link with nothing: component_id is their own
     id. A null id takes part like any other; component_id is then the smallest non-null id of its component, or null.
-    Repeated rows give repeated rows. Other columns of docs are left out, so their names can't clash. An empty table
-    gives an empty result.
+    Texts of any length are taken whole. Repeated rows give repeated rows. Other columns of docs are left out, so their
+    names can't clash. An empty table gives an empty result.
+
+    The result reads two tables in the shared folder (a row for each document, and one for each class); the others that
+    the operator writes there are deleted before it returns.
     """
     spark = ready(docs.sparkSession)
     t = threshold
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     paths: list[str] = []
 
@@ -462,86 +550,85 @@ def jaccard_components(
         paths.append(path)
         return out
 
-    first, at = staged(source.mapInPandas(_first_pass(width, t, buckets), _FIRST), "shingles", by="kind")
+    def sized(tokens: int) -> int:
+        return buckets or max(16, -(-tokens // BUCKET_TOKENS))
+
+    # 1: documents that share enough prefix hashes with others
+    text_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    at_first = sized(text_bytes // 6 * 2 // 5)
+    first, at = staged(source.mapInPandas(_first_pass(width, t, at_first), _FIRST), "shingles", by="kind")
     rows = first.where("kind = 0").select("batch", "idx", "doc_id", "text_key", "n", "digest")
-    shared = first.where("kind = 1").select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_in_bucket, "batch long, found binary, counts binary").groupBy("batch").applyInPandas(_sum_in_batch, "batch long, idx int, shared long")
+    others = first.where("kind = 1").select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_in_bucket, "batch long, block binary, counts binary")
+    shared = others.unionByName(first.where("kind = 2").select("batch", "block", "counts")).groupBy("batch").applyInPandas(_sum_in_batch, "batch long, idx int, shared long")
     least = f"((n * {t.numerator} + {t.denominator - 1}) div {t.denominator})"
     needed = f"greatest(1, ({least} * {EXTRA.numerator}) div {EXTRA.denominator})"
-    near = rows.join(shared, ["batch", "idx"]).where(f"shared >= {needed}").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("pick")).select(F.col("pick.doc_id").alias("k"), F.col("pick.text_key").alias("key"))
-    near = keep(near, "near")
-    unstage(spark, f"{at}/kind=1")
-    filled = near.groupBy(F.expr(f"(key & {BITS - 1}) div 8").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(key & 7 as int)))").alias("bits")).collect()  # BITS / 8 rows at most
-    bitmap = np.zeros(BITS // 8, dtype=np.uint8)
-    bitmap[[r.byte for r in filled]] = [r.bits for r in filled]
-    likely = source.mapInPandas(_in_bitmap(spark.sparkContext.broadcast(bitmap)), source.schema)
-    fetched = likely.join(near, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("key")), "left_semi").select("text")
-    sets = keep(fetched.mapInPandas(_sets_pass(width, t), _SETS).dropDuplicates(["digest"]), "sets")
-    few = max(4, buckets // 8)  # what is left is a small part
-
-    def foreign(of: DataFrame) -> DataFrame:
-        """The rows of `of` (digest, owner, n, tokens) with enough shingles that another owner has too."""
-        blocks = of.select("digest", "owner", "tokens").mapInPandas(_owned_blocks(few), "bucket int, m int, block binary")
-        counts = blocks.groupBy("bucket").applyInPandas(_foreign_in_bucket, "slice int, found binary, counts binary").groupBy("slice").applyInPandas(_sum_in_slice, "digest string, shared long")
-        return of.join(counts, "digest").where(f"shared >= {least}").drop("shared")
-
-    close = keep(foreign(sets.withColumn("owner", F.col("digest"))).drop("owner"), "close")
-    found = []
-    for h, salt in (("h1", 17), ("h2", 71)):
-        big = close.groupBy(h).count().where(F.col("count") > GROUP).select(F.col(h).alias("_h"), F.ceil(F.col("count") / GROUP).alias("_k"))
-        spread = close.join(big, F.col(h) == F.col("_h"), "left").withColumn("_s", F.pmod(F.xxhash64("digest", F.lit(salt)), F.coalesce("_k", F.lit(1))))
-        found.append(spread.groupBy(h, "_s").applyInPandas(_links_in_group(t), "a string, b string"))
-    edges = keep(found[0].unionByName(found[1]), "links")
-    groups, more = components(edges)
+    near = keep(rows.join(shared, ["batch", "idx"]).where(f"shared >= {needed}").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("pick")).select("pick.*"), "near")
+    unstage(spark, f"{at}/kind=1", f"{at}/kind=2")
+    filled = near.groupBy(F.expr(f"(text_key & {BITS - 1}) div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("text_key & 32767")).alias("bits")).collect()  # BITS / 32768 rows at most
+    bitmap = np.zeros((BITS // 32768, 4096), dtype=np.uint8)
+    for r in filled:
+        bitmap[r.part] = np.frombuffer(r.bits, np.uint8)
+    key = [F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z"), "text_key"]
+    likely = source.mapInPandas(_in_bitmap(spark.sparkContext.broadcast(bitmap.reshape(-1))), source.schema).select(*key, "text")
+    fetched = likely.join(near.select(*key), ["d", "z", "text_key"], "left_semi").dropDuplicates(["d", "z", "text_key"]).select("text")
+    sets = keep(fetched.mapInPandas(_sets_pass(width), _SETS), "sets")
+
+    # 2: groups with their unions, and owners of groups
+    def spread(of: DataFrame, name: str, salt: int) -> DataFrame:
+        """(h, s, name, tokens), dealt and sorted by sub-groups; the table of large ones is broadcast only if Spark finds it small."""
+        size = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS))
+        big = keep(of.groupBy("h").agg(size.alias("k")).where("k > 1").withColumnRenamed("h", "_h"), "large")
+        salted = of.join(big, F.col("h") == F.col("_h"), "left").withColumn("s", F.pmod(F.xxhash64(name, F.lit(salt)), F.coalesce("k", F.lit(1))))
+        return salted.select("h", "s", name, "tokens").repartition("h", "s").sortWithinPartitions("h", "s", name)
+
+    groups = keep(spread(sets, "digest", 0).mapInPandas(_groups(t), _GROUPS), "groups")
+    some = keep(groups.select("gid", "sizes", "tokens", "places").mapInPandas(_representatives, "gid string, n long, h long, tokens binary"), "representatives")
+    edges = keep(spread(some, "gid", 1).mapInPandas(_links(t), "a string, b string"), "links")
+    owners, more = components(edges)
     paths += more
 
-    def owned(of: DataFrame, by: DataFrame) -> DataFrame:
-        return of.join(by, of["digest"] == by["node"], "left").select("digest", "n", "h1", "h2", "tokens", F.coalesce("root", "digest").alias("owner"))
-
-    rest = keep(foreign(owned(close, groups)).drop("owner"), "rest")
-    often = rest.select("tokens").mapInPandas(_common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    # 3: the matrix, and members with enough tokens of other owners
+    owned = groups.join(owners, groups["gid"] == owners["node"], "left").select("gid", F.coalesce("root", "gid").alias("owner"), "sizes", "tokens", "places")
+    matrix = keep(owned.mapInPandas(_blocks, _BLOCKS), "matrix")
+    in_matrix = sized(matrix.agg(F.sum(F.expr("aggregate(unions, 0L, (a, x) -> a + x)"))).first()[0] or 0)
+    told = keep(matrix.select("block", "owners", "unions", "tokens").mapInPandas(_post(in_matrix), "bucket int, block long, entries binary").groupBy("bucket").applyInPandas(_foreign_in_bucket, "block long, bucket int, flags binary, counts binary"), "told")
+    often = told.where("block = -1").select("flags", "counts").mapInPandas(_common, "token long, n long").orderBy(F.desc("n"), "token").limit(COMMON).collect()
     common = spark.sparkContext.broadcast(np.array([r.token for r in often], dtype=np.int64).view(np.uint64))
-    loose, more = components(keep(rest.select("digest", "tokens").mapInPandas(_loose_keys(common), "a string, b string"), "loose"))
-    paths += more
-    regrouped = keep(owned(rest, loose), "regrouped")
-    chunks = regrouped.groupBy("owner").count().where(F.col("count") > GROUP).select(F.col("owner").alias("_o"), F.ceil(F.col("count") / GROUP).alias("_k"))
-    split = regrouped.join(chunks, regrouped["owner"] == chunks["_o"], "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_s", F.pmod(F.xxhash64("digest", F.lit(5)), F.col("_k")))
-    paired = split.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).withColumns({"_x": F.least("_s", "_t"), "_y": F.greatest("_s", "_t")})
-    inner = paired.select("digest", "tokens", "owner", "_x", "_y").groupBy("owner", "_x", "_y").applyInPandas(_links_in_group(t), "a string, b string")
-    edges2 = keep(edges.unionByName(inner), "links")
-    groups, more = components(edges2)
-    paths += more
-    outer = foreign(regrouped).select("digest", "n", "h1", "h2", "tokens")
-    cut = keep(owned(outer, groups).repartitionByRange("h1", "h2", "digest").sortWithinPartitions("h1", "h2", "digest").mapInPandas(_cut_blocks, "block long, digests array<string>, groups array<string>, sizes array<long>, tokens binary"), "blocks")
-    meet = cut.select("block", "sizes", "tokens").mapInPandas(_prefix_blocks(t, few), "bucket int, name long, tokens binary").groupBy("bucket").applyInPandas(_meeting, "x long, y long").distinct()
-    sides = [cut.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("digests", "groups", "sizes", "tokens")]) for s in "xy"]
-    opened = meet.join(sides[0], "x").join(sides[1], "y").mapInPandas(_open_groups(t), "a string, b string")
-    last = keep(edges2.unionByName(opened), "links")
-    roots, more = components(last)
+    flagged = told.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("told"))
+    live = keep(matrix.join(flagged, "block").mapInPandas(_live(t, in_matrix, common), _LIVE), "live")
+
+    # 4: cells of the matrix that aren't empty, and groups that are opened
+    listed, asked = (live.mapInPandas(_postings(t, probe), "band int, token long, gid string, owner string") for probe in (False, True))
+    met = listed.alias("l").join(asked.alias("a"), (F.col("l.band") == F.col("a.band")) & (F.col("l.token") == F.col("a.token")) & (F.col("l.owner") != F.col("a.owner")))
+    cells = met.select(F.least("l.gid", "a.gid").alias("x"), F.greatest("l.gid", "a.gid").alias("y")).distinct()
+    sides = [live.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("sizes", "lengths", "tokens", "places")]) for s in "xy"]
+    opened = cells.join(sides[0], "x").join(sides[1], "y").mapInPandas(_open(t), "a string, b string")
+    roots, more = components(keep(edges.unionByName(opened), "links"))
     paths += more
 
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("least_id"))
-    joined = ids.join(roots, ids["digest"] == roots["node"], "left").select("digest", "least_id", F.coalesce("root", "digest").alias("root"))
+    member = groups.select("gid", F.explode("digests").alias("digest")).join(roots, F.col("gid") == F.col("node"), "left").select("digest", F.coalesce("root", "gid").alias("root"))
+    joined = ids.join(member, "digest", "left").select("digest", "least_id", F.coalesce("root", "digest").alias("root"))
     named = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = keep(joined.join(named, "root").select(F.col("digest").alias("class_id"), "component_id"), "classes")
-    out = rows.join(classes, rows["digest"] == classes["class_id"]).select(
+    classes, _ = staged(joined.join(named, "root").select(F.col("digest").alias("class_id"), "component_id"), "classes")
+    unstage(spark, *paths)
+    return rows.join(classes, rows["digest"] == classes["class_id"]).select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
-    unstage(spark, *[p for p in paths if "/classes-" not in p])
-    return out
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs with one row of each component: the one with its smallest id; columns as before.
+    """The rows of docs with one row of each component: the one with its smallest id; columns as before, whatever their
+    names.
 
-    Rows without shingles are kept. Of repeated rows with the same id and text one stays.
+    Rows without shingles are kept. Of repeated rows with the same id and text one stays. Null ids come last.
     """
     parts = jaccard_components(docs, id_col, text_col, **options)
+    i, null, key = free(docs, "id", "null", "key")
+    named = [F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(null), F.col("text_key").alias(key)]
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
     full = parts.where("n_shingles > 0").withColumn("group", F.coalesce(F.col("component_id").cast("string"), "class_id"))
-    pick = full.groupBy("group").agg(F.min(order).alias("p")).select(F.col("p.doc_id").alias("__veriloom_id"), F.col("p.text_key").alias("__veriloom_text"))
-    empty = parts.where("n_shingles = 0").select(F.col("doc_id").alias("__veriloom_id"), F.col("text_key").alias("__veriloom_text")).distinct()
-    mine = [c for c in docs.columns]
-    keyed = docs.withColumns({"__veriloom_id2": F.col(id_col).cast("long"), "__veriloom_text2": text_key(F.col(text_col))})
-    kept = pick.unionByName(empty)
-    joined = keyed.join(kept, F.col("__veriloom_id2").eqNullSafe(F.col("__veriloom_id")) & (F.col("__veriloom_text2") == F.col("__veriloom_text")), "left_semi")
-    return joined.dropDuplicates(["__veriloom_id2", "__veriloom_text2"]).select(*mine)
+    pick = full.groupBy("group").agg(F.min(order).alias("p")).select("p.doc_id", "p.text_key").select(*named)
+    empty = parts.where("n_shingles = 0").select(*named)
+    keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), null: F.col(id_col).cast("long").isNull(), key: text_key(F.col(text_col))})
+    return keyed.join(pick.unionByName(empty).distinct(), [i, null, key], "left_semi").dropDuplicates([i, null, key]).select(*docs.columns)
