@@ -2,20 +2,20 @@
 
 A text is cut into pre-tokens (no piece crosses one, see token_counts). Within one, the agenda holds every adjacent pair
 of symbols whose concatenation is a piece, best score first, then leftmost. A popped merge that a keyed hash of (seed,
-variant, pre-token, place, piece) puts below the dropout rate is skipped. Characters without a piece become bytes. With
-rate 0 the ids are the library's own.
+text, place of the pre-token in the text, place in it, piece) puts below the dropout rate is skipped. Characters without a
+piece become bytes. With rate 0 the ids are the library's own. Decoding joins pieces, so every segmentation decodes to
+the same text.
 
-A document's variant is a hash of its text; there are VARIANTS of them, so that workers can keep segmentations of
-frequent pre-tokens. Decoding joins pieces, so every segmentation decodes to the same text.
+Each pre-token of a text draws its own skips. What a worker keeps is a tree of agenda runs: a run is the sequence of
+merges that a word pops once a given set of pops is skipped, and its ids. Drawing needs no agenda then, only hashes of the
+run's merges; the first that is skipped leads to another run. Runs only save time.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,27 +23,66 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.names import free
 from veriloom.llm.token_counts import MODEL, pre_tokens, processor
 from veriloom.session import ready
 
 SPACE = "▁"
-VARIANTS = 4
 NONE, BIG, PAD = 1 << 40, 1 << 30, -(1 << 30)
-MASK = np.uint64(0xFFFFFFFF)
-#: Entries of a worker's cache, and the longest pre-token (characters) kept in it.
-CACHE, LONG = 300_000, 64
+PLACE, PIECE = 0x9E3779B1, 0x85EBCA6B
+#: Runs that a worker keeps before it starts anew, the longest pre-token (characters) that has runs, and the pops of a run
+#: that can be skipped in one; whatever is beyond these is segmented alone.
+CACHE, LONG, POPS = 300_000, 64, 63
 #: Characters that are split into pre-tokens at once, but for a longer text.
 AT_ONCE = 1_000_000
 
 
 def dropped(key: int, place: int, piece: int, limit: int) -> bool:
     """Whether the keyed hash of a candidate merge lies under the limit (a share of 2**32)."""
-    h = (key + place * 0x9E3779B1 + piece * 0x85EBCA6B) & 0xFFFFFFFF
+    h = (key + place * PLACE + piece * PIECE) & 0xFFFFFFFF
     h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
     h = ((h ^ h >> 12) * 0x297A2D39) & 0xFFFFFFFF
     return (h ^ h >> 15) < limit
 
 
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """The hashes of dropped(), of sums of key, place and piece."""
+    h = codes
+    h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    h = (h ^ h >> np.uint32(12)) * np.uint32(0x297A2D39)
+    return h ^ h >> np.uint32(15)
+
+
+def keys_of(text: str, n: int, seed: int) -> np.ndarray:
+    """The key of each of a text's n pre-tokens, from the seed, the whole text and the pre-token's place."""
+    base = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed & (2**64 - 1))
+    x = (np.arange(n, dtype=np.uint64) + np.uint64(base)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+class _Rows:
+    """Rows of numbers of different lengths, end to end."""
+
+    def __init__(self, kind: type):
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+        self.first, self.size, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(sizes) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.flat[self.used : self.used + len(values)] = values
+        self.first[self.rows : self.rows + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.rows : self.rows + len(sizes)] = sizes
+        self.used, self.rows = self.used + len(values), self.rows + len(sizes)
+
+    def joined(self, rows: np.ndarray) -> np.ndarray:
+        sizes = self.size[rows]
+        return self.flat[np.repeat(self.first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
 class Pieces:
     """Vocabulary, encoder and decoder of one model file."""
 
@@ -66,10 +105,16 @@ class Pieces:
         raw = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.data = [b"" if kinds[i][1] else raw[i] if i in raw else names[i].replace(SPACE, " ").encode("utf-8", "surrogatepass") for i in range(n)]
         self._table()
-        #: One object for each id, which all kept segmentations share.
-        self.numbers = list(range(n))
         self.pairs: dict[int, tuple[int, int]] = {}
-        self.kept: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Starts the tree of runs anew: runs by word, then by run and skipped pop; each run's word, skips, pops and ids."""
+        self.roots: dict[str, int] = {}
+        self.next: dict[int, int] = {}
+        self.words: list[str] = []
+        self.skips: list[int] = []
+        self.pops, self.made = _Rows(np.uint32), _Rows(np.int32)
 
     def _table(self) -> None:
         """Merges as an open-addressing table for numpy, and the symbol of each character."""
@@ -117,31 +162,36 @@ class Pieces:
             ok, key, at = ok[go], key[go], (at[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def segment_many(self, words: list[str], keys: list[int], limit: int) -> list[tuple[int, ...]]:
-        """Ids of many pre-tokens: each step pops one candidate of every word's agenda."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def _grow(self, words: list[str], skips: list[int]) -> np.ndarray:
+        """New runs: of each word (marked) with the pops of a bit set skipped."""
+        first = len(self.words)
+        self.words += words
+        self.skips += skips
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        while order and len(words[order[-1]]) > LONG:
-            i = order.pop()
-            out[i] = self._long(words[i], keys[i], limit)
+        number = np.empty(len(words), np.int64)
         for at in range(0, len(order), 8192):
             chosen = order[at : at + 8192]
             n, width = len(chosen), max(1, len(words[chosen[-1]]))
             points = np.frombuffer("".join(words[i].ljust(width, "\0") for i in chosen).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, width)
-            sizes = np.array([len(words[i]) for i in chosen])
-            symbols = np.where(np.arange(width) < sizes[:, None], self.chars[points], PAD)
-            self._run(symbols, np.array([keys[i] for i in chosen], dtype=np.uint64), limit)
-            flat, live = symbols, symbols != PAD
-            ends = np.cumsum(live.sum(1))
-            kept = flat[live].tolist()
-            low = (np.where(live, flat, 0) < 0).any(1)
-            first = 0
-            for i, end, odd in zip(chosen, ends.tolist(), low.tolist(), strict=True):
-                out[i] = self._out(kept[first:end]) if odd else tuple(kept[first:end])
-                first = end
-        return out
-
-    def _run(self, symbols: np.ndarray, keys: np.ndarray, limit: int) -> None:
+            symbols = np.where(np.arange(width) < np.array([len(words[i]) for i in chosen])[:, None], self.chars[points], PAD)
+            rows, codes = self._run(symbols, np.array([skips[i] for i in chosen], dtype=np.uint64))
+            by = np.argsort(rows, kind="stable")
+            self.pops.add(codes[by], np.bincount(rows, minlength=n))
+            live = symbols != PAD
+            if (symbols[live] < 0).any():
+                outs = [self._out(row[keep].tolist()) for row, keep in zip(symbols, live, strict=True)]
+                self.made.add(np.array([x for out in outs for x in out], dtype=np.int32), np.array([len(out) for out in outs]))
+            else:
+                self.made.add(symbols[live], live.sum(1))
+            number[chosen] = np.arange(first + at, first + at + n)
+        # runs are numbered in the order of their rows
+        self.words[first:] = [words[i] for i in order]
+        self.skips[first:] = [skips[i] for i in order]
+        return number
+
+    def _run(self, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs the agendas of many words side by side, one pop each a step, and leaves their pieces in symbols; gives
+        the pops of each row (rows, codes) in order."""
         n, width = symbols.shape
         after = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width)).copy()
         before = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int32), (n, width)).copy()
@@ -149,21 +199,18 @@ class Pieces:
         if width > 1:
             piece[:, :-1] = self._merges(symbols[:, :-1].reshape(-1), symbols[:, 1:].reshape(-1)).reshape(n, width - 1)
         rank = self.ranks[piece]
-        rows = np.arange(n)
+        rows, step, popped, codes = np.arange(n), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         while len(rows):
             i = rank[rows].argmin(1)
             go = rank[rows, i] < BIG
             rows, i = rows[go], i[go]
             made = piece[rows, i]
-            if limit:
-                h = (keys[rows] + i.astype(np.uint64) * np.uint64(0x9E3779B1) + made.astype(np.uint64) * np.uint64(0x85EBCA6B)) & MASK
-                h = ((h ^ h >> np.uint64(15)) * np.uint64(0x2C1B3C6D)) & MASK
-                h = ((h ^ h >> np.uint64(12)) * np.uint64(0x297A2D39)) & MASK
-                skip = (h ^ h >> np.uint64(15)) < np.uint64(limit)
-                rank[rows[skip], i[skip]] = BIG
-                m, i, made = rows[~skip], i[~skip], made[~skip]
-            else:
-                m = rows
+            popped.append(rows)
+            codes.append(i.astype(np.uint32) * np.uint32(PLACE) + made.astype(np.uint32) * np.uint32(PIECE))
+            skip = (skips[rows] >> np.uint64(step) & np.uint64(1)).astype(bool) if step <= POPS else np.zeros(len(rows), bool)
+            step += 1
+            rank[rows[skip], i[skip]] = BIG
+            m, i, made = rows[~skip], i[~skip], made[~skip]
             j = after[m, i]
             k = after[m, j]
             symbols[m, i], symbols[m, j] = made, PAD
@@ -180,6 +227,7 @@ class Pieces:
             m, p, made = m[has], p[has], made[has]
             new = self._merges(symbols[m, p], made)
             piece[m, p], rank[m, p] = new, self.ranks[new]
+        return np.concatenate(popped), np.concatenate(codes)
 
     def _pair(self, left: int, right: int) -> tuple[int, int]:
         """(rank, id) of the merge of two symbols, rank NONE if there is none."""
@@ -192,12 +240,9 @@ class Pieces:
                 self.pairs[key] = got
         return got
 
-    def segment(self, word: str, seed: int, variant: int, rate: float) -> tuple[int, ...]:
-        """Ids of one pre-token, space marks included."""
+    def segment(self, word: str, key: int, rate: float) -> tuple[int, ...]:
+        """Ids of one pre-token, space marks included, by an agenda of its own."""
         limit = int(rate * 2**32)
-        key = zlib.crc32(word.encode("utf-8", "surrogatepass"), (seed * VARIANTS + variant) & 0xFFFFFFFF)
-        if len(word) > LONG:
-            return self._long(word, key, limit)
         ids, pair = self.ids, self._pair
         symbols = [ids.get(c, -1 - ord(c)) for c in word]
         places = list(range(len(word)))
@@ -253,36 +298,65 @@ class Pieces:
 
     def encode(self, text: str | None, seed: int = 0, rate: float = 0.0) -> list[int]:
         """Ids of a whole text; null is empty."""
-        return self.encode_many([text], seed, rate)[0]
+        return self.encode_many([text], seed, rate)[0].tolist()
 
-    def encode_many(self, texts: list[str | None], seed: int = 0, rate: float = 0.0) -> list[list[int]]:
-        """Ids of whole texts; pre-tokens that the cache misses are segmented together."""
+    def encode_many(self, texts: list[str | None], seed: int = 0, rate: float = 0.0) -> list[np.ndarray]:
+        """Ids of whole texts."""
         limit = int(rate * 2**32)
-        if sum(map(len, self.kept)) > CACHE:
-            self.kept = [{} for _ in range(VARIANTS)]
-        split, missed, keys, marked = [], [], [], []
-        fresh: list[set[str]] = [set() for _ in range(VARIANTS)]
-        for text in texts:
-            text = text or ""
-            variant = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFF) % VARIANTS if limit else 0
-            words = pre_tokens(text)
-            split.append((variant, words))
-            fresh[variant].update(set(words).difference(self.kept[variant]))
-        for variant, new in enumerate(fresh):
-            for w in sorted(new):
-                missed.append((variant, w))
-                marked.append(SPACE + w.replace(" ", SPACE))
-                keys.append(zlib.crc32(marked[-1].encode("utf-8", "surrogatepass"), (seed * VARIANTS + variant) & 0xFFFFFFFF))
-        long = []
-        share = self.numbers.__getitem__
-        for (variant, w), ids in zip(missed, self.segment_many(marked, keys, limit), strict=True):
-            self.kept[variant][w] = tuple(map(share, ids))
-            if len(w) > LONG:
-                long.append((variant, w))
-        out = [list(chain.from_iterable(map(self.kept[variant].__getitem__, words))) for variant, words in split]
-        for variant, w in long:
-            del self.kept[variant][w]
-        return out
+        if len(self.words) > CACHE:
+            self._forget()
+        split = [pre_tokens(text or "") for text in texts]
+        sizes = np.array([len(x) for x in split], dtype=np.int64)
+        words = [w for x in split for w in x]
+        keys = np.concatenate([keys_of(text or "", n, seed) for text, n in zip(texts, sizes.tolist(), strict=True)]) if limit else np.zeros(len(words), np.uint32)
+        new = [w for w in dict.fromkeys(words) if w not in self.roots and len(w) < LONG]
+        self.roots.update(zip(new, self._grow([SPACE + w.replace(" ", SPACE) for w in new], [0] * len(new)).tolist(), strict=True))
+        run = np.array([self.roots.get(w, -1) for w in words], dtype=np.int64)
+        alone = run < 0
+        if limit:
+            alone |= self._draw(run, keys, limit)
+        run[alone] = 0
+        counts = self.made.size[run] if len(words) else np.zeros(0, np.int64)
+        counts[alone] = 0
+        flat = self.made.joined(run[~alone])
+        at = np.flatnonzero(alone)
+        if len(at):
+            own = [self._long(SPACE + words[i].replace(" ", SPACE), int(keys[i]), limit) for i in at.tolist()]
+            flat = np.insert(flat, np.repeat((np.cumsum(counts) - counts)[at], [len(x) for x in own]), np.array([x for ids in own for x in ids], dtype=np.int32))
+            counts[at] = [len(x) for x in own]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return [flat[a:z] for a, z in zip(ends, ends[1:])]
+
+    def _draw(self, run: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
+        """Takes each pre-token from its word's run without skips to the run that its key draws; tells which need an
+        agenda of their own."""
+        alone = np.zeros(len(run), bool)
+        rest = np.flatnonzero(run >= 0)
+        seen = np.zeros(len(rest), np.int64)  # pops that are decided already
+        while len(rest):
+            hit = np.full(len(rest), -1, np.int64)
+            here, first, size = np.arange(len(rest)), self.pops.first[run[rest]], self.pops.size[run[rest]]
+            at = seen
+            while True:
+                go = at < size[here]
+                here, at = here[go], at[go]
+                if not len(here):
+                    break
+                skip = _hashes(self.pops.flat[first[here] + at] + keys[rest[here]]).astype(np.uint64) < np.uint64(limit)
+                hit[here[skip]] = at[skip]
+                here, at = here[~skip], at[~skip] + 1
+            some = hit >= 0
+            rest, hit = rest[some], hit[some]
+            far = hit > POPS
+            alone[rest[far]] = True
+            rest, hit = rest[~far], hit[~far]
+            edges, inverse = np.unique(run[rest] * 64 + hit, return_inverse=True)
+            missing = [e for e in edges.tolist() if e not in self.next]
+            grown = self._grow([self.words[e >> 6] for e in missing], [self.skips[e >> 6] | 1 << (e & 63) for e in missing])
+            self.next.update(zip(missing, grown.tolist(), strict=True))
+            run[rest] = np.array([self.next[e] for e in edges.tolist()], dtype=np.int64)[inverse] if len(rest) else run[rest]
+            seen = hit + 1
+        return alone
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that the encoder puts first goes, control ids give nothing."""
@@ -328,7 +402,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate: floa
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = pieces(path, seed, rate)
         for batch in batches:
-            yield pd.Series([np.array(x, dtype=np.int32) for part in parts(batch.tolist()) for x in model.encode_many(part, seed, rate)], dtype=object)
+            yield pd.Series([x for part in parts(batch.tolist()) for x in model.encode_many(part, seed, rate)], dtype=object)
 
     # not marked deterministic: else Catalyst copies the call into each use of the column, and texts are encoded again for each
     return docs.withColumn(out, ids.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
@@ -365,9 +439,10 @@ def round_trip(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate:
             ids, texts = [], []
             for part in parts(batch.tolist()):
                 for x in model.encode_many(part, seed, rate):
-                    ids.append(np.array(x, dtype="<u4").tobytes())
+                    ids.append(x.astype("<u4").tobytes())
                     texts.append(model.decode(np.frombuffer(ids[-1], dtype="<u4").tolist()))
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "text": pd.Series(texts, dtype=object)})
 
-    done = docs.withColumn("__both", both.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
-    return done.withColumns({out: F.col("__both.ids"), decoded: F.col("__both.text")}).drop("__both")
+    (name,) = free(docs, "both")
+    done = docs.withColumn(name, both.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+    return done.withColumns({out: F.col(f"{name}.ids"), decoded: F.col(f"{name}.text")}).drop(name)
