@@ -48,17 +48,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and 64-bit hashes of the words of data; words are runs without ASCII white space."""
-    byte, _, inverse = _constants()
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     space = _SPACE[raw]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return starts, span_hashes(raw, starts, ends)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes; equal spans have equal hashes wherever they lie."""
+    byte, _, inverse = _constants()
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(byte[raw] * _powers("up", _BASE, len(raw)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers("down", inverse, len(raw))[starts]
-    return starts, mix(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    value = (sums[ends] - sums[starts]) * _powers("down", inverse, len(raw) + 1)[starts]
+    return mix(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
