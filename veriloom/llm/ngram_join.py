@@ -13,10 +13,12 @@ its overlap with every member, and only groups that reach the bound are opened.
 3. Matrix, as blocks of groups with their owners. A first bound takes all unions of other owners as one: each block sends
    a token once, learns whether another owner has it, and members with fewer than t * n such tokens leave, for no union
    can hold more of them. Groups without members leave.
-4. Second bound, group by group. A pair overlaps in at least t / (1 + t) * (n + m) tokens, all of which two owners have,
+4. What is left of groups is put together by a min-hash over those tokens: similar groups, of several owners, whose links
+   are found and whose token unions are stored anew.
+5. Second bound, group by group. A pair overlaps in at least t / (1 + t) * (n + m) tokens, all of which two owners have,
    so a query meets a group only if they share one of the first tokens of their members, most common ones last, within
    a band of sizes. A query qualifies if its overlap with the group's union reaches the bound for the group's smallest
-   member; only then the group is opened, and its members are compared one by one until a link is found.
+   member; only then the group is opened, and its members of other owners are compared one by one.
 
 Every link between two groups of different owners passes both bounds, so components are exact (up to collisions of 64-bit
 hashes). Nothing emits pairs of documents, and nothing gathers a key's documents in one task: sub-groups and blocks have
@@ -56,8 +58,9 @@ _FIRST = "kind int, batch long, idx int, doc_id long, text_key long, n long, dig
 _SETS = "digest string, n long, h long, tokens binary"
 _GROUPS = "gid string, digests array<string>, sizes array<int>, tokens binary, places binary"
 _BLOCKS = "block long, gids array<string>, owners array<string>, members array<int>, sizes array<int>, unions array<int>, tokens binary, places binary"
-_LIVE = "gid string, owner string, sizes array<int>, lengths array<int>, tokens binary, places binary"
-_SEEDS = (np.uint64(0x51ED270B), np.uint64(0x2545F491))
+_LIVE = "h long, gid string, owner string, members int, n long, sizes array<int>, lengths array<int>, tokens binary, places binary"
+_MET = "gid string, owner string, owners array<string>, sizes array<int>, lengths array<int>, tokens binary, places binary, was array<string>"
+_SEEDS = (np.uint64(0x51ED270B), np.uint64(0x2545F491), np.uint64(0x7F4A7C15))
 _IN_BATCH, _MANY = np.uint16(0xFFFF), np.uint64(0)
 
 
@@ -406,6 +409,11 @@ def _common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"token": np.frombuffer(flags, np.int64), "n": np.frombuffer(counts, np.int64)})
 
 
+def _rank(tokens: np.ndarray, buckets: int, often: np.ndarray) -> np.ndarray:
+    """The order of tokens in which very common ones come last."""
+    return np.lexsort((tokens, np.isin((tokens % np.uint64(buckets)) << np.uint64(32) | _short(tokens).astype(np.uint64), often)))
+
+
 def _live(t: Fraction, buckets: int, common):
     """Groups of a block with the members that have t * n tokens of other owners, and only such tokens, the most common
     last."""
@@ -431,16 +439,46 @@ def _live(t: Fraction, buckets: int, common):
                         keep = held[np.repeat(counts >= _least(own, t), own) & mask[held]]
                         used = np.unique(keep)
                         tokens = distinct[inverse[at : at + u][used]]
-                        rank = np.lexsort((tokens, np.isin((tokens % np.uint64(buckets)) << np.uint64(32) | _short(tokens).astype(np.uint64), often)))
+                        rank = _rank(tokens, buckets, often)
                         where = np.empty(u, dtype=np.uint32)
                         where[used[rank]] = np.arange(len(used))
                         parts = [np.sort(x) for x in np.split(where[keep], np.cumsum(counts[stay])[:-1])]
-                        yield gid, owner, own[stay].tolist(), counts[stay].tolist(), tokens[rank].tobytes(), np.concatenate(parts).astype(np.uint32).tobytes()
+                        yield _min_hash(tokens, 2), gid, owner, len(stay), len(keep), own[stay].tolist(), counts[stay].tolist(), tokens[rank].tobytes(), np.concatenate(parts).astype(np.uint32).tobytes()
                     at, member, place = at + u, member + n, place + (own.sum() if n > 1 else 0)
 
     return lambda frames: _frames(rows(frames), _LIVE)
 
 
+def _together(t: Fraction, buckets: int, common):
+    """What is left of the groups of each sub-group (h, s, gid, owner, sizes, lengths, tokens, places) as one group, its
+    members with the owner that they have once the links among them are known, and with the one they had."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for run in _runs(frames):
+            tokens, ids = np.unique(np.concatenate([np.frombuffer(r[6], np.uint64) for r in run]), return_inverse=True)
+            rank = _rank(tokens, buckets, common.value)
+            where = np.empty(len(tokens), dtype=np.uint32)
+            where[rank] = np.arange(len(tokens))
+            begins = _starts([len(r[6]) // 8 for r in run])
+            lengths = np.concatenate([r[5] for r in run])
+            sizes = np.concatenate([r[4] for r in run])
+            places = np.concatenate([where[ids[a:]][np.frombuffer(r[7], np.uint32)] for a, r in zip(begins, run, strict=True)])
+            starts = _starts(lengths)
+            places = np.concatenate([np.sort(x) for x in np.split(places, starts[1:])])
+            was = [r[3] for r in run for _ in r[4]]
+            union, mask = _Union(), np.zeros(len(tokens), dtype=bool)
+            left = len(set(was)) - 1
+            for q in range(len(sizes)):
+                if left <= 0:
+                    break
+                for j in np.flatnonzero(_linked(_overlaps(places[starts[q] : starts[q] + lengths[q]], places, starts, mask), sizes[q], sizes, t)):
+                    left -= union.join(was[q], was[j])
+            owners = [union.find(x) for x in was]
+            yield min(r[2] for r in run), owners[0] if len(set(owners)) == 1 else None, owners, sizes.tolist(), lengths.tolist(), tokens[rank].tobytes(), places.astype(np.uint32).tobytes(), was
+
+    return lambda frames: _frames(rows(frames), _MET)
+
+
 @cache
 def bands(most: int) -> np.ndarray:
     """The smallest size of each band, up to that of most."""
@@ -470,14 +508,14 @@ def _postings(t: Fraction, probe: bool):
                 tokens = np.frombuffer(r.tokens, np.int64)
                 for b, parts in found.items():
                     token = tokens[np.unique(np.concatenate(parts))]
-                    yield pd.DataFrame({"band": np.full(len(token), b, np.int32), "token": token, "gid": r.gid, "owner": r.owner})
+                    yield pd.DataFrame({"band": np.full(len(token), b, np.int32), "token": token, "gid": r.gid, "owner": pd.Series([r.owner] * len(token), dtype=object)})
 
     return rows
 
 
 def _open(t: Fraction):
-    """Links between two groups: the second is opened for the queries of the first whose overlap with its token union
-    reaches the bound; one link is enough, for a group's members are linked already."""
+    """Links between owners of two groups: the second is opened for the queries of the first whose overlap with its token
+    union reaches the bound, until all their owners are linked."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
@@ -487,11 +525,16 @@ def _open(t: Fraction):
                 both, ids = np.unique(np.concatenate([xt, yt]), return_inverse=True)
                 qi, mi = ids[: len(xt)][np.frombuffer(r.places_x, np.uint32)], ids[len(xt) :][np.frombuffer(r.places_y, np.uint32)]
                 qa, ma, mask = _starts(ql), _starts(ml), np.zeros(len(both), dtype=bool)
+                union, left = _Union(), len({*r.owners_x, *r.owners_y}) - 1
                 bound = _overlaps(ids[len(xt) :], qi, qa, mask)
                 for q in np.flatnonzero(bound >= np.maximum(_least(qn, t), _pair(qn + mn.min(), t))):
-                    if _linked(_overlaps(qi[qa[q] : qa[q] + ql[q]], mi, ma, mask), qn[q], mn, t).any():
-                        yield r.x, r.y
+                    if left <= 0:
                         break
+                    own = r.owners_x[q]
+                    for j in np.flatnonzero(_linked(_overlaps(qi[qa[q] : qa[q] + ql[q]], mi, ma, mask), qn[q], mn, t)):
+                        if union.join(own, r.owners_y[j]):
+                            left -= 1
+                            yield own, r.owners_y[j]
 
     return lambda frames: _frames(rows(frames), "a string, b string")
 
@@ -574,16 +617,16 @@ def jaccard_components(
     sets = keep(fetched.mapInPandas(_sets_pass(width), _SETS), "sets")
 
     # 2: groups with their unions, and owners of groups
-    def spread(of: DataFrame, name: str, salt: int) -> DataFrame:
-        """(h, s, name, tokens), dealt and sorted by sub-groups; the table of large ones is broadcast only if Spark finds it small."""
-        size = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS))
+    def spread(of: DataFrame, name: str, salt: int, *more: str, members: str = "1") -> DataFrame:
+        """(h, s, name, more), dealt and sorted by sub-groups; the table of large ones is broadcast only if Spark finds it small."""
+        size = F.ceil(F.greatest(F.sum(F.expr(members)) / GROUP, F.sum("n") / GROUP_TOKENS))
         big = keep(of.groupBy("h").agg(size.alias("k")).where("k > 1").withColumnRenamed("h", "_h"), "large")
         salted = of.join(big, F.col("h") == F.col("_h"), "left").withColumn("s", F.pmod(F.xxhash64(name, F.lit(salt)), F.coalesce("k", F.lit(1))))
-        return salted.select("h", "s", name, "tokens").repartition("h", "s").sortWithinPartitions("h", "s", name)
+        return salted.select("h", "s", name, *more).repartition("h", "s").sortWithinPartitions("h", "s", name)
 
-    groups = keep(spread(sets, "digest", 0).mapInPandas(_groups(t), _GROUPS), "groups")
+    groups = keep(spread(sets, "digest", 0, "tokens").mapInPandas(_groups(t), _GROUPS), "groups")
     some = keep(groups.select("gid", "sizes", "tokens", "places").mapInPandas(_representatives, "gid string, n long, h long, tokens binary"), "representatives")
-    edges = keep(spread(some, "gid", 1).mapInPandas(_links(t), "a string, b string"), "links")
+    edges = keep(spread(some, "gid", 1, "tokens").mapInPandas(_links(t), "a string, b string"), "links")
     owners, more = components(edges)
     paths += more
 
@@ -597,12 +640,14 @@ def jaccard_components(
     flagged = told.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("told"))
     live = keep(matrix.join(flagged, "block").mapInPandas(_live(t, in_matrix, common), _LIVE), "live")
 
-    # 4: cells of the matrix that aren't empty, and groups that are opened
-    listed, asked = (live.mapInPandas(_postings(t, probe), "band int, token long, gid string, owner string") for probe in (False, True))
-    met = listed.alias("l").join(asked.alias("a"), (F.col("l.band") == F.col("a.band")) & (F.col("l.token") == F.col("a.token")) & (F.col("l.owner") != F.col("a.owner")))
-    cells = met.select(F.least("l.gid", "a.gid").alias("x"), F.greatest("l.gid", "a.gid").alias("y")).distinct()
-    sides = [live.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("sizes", "lengths", "tokens", "places")]) for s in "xy"]
-    opened = cells.join(sides[0], "x").join(sides[1], "y").mapInPandas(_open(t), "a string, b string")
+    # 4 and 5: similar groups together, cells of the matrix that aren't empty, and groups that are opened
+    met = keep(spread(live, "gid", 2, "owner", "sizes", "lengths", "tokens", "places", members="members").mapInPandas(_together(t, in_matrix, common), _MET), "met")
+    merged = met.select(F.explode(F.arrays_zip("was", "owners")).alias("o")).select(F.col("o.was").alias("a"), F.col("o.owners").alias("b")).where("a <> b").distinct()
+    listed, asked = (met.select("gid", "owner", "sizes", "lengths", "tokens", "places").mapInPandas(_postings(t, probe), "band int, token long, gid string, owner string") for probe in (False, True))
+    pairs = listed.alias("l").join(asked.alias("a"), (F.col("l.band") == F.col("a.band")) & (F.col("l.token") == F.col("a.token")) & (F.col("l.gid") != F.col("a.gid")) & F.coalesce(F.col("l.owner") != F.col("a.owner"), F.lit(True)))
+    cells = pairs.select(F.least("l.gid", "a.gid").alias("x"), F.greatest("l.gid", "a.gid").alias("y")).distinct()
+    sides = [met.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("owners", "sizes", "lengths", "tokens", "places")]) for s in "xy"]
+    opened = cells.join(sides[0], "x").join(sides[1], "y").mapInPandas(_open(t), "a string, b string").unionByName(merged)
     roots, more = components(keep(edges.unionByName(opened), "links"))
     paths += more
 
