@@ -32,7 +32,7 @@ NONE, BIG, PAD = 1 << 40, 1 << 30, -(1 << 30)
 PLACE, PIECE = 0x9E3779B1, 0x85EBCA6B
 #: Runs that a worker keeps before it starts anew, the longest pre-token (characters) that has runs, and the pops of a run
 #: that can be skipped in one; whatever is beyond these is segmented alone.
-CACHE, LONG, POPS = 300_000, 64, 63
+CACHE, LONG, POPS = 600_000, 64, 63
 #: Characters that are split into pre-tokens at once, but for a longer text.
 AT_ONCE = 1_000_000
 
@@ -66,7 +66,7 @@ class _Rows:
 
     def __init__(self, kind: type):
         self.flat, self.used = np.zeros(1 << 16, kind), 0
-        self.first, self.size, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.first, self.size, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(values) > len(self.flat):
@@ -79,7 +79,7 @@ class _Rows:
         self.used, self.rows = self.used + len(values), self.rows + len(sizes)
 
     def joined(self, rows: np.ndarray) -> np.ndarray:
-        sizes = self.size[rows]
+        sizes = self.size[rows].astype(np.int64)
         return self.flat[np.repeat(self.first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
 
@@ -109,12 +109,12 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        """Starts the tree of runs anew: runs by word, then by run and skipped pop; each run's word, skips, pops and ids."""
+        """Starts the tree of runs anew. Words by number, with the symbols of their characters; for each run its word, the
+        bit set of skipped pops, its pops and its ids; runs by run and skipped pop. A word's run without skips has its number in `roots`."""
         self.roots: dict[str, int] = {}
-        self.next: dict[int, int] = {}
-        self.words: list[str] = []
-        self.skips: list[int] = []
-        self.pops, self.made = _Rows(np.uint32), _Rows(np.int32)
+        self.chars_of, self.pops, self.made = _Rows(np.int32), _Rows(np.uint32), _Rows(np.int32)
+        self.words, self.skips = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        self.edges, self.next = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _table(self) -> None:
         """Merges as an open-addressing table for numpy, and the symbol of each character."""
@@ -162,31 +162,30 @@ class Pieces:
             ok, key, at = ok[go], key[go], (at[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def _grow(self, words: list[str], skips: list[int]) -> np.ndarray:
-        """New runs: of each word (marked) with the pops of a bit set skipped."""
-        first = len(self.words)
-        self.words += words
-        self.skips += skips
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    def _grow(self, words: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """The numbers of new runs: of each word with the pops of a bit set skipped."""
+        sizes = self.chars_of.size[words].astype(np.int64)
+        order = np.argsort(sizes, kind="stable")
         number = np.empty(len(words), np.int64)
+        number[order] = len(self.words) + np.arange(len(words))
+        self.words, self.skips = np.append(self.words, words[order].astype(np.int32)), np.append(self.skips, skips[order])
         for at in range(0, len(order), 8192):
             chosen = order[at : at + 8192]
-            n, width = len(chosen), max(1, len(words[chosen[-1]]))
-            points = np.frombuffer("".join(words[i].ljust(width, "\0") for i in chosen).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, width)
-            symbols = np.where(np.arange(width) < np.array([len(words[i]) for i in chosen])[:, None], self.chars[points], PAD)
-            rows, codes = self._run(symbols, np.array([skips[i] for i in chosen], dtype=np.uint64))
+            n, width = len(chosen), int(sizes[chosen[-1]])
+            symbols = np.full((n, width), PAD, dtype=np.int32)
+            symbols[np.arange(width) < sizes[chosen][:, None]] = self.chars_of.joined(words[chosen])
+            rows, codes = self._run(symbols, skips[chosen])
             by = np.argsort(rows, kind="stable")
             self.pops.add(codes[by], np.bincount(rows, minlength=n))
             live = symbols != PAD
-            if (symbols[live] < 0).any():
-                outs = [self._out(row[keep].tolist()) for row, keep in zip(symbols, live, strict=True)]
-                self.made.add(np.array([x for out in outs for x in out], dtype=np.int32), np.array([len(out) for out in outs]))
-            else:
-                self.made.add(symbols[live], live.sum(1))
-            number[chosen] = np.arange(first + at, first + at + n)
-        # runs are numbered in the order of their rows
-        self.words[first:] = [words[i] for i in order]
-        self.skips[first:] = [skips[i] for i in order]
+            counts, flat = live.sum(1), symbols[live]
+            odd = np.flatnonzero(((symbols < 0) & live).any(1))
+            if len(odd):
+                first = np.cumsum(counts) - counts
+                outs = [self._out(flat[first[i] : first[i] + counts[i]].tolist()) for i in odd.tolist()]
+                flat = np.insert(flat[~np.repeat(np.isin(np.arange(n), odd), counts)], np.repeat((np.cumsum(np.where(np.isin(np.arange(n), odd), 0, counts)))[odd], [len(x) for x in outs]), np.array([x for out in outs for x in out], dtype=np.int32))
+                counts[odd] = [len(x) for x in outs]
+            self.made.add(flat, counts)
         return number
 
     def _run(self, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,8 +308,12 @@ class Pieces:
         sizes = np.array([len(x) for x in split], dtype=np.int64)
         words = [w for x in split for w in x]
         keys = np.concatenate([keys_of(text or "", n, seed) for text, n in zip(texts, sizes.tolist(), strict=True)]) if limit else np.zeros(len(words), np.uint32)
-        new = [w for w in dict.fromkeys(words) if w not in self.roots and len(w) < LONG]
-        self.roots.update(zip(new, self._grow([SPACE + w.replace(" ", SPACE) for w in new], [0] * len(new)).tolist(), strict=True))
+        new = [w for w in set(words).difference(self.roots) if len(w) < LONG]
+        if new:
+            marked = "".join(SPACE + w for w in new).replace(" ", SPACE)
+            first = self.chars_of.rows
+            self.chars_of.add(self.chars[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)], np.array([len(w) + 1 for w in new]))
+            self.roots.update(zip(new, self._grow(np.arange(first, first + len(new)), np.zeros(len(new), np.uint64)).tolist(), strict=True))
         run = np.array([self.roots.get(w, -1) for w in words], dtype=np.int64)
         alone = run < 0
         if limit:
@@ -351,10 +354,13 @@ class Pieces:
             alone[rest[far]] = True
             rest, hit = rest[~far], hit[~far]
             edges, inverse = np.unique(run[rest] * 64 + hit, return_inverse=True)
-            missing = [e for e in edges.tolist() if e not in self.next]
-            grown = self._grow([self.words[e >> 6] for e in missing], [self.skips[e >> 6] | 1 << (e & 63) for e in missing])
-            self.next.update(zip(missing, grown.tolist(), strict=True))
-            run[rest] = np.array([self.next[e] for e in edges.tolist()], dtype=np.int64)[inverse] if len(rest) else run[rest]
+            fresh = edges[~np.isin(edges, self.edges, assume_unique=True)]
+            if len(fresh):
+                grown = self._grow(self.words[fresh >> 6].astype(np.int64), self.skips[fresh >> 6] | np.uint64(1) << (fresh & 63).astype(np.uint64))
+                where = np.searchsorted(self.edges, fresh)
+                self.edges, self.next = np.insert(self.edges, where, fresh), np.insert(self.next, where, grown)
+            if len(rest):
+                run[rest] = self.next[np.searchsorted(self.edges, edges)][inverse]
             seen = hit + 1
         return alone
 
