@@ -25,8 +25,8 @@ from veriloom.llm.shingles import span_hashes
 from veriloom.session import ready
 
 MODEL = "piece_bpe_32k"
-#: Entries of the broadcast table, and texts that they are learnt from.
-TABLE, SAMPLE = 32_768, 2_048
+#: Entries of the broadcast table, and texts and tasks that they are learnt from.
+TABLE, SAMPLE, PARTS = 32_768, 2_048, 4
 #: Entries of a worker's cache, which then starts anew, and of the counter of the sample's pre-tokens, which then forgets rare ones.
 CACHE, COUNTER = 400_000, 400_000
 #: Pre-tokens longer than this (bytes) are encoded at once and not kept.
@@ -156,18 +156,26 @@ class Counts:
 
 
 def _frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter = Counter()
+    """One row: the most frequent pre-tokens of a task's first texts, and how often they occur."""
+    seen, left = Counter(), SAMPLE // PARTS
     for frame in frames:
-        for text in frame["text"]:
+        for text in frame["text"].iloc[:left]:
             seen.update(w for w in pre_tokens(text or "") if 0 < len(w) and len(w.encode("utf-8", "surrogatepass")) <= LONG)
+        left -= len(frame)
         if len(seen) > COUNTER:
             seen = Counter(dict(seen.most_common(COUNTER // 4)))
-    yield pd.DataFrame({"pre": pd.Series([k for k, _ in seen.most_common(TABLE)], dtype=object)})
+        if left <= 0:
+            break
+    top = seen.most_common(TABLE // PARTS)
+    if top:
+        yield pd.DataFrame({"pre": [[k for k, _ in top]], "n": [[n for _, n in top]]})
 
 
 def frequent(docs: DataFrame, text_col: str = "text", *, path: str) -> Table:
-    """The table of pre-tokens that are frequent in SAMPLE texts: whichever texts Spark reads first."""
-    words = [r.pre for r in docs.select(F.col(text_col).alias("text")).limit(SAMPLE).coalesce(1).mapInPandas(_frequent, "pre string").collect()]  # TABLE rows at most
+    """The table of pre-tokens that are frequent in SAMPLE texts: the first ones of PARTS tasks, without a shuffle."""
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(_frequent, "pre array<string>, n array<long>").limit(PARTS).collect()  # TABLE pre-tokens at most
+    seen = sum((Counter(dict(zip(r.pre, r.n, strict=True))) for r in rows), Counter())
+    words = sorted(seen, key=lambda w: (-seen[w], w))
     if not words:
         return Table(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     data = [w.encode("utf-8", "surrogatepass") for w in words]
