@@ -1,9 +1,11 @@
 """Quality probability of whole texts by a byte-level convolutional network in numpy.
 
-Bytes are embedded; learned filters run over overlapping chunks of WIDTH bytes, STRIDE apart, that cover the whole
-text; a second bank compares each byte with those at LAGS before it, over overlapping chunks of SPAN bytes (repetition
-has no fixed byte pattern that a filter could hold). Responses are max-pooled and mean-pooled over the text and combined
-by a logistic unit into one probability. The network is fitted by Adam on a bounded sample of labelled rows.
+Bytes are embedded; learned filters of WIDTH bytes run over the text, STRIDE apart. A second layer of learned filters
+runs over overlapping chunks of 2 * HALF such places, which cover the whole text. It takes the mean response of each first
+filter in the chunk and, as second-order input (a linear filter can't tell that a word comes again), the mean product of
+the chunk's embedded bytes with those 1 to LAGS bytes before them. Its responses are max-pooled over the text and combined
+by a logistic unit into one probability. Nothing but bytes goes in, all weights are learned, and nothing but max-pooled
+responses goes out. The network is fitted by Adam on a bounded sample of labelled rows, whose texts are taken whole.
 """
 
 from __future__ import annotations
@@ -20,123 +22,138 @@ from pyspark.sql import functions as F
 from veriloom.llm.labelled import sample
 from veriloom.session import ready
 
-WIDTH, STRIDE, DIM, FILTERS = 16, 8, 4, 16
-LAGS, SPAN = range(3, 23), 64
-#: The bound of the training sample, in rows and in bytes of it that a training step sees of one text (drawn anew in
-#: each epoch; scoring always covers whole texts).
-SAMPLE, CROP, EPOCHS = 3000, 2048, 10
+WIDTH, STRIDE, DIM, FILTERS = 8, 4, 8, 32
+#: Places of half a chunk, filters over chunks, and distances and embedding of the second-order input.
+HALF, UNITS, LAGS, PAIR = 8, 32, 24, 4
+#: The bound of the training sample, in rows, and how often training goes over it.
+SAMPLE, EPOCHS = 3000, 12
+#: Places that a forward step holds at once, a multiple of HALF; memory doesn't grow with a text's length.
+STEP = HALF * 1024
 
 
 def _frame(data: bytes) -> np.ndarray:
-    """The bytes of a text, extended with zeros to whole chunks."""
+    """The bytes of a text, extended with zeros to whole places."""
     n = max(WIDTH, len(data))
     n += -(n - WIDTH) % STRIDE
     return np.frombuffer(data.ljust(n, b"\0"), np.uint8)
 
 
-def repetition(raw: np.ndarray, size: int) -> np.ndarray:
-    """Mean and maximum over overlapping chunks of the best lag's share of equal bytes, and log length."""
-    n = max(1, -(-size // (SPAN // 2)))
-    best = np.zeros(n, dtype=np.float32)
-    body = raw[:size]
-    for lag in LAGS:
-        if size <= lag:
-            break
-        same = np.zeros(n * (SPAN // 2), dtype=np.uint8)
-        same[lag:size] = body[lag:] == body[:-lag]
-        np.maximum(best, same.reshape(n, -1).sum(1, dtype=np.int32) * np.float32(2 / SPAN), out=best)
-    pairs = np.maximum(best[1:], best[:-1]) if n > 1 else best
-    return np.array([best.mean(), pairs.max(), (best > 0.5).mean(), np.log1p(size) / 10], dtype=np.float32)
-
-
-EXTRA = 4
-
-
 class Network:
     """Parameters, forward pass and training."""
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.emb = rng.normal(0, 0.5, (256, DIM)).astype(np.float32)
-        self.filters = rng.normal(0, (WIDTH * DIM) ** -0.5, (WIDTH * DIM, FILTERS)).astype(np.float32)
+        self.filters = rng.normal(0, 2 * (WIDTH * DIM) ** -0.5, (WIDTH * DIM, FILTERS)).astype(np.float32)
         self.bias = np.zeros(FILTERS, dtype=np.float32)
-        self.out = np.zeros(2 * FILTERS + EXTRA, dtype=np.float32)
+        self.pair = rng.normal(0, 1, (256, PAIR)).astype(np.float32)
+        self.units = rng.normal(0, (FILTERS + LAGS) ** -0.5, (FILTERS + LAGS, UNITS)).astype(np.float32)
+        self.level = np.zeros(UNITS, dtype=np.float32)
+        self.out = rng.normal(0, UNITS**-0.5, UNITS).astype(np.float32)
         self.last = np.zeros(1, dtype=np.float32)
-        self.scale = np.ones(EXTRA, dtype=np.float32)
-        self.shift = np.zeros(EXTRA, dtype=np.float32)
 
-    def _responses(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = sliding_window_view(self.emb[raw].reshape(-1), WIDTH * DIM)[:: STRIDE * DIM]
-        x = np.ascontiguousarray(x)
+    def _places(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.ascontiguousarray(sliding_window_view(self.emb[raw].reshape(-1), WIDTH * DIM)[:: STRIDE * DIM])
         return x, np.maximum(x @ self.filters + self.bias, 0)
 
-    def features(self, data: bytes) -> np.ndarray:
-        """Pooled responses over the whole text, in pieces that overlap by a chunk's rest; memory stays bounded."""
-        raw = _frame(data)
-        top, total, count = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float64), 0
-        step = 1 << 18
-        for a in range(0, max(1, len(raw) - WIDTH + 1), step):
-            _, r = self._responses(raw[a : a + step + WIDTH - STRIDE])
-            np.maximum(top, r.max(0), out=top)
-            total += r.sum(0, dtype=np.float64)
-            count += len(r)
-        return np.concatenate([top, (total / count).astype(np.float32), (repetition(raw, len(data)) - self.shift) / self.scale])
+    def _products(self, raw: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Products of the embedded bytes of raw with those 1 to LAGS bytes before; before: up to LAGS bytes ahead of raw."""
+        e = np.zeros((LAGS + len(raw), PAIR), np.float32)
+        e[LAGS - len(before) :] = self.pair[np.concatenate([before, raw])]
+        e = np.ascontiguousarray(e.T)
+        out = np.empty((len(raw), LAGS), np.float32)
+        for lag in range(1, LAGS + 1):
+            out[:, lag - 1] = (e[:, LAGS:] * e[:, LAGS - lag : -lag]).sum(0)
+        return out
+
+    def _halves(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the inputs of the second layer over half chunks, and the places of each."""
+        sums, counts = [], []
+        n = (len(raw) - WIDTH) // STRIDE + 1
+        for a in range(0, n, STEP):
+            z = min(n, a + STEP)
+            _, r = self._places(raw[a * STRIDE : (z - 1) * STRIDE + WIDTH])
+            cuts = np.arange(0, z - a, HALF)
+            products = self._products(raw[a * STRIDE : z * STRIDE], raw[max(0, a * STRIDE - LAGS) : a * STRIDE])
+            sums.append(np.concatenate([np.add.reduceat(r, cuts, axis=0), np.add.reduceat(products, cuts * STRIDE, axis=0) / np.float32(STRIDE)], axis=1))
+            counts.append(np.diff(np.append(cuts, z - a)))
+        return np.concatenate(sums), np.concatenate(counts)
+
+    def _chunks(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean inputs in each chunk, and its places."""
+        sums, counts = self._halves(raw)
+        if len(counts) > 1:
+            sums, counts = sums[1:] + sums[:-1], counts[1:] + counts[:-1]
+        return sums / counts[:, None].astype(np.float32), counts
 
     def score(self, text: str | None) -> float:
-        z = float(self.features((text or "").encode("utf-8", "surrogatepass")) @ self.out + self.last[0])
+        mean, _ = self._chunks(_frame((text or "").encode("utf-8", "surrogatepass")))
+        z = float(np.maximum(mean @ self.units + self.level, 0).max(0) @ self.out + self.last[0])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def fit(self, texts: list[str], labels: list[int], *, epochs: int = EPOCHS, crop: int = CROP, seed: int = 5) -> Network:
-        """Adam on the weighted log loss, one text at a time in small batches."""
+    def fit(self, texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int = 5) -> Network:
+        """Adam on the weighted log loss, one whole text at a time in small batches."""
         if not texts or len(set(labels)) < 2:
             self.last[0] = 3.0 if not labels or labels[0] else -3.0
+            self.out[:] = 0
             return self
         rng, y = np.random.default_rng(seed), np.array(labels, dtype=np.float32)
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        reps = np.array([repetition(_frame(d), len(d)) for d in data])
-        self.shift, self.scale = reps.mean(0), reps.std(0) + np.float32(1e-3)
-        reps = (reps - self.shift) / self.scale
+        raws = [_frame(t.encode("utf-8", "surrogatepass")) for t in texts]
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-        params = [self.emb, self.filters, self.bias, self.out, self.last]
+        some = np.concatenate([self._chunks(raws[i])[0] for i in rng.permutation(len(raws))[:200]])
+        # units see centred means of like spread at first
+        self.units /= some.std(0)[:, None] + np.float32(1e-3)
+        self.level = (-some.mean(0) @ self.units).astype(np.float32)
+        params = [self.emb, self.filters, self.bias, self.units, self.level, self.out, self.last, self.pair]
         first, second, step, batch = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, 16
         for epoch in range(epochs):
-            order = rng.permutation(len(data))
+            order = rng.permutation(len(raws))
             rate = 0.01 * (1 - epoch / epochs) + 0.0005
             for at in range(0, len(order), batch):
                 grads = [np.zeros_like(p) for p in params]
                 picked = order[at : at + batch]
                 for i in picked:
-                    d = data[i]
-                    a = int(rng.integers(0, len(d) - crop)) if len(d) > crop else 0
-                    raw = _frame(d[a : a + crop])
-                    x, r = self._responses(raw)
-                    arg, m = r.argmax(0), len(r)
-                    top = r[arg, np.arange(FILTERS)]
-                    f = np.concatenate([top, r.mean(0), reps[i]])
-                    p = 1 / (1 + np.exp(-np.clip(f @ self.out + self.last[0], -30, 30)))
-                    g = np.float32((p - y[i]) * weight[i] / len(picked))
-                    grads[3] += g * f
-                    grads[4] += g
-                    up = np.broadcast_to(g * self.out[FILTERS : 2 * FILTERS] / m, r.shape).copy()
-                    up[arg, np.arange(FILTERS)] += g * self.out[:FILTERS]
-                    up *= r > 0
-                    grads[1] += x.T @ up
-                    grads[2] += up.sum(0)
-                    if epoch < 4:
-                        back = (up @ self.filters.T).reshape(m, WIDTH, DIM)
-                        where = np.arange(m)[:, None] * STRIDE + np.arange(WIDTH)
-                        seen = raw[where].reshape(-1)
-                        for c in range(DIM):
-                            grads[0][:, c] += np.bincount(seen, weights=back[:, :, c].reshape(-1), minlength=256)
+                    self._learn(raws[i], y[i], weight[i] / len(picked), grads)
                 step += 1
                 for k, (q, g) in enumerate(zip(params, grads, strict=True)):
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     q -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-                    if k == 3:
+                    if k == 5:
                         q *= 1 - rate * 0.002
         return self
 
+    def _learn(self, raw: np.ndarray, y: float, weight: float, grads: list[np.ndarray]) -> None:
+        """Adds one text's gradients; only the chunks that won the pooling hand any on."""
+        mean, counts = self._chunks(raw)
+        h = mean @ self.units + self.level
+        arg = h.argmax(0)
+        top = np.maximum(h[arg, np.arange(UNITS)], 0)
+        p = 1 / (1 + np.exp(-np.clip(top @ self.out + self.last[0], -30, 30)))
+        g = np.float32((p - y) * weight)
+        grads[5] += g * top
+        grads[6] += g
+        up = g * self.out * (top > 0)
+        grads[3] += mean[arg].T * up
+        grads[4] += up
+        for c in np.unique(arg):
+            back = (self.units[:, arg == c] @ up[arg == c]) / np.float32(counts[c])
+            a = c * HALF * STRIDE
+            part = raw[a : a + (counts[c] - 1) * STRIDE + WIDTH]
+            x, r = self._places(part)
+            low = back[:FILTERS] * (r > 0)
+            grads[1] += x.T @ low
+            grads[2] += low.sum(0)
+            deep = (low @ self.filters.T).reshape(len(x), WIDTH, DIM)
+            seen = part[np.arange(len(x))[:, None] * STRIDE + np.arange(WIDTH)].reshape(-1)
+            for d in range(DIM):
+                grads[0][:, d] += np.bincount(seen, weights=deep[:, :, d].reshape(-1), minlength=256)
+            first = max(0, a - LAGS)
+            near = self.pair[raw[first : a + counts[c] * STRIDE]]
+            gap = np.arange(len(near))[:, None] - np.arange(len(near))
+            w = np.append(np.float32(0), back[FILTERS:] / np.float32(STRIDE))[np.where((gap > 0) & (gap <= LAGS) & (np.arange(len(near)) >= a - first)[:, None], gap, 0)]
+            np.add.at(grads[7], raw[first : a + counts[c] * STRIDE], w @ near + w.T @ near)
+
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Network:
     """A network fitted on at most `most` labelled rows; without rows of both classes it gives a constant."""
@@ -147,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "qual
 def score(docs: DataFrame, model: Network, text_col: str = "text", *, threshold: float = 0.3, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs with the probability of label 1 and predicted = probability >= threshold.
 
-    Null texts count as empty ones, and empty texts get the network's score of no bytes. Columns named like an output
-    are replaced, others and repeated rows stay; equal texts get equal scores.
+    Null texts count as empty ones, and empty texts get the network's score of no bytes. Texts of any length are taken
+    whole, a piece at a time. Columns named like an output are replaced, others and repeated rows stay; equal texts get
+    equal scores. An empty table stays empty.
     """
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
 
