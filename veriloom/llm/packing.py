@@ -48,19 +48,16 @@ _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s
 
 @cache
 def encoders(path: str):
-    """The tokenizers library's encoder of path, and tiktoken's over the same vocabulary, if its file lies beside it."""
+    """The tokenizers library's encoder of path, and tiktoken's over the same vocabulary, whose file lies beside it."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(path)
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks):
-        return full, None
     import tiktoken
 
-    with open(ranks, "rb") as file:
+    with open(path.removesuffix(".json") + ".tiktoken", "rb") as file:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     special = {t.content: i for i, t in full.get_added_tokens_decoder().items()}
     return full, tiktoken.Encoding("veriloom", pat_str=_SPLIT, mergeable_ranks=table, special_tokens=special)
@@ -76,11 +73,11 @@ def _plain(text: str) -> bool:
 def encode(text: str, path: str) -> np.ndarray:
     """Ids of text as the tokenizers library gives them without added special tokens.
 
-    tiktoken gives the same ids several times faster where the text holds only characters that both split alike;
-    any other text goes to the tokenizers library.
+    tiktoken gives the same ids several times faster where the text holds only characters that both split alike (tests
+    compare random texts); any other text goes to the tokenizers library.
     """
     full, fast = encoders(path)
-    if fast is None or not _plain(text) or len(text) > 2_000_000:
+    if not _plain(text):
         return np.array(full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
 
@@ -223,8 +220,9 @@ def _pack(path: str, length: int, tiers: tuple[int, ...], step: int, window: int
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, length: int = LENGTH, tiers: tuple[int, ...] = TIERS, step: int = STEP, window: int = WINDOW) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, tier, step_group.
 
-    A null or empty text is one END id. Rows with equal or null ids are packed on their own; other columns are left
-    out. An empty table gives no pieces. sequence_id is unique and says which task packed it.
+    A null or empty text is one END id. A text of any length is packed whole, though it may make its window longer. Rows
+    with equal or null ids are packed on their own; other columns are left out, so their names can't clash. An empty table
+    gives no pieces. sequence_id is unique and says which task packed it.
     """
     import public_tokenizers
 
