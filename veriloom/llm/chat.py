@@ -1,8 +1,10 @@
 """Chat formatting in Spark expressions only.
 
-A conversation's rows are collected as structs and sorted; adjacent turns of one role become one block; blocks are
-concatenated with control marks. Segments carry the loss mask: those of assistant texts are under it. Marks that occur
-inside texts or roles are escaped reversibly, so the output can be parsed back into turns.
+A conversation's rows are collected as structs and sorted; adjacent turns of one role are merged into one block, whose
+texts are an array; blocks are concatenated with control marks. Blocks are slices between the turns at which the role
+changes: a fold over the turns would copy all blocks so far for each turn of a long conversation. Segments carry the loss
+mask: those of assistant texts are under it. Marks that occur inside texts or roles are escaped reversibly, so the output
+can be parsed back into turns.
 
     <|im_start|> role <|im_body|> text [<|im_sep|> text ...] <|im_end|> newline
 """
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 START, BODY, SEP, END = "<|im_start|>", "<|im_body|>", "<|im_sep|>", "<|im_end|>\n"
 #: What is escaped: the template's marks and other public templates' control strings, by the text behind their first character.
-CONTROL = r"([<\[])(/?s>|/?INST\]|</?SYS>>|/?SYS>>|\|[A-Za-z_]+\|>)"
+CONTROL = r"([<\[])(/?s>|/?INST\]|</?SYS>>|/?SYS>>|\|[A-Za-z0-9_]+\|>|bos>|eos>|start_of_turn>|end_of_turn>)"
 LOSS_ROLES = ("assistant",)
 
 
@@ -28,29 +30,34 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def merged(turns: Column) -> Column:
+    """Blocks (role, texts) of sorted turns: adjacent turns of one role are one block."""
+    n = F.size(turns)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(turns, i - 1)["role"] != F.get(turns, i)["role"]))
+    ends = F.concat(F.slice(starts, 2, n), F.array(n))
+    return F.zip_with(starts, ends, lambda a, z: F.struct(F.get(turns, a)["role"].alias("role"), F.transform(F.slice(turns, a + 1, z - a), lambda t: t["text"]).alias("texts")))
+
+
 def format_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
     """(conv_id, segments: array of (text, loss), formatted), one row a conversation.
 
     Turns are ordered by turn, then role, then text, nulls first, so ties and repeated rows have a fixed order and all
-    stay. Null roles and texts count as empty ones; a null conv_id is a conversation of its own. Other columns are left
-    out. An empty table gives no conversations.
+    stay. Null roles and texts count as empty ones; a null conv_id is a conversation of its own. Texts of any length stay
+    whole. Other columns are left out, so their names can't clash. An empty table gives no conversations.
     """
     role = F.coalesce(F.col(role_col), F.lit(""))
     turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grouped = rows.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    turns = F.col("turns")
-
-    def segments(x: Column, i: Column) -> Column:
-        before, after = F.get(turns, i - 1)["role"], F.get(turns, i + 1)["role"]
-        head = F.when(i == 0, F.lit(True)).otherwise(before != x["role"])
-        last = F.coalesce(after != x["role"], F.lit(True))
-        return F.array(
-            F.struct(F.when(head, F.concat(F.lit(START), escape(x["role"]), F.lit(BODY))).otherwise(F.lit(SEP)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(x["text"]).alias("text"), x["role"].isin(*loss_roles).alias("loss")),
-            F.struct(F.when(last, F.lit(END)).otherwise(F.lit("")).alias("text"), F.lit(False).alias("loss")),
-        )
-
-    parts = grouped.select("conv_id", F.flatten(F.transform(turns, segments)).alias("segments"))
+
+    def segments(block: Column) -> Column:
+        loss = block["role"].isin(*loss_roles)
+        mark = lambda text: F.struct(text.alias("text"), F.lit(False).alias("loss"))
+        head = F.concat(F.lit(START), escape(block["role"]), F.lit(BODY))
+        bodies = F.transform(block["texts"], lambda t, i: F.array(mark(F.when(i == 0, head).otherwise(F.lit(SEP))), F.struct(escape(t).alias("text"), loss.alias("loss"))))
+        return F.concat(F.flatten(bodies), F.array(mark(F.lit(END))))
+
+    blocks = grouped.select("conv_id", merged(F.col("turns")).alias("blocks"))
+    parts = blocks.select("conv_id", F.flatten(F.transform("blocks", segments)).alias("segments"))
     return parts.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
 
 

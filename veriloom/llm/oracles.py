@@ -21,7 +21,7 @@ SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.m) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-_CONTROL = r"([<\[])(/?s>|/?INST\]|</?SYS>>|/?SYS>>|\|[A-Za-z_]+\|>)"
+_CONTROL = r"([<\[])(/?s>|/?INST\]|</?SYS>>|/?SYS>>|\|[A-Za-z0-9_]+\|>|bos>|eos>|start_of_turn>|end_of_turn>)"
 OP4 = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
