@@ -1,9 +1,13 @@
 """Toxicity by weak supervision.
 
-Many voters (word lexicons and word-start patterns) vote on a bounded sample of documents, or abstain. A generative
-label model, fitted by expectation-maximisation, estimates how often each voter errs and how far voters repeat each
-other beyond what the hidden label explains; repeated evidence is weighted down. Its posterior labels, not the given
-ones, train a linear classifier over the words and word starts that voters use. Given labels only choose the voters' word lists.
+Many voters (word lexicons and word-start patterns) vote on a bounded sample of documents, or abstain. A generative label
+model, fitted by expectation-maximisation, has as parameters the share of toxic documents, each voter's accuracy (how it
+votes given the label), and the voters' correlations: a tree joins each voter to the one that it repeats most beyond what
+the label explains, and it votes given the label and that voter's vote, so repeated evidence doesn't count twice. The
+model's posterior labels, not the given ones, train a linear classifier over the words and word starts that voters use.
+
+Given labels choose the words of the voters' lists, among which voters are dealt without them; the label model and the
+classifier never see a given label.
 
 A text's score is the logistic of a sum over its distinct words, so scoring is one look-up a word.
 """
@@ -48,38 +52,69 @@ def _ranked(toxic: Counter, clean: Counter, n1: int, n0: int, least: int) -> lis
     return sorted((m for m, o in odds.items() if o > 3), key=lambda m: (-odds[m] * np.log1p(toxic[m]), m))
 
 
+#: Weight, in documents, of a voter's own distribution in its distribution given another's vote.
+SMOOTHING = 4.0
+
+
 @dataclass
 class LabelModel:
-    """P(vote | label) of each voter, weights that discount correlated voters, and the share of label 1."""
+    """P(label), and P(vote | label, vote of the parent) of each voter; the root of the tree has no parent (-1)."""
 
-    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3)))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     prior: float = 0.1
+    parents: list[int] = field(default_factory=list)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3, 3)))
+    accuracy: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(label 1) of each row of votes (1 for, -1 against, 0 abstains)."""
         z = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
-        for j in range(votes.shape[1]):
-            z += self.weight[j] * (np.log(self.table[j, 1]) - np.log(self.table[j, 0]))[votes[:, j] + 1]
+        v = votes + 1
+        for j, parent in enumerate(self.parents):
+            given = v[:, parent] if parent >= 0 else np.zeros(len(v), np.int64)
+            z += np.log(self.table[j, 1, given, v[:, j]]) - np.log(self.table[j, 0, given, v[:, j]])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def _maximise(self, onehot: np.ndarray, p: np.ndarray) -> None:
+        n, m = len(p), onehot.shape[1] // 3
+        self.prior = float(np.clip(p.mean(), 0.01, 0.99))
+        # how often two voters vote how, in documents of each label
+        pairs = np.stack([(onehot * w[:, None]).T @ onehot for w in (1 - p, p)]).reshape(2, m, 3, m, 3).transpose(0, 1, 3, 2, 4)
+        single = np.stack([pairs[:, j, j].diagonal(axis1=1, axis2=2) for j in range(m)]) + 0.5
+        weight = single.sum(2)
+        self.accuracy = single / weight[:, :, None]
+        joint = pairs + 1e-9
+        joint /= joint.sum((3, 4), keepdims=True)
+        alone = self.accuracy.transpose(1, 0, 2)
+        information = (joint * np.log(joint / (alone[:, :, None, :, None] * alone[:, None, :, None, :]))).sum((3, 4))
+        shared = (information * np.array([1 - self.prior, self.prior])[:, None, None]).sum(0)
+        self.parents = self._tree(shared)
+        self.table = np.repeat(self.accuracy[:, :, None, :], 3, axis=2)
+        for j, k in enumerate(self.parents):
+            if k >= 0:
+                counts = pairs[:, k, j]
+                self.table[j] = (counts + SMOOTHING * self.accuracy[j][:, None, :]) / (counts.sum(2, keepdims=True) + SMOOTHING)
+
+    @staticmethod
+    def _tree(shared: np.ndarray) -> list[int]:
+        """Parents of the spanning tree with the largest sum of shared information."""
+        m = len(shared)
+        parents, best, link, left = [-1] * m, np.full(m, -np.inf), np.full(m, -1), set(range(m))
+        while left:
+            j = max(left, key=lambda x: (best[x], -x))
+            left.remove(j)
+            parents[j] = int(link[j])
+            for k in left:
+                if shared[j, k] > best[k]:
+                    best[k], link[k] = shared[j, k], j
+        return parents
+
     def fit(self, votes: np.ndarray, rounds: int = 30) -> LabelModel:
-        """EM from the majority vote; after each round correlations of the voters' residuals set the weights."""
-        n, m = votes.shape
+        """EM from the majority vote."""
         total = votes.sum(1)
         p = np.where(total > 0, 0.95, np.where(total < 0, 0.05, 0.3))
-        self.weight = np.ones(m)
+        onehot = (votes[:, :, None] == np.array([-1, 0, 1])).reshape(len(votes), -1).astype(float)
         for _ in range(rounds):
-            self.prior = float(np.clip(p.mean(), 0.01, 0.99))
-            q = np.stack([1 - p, p])
-            self.table = np.stack([np.stack([(q * (votes[:, j] == v)).sum(1) + 0.5 for v in (-1, 0, 1)], axis=1) for j in range(m)])
-            self.table /= self.table.sum(2, keepdims=True)
-            mean = self.table[:, :, 2] - self.table[:, :, 0]
-            residual = votes - (mean[:, 0][None] * (1 - p)[:, None] + mean[:, 1][None] * p[:, None])
-            spread = residual.std(0) + 1e-6
-            linked = np.abs((residual.T @ residual) / n / np.outer(spread, spread))
-            np.fill_diagonal(linked, 0)
-            self.weight = 1 / (1 + np.where(linked > 0.2, linked, 0).sum(1))
+            self._maximise(onehot, p)
             new = self.posterior(votes)
             if np.abs(new - p).max() < 1e-4:
                 break
@@ -179,8 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxi
 def score(docs: DataFrame, model: Toxicity, text_col: str = "text", *, threshold: float = 0.7, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs with the probability of toxicity and predicted = probability >= threshold.
 
-    Null texts count as empty ones; a text without words gets the bias's score. Columns named like an output are
-    replaced, others and repeated rows stay; equal texts get equal scores.
+    Null texts count as empty ones; a text without words gets the bias's score. Texts of any length are taken whole.
+    Columns named like an output are replaced, others and repeated rows stay; equal texts get equal scores. An empty
+    table stays empty.
     """
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
 
