@@ -5,9 +5,10 @@ Xing table (frames, bytes, 100 seek points), then frames of varying bit rate who
 and whose remaining bytes carry the payload as ancillary data. Each frame's CRC-16 covers its header and side
 information.
 
-read_stream takes any bytes: it skips tags (at the end only where no frame goes on across the tag's start),
-resynchronises on frame headers (a header counts if the next one agrees, or the stream ends there), reads Xing, Info and
-VBRI tables, verifies checksums, and returns exact durations in samples, seek offsets and the ancillary payload.
+read_stream takes any bytes: it reads tags of versions 2.2 to 2.4 and 1 (at the end only where no frame goes on across
+the tag's start), resynchronises on frame headers (a header counts if the next one agrees, or the stream ends there),
+reads Xing, Info and VBRI tables with their seek points, verifies the checksums of all three layers, and returns exact
+durations in samples, seek offsets and the ancillary payload.
 """
 
 from __future__ import annotations
@@ -34,6 +35,14 @@ BITRATES = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
+# Bits of an allocation in layer II as (bits, subbands), by table; the last is that of versions 2 and 2.5.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
 #: Every SEEK-th frame's offset is stored.
 SEEK = 64
 _RATE, _SIDE = 1, 17  # 48 kHz, mono
@@ -77,6 +86,72 @@ def header(four: bytes) -> tuple[int, int, int, int, bool, int] | None:
     return size, samples, hertz, side, not h >> 16 & 1, kbit
 
 
+def _bits_crc(data: bytes, bits: int) -> int:
+    """crc16 of the first bits of data."""
+    c = crc16(data[: bits // 8])
+    for k in range(bits % 8):
+        top = (c >> 15) ^ (data[bits // 8] >> (7 - k) & 1)
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
+def _protected(h: int, body: bytes) -> int:
+    """How many bits of a layer I or II frame's body its checksum covers: bit allocations, and in layer II the scale
+    factor selections of subbands that have any."""
+    first, layer, mode = h >> 19 & 3 == 3, 4 - (h >> 17 & 3), h >> 6 & 3
+    channels = 1 if mode == 3 else 2
+    bound = 4 * (h >> 4 & 3) + 4 if mode == 1 else 32
+    if layer == 1:
+        return 4 * (channels * min(bound, 32) + max(0, 32 - bound))
+    kbit, hertz = BITRATES[first, 2][h >> 12 & 15] // channels, RATES[h >> 10 & 3]
+    name = "low" if not first else ("d" if hertz == 32000 else "c") if kbit < 56 else "a" if hertz == 48000 or kbit <= 80 else "b"
+    widths = [bits for bits, n in ALLOCATION[name] for _ in range(n)]
+    value, size, at, chosen = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 512, 0, 0
+    for k, bits in enumerate(widths):
+        for _ in range(channels if k < bound else 1):
+            chosen += (value >> (size - at - bits) & ((1 << bits) - 1) > 0) * (1 if k < bound else channels)
+            at += bits
+    return at + 2 * chosen
+
+
+def _checksum(data: bytes, at: int, size: int, side: int) -> bool:
+    """Whether the checksum of the frame at a place is right."""
+    body = data[at + 6 : at + size]
+    bits = 8 * side or _protected(int.from_bytes(data[at : at + 4], "big"), body)
+    return _bits_crc(data[at + 2 : at + 4] + body, 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
+def _text(value: bytes) -> str:
+    """The text of a tag's frame by its encoding byte."""
+    name = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0] if value else 0, "latin-1")
+    return value[1:].decode(name, "replace")
+
+
+def _sum_of(data: bytes, bits: int) -> int:
+    n = 0
+    for b in data:
+        n = n << bits | b
+    return n
+
+
+def read_tag(data: bytes, at: int) -> tuple[int, list[tuple[str, bytes]]]:
+    """The end of the ID3v2 tag at a place, and its frames (name, value)."""
+    version, flags, size = data[at + 3], data[at + 5], _sum_of(data[at + 6 : at + 10], 7)
+    body, end = data[at + 10 : at + 10 + size], at + 10 + size + (10 if version >= 4 and flags & 0x10 else 0)
+    if version < 4 and flags & 0x80:
+        body = body.replace(b"\xff\x00", b"\xff")
+    k = 0
+    if version >= 3 and flags & 0x40:
+        k = _sum_of(body[:4], 7) if version >= 4 else 4 + _sum_of(body[:4], 8)
+    name, width, head = (3, 3, 6) if version == 2 else (4, 4, 10)
+    out = []
+    while k + head <= len(body) and body[k]:
+        n = _sum_of(body[k + name : k + name + width], 7 if version >= 4 else 8)
+        out.append((body[k : k + name].decode("latin-1"), body[k + head : k + head + n]))
+        k += head + n
+    return end, out
+
+
 @lru_cache(16)
 def _head(rate: int) -> tuple[bytes, int]:
     """Header, checksum and empty side information at a bit rate; bytes of payload behind them."""
@@ -119,16 +194,11 @@ def read_stream(data: bytes) -> dict:
     """
     at, end, tags, stated = 0, len(data), [], None
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = sum(b << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
-        body, k = data[at + 10 : at + 10 + size], 0
-        while k + 10 <= len(body) and body[k]:
-            n = int.from_bytes(body[k + 4 : k + 8], "big")
-            value = body[k + 10 : k + 10 + n]
-            tags.append((body[k : k + 4].decode("latin-1"), value[1:].decode("latin-1")))
+        at, frames_of = read_tag(data, at)
+        for name, value in frames_of:
+            tags.append((name, _text(value)))
             if value.startswith(b"\x00payload\x00") and value[9:].isdigit():
                 stated = int(value[9:])
-            k += 10 + n
-        at += 10 + size
     mark = end - 128 if data[-128:-125] == b"TAG" and end - 128 >= at else end  # a tag, or payload of a frame across it
     parts, seeks, rates = [], [], set()
     frames = samples = skipped = right = wrong = hertz = 0
@@ -148,8 +218,8 @@ def read_stream(data: bytes) -> dict:
         locked = True
         size, count, hertz, side, has_crc, kbit = h
         start = at + 4 + 2 * has_crc
-        if has_crc and side:
-            good = crc16(data[at + 2 : at + 4] + data[start : start + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if has_crc:
+            good = _checksum(data, at, size, side)
             right, wrong = right + good, wrong + (not good)
         start += side
         kind = data[start : start + 4]
@@ -161,8 +231,10 @@ def read_stream(data: bytes) -> dict:
             if flags & 4:
                 toc = data[k : k + 100]
             table = (kind.decode(), *values, toc)
-        elif not frames and not table[0] and kind == b"VBRI":
-            table = ("VBRI", int.from_bytes(data[start + 14 : start + 18], "big"), int.from_bytes(data[start + 10 : start + 14], "big"), b"")
+        elif not frames and not table[0] and data[at + 36 : at + 40] == b"VBRI" and size >= 62:  # at a fixed place
+            total, count_, points, scale, width, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
+            steps = [int.from_bytes(data[k : k + width], "big") * scale for k in range(at + 62, min(at + 62 + points * width, at + size - width + 1), max(1, width))]
+            table = ("VBRI", count_, total, b"".join(struct.pack(">I", sum(steps[: k + 1]) & 0xFFFFFFFF) for k in range(len(steps))))
         else:
             if frames % SEEK == 0:
                 seeks.append(at)
@@ -188,7 +260,11 @@ def padded(text: str | None) -> bytes:
 
 
 def media_column(docs: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
-    """docs with a binary column: the padded text as an MPEG audio stream. Null and empty texts give one block of zeros."""
+    """docs with a binary column: the padded text as an MPEG audio stream. Null and empty texts give one block of zeros.
+
+    Texts of any length are stored whole, equal texts as equal streams. A column named like `out` is replaced, others and
+    repeated rows stay. An empty table stays empty.
+    """
     ready(docs.sparkSession)
 
     @F.pandas_udf("binary")
@@ -212,7 +288,8 @@ def features(data: bytes | None) -> tuple:
 
 
 def media_features(media: DataFrame, media_col: str = "media", out: str = "features") -> DataFrame:
-    """media with a struct column of FEATURES read back from the stored bytes. Null bytes count as an empty stream."""
+    """media with a struct column of FEATURES read back from the stored bytes. Null bytes count as an empty stream, and
+    bytes without frames have no payload. A column named like `out` is replaced, others and repeated rows stay."""
     ready(media.sparkSession)
 
     @F.pandas_udf(FEATURES)
