@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.shingles import mix, word_hashes
-from veriloom.session import ready, staged
+from veriloom.llm.names import free
+from veriloom.session import ready, staged, unstage
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -114,17 +115,20 @@ def apply_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source
     """docs with a struct column `out`: STATS, base_failed, failed, host_failed and kept.
 
     kept is false if a base rule fails or the host's shrunk failure rate is above host_rate. Null texts count as
-    empty, null hosts as one host. Equal rows get equal results. A column named like `out` is replaced; all others
-    stay. An empty table stays empty. The host table is staged, so the texts are read twice and never shuffled unless
-    the failing hosts are too many for a broadcast.
+    empty, null hosts as one host. Texts of any length are measured whole. Equal rows get equal results. A column named
+    like `out` is replaced; all others, and repeated rows, stay, whatever their names. An empty table stays empty.
+
+    The texts are read twice and never shuffled unless the failing hosts are too many for a broadcast. The result reads a
+    table of failing hosts in the shared folder.
     """
-    s, bad_host = "__veriloom_stats", "__veriloom_host"
-    hosts, _ = staged(host_table(with_stats(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), "text", s), "host", s), "hosts")
+    s, bad_host, is_bad = free(docs, "stats", "host", "bad")
+    hosts, at = staged(host_table(with_stats(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), "text", s), "host", s), "hosts")
     a, b = prior(hosts)
     shrunk = (F.col("failed") + a) / (F.col("n") + a + b)
-    bad, _ = staged(hosts.where(shrunk > host_rate).select(F.col("host").alias(bad_host), F.lit(True).alias("__veriloom_bad")), "bad-hosts")
+    bad, _ = staged(hosts.where(shrunk > host_rate).select(F.col("host").alias(bad_host), F.lit(True).alias(is_bad)), "bad-hosts")
+    unstage(docs.sparkSession, at)
     joined = with_stats(docs, text_col, s).join(bad, F.col(host_col).eqNullSafe(F.col(bad_host)), "left")
-    host_failed = F.coalesce(F.col("__veriloom_bad"), F.lit(False))
+    host_failed = F.coalesce(F.col(is_bad), F.lit(False))
     names = [c.split()[0] for c in STATS.split(", ")]
     verdict = F.struct(*[F.col(f"{s}.{c}").alias(c) for c in names], base_failed(s).alias("base_failed"), any_failed(s).alias("failed"), host_failed.alias("host_failed"), (~base_failed(s) & ~host_failed).alias("kept"))
     return joined.withColumn(out, verdict).select(*[c for c in docs.columns if c != out], out)
