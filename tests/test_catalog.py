@@ -58,18 +58,6 @@ def test_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i * 11, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
     assert run("suppression_lines") == [(0, 1, "noqa")] and run("sql_pattern_lines") == [(0, 3, "DELETE FROM")]
-    assert run("shell_errors_whole") == [("src/0.py", e) for e in ("missing helper", "missing shebang", "missing strict mode")]
-
-
-def test_all_rows(spark, tmp_path):
-    texts = ["See Also: a.md", "needs ==1.2", "plain"]
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(e, "lint", 3, 200.0) for e in (41, 42, 43)], "event_id long, event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
-    spark.createDataFrame([(42, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    run = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
-    assert run("see_also_all") == [(0, "a.md"), (1, ""), (2, "")] and run("version_requirements_all") == [(0, ""), (1, "1.2"), (2, "")]
-    assert run("diff_all_classify") == [(41, False), (42, True), (43, True)] and run("diff_all_status") == [("lint", "FAIL", 2, 1)]
-    assert catalog.QUERIES["diff_all_verdict"](spark, str(tmp_path)).first().verdict == "FAIL" and run("diff_all_report") == [("XX lint: 2 in diff, 1 before",)]
 
 
 SQL_LINES = {

@@ -21,33 +21,39 @@ def slugify(text: Column, default: str = "ethos") -> Column:
     return F.when(slug == "", F.lit(default)).otherwise(slug)
 
 
-#: Steps of markdown_plain: pattern and replacement.
+# Steps of markdown_plain as pattern and replacement, with Python's reading of them. (FN-03)
 PLAIN_STEPS = (
-    (r"(?s)```.*?```", " "),
-    (r"`([^`]*)`", "$1"),
-    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"(?s)```.*?```", ""),
+    (r"`([^`]+)`", "$1"),
+    (r"\[(.*?)\]\([^)]+\)", "$1"),
     (r"\*\*([^*]+)\*\*", "$1"),
     (r"\*([^*]+)\*", "$1"),
-    (r"(?m)^[ ]*#+[ ]*", ""),
-    (r"(?m)^[ ]*[-*][ ]+", ""),
-    (r"\s+", " "),
+    (r"(?md)^#+\s*", ""),
+    (r"(?md)^\s*[-*]\s+", ""),
 )
 
 
 def markdown_plain(text: Column) -> Column:
-    """Text of Markdown: fences dropped, code, links and emphasis unwrapped, heading and bullet marks off. (FN-03)"""
+    """Text of Markdown: fences dropped, code, links and emphasis unwrapped, heading and bullet marks off, white space
+    collapsed. (FN-03)"""
     for pattern, by in PLAIN_STEPS:
         text = F.regexp_replace(text, pattern, by)
-    return F.trim(text)
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def summarize(text: Column, fallback: Column, limit: int = 240) -> Column:
-    """First sentence of the first paragraph that is no heading, at most limit characters; else fallback. (FN-04)"""
-    paragraphs = F.filter(F.split(text, r"\n\n"), lambda p: (F.trim(p) != "") & ~F.startswith(F.ltrim(p), F.lit("#")))
-    first = markdown_plain(F.get(paragraphs, 0))
-    sentence = F.regexp_extract(first, r"^(.*?[.!?])(\s|\z)", 1)
-    picked = F.when(sentence == "", first).otherwise(sentence)
-    return F.coalesce(F.when(F.trim(picked) != "", F.substring(picked, 1, limit)), fallback)
+def without_rule(text: Column) -> Column:
+    """Trimmed Markdown without a horizontal rule at its end."""
+    return F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+\z", ""), r"\n---\s*\z", "")
+
+
+def summarize(text: Column, fallback: str = "No summary available.", limit: int = 240) -> Column:
+    """The first sentence of the first paragraph that isn't a third-level heading, a rule, or blank without its marks, at
+    most limit characters; else fallback. Fences go first. (FN-04)"""
+    paragraphs = F.transform(F.split(F.regexp_replace(without_rule(text), "(?s)```.*?```", ""), r"\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+\z", ""))
+    plain = F.transform(F.filter(paragraphs, lambda p: (p != "") & (p != "---") & ~F.startswith(p, F.lit("### "))), markdown_plain)
+    first = F.get(F.filter(plain, lambda p: p != ""), 0)
+    picked = F.get(F.transform(F.array(first), lambda p: F.when(F.regexp_like(p, F.lit(r"^.+?[.!?](\s|\z)")), F.regexp_extract(p, r"^(.+?[.!?])(?:\s|\z)", 1)).otherwise(p)), 0)
+    return F.coalesce(F.rtrim(F.substring(picked, 1, limit)), F.lit(fallback))
 
 
 def first_rule(text: Column, rules: list[tuple[tuple[str, ...], str]], default: str) -> Column:
@@ -63,7 +69,7 @@ def first_rule(text: Column, rules: list[tuple[tuple[str, ...], str]], default:
 
 
 def cache_key(*parts: Column) -> Column:
-    """SHA-256 of NUL-joined parts; null parts count as empty, so none shifts another. (FN-07, FN-08)"""
+    """SHA-256 of NUL-joined parts; null parts count as empty, so none shifts another. (FN-07; FN-08 of model path and content)"""
     return F.sha2(F.concat_ws("\0", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
@@ -72,10 +78,16 @@ def sentences(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[.!?](\s|\z)"))
 
 
-def see_also(text: Column) -> Column:
-    """Distinct sorted .md names behind 'See Also:'. (FN-12)"""
-    tail = F.when(F.contains(text, F.lit("See Also:")), F.regexp_replace(text, r"(?s)^.*?See Also:", "")).otherwise(F.lit(""))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(tail, F.lit(r"([A-Za-z0-9_./-]+\.md)"), F.lit(1))))
+# The heading behind which references stand, an entry, and an entry with a folder. (FN-12)
+SEE_ALSO = r"(?imd)^See Also:\s*$"
+SEE_ENTRY = r"(?md)^\s+([A-Za-z0-9_-]+\.md)\s*[:|-]"
+SEE_PATH = r"(?md)^\s+([A-Za-z0-9_/-]+/[A-Za-z0-9_-]+\.md)\s*[:|-]"
+
+
+def see_also(docstring: Column, entry: str = SEE_ENTRY) -> Column:
+    """Distinct sorted references behind the first line that is only 'See Also:'. (FN-12)"""
+    parts = F.split(docstring, SEE_ALSO, 2)
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.get(parts, 1), F.lit("")), F.lit(entry), F.lit(1))))
 
 
 def starts_with_keyword(literal: Column, keywords: tuple[str, ...]) -> Column:

@@ -58,31 +58,63 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODE = "c AS (SELECT 'src/' || CAST(doc_id AS VARCHAR) || '.py' AS path, doc_id, text || chr(10) || [" + ", ".join("'" + x.replace("'", "''").replace("\t", "' || chr(9) || '") + "'" for x in LINES) + "][CAST(doc_id % 11 + 1 AS INTEGER)] AS text FROM documents)"
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(F.col("value") >= 150, "CRITICAL").when(F.col("value") >= 75, "WARNING").otherwise("INFO")
-    findings = table(spark, sf_dir, "events").select(F.col("event_type").alias("check"), F.col("user_id").alias("file"), (F.col("event_id") % 500).alias("line"), severity.alias("severity"), "event_id")
-    hunks = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select((F.col("o_custkey") % 150).alias("file"), (F.col("o_orderkey") % 500).alias("start"), (F.col("o_orderkey") % 4).alias("n")).distinct()
-    return findings, hunks
+    path = F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("check"), path.alias("file"), (F.col("event_id") % 500).alias("line"), severity.alias("severity"), F.col("props").alias("message"), "event_id")
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, text): diffs with a hunk header for each order; files are a hundred customers, lines those of the order."""
+    k = F.col("o_orderkey")
+    old, new = F.when(k % 2 == 0, "1").otherwise("1,2"), (k % 500).cast("string")
+    head = F.concat(F.lit("@@ -"), old, F.lit(" +"), new, F.when(k % 5 == 1, "").otherwise(F.concat(F.lit(","), (k % 4).cast("string"))), F.lit(" @@ def f():\n+changed"))
+    path = F.concat(F.lit("src/"), (F.col("o_custkey") % 100).cast("string"), F.lit(".py"))
+    return table(spark, sf_dir, "orders").select(path.alias("file"), F.concat(F.lit("--- a\n+++ b\n"), head).alias("text"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, added): customers whose key isn't a multiple of five."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").where(k % 5 != 0).select(F.concat(F.lit("src/"), k.cast("string"), F.lit(".py")).alias("file"), (k % 7 == 0).alias("added"))
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(check, error): batches of the checks, of which some failed, and all of one check."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("check"), F.when((F.col("event_type") == "view") | (F.col("event_type") == "click") & (F.col("event_id") % 9 == 0), "timeout").alias("error"))
 
 
 _DIFF = """
-f AS (SELECT event_type AS "check", user_id AS file, event_id % 500 AS line, event_id, CASE WHEN value >= 150 THEN 'CRITICAL' WHEN value >= 75 THEN 'WARNING' ELSE 'INFO' END AS severity FROM events),
-h AS (SELECT DISTINCT o_custkey % 150 AS file, o_orderkey % 500 AS start, o_orderkey % 4 AS n FROM orders WHERE o_orderkey % 97 = 0),
-d AS (SELECT f.*, f.line = 0 OR EXISTS (SELECT 1 FROM h WHERE h.file = f.file AND f.line BETWEEN h.start AND h.start + h.n - 1) OR NOT EXISTS (SELECT 1 FROM h WHERE h.file = f.file) AS in_diff FROM f),
-s AS (SELECT "check", CASE WHEN bool_or(in_diff AND severity = 'CRITICAL') THEN 'FAIL' WHEN bool_or(in_diff AND severity = 'WARNING') THEN 'WARN' ELSE 'PASS' END AS status,
-  count(*) FILTER (in_diff) AS n_in_diff, count(*) FILTER (NOT in_diff) AS n_pre_existing FROM d GROUP BY "check")"""
+f AS (SELECT event_type AS "check", 'src/' || user_id || '.py' AS file, event_id % 500 AS line, event_id, props AS message, CASE WHEN value >= 150 THEN 'CRITICAL' WHEN value >= 75 THEN 'WARNING' ELSE 'INFO' END AS severity FROM events),
+h AS (SELECT DISTINCT 'src/' || (o_custkey % 100) || '.py' AS file, o_orderkey % 500 AS start, CASE WHEN o_orderkey % 5 = 1 THEN 1 ELSE o_orderkey % 4 END AS n FROM orders),
+l AS (SELECT DISTINCT file, unnest(generate_series(start, start + n - 1)) AS line FROM h WHERE n > 0),
+k AS (SELECT 'src/' || c_custkey || '.py' AS file, c_custkey % 7 = 0 AS added FROM customer WHERE c_custkey % 5 <> 0),
+d AS (SELECT f.*, CASE WHEN f.line = 0 THEN true WHEN EXISTS (SELECT 1 FROM l WHERE l.file = f.file) THEN EXISTS (SELECT 1 FROM l WHERE l.file = f.file AND l.line = f.line) ELSE coalesce((SELECT added FROM k WHERE k.file = f.file), true) END AS in_diff FROM f),
+b AS (SELECT event_type AS "check", bool_and(bad) AS all_bad, bool_or(bad) AS any_bad FROM (SELECT event_type, event_type = 'view' OR (event_type = 'click' AND event_id % 9 = 0) AS bad FROM events) GROUP BY 1),
+s AS (SELECT d."check", CASE WHEN bool_or(in_diff AND severity = 'CRITICAL') THEN 'FAIL' WHEN any_value(all_bad) THEN 'ERROR' WHEN any_value(any_bad) OR bool_or(in_diff AND severity = 'WARNING') THEN 'WARN' ELSE 'PASS' END AS status,
+  count(*) FILTER (in_diff) AS n_in_diff, count(*) FILTER (NOT in_diff) AS n_pre_existing FROM d JOIN b ON b."check" = d."check" GROUP BY d."check")"""
+
+
+@query("""SELECT 'src/' || (o_custkey % 100) || '.py' AS file, o_orderkey % 500 AS start, CASE WHEN o_orderkey % 5 = 1 THEN 1 ELSE o_orderkey % 4 END AS n FROM orders""")
+def hunks(spark, sf_dir):
+    """Changed lines of all diffs, from their hunk headers. (FN-09)"""
+    return review.parse_hunks(_diffs(spark, sf_dir))
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.classify_by_diff(_findings(spark, sf_dir), review.parse_hunks(_diffs(spark, sf_dir)).distinct(), _files(spark, sf_dir))
 
 
 @query(f"WITH {_DIFF} SELECT * FROM s")
 def diff_classify_status(spark, sf_dir):
-    """Findings against changed lines, then the status of each check. (JOIN-07, AGG-03)"""
-    return review.status_by_check(review.classify_by_diff(*_findings(spark, sf_dir)))
+    """Findings against changed lines, then the status of each check. (JOIN-07, AGG-03, AGG-04)"""
+    return review.status_by_check(_classified(spark, sf_dir), _batches(spark, sf_dir))
 
 
 @query(f"WITH {_DIFF} SELECT event_id, in_diff FROM d")
 def diff_classify(spark, sf_dir):
-    """Each finding's class. (JOIN-07, FN-09)"""
-    return review.classify_by_diff(*_findings(spark, sf_dir)).select("event_id", "in_diff")
+    """Each finding's class. (JOIN-07)"""
+    return _classified(spark, sf_dir).select("event_id", "in_diff")
 
 
 @query(f"""WITH {_DIFF} SELECT bool_or(status = 'FAIL') AS any_fail, bool_or(status = 'ERROR') AS any_error, bool_or(status = 'WARN') AS any_warn,
@@ -92,44 +124,40 @@ def verdict(spark, sf_dir):
     return review.overall(diff_classify_status(spark, sf_dir))
 
 
-@query(f"""WITH {_DIFF} SELECT string_agg(CASE status WHEN 'FAIL' THEN 'XX' WHEN 'WARN' THEN 'W ' ELSE '--' END || ' ' || "check" || ': ' || n_in_diff || ' in diff, ' || n_pre_existing || ' before', chr(10) ORDER BY "check") AS report
-FROM s WHERE NOT (status = 'PASS' AND n_in_diff = 0)""")
+@query(f"""WITH {_DIFF}, p AS (SELECT * FROM s WHERE NOT (status = 'PASS' AND n_in_diff = 0))
+SELECT "check", 0 AS part, NULL AS file, NULL AS line, "check" || ': ' || status AS text FROM p
+UNION ALL SELECT "check", 1, NULL, NULL, '  [In your changes]' FROM p WHERE n_in_diff > 0
+UNION ALL SELECT "check", 3, NULL, NULL, '  [Pre-existing (' || n_pre_existing || ')]' FROM p WHERE n_pre_existing > 0
+UNION ALL SELECT d."check", CASE WHEN in_diff THEN 2 ELSE 4 END, file, line, '  ' || CASE severity WHEN 'CRITICAL' THEN 'XX' WHEN 'WARNING' THEN 'W ' ELSE '--' END || ' ' || file || ':' || CASE WHEN line > 0 THEN CAST(line AS VARCHAR) ELSE '?' END || ' ' || message FROM d JOIN p ON p."check" = d."check" """)
 def status_report(spark, sf_dir):
-    """The text report. (SNK-10, FLT-17)"""
-    return review.report_lines(diff_classify_status(spark, sf_dir))
-
-
-def _all_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings and hunks of all orders, a file a customer, so that files have changed and unchanged lines at all sizes."""
-    hunks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 500).alias("start"), (F.col("o_orderkey") % 4).alias("n")).distinct()
-    return _findings(spark, sf_dir)[0], hunks
+    """The lines of the report. (SNK-10, FLT-17)"""
+    done = _classified(spark, sf_dir)
+    return review.report_rows(review.status_by_check(done, _batches(spark, sf_dir)), done)
 
 
-_ALL_DIFF = _DIFF.replace(" WHERE o_orderkey % 97 = 0", "").replace("o_custkey % 150", "o_custkey")
+_SECTION = "CASE page_id % 3 WHEN 0 THEN 'Section 7' WHEN 1 THEN 'Section 19: One Path' ELSE 'Section 2' END"
+_SAID = "CASE WHEN page_id % 2 = 0 THEN 'A flag GATES the step' ELSE 'Too long' END"
 
 
-@query(f"WITH {_ALL_DIFF} SELECT * FROM s")
-def diff_all_status(spark, sf_dir):
-    """Findings against the changed lines of all orders, then the status of each check. (JOIN-07, AGG-03)"""
-    return review.status_by_check(review.classify_by_diff(*_all_findings(spark, sf_dir)))
-
-
-@query(f"WITH {_ALL_DIFF} SELECT event_id, in_diff FROM d")
-def diff_all_classify(spark, sf_dir):
-    """Each finding's class against the changed lines of all orders. (JOIN-07, FN-09)"""
-    return review.classify_by_diff(*_all_findings(spark, sf_dir)).select("event_id", "in_diff")
+@query(rf"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS file, lower({_SECTION} || ' ' || {_SAID}) AS t FROM pages)
+SELECT page_id FROM p WHERE NOT (file <> '' AND (contains(t, 'section 19') OR contains(t, 'section 7')) AND contains(t, 'gates ') AND regexp_matches(file, '^(?:en/[^/]*)$|^(?:.*\.html)$'))""".replace("\\\\", "\\"))
+def allowlist_anti(spark, sf_dir):
+    """Findings but those about modes in files that a glob allows. (JOIN-08, FLT-12, FLT-13)"""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*/", "").alias("file"), F.expr(_SECTION).alias("section"), F.expr(_SAID).alias("message"))
+    return review.not_allowed(pages, ["en/*", "**.html"]).select("page_id")
 
 
-@query(ORACLES["verdict"].replace(_DIFF, _ALL_DIFF))
-def diff_all_verdict(spark, sf_dir):
-    """Overall verdict over the changed lines of all orders. (AGG-02)"""
-    return review.overall(diff_all_status(spark, sf_dir))
+_BANNED = [("small.ring", "first"), ("small", "never"), ("red.widget", "second"), ("red", "red"), ("ring.x", "third")]
 
 
-@query(ORACLES["status_report"].replace(_DIFF, _ALL_DIFF))
-def diff_all_report(spark, sf_dir):
-    """The text report over the changed lines of all orders. (SNK-10, FLT-17)"""
-    return review.report_lines(diff_all_status(spark, sf_dir))
+@query(r"""WITH m AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '.') || '.inner' WHEN 1 THEN replace(p_name, ' ', '.') WHEN 2 THEN string_split(p_name, ' ')[1] ELSE replace(p_name, ' ', '.') || 'x' END AS module FROM part)
+SELECT p_partkey, module, CASE WHEN module = 'small.ring' OR starts_with(module, 'small.ring.') THEN 'first' WHEN module = 'small' THEN 'never' WHEN module = 'red.widget' OR starts_with(module, 'red.widget.') THEN 'second' WHEN module = 'red' THEN 'red' WHEN module = 'ring.x' OR starts_with(module, 'ring.x.') THEN 'third' END AS rule FROM m""")
+def rule_first_match(spark, sf_dir):
+    """The first rule that bans a module. (JOIN-12)"""
+    dotted = F.replace("p_name", F.lit(" "), F.lit("."))
+    k = F.col("p_partkey") % 4
+    module = F.when(k == 0, F.concat(dotted, F.lit(".inner"))).when(k == 1, dotted).when(k == 2, F.get(F.split("p_name", " "), 0)).otherwise(F.concat(dotted, F.lit("x")))
+    return table(spark, sf_dir, "part").select("p_partkey", module.alias("module")).withColumn("rule", review.banned_module(F.col("module"), _BANNED))
 
 
 @query("""WITH b AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3 AS batch FROM documents)
@@ -157,13 +185,6 @@ def cache_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.cache_key(F.col("lang"), F.col("source"), F.col("n_chars").cast("string")).alias("cache_key"))
 
 
-@query(r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '^(?:[^/]*\.html)$|^(?:a.*)$')")
-def allowlist_anti(spark, sf_dir):
-    """Pages whose path no glob allows. (JOIN-08, FLT-12)"""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("url", "^[a-z]+://[^/]*/", "").alias("_p"))
-    return review.not_allowed(pages, "_p", ["*.html", "a**"]).select("page_id", "url")
-
-
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
 def unknown_reference(spark, sf_dir):
     """References without a target. (JOIN-04, JOIN-06, JOIN-10)"""
@@ -198,25 +219,6 @@ def overlay_deep(spark, sf_dir):
     return overlay.deep_overlay(base, over)
 
 
-_RULES = [(1, "STANDARD", "std"), (2, "STANDARD P", "std-p"), (3, "PROMO", "promo"), (4, "SMALL", "small"), (5, "", "other")]
-
-
-@query("WITH r(ord, prefix, name) AS (VALUES " + ", ".join(f"({o}, '{p}', '{n}')" for o, p, n in _RULES) + ") SELECT p_partkey, p_type, arg_min(name, ord) AS rule FROM part JOIN r ON starts_with(p_type, prefix) GROUP BY ALL")
-def rule_first_match(spark, sf_dir):
-    """The first rule in order wins. (JOIN-12, FN-05)"""
-    rules = spark.createDataFrame(_RULES, "ord int, prefix string, name string")
-    return review.first_matching_rule(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", rules)
-
-
-@query("""WITH l AS (SELECT doc_id, len(string_split(regexp_replace(text, '\\n+$', ''), chr(10))) AS lines FROM documents WHERE text <> ''),
-b AS (SELECT doc_id, lines - doc_id % 3 AS base FROM l WHERE doc_id % 4 <> 0)
-SELECT l.doc_id, l.lines, b.base FROM l LEFT JOIN b ON b.doc_id = l.doc_id WHERE l.lines > 10 AND (b.base IS NULL OR l.lines > b.base)""".replace("\\\\n", "\\n"))
-def line_limits(spark, sf_dir):
-    """Files over the limit that are new or grew. (JOIN-21, AGG-11, PRJ-20)"""
-    now = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", T.count_lines(F.col("text")).cast("long").alias("lines"))
-    before = now.where("doc_id % 4 <> 0").select("doc_id", (F.col("lines") - F.col("doc_id") % 3).alias("lines"))
-    return review.grown_over_limit(now, before, "doc_id", "lines", 10)
-
 
 @query(rf"WITH {CODE} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n+$', '') || chr(10) AS fixed FROM c")
 def fix_text(spark, sf_dir):
@@ -230,43 +232,18 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slugify(F.col("p_name")).alias("slug"))
 
 
-@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace('**' || text || '** and `code` [t](u)', '`([^`]*)`', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g')) AS plain FROM (SELECT item_id, regexp_replace(text, '\s+', ' ', 'g') AS text FROM benchmark)""")
-def markdown_plain(spark, sf_dir):
-    """Markdown unwrapped. (FN-03)"""
-    flat = F.regexp_replace("text", r"\s+", " ")
-    return table(spark, sf_dir, "benchmark").select("item_id", T.markdown_plain(F.concat(F.lit("**"), flat, F.lit("** and `code` [t](u)"))).alias("plain"))
-
-
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?](?:\s|$)')) AS BIGINT) AS n FROM documents")
 def sentence_counts(spark, sf_dir):
     """Sentence ends. (FN-10, CHK-15)"""
     return table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).cast("long").alias("n"))
 
 
-@query(rf"WITH {CODE} SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(CASE WHEN contains(text, 'See Also:') THEN regexp_replace(text, '(?s)^.*?See Also:', '') ELSE '' END, '[A-Za-z0-9_./-]+\.md'))), ',') AS refs FROM c WHERE doc_id % 11 = 7")
-def see_also(spark, sf_dir):
-    """References behind See Also. (FN-12, JOIN-09)"""
-    return code_lines(spark, sf_dir).where("doc_id % 11 = 7").select("doc_id", F.array_join(T.see_also(F.col("text")), ",").alias("refs"))
-
-
-@query(ORACLES["see_also"].removesuffix(" WHERE doc_id % 11 = 7"))
-def see_also_all(spark, sf_dir):
-    """References behind See Also of all documents. (FN-12, JOIN-09)"""
-    return code_lines(spark, sf_dir).select("doc_id", F.array_join(T.see_also(F.col("text")), ",").alias("refs"))
-
-
 @query(f"WITH {CODE} SELECT path FROM c WHERE contains(text, chr(10) || '<<<<<<<') OR contains(text, chr(10) || '=======') OR contains(text, chr(10) || '>>>>>>>') OR starts_with(text, '<<<<<<<')")
 def merge_conflicts(spark, sf_dir):
     """Files with conflict marks. (CHK-01)"""
     return code_lines(spark, sf_dir).where(checks.merge_conflict(F.col("text"))).select("path")
 
 
-@query(f"WITH {CODE} SELECT path FROM c WHERE regexp_matches(text, '-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----')")
-def private_keys(spark, sf_dir):
-    """Files with private keys. (CHK-03)"""
-    return code_lines(spark, sf_dir).where(checks.private_key(F.col("text"))).select("path")
-
-
 @query(f"WITH {CODE}, w AS (SELECT unnest(['TODO_FORBIDDEN', 'INSERT INTO']) AS word) SELECT path, word FROM c JOIN w ON contains(text, word) WHERE path <> 'src/8.py'")
 def forbidden_strings(spark, sf_dir):
     """Forbidden strings but for the exempt file. (CHK-05, FLT-14)"""
@@ -276,38 +253,12 @@ def forbidden_strings(spark, sf_dir):
 def _sql_case(patterns) -> str:
     return "CASE " + " ".join("WHEN regexp_matches(line, '{}') THEN '{}'".format(r.replace("'", "''"), n) for r, n in patterns) + " END"
 
-
-# The SQL of sql_patterns knows these ten only, which suffice for LINES.
-_TEN = "SELECT FROM,INSERT INTO,UPDATE SET,DELETE FROM,CREATE TABLE,CREATE INDEX,ALTER TABLE,DROP TABLE,TRUNCATE,VALUES".split(",")
-_SQL_CASE = _sql_case([next(p for p in checks.SQL_PATTERNS if p[1] == n) for n in _TEN])
 _SQL_CASE_ALL = _sql_case(checks.SQL_PATTERNS)
 
 
-@query(rf"WITH {CODE}, l AS (SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[-1], '\s+', ' ', 'g')) AS line FROM c) SELECT doc_id, {_SQL_CASE} AS pattern FROM l WHERE length(line) >= 12 AND {_SQL_CASE} IS NOT NULL")
-def sql_patterns(spark, sf_dir):
-    """The first SQL pattern of a line. (FN-13, AST-04)"""
-    last = F.element_at(F.split("text", "\n"), -1)
-    return code_lines(spark, sf_dir).select("doc_id", checks.sql_pattern(last).alias("pattern")).where("pattern is not null")
-
-
 _NOQA = "CASE " + " ".join(f"WHEN regexp_matches(line, '{r}') THEN '{n}'" for r, n in checks.SUPPRESSIONS) + " END"
 
 
-@query(f"WITH {CODE}, l AS (SELECT doc_id, string_split(text, chr(10))[-1] AS line FROM c) SELECT doc_id, {_NOQA} AS label FROM l WHERE {_NOQA} IS NOT NULL")
-def suppressions(spark, sf_dir):
-    """Suppression comments by the first pattern. (CHK-09)"""
-    last = F.element_at(F.split("text", "\n"), -1)
-    return code_lines(spark, sf_dir).select("doc_id", checks.first_pattern(last, checks.SUPPRESSIONS).alias("label")).where("label is not null")
-
-
-@query(f"""WITH {CODE}, s AS (SELECT path, string_split(text, chr(10))[-1] || chr(10) || 'run' AS text FROM c WHERE doc_id % 11 IN (0, 4)),
-e AS (SELECT path, unnest(list_filter([CASE WHEN NOT starts_with(text, '#!') THEN 'missing shebang' END, CASE WHEN NOT contains(text, 'set -euo pipefail') THEN 'missing strict mode' END, CASE WHEN NOT contains(text, 'common.sh') THEN 'missing helper' END], lambda x: x IS NOT NULL)) AS error FROM s) SELECT path, error FROM e""")
-def shell_practices(spark, sf_dir):
-    """Errors of shell scripts. (CHK-06, FLT-06)"""
-    scripts = code_lines(spark, sf_dir).where("doc_id % 11 in (0, 4)").select("path", F.concat(F.element_at(F.split("text", "\n"), -1), F.lit("\nrun")).alias("text"))
-    return scripts.select("path", F.explode(checks.shell_errors(F.col("text"), F.lit(True))).alias("error"))
-
-
 _LINES = f"{CODE}, a AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM c), l AS (SELECT doc_id, CAST(unnest(generate_series(1, len(parts))) AS INTEGER) AS line_no, unnest(parts) AS line FROM a)"
 
 
@@ -328,33 +279,6 @@ def suppression_lines(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line_no", checks.first_pattern(F.col("line"), checks.SUPPRESSIONS).alias("label")).where("label is not null")
 
 
-@query(f"""WITH {CODE}, e AS (SELECT path, unnest(list_filter([CASE WHEN NOT starts_with(text, '#!') THEN 'missing shebang' END, CASE WHEN NOT contains(text, 'set -euo pipefail') THEN 'missing strict mode' END, CASE WHEN NOT contains(text, 'common.sh') THEN 'missing helper' END], lambda x: x IS NOT NULL)) AS error FROM c) SELECT path, error FROM e""")
-def shell_errors_whole(spark, sf_dir):
-    """Errors of all documents, each whole text as one shell script. (CHK-06)"""
-    return code_lines(spark, sf_dir).select("path", F.explode(checks.shell_errors(F.col("text"), F.lit(True))).alias("error"))
-
-
-def _messages(rows: DataFrame) -> DataFrame:
-    k = F.col("conv_id") % 5
-    head = F.when(k == 0, "feat: ").when(k == 1, "fix(core)!: ").when(k == 2, "oops ").when(k == 3, "misc: ").otherwise("Merge ")
-    return rows.where("turn = 0").select("conv_id", F.concat(head, F.substring(F.regexp_replace("text", r"\s+", " "), 1, 62), F.when(F.col("conv_id") % 2 == 0, F.lit("\n\nBody\nCo-Authored-By: Robo")).otherwise(F.lit("\nBody"))).alias("text"))
-
-
-_MSG = r"m AS (SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'feat: ' WHEN 1 THEN 'fix(core)!: ' WHEN 2 THEN 'oops ' WHEN 3 THEN 'misc: ' ELSE 'Merge ' END || substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 62) || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'Body' || chr(10) || 'Co-Authored-By: Robo' ELSE chr(10) || 'Body' END AS text FROM conversations WHERE turn = 0)"
-
-
-@query(rf"""WITH {_MSG}, h AS (SELECT conv_id, list_transform(string_split(text, chr(10)), lambda x: rtrim(x)) AS l FROM m), k AS (SELECT conv_id, l, regexp_extract(l[1], '^([a-z]+)(\([^)]*\))?!?: .+', 1) AS kind FROM h WHERE NOT regexp_matches(l[1], '^(Merge|Revert) '))
-SELECT conv_id, unnest(list_filter([CASE WHEN kind = '' THEN 'malformed header' WHEN kind NOT IN ('build', 'chore', 'ci', 'docs', 'feat', 'fix', 'perf', 'refactor', 'style', 'test') THEN 'unknown type' END,
-CASE WHEN strlen(l[1]) > 72 THEN 'header too long' END, CASE WHEN len(l) > 1 AND l[2] <> '' THEN 'second line not blank' END], lambda x: x IS NOT NULL)) AS error FROM k""")
-def commit_lint(spark, sf_dir):
-    """Errors of commit messages. (CHK-07, SRC-13)"""
-    return _messages(table(spark, sf_dir, "conversations")).select("conv_id", F.explode(checks.commit_errors(F.col("text"))).alias("error"))
-
-
-@query(f"WITH {_MSG}, l AS (SELECT CAST(conv_id AS VARCHAR) AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM m) SELECT path, CAST(line AS INTEGER) AS line, text FROM l WHERE regexp_matches(text, '(?i)co-?authored-?by:\\s*(Robo)')")
-def attribution(spark, sf_dir):
-    """Lines that credit a tool. (CHK-08)"""
-    return checks.attribution(_messages(table(spark, sf_dir, "conversations")).select(F.col("conv_id").cast("string").alias("path"), "text"), ("Robo",))
 
 
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k FROM events""")
@@ -392,13 +316,6 @@ def drift(spark, sf_dir):
     return review.drift(e, a, "n_nationkey", "n_name")
 
 
-@query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 2")
-def tail_lines(spark, sf_dir):
-    """The last lines of each log. (WIN-06)"""
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return table(spark, sf_dir, "conversations").withColumn("_k", F.row_number().over(w)).where("_k <= 2").select("conv_id", "turn", "text")
-
-
 @query("SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL")
 def banner_first(spark, sf_dir):
     """First occurrence of each banner. (WIN-04, SRC-05)"""
@@ -455,18 +372,6 @@ def literals(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.toml_string(F.concat("s_name", F.lit("\n"))).alias("literal"), F.when(F.col("s_acctbal") > 0, F.concat(whole.cast("string"), F.lit("s"))).otherwise(T.duration_literal(F.lit(0))).alias("ttl"))
 
 
-@query(rf"WITH {CODE} SELECT doc_id, regexp_extract(text, '(?:>=|~=|==)\s*(\d+\.\d+)', 1) AS version FROM c WHERE doc_id % 11 = 10")
-def version_requirements(spark, sf_dir):
-    """Versions in requirement texts. (FN-16, SRC-12)"""
-    return code_lines(spark, sf_dir).where("doc_id % 11 = 10").select("doc_id", T.version_requirement(F.col("text")).alias("version"))
-
-
-@query(ORACLES["version_requirements"].removesuffix(" WHERE doc_id % 11 = 10"))
-def version_requirements_all(spark, sf_dir):
-    """Versions in the requirement texts of all documents. (FN-16, SRC-12)"""
-    return code_lines(spark, sf_dir).select("doc_id", T.version_requirement(F.col("text")).alias("version"))
-
-
 @query("SELECT doc_id, trim(string_split(text, chr(10))[1]) AS snippet FROM documents")
 def source_snippets(spark, sf_dir):
     """The first source line. (FN-22)"""
@@ -486,6 +391,117 @@ def distinct_findings(spark, sf_dir):
     return d.select("lang", "source").union(d.select("source", "lang")).distinct()
 
 
+_ENDING = "CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.SH' WHEN 2 THEN '.bash' WHEN 3 THEN '.txt' ELSE '' END"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 'scripts/' ELSE 'src/' END || doc_id || {_ENDING} AS path, len(string_split(regexp_replace(text, '\n+$', ''), chr(10))) AS lines FROM documents WHERE text <> ''),
+k AS (SELECT *, CASE WHEN doc_id % 5 IN (1, 2) OR doc_id % 10 = 4 THEN 3 ELSE 8 END AS most FROM l WHERE doc_id % 5 < 3 OR doc_id % 10 = 4),
+b AS (SELECT doc_id, lines - doc_id % 3 AS base FROM l WHERE doc_id % 4 <> 0)
+SELECT k.path, k.lines, b.base FROM k LEFT JOIN b ON b.doc_id = k.doc_id WHERE k.lines > most AND (b.base IS NULL OR k.lines > b.base)""")
+def line_limits(spark, sf_dir):
+    """Governed files over the limit of their ending that are new or grew. (JOIN-21, AGG-11, PRJ-20, FLT-07)"""
+    path = F.concat(F.when(F.col("doc_id") % 10 == 4, "scripts/").otherwise("src/"), F.col("doc_id").cast("string"), F.expr(_ENDING))
+    all_now = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", path.alias("path"), T.count_lines(F.col("text")).cast("long").alias("lines"))
+    before = all_now.where("doc_id % 4 <> 0").select("path", (F.col("lines") - F.col("doc_id") % 3).alias("lines"))
+    now = all_now.where(checks.line_limited(F.col("path")))
+    limit = checks.line_limit(F.col("path"), python={"hard": 8}, shell={"hard": 3})
+    return review.grown_over_limit(now, before, "path", "lines", limit)
+
+
+def _plain(x: str) -> str:
+    """markdown_plain in SQL."""
+    for pattern, by in (("(?s)```.*?```", ""), ("`([^`]+)`", r"\1"), (r"\[(.*?)\]\([^)]+\)", r"\1"), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"(?m)^#+\s*", ""), (r"(?m)^\s*[-*]\s+", ""), (r"\s+", " ")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return f"trim({x})"
+
+
+_MD = "'# **' || substring(text, 1, 20) || '**' || chr(10) || chr(10) || '- ' || text || ' and `code` [t](u) *i*' || chr(10) || '```' || chr(10) || 'x. y' || chr(10) || '```' || chr(10) || '* last' || chr(10) || '---'"
+
+
+@query(f"SELECT item_id, {_plain(_MD)} AS plain FROM benchmark")
+def markdown_plain(spark, sf_dir):
+    """Markdown unwrapped. (FN-03)"""
+    return table(spark, sf_dir, "benchmark").select("item_id", T.markdown_plain(F.expr(_MD.replace("chr(", "char("))).alias("plain"))
+
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH b AS (SELECT item_id, {_MD} AS t FROM benchmark), f AS (SELECT item_id, regexp_replace(regexp_replace({_STRIP.format('t')}, '\n---\s*$', ''), '(?s)```.*?```', '', 'g') AS t FROM b),
+p AS (SELECT item_id, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '' AND x <> '---' AND NOT starts_with(x, '### ')) AS ps FROM f),
+q AS (SELECT item_id, list_filter(list_transform(ps, lambda x: {_plain('x')}), lambda x: x <> '')[1] AS c FROM p)
+SELECT item_id, coalesce(rtrim(substring(CASE WHEN regexp_matches(c, '^.+?[.!?](\s|$)') THEN regexp_extract(c, '^(.+?[.!?])(?:\s|$)', 1) ELSE c END, 1, 240)), 'No summary available.') AS summary FROM q""")
+def summaries(spark, sf_dir):
+    """Summaries of Markdown. (FN-04)"""
+    return table(spark, sf_dir, "benchmark").select("item_id", T.summarize(F.expr(_MD.replace("chr(", "char("))).alias("summary"))
+
+
+_SEE = "text || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'See also: b.md' WHEN 1 THEN 'see also:  ' ELSE 'See Also:' END || chr(10) || '    two.md: second' || chr(10) || '    one.md - first' || chr(10) || '    sub/three.md | x' || chr(10) || 'four.md: no'"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, regexp_extract({_SEE}, '(?ims)^See Also:\s*$(.*)', 1) AS tail FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(tail, '(?m)^\s+([A-Za-z0-9_-]+\.md)\s*[:|-]', 1))), ',') AS refs, array_to_string(list_sort(list_distinct(regexp_extract_all(tail, '(?m)^\s+([A-Za-z0-9_/-]+/[A-Za-z0-9_-]+\.md)\s*[:|-]', 1))), ',') AS paths FROM c""")
+def see_also(spark, sf_dir):
+    """References behind See Also of all documents, and those with a folder. (FN-12)"""
+    text = F.expr(_SEE.replace("chr(", "char("))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.see_also(text), ",").alias("refs"), F.array_join(T.see_also(text, T.SEE_PATH), ",").alias("paths"))
+
+
+@query(f"WITH {CODE} SELECT path FROM c WHERE regexp_matches(text, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----')")
+def private_keys(spark, sf_dir):
+    """Files with private keys. (CHK-03)"""
+    return code_lines(spark, sf_dir).where(checks.private_key(F.col("text"))).select("path")
+
+
+_SHELL = "CASE doc_id % 3 WHEN 0 THEN '#!/usr/bin/env bash' WHEN 1 THEN '#!/usr/bin/python' ELSE 'echo' END || chr(10) || CASE doc_id % 4 WHEN 0 THEN '  set -euo pipefail' WHEN 1 THEN 'x set -euo pipefail' WHEN 2 THEN 'set -e pipefail' ELSE '' END || chr(10) || CASE doc_id % 5 WHEN 0 THEN 'source lib/common.sh' WHEN 1 THEN '. common.sh' WHEN 2 THEN '# common.sh' ELSE '' END || chr(10) || text"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {_SHELL} AS text FROM documents), e AS (SELECT doc_id, unnest(list_filter([
+CASE WHEN NOT regexp_matches(text, '^#![^\n]*sh') THEN 'missing or invalid shell shebang' END, CASE WHEN NOT regexp_matches(text, '(?m)^\s*set\s+-[euo]+\s*pipefail|^\s*set\s+-euo\s+pipefail') THEN 'missing ' || chr(39) || 'set -euo pipefail' || chr(39) END,
+CASE WHEN doc_id % 2 = 0 AND NOT regexp_matches(text, '(?m)source\s+.*common\.sh|^\.\s+.*common\.sh') THEN 'scripts/ shell files must source the repository common shell helpers' END], lambda x: x IS NOT NULL)) AS error FROM s) SELECT doc_id, error FROM e""")
+def shell_practices(spark, sf_dir):
+    """Errors of all documents, each whole text as one shell script. (CHK-06, FLT-06)"""
+    scripts = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SHELL.replace("chr(", "char(")).alias("text"))
+    return scripts.select("doc_id", F.explode(checks.shell_errors(F.col("text"), F.col("doc_id") % 2 == 0)).alias("error"))
+
+
+_MESSAGE = "CASE WHEN turn % 7 = 3 THEN chr(10) || '  ' || chr(10) ELSE '' END || CASE (conv_id + turn) % 6 WHEN 0 THEN 'feat(x): ' WHEN 1 THEN 'fix(core)!: ' WHEN 2 THEN 'oops ' WHEN 3 THEN 'misc(a.b): ' WHEN 4 THEN 'Merge ' ELSE 'feat: ' END || text || CASE turn % 3 WHEN 0 THEN chr(10) || chr(10) || 'Body' || chr(10) || 'Co-Authored-By: Robo X' WHEN 1 THEN chr(10) || '# note Robo' || chr(10) || 'Body  ' ELSE '' END"
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, text): each turn's whole text as a commit message."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_MESSAGE.replace("chr(", "char(")).alias("text"))
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, list_transform(list_filter(string_split({_MESSAGE}, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*#')), lambda x: regexp_replace(x, '[ \t\r]+$', '')) AS a FROM conversations),
+l AS (SELECT conv_id, turn, a[list_position(list_transform(a, lambda x: trim(x) <> ''), true):] AS l FROM m),
+h AS (SELECT *, l[1] AS h, regexp_matches(l[1], '^([a-z]+)\(([A-Za-z0-9_.-]+)\)!?: (.+)$') AS ok FROM l WHERE NOT regexp_matches(l[1], '^(Merge |Revert |fixup! |squash! )'))
+SELECT conv_id, turn, unnest(list_filter([CASE WHEN strlen(h) > 150 THEN 'header must be <= 150 characters' END, CASE WHEN NOT ok THEN 'header must match: type(scope): subject' END,
+CASE WHEN ok AND regexp_extract(h, '^([a-z]+)', 1) NOT IN ('chore', 'docs', 'feat', 'fix', 'perf', 'refactor', 'test') THEN 'type must be one of: chore, docs, feat, fix, perf, refactor, test' END,
+CASE WHEN ok AND len(l) > 1 AND trim(l[2]) <> '' THEN 'body/footer must be separated from header by a blank line' END], lambda x: x IS NOT NULL)) AS error FROM h""")
+def commit_lint(spark, sf_dir):
+    """Errors of commit messages. (CHK-07, SRC-13)"""
+    return _messages(spark, sf_dir).select("conv_id", "turn", F.explode(checks.commit_errors(F.col("text"))).alias("error"))
+
+
+@query(f"WITH l AS (SELECT conv_id || '/' || turn AS path, unnest(string_split({_MESSAGE}, chr(10))) AS text, generate_subscripts(string_split({_MESSAGE}, chr(10)), 1) AS line FROM conversations) SELECT path, CAST(line AS INTEGER) AS line, text FROM l WHERE regexp_matches(text, '(?i)co-?authored-?by:\\s*(Robo)')")
+def attribution(spark, sf_dir):
+    """Lines that credit a tool. (CHK-08)"""
+    return checks.attribution(_messages(spark, sf_dir).select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("path"), "text"), ("Robo",))
+
+
+@query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 30")
+def tail_lines(spark, sf_dir):
+    """The last thirty lines of each log. (WIN-06)"""
+    return checks.tail_lines(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id")
+
+
+@query(rf"WITH {CODE} SELECT doc_id, regexp_extract(text, '(?:>=|~=|==)\s*(\d+\.\d+)', 1) AS version FROM c")
+def version_requirements(spark, sf_dir):
+    """Versions in the requirement texts of all documents. (FN-16)"""
+    return code_lines(spark, sf_dir).select("doc_id", T.version_requirement(F.col("text")).alias("version"))
+
+
 def _sections(sql: bool = False):
     return F.concat(F.col("text"), F.lit("\n## One\nbody\n## Two"))
 

@@ -16,109 +16,157 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veriloom.session import ready
 
-_ANSI = re.compile(r"\x1b\[[0-9;]*m")
-_STATUS = re.compile(r"\.{3,}(?:\(no files to check\))?(Failed|Passed|Skipped)$")
-_OLD = re.compile(r"^\s*\[Pre-existing \([0-9]+\)\]$")
-_RULE = re.compile(r"^={50,}$")
-_META = ("- hook id:", "- duration:", "- files were modified")
-_EXACT = frozenset(("All checks passed!", "Analyzing diff for changed lines..."))
+# Fixed values of the reference's settings. (FLT-03, STM-01 to STM-03)
+ANSI = re.compile(r"\x1b\[[0-9;]*m")
+PASSED = re.compile(r"\.{3,}Passed$")
+SKIPPED = re.compile(r"(\.{3,}Skipped$|\(no files to check\)Skipped$)")
+FAILED = re.compile(r"\.{3,}Failed$")
+STATUS = re.compile(r"\.{3,}(Failed|Passed|Skipped)$")
+PRE_EXISTING = re.compile(r"^\s*\[Pre-existing \([0-9]+\)\]$")
+SEPARATOR = re.compile(r"^={50,}$")
+METADATA = ("- hook id:", "- duration:", "- files were modified")
+EXACT = frozenset(("All checks passed!", "Analyzing diff for changed lines..."))
+PREFIXES = ("- files were modified", "Both GOOGLE_API_KEY and GEMINI_API_KEY", "[WARNING] Unstaged", "  Failed to get diff for")
+PATTERNS = tuple(
+    map(
+        re.compile,
+        (
+            "^[0-9]+ files? already formatted$",
+            "^[0-9].*files? already formatted$",
+            r"^\[INFO\] (Stashing|Restored)",
+            "^  (Rate limited|Timeout|Service unavailable|Error), waiting",
+            r"^  Skipping .* \(>[0-9]+KB\)",
+            "^Running [0-9]+ check types in parallel",
+            r"^OK .*: PASS \([0-9]+ms\)$",
+            "^Summary: [0-9]+ passed",
+            "^Total time: [0-9]+ms",
+            r"^\[.*\] Processing [0-9]+ files",
+            r"^\[.*\] Batch error:",
+        ),
+    )
+)
+HOW, RULE = "How to fix:", "=" * 70
+
+
+def noise(clean: str) -> bool:
+    """Whether a line is dropped wherever it stands. (FLT-03)"""
+    return clean in EXACT or clean.startswith(PREFIXES) or any(p.search(clean) for p in PATTERNS)
 
 
 @dataclass
 class Quiet:
-    """The state between lines."""
+    """What is remembered between lines: counts, which kind of lines is being dropped, and headings seen."""
 
     passed: int = 0
     failed: int = 0
     skipped: int = 0
-    meta: bool = False
-    old: bool = False
+    metadata: bool = False
+    pre_existing: bool = False
+    separator: bool = False
+    repeated: bool = False
+    how: bool = False
+    how_again: bool = False
     blank: bool = False
     banners: set[str] = field(default_factory=set)
-    after_rule: bool = False
-    in_banner: bool = False
-
-    def line(self, text: str) -> str | None:
-        """The line if it stays (as it came, colours included), else None."""
-        clean = _ANSI.sub("", text)
-        status = _STATUS.search(clean)
-        if status:
-            kind = status[1]
-            self.old = self.in_banner = False
-            if kind == "Failed":
-                self.failed, self.meta, self.blank = self.failed + 1, False, False
-                return text
-            if kind == "Passed":
-                self.passed += 1
-            else:
-                self.skipped += 1
-            self.meta = True
-            return None
-        if clean.startswith(_META):
-            return None if self.meta or clean.startswith(_META[2]) else text
-        if clean in _EXACT:
-            return None
-        if _OLD.match(clean):
-            self.old = True
-            return None
-        if self.old:
-            if clean[:1].isspace() or not clean:
-                return None
-            self.old = False
-        if _RULE.match(clean):
-            self.after_rule = True
-            return None if self.in_banner else text
-        if self.after_rule and clean:
-            self.after_rule = False
-            self.in_banner = clean in self.banners
-            self.banners.add(clean)
-        if self.in_banner:
-            return None
-        if not clean.strip():
-            if self.blank:
-                return None
-            self.blank = True
-            return text
-        self.blank = self.meta = False
-        return text
+
+    def line(self, text: str) -> list[str]:
+        """What a line leaves: itself as it came (colours included), nothing, or itself within the rules of its banner."""
+        clean = ANSI.sub("", text)
+        if PASSED.search(clean):
+            self.passed, self.metadata = self.passed + 1, True
+            return []
+        if SKIPPED.search(clean):
+            self.skipped, self.metadata = self.skipped + 1, True
+            return []
+        self.failed += bool(FAILED.search(clean))
+        self.metadata = self.metadata and (not clean or clean.startswith(METADATA))
+        if self.metadata or noise(clean):
+            return []
+        if PRE_EXISTING.search(clean):
+            self.pre_existing = True
+            return []
+        self.pre_existing = self.pre_existing and (not clean or clean[0] == " ")
+        if self.pre_existing:
+            return []
+        if SEPARATOR.search(clean):
+            self.separator = True
+            return []
+        heading, self.separator = self.separator and bool(clean), False
+        if heading:
+            return self._heading(text, clean)
+        self.repeated = self.repeated and not STATUS.search(clean)
+        if self.repeated:
+            return []
+        if clean == HOW:
+            self.how, self.how_again = True, self.how
+            return [] if self.how_again else [text]
+        self.how_again = self.how_again and (not clean or clean[0] == " ")
+        if self.how_again:
+            return []
+        again, self.blank = self.blank and not clean, not clean
+        return [] if again else [text]
+
+    def _heading(self, text: str, clean: str) -> list[str]:
+        """A line behind a separator: a banner, of which only the first stays, or a list item."""
+        if clean[0] == "-" or "0" <= clean[0] <= "9":
+            return [RULE, text]
+        if clean in self.banners:
+            self.repeated = True
+            return []
+        self.banners.add(clean)
+        self.how = self.how or clean == HOW
+        return [RULE, text, RULE]
 
     def summary(self) -> str | None:
-        """The totals, only if something failed."""
-        return f"{self.failed} failed, {self.passed} passed, {self.skipped} skipped" if self.failed else None
+        """The totals, only if something failed. (AGG-07)"""
+        if not self.failed:
+            return None
+        counts = ((self.passed, 32, "passed"), (self.failed, 31, "failed"), (self.skipped, 33, "skipped"))
+        return "  (" + ", ".join(f"\x1b[{colour}m{n} {name}\x1b[0m" for n, colour, name in counts if n) + ")"
 
+    def packed(self) -> tuple:
+        return (self.passed, self.failed, self.skipped, self.metadata, self.pre_existing, self.separator, self.repeated, self.how, self.how_again, self.blank, sorted(self.banners))
 
-OUT = "stream string, ord long, line string"
+    @classmethod
+    def unpacked(cls, old: tuple) -> Quiet:
+        return cls(*old[:10], set(old[10]))
+
+
+OUT = "stream string, ord long, part int, line string"
+_STATE = "passed int, failed int, skipped int, metadata boolean, pre_existing boolean, separator boolean, repeated boolean, how boolean, how_again boolean, blank boolean, banners array<string>"
+
+
+def _left(state: Quiet, stream: object, frame: pd.DataFrame) -> list[tuple]:
+    return [(stream, at, k, x) for at, text in frame.sort_values("ord")[["ord", "line"]].itertuples(index=False) for k, x in enumerate(state.line(text or ""))]
 
 
 def filter_batch(lines: DataFrame) -> DataFrame:
-    """(stream, ord, line) that stay of lines (stream, ord, line), one task a stream; the summary comes last."""
+    """(stream, ord, part, line) that stay of lines (stream, ord, line); the summary comes last.
+
+    Each line's fate hangs on all lines before it, so one task filters a stream, in Arrow batches of one group: a stream is
+    the output of one run. Cut longer ones into streams.
+    """
     ready(lines.sparkSession)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, state, rows = frame.sort_values("ord"), Quiet(), []
-        for stream, at, text in frame[["stream", "ord", "line"]].itertuples(index=False):
-            kept = state.line(text or "")
-            if kept is not None:
-                rows.append((stream, at, kept))
+        state, stream = Quiet(), frame["stream"].iloc[0]
+        rows = _left(state, stream, frame)
         end = state.summary()
         if end:
-            rows.append((frame["stream"].iloc[0], int(frame["ord"].max()) + 1, end))
-        return pd.DataFrame(rows, columns=["stream", "ord", "line"])
+            rows.append((stream, int(frame["ord"].max()) + 1, 0, end))
+        return pd.DataFrame(rows, columns=["stream", "ord", "part", "line"])
 
     return lines.groupBy("stream").applyInPandas(run, OUT)
 
 
 def filter_stream(lines: DataFrame) -> DataFrame:
-    """The same over a streaming DataFrame; state outlives micro-batches, so append mode emits each line once."""
+    """The same over a streaming DataFrame; state outlives micro-batches, so append mode emits each line once. (SRC-18)"""
     ready(lines.sparkSession)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.getOption
-        q = Quiet(*old[:6], set(old[6]), *old[7:]) if old else Quiet()
+        q = Quiet.unpacked(state.getOption) if state.exists else Quiet()
         for frame in frames:
-            rows = [(key[0], at, kept) for at, text in frame.sort_values("ord")[["ord", "line"]].itertuples(index=False) if (kept := q.line(text or "")) is not None]
-            yield pd.DataFrame(rows, columns=["stream", "ord", "line"])
-        state.update((q.passed, q.failed, q.skipped, q.meta, q.old, q.blank, sorted(q.banners), q.after_rule, q.in_banner))
+            yield pd.DataFrame(_left(q, key[0], frame), columns=["stream", "ord", "part", "line"])
+        state.update(q.packed())
 
-    kept = "passed int, failed int, skipped int, meta boolean, old boolean, blank boolean, banners array<string>, after_rule boolean, in_banner boolean"
-    return lines.groupBy("stream").applyInPandasWithState(run, OUT, kept, "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("stream").applyInPandasWithState(run, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
