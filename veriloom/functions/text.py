@@ -178,7 +178,7 @@ def glob_regex(pattern: str) -> str:
 
 def normalized_list(items: Column) -> Column:
     """Trimmed items that aren't blank, in order. (PRJ-01)"""
-    return F.filter(F.transform(items, F.trim), lambda x: x != "")
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def distinct_in_order(items: Column, limit: int | None = None) -> Column:
