@@ -140,6 +140,13 @@ def with_block(text: Column, begin: str, end: str, body: Column) -> Column:
     return F.when(rest == "", block).otherwise(F.concat(rest, F.lit("\n\n"), block))
 
 
+def without_blocks(text: Column, begin: str, end: str) -> Column:
+    """Text without all parts from a mark that starts with begin to one that starts with end, blank lines squeezed. (FN-25)"""
+    bare = F.regexp_replace(text, f"(?s){re.escape(begin)}.*?{re.escape(end)}.*?-->", "")
+    body = F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
+    return F.when(body == "", "").otherwise(F.concat(body, F.lit("\n")))
+
+
 def toml_string(text: Column) -> Column:
     """A basic TOML string literal. (FN-26)"""
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):

@@ -13,24 +13,14 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
 from veriloom.operators import checks, overlay, python_facts, render, review
+from veriloom.plans import policy
 from veriloom.session import table
 from veriloom.sources import config
 from veriloom.streaming import quiet_filter
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = policy.QUERIES
+ORACLES: dict[str, str] = policy.ORACLES
+query = policy.query
 
 
 # Lines that are appended to documents by doc_id % 11.
@@ -169,38 +159,32 @@ def batches(spark, sf_dir):
 
 @query("SELECT sha256(text) AS digest, count(*) AS uses, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) >= 2")
 def corpus_reuse(spark, sf_dir):
-    """Contents used twice or more. (AGG-01, FN-08)"""
+    """Contents used twice or more. (AGG-01)"""
     return review.reused(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id"), "digest", "doc_id")
 
 
 @query("""SELECT user_id, max(ts) AS ts FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' AND ts >= TIMESTAMP '2024-01-08 00:00:00' GROUP BY user_id""")
 def cache_ttl(spark, sf_dir):
-    """Latest valid entry of each key. (JOIN-14, JOIN-15)"""
+    """Latest valid entry of each key. (JOIN-14)"""
     return review.latest_valid(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), 7)
 
 
-@query("SELECT doc_id, sha256(lang || chr(0) || source || chr(0) || CAST(n_chars AS VARCHAR)) AS cache_key FROM documents")
-def cache_key(spark, sf_dir):
-    """Keys over NUL-joined parts. (FN-07)"""
-    return table(spark, sf_dir, "documents").select("doc_id", T.cache_key(F.col("lang"), F.col("source"), F.col("n_chars").cast("string")).alias("cache_key"))
-
-
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
 def unknown_reference(spark, sf_dir):
-    """References without a target. (JOIN-04, JOIN-06, JOIN-10)"""
+    """References without a target. (JOIN-04)"""
     known = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0")
     return overlay.unknown(table(spark, sf_dir, "orders"), "o_custkey", known, "c_custkey")
 
 
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    """Keys that occur more than once. (JOIN-06, SET-01)"""
+    """Keys that occur more than once. (SET-01)"""
     return overlay.duplicates(table(spark, sf_dir, "documents"), "text")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS p_name, p_size FROM part""")
 def overlay_update(spark, sf_dir):
-    """Present fields replace, present nulls too. (JOIN-05, JOIN-03, PRJ-06)"""
+    """Present fields replace, present nulls too. (JOIN-05)"""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     key = F.col("p_partkey")
     o = part.where((key % 7 == 0) | (key % 5 == 0)).select("p_partkey", F.when(key % 7 != 0, F.upper("p_name")).alias("p_name"), F.lit(True).alias("has_p_name"))
@@ -234,7 +218,7 @@ def slugs(spark, sf_dir):
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?](?:\s|$)')) AS BIGINT) AS n FROM documents")
 def sentence_counts(spark, sf_dir):
-    """Sentence ends. (FN-10, CHK-15)"""
+    """Sentence ends. (FN-10)"""
     return table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).cast("long").alias("n"))
 
 
@@ -281,12 +265,6 @@ def suppression_lines(spark, sf_dir):
 
 
 
-@query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k FROM events""")
-def config_get(spark, sf_dir):
-    """Path look-up with a default. (PRJ-12, PRJ-13, PRJ-14)"""
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("k"))
-
-
 @query("SELECT doc_id, CASE WHEN strlen(text) > 2 * 1024 THEN 'skipped-large' ELSE 'included' END AS status FROM documents")
 def classify_size(spark, sf_dir):
     """Selected or skipped files. (FLT-02)"""
@@ -310,7 +288,7 @@ def import_except(spark, sf_dir):
 @query("""WITH e AS (SELECT n_nationkey, n_name FROM nation), a AS (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation WHERE n_nationkey % 5 <> 0)
 SELECT e.n_nationkey, CASE WHEN a.n_nationkey IS NULL THEN 'missing' ELSE 'changed' END AS state FROM e LEFT JOIN a ON a.n_nationkey = e.n_nationkey WHERE a.n_nationkey IS NULL OR a.n_name IS DISTINCT FROM e.n_name""")
 def drift(spark, sf_dir):
-    """Missing or changed files. (JOIN-22, JOIN-23, JOIN-20, CHK-16)"""
+    """Missing or changed files. (JOIN-22, JOIN-23)"""
     e = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     a = e.where("n_nationkey % 5 <> 0").select("n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("n_name"))
     return review.drift(e, a, "n_nationkey", "n_name")
@@ -318,14 +296,14 @@ def drift(spark, sf_dir):
 
 @query("SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL")
 def banner_first(spark, sf_dir):
-    """First occurrence of each banner. (WIN-04, SRC-05)"""
+    """First occurrence of each banner. (WIN-04)"""
     return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text || chr(10) || chr(10) || chr(10) || 'end', chr(10))) AS line, generate_subscripts(string_split(text || chr(10) || chr(10) || chr(10) || 'end', chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM l) SELECT doc_id, count(*) AS kept FROM k WHERE NOT (line = '' AND prior = '') OR prior IS NULL GROUP BY doc_id""")
 def blank_collapse(spark, sf_dir):
-    """Runs of blank lines count once. (WIN-05, SRC-18)"""
+    """Runs of blank lines count once. (WIN-05)"""
     lines = F.split(F.concat("text", F.lit("\n\n\nend")), "\n")
     kept = F.filter(lines, lambda x, i: ~((x == "") & (i > 0) & (F.get(lines, i - 1) == "")))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("kept"))
@@ -333,33 +311,20 @@ def blank_collapse(spark, sf_dir):
 
 @query("""SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_size))[1:3], ',') AS sizes, count(*) AS n FROM part GROUP BY p_brand""")
 def sorted_keys(spark, sf_dir):
-    """Sorted distinct keys, the first three. (SRT-02, SRT-04, SRT-05)"""
+    """Sorted distinct keys, the first three. (SRT-05)"""
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.slice(F.array_sort(F.collect_set("p_size")), 1, 3), ",").alias("sizes"), F.count("*").alias("n"))
 
 
-@query("""SELECT string_agg('- ' || p_name || ': ' || p_type, chr(10) ORDER BY p_size, lower(p_name), p_partkey) AS document FROM (SELECT * FROM part ORDER BY p_size, lower(p_name), p_partkey LIMIT 5)""")
-def digest(spark, sf_dir):
-    """The five first principles. (RND-06, RND-07, RND-11, SRT-01, SRT-08)"""
-    return render.digest(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("ord"), F.col("p_name").alias("title"), F.col("p_type").alias("directive")))
-
-
-@query("""SELECT p_partkey AS id, '# ' || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '- ' || p_brand || chr(10) || '- ' || p_type AS document FROM part""")
-def principle_detail(spark, sf_dir):
-    """One document a principle. (RND-10, PRJ-09)"""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("directive"), F.array("p_brand", "p_type").alias("quick_ref"))
-    return render.principle_detail(rows)
-
-
 @query("""SELECT n_regionkey, string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey) AS document FROM nation GROUP BY n_regionkey""")
 def index_list(spark, sf_dir):
-    """Ordered lists by group. (RND-01, RND-08, RND-09)"""
+    """Ordered lists by group."""
     return render.joined(table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], F.concat(F.lit("- "), F.col("n_name")))
 
 
 @query("""WITH x AS (SELECT 'pre' || chr(10) || '<!-- b -->' || chr(10) || 'old' || chr(10) || '<!-- e -->' AS pre, r_regionkey, r_name FROM region)
 SELECT r_regionkey, 'pre' || chr(10) || chr(10) || '<!-- b -->' || chr(10) || r_name || chr(10) || '<!-- e -->' AS document FROM x""")
 def managed_block(spark, sf_dir):
-    """A block put in once, however often. (FN-23, FN-24, FN-25)"""
+    """A block put in once, however often. (FN-23, FN-24)"""
     old = F.lit("pre\n<!-- b -->\nold\n<!-- e -->")
     once = T.with_block(old, "<!-- b -->", "<!-- e -->", F.col("r_name"))
     return table(spark, sf_dir, "region").select("r_regionkey", T.with_block(once, "<!-- b -->", "<!-- e -->", F.col("r_name")).alias("document"))
@@ -380,13 +345,13 @@ def source_snippets(spark, sf_dir):
 
 @query("""SELECT o_orderpriority AS grp, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus = 'O') AS passed FROM orders GROUP BY 1""")
 def counters(spark, sf_dir):
-    """Conditional counters. (AGG-04, AGG-06, AGG-07)"""
+    """Conditional counters. (AGG-07)"""
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"), F.count_if(F.col("o_orderstatus") == "O").alias("passed"))
 
 
 @query("SELECT DISTINCT lang, source FROM documents UNION SELECT DISTINCT source, lang FROM documents")
 def distinct_findings(spark, sf_dir):
-    """A set-valued union. (AGG-12, AGG-10, SET-02)"""
+    """Distinct pairs of a union."""
     d = table(spark, sf_dir, "documents")
     return d.select("lang", "source").union(d.select("source", "lang")).distinct()
 
@@ -508,7 +473,7 @@ def _sections(sql: bool = False):
 
 @query()
 def document_sections(spark, sf_dir):
-    """Documents cut at headings. (WIN-03, SRC-17, FN-05)"""
+    """Documents cut at second-level headings."""
     rows = checks.sections(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), _sections().alias("text")))
     kind = T.first_rule(F.col("title"), [(("why", "reason"), "rationale"), (("how", "one"), "workflow")], "guidance")
     return rows.select("path", "section", "title", kind.alias("kind"), F.sha2("body", 256).alias("body"))
@@ -534,7 +499,7 @@ def f{0}(a: int | None, b: str = "SELECT a FROM b") -> str | None:
 
 @query()
 def python_facts_query(spark, sf_dir):
-    """Facts of derived Python sources. (AST-01, AST-03 to AST-10, STM-04, SRC-15)"""
+    """Facts of derived Python sources. (AST-03 to AST-10, SRC-15)"""
     source = F.replace(F.lit(PYTHON), F.lit("{0}"), F.col("doc_id").cast("string"))
     broken = F.when(F.col("doc_id") % 50 == 0, F.concat(source, F.lit("def ("))).otherwise(source)
     return python_facts.python_facts(table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), broken.alias("text")))
@@ -542,7 +507,7 @@ def python_facts_query(spark, sf_dir):
 
 @query()
 def config_leaves(spark, sf_dir):
-    """Leaves of derived configuration files. (SRC-01 to SRC-03, SRC-12, CHK-14)"""
+    """Leaves of derived configuration files. (SRC-03, CHK-14)"""
     k = F.col("doc_id") % 4
     name = F.concat(F.col("doc_id").cast("string"), F.when(k == 0, ".toml").when(k == 1, ".json").when(k == 2, ".ini").otherwise(".txt"))
     body = F.when(k == 0, F.concat(F.lit("[tool.x]\nn = "), F.col("n_chars").cast("string"))).when(k == 1, F.concat(F.lit('{"tool": {"n": '), F.col("n_chars").cast("string"), F.lit("}}"))).when(k == 2, F.concat(F.lit("[tool]\nn = "), F.col("n_chars").cast("string"))).otherwise(F.col("lang"))
@@ -558,5 +523,5 @@ def log_lines(rows: DataFrame) -> DataFrame:
 
 @query()
 def quiet_filter_query(spark, sf_dir):
-    """Hook output filtered by stream. (STM-01 to STM-03, FLT-03, EXT-04)"""
+    """Hook output filtered by stream. (STM-01 to STM-03, FLT-03, WIN-04, WIN-05, AGG-07)"""
     return quiet_filter.filter_batch(log_lines(table(spark, sf_dir, "conversations")))
