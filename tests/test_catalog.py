@@ -34,14 +34,9 @@ def test_query_equals_sql(spark, duck, name):
     assert len(ours) and rows(ours) == rows(theirs)
 
 
-def test_sections_and_facts(spark):
+def test_sections(spark):
     found = catalog.document_sections(spark, SF).toPandas()
     assert set(found["title"]) == {"Overview", "One", "Two"} and set(found[found.title == "One"].kind) == {"workflow"}
-    facts = catalog.python_facts_query(spark, SF).toPandas()
-    whole = facts[facts.path == "src/1.py"]
-    kinds = whole.groupby("kind").size().to_dict()
-    assert kinds["conditional_import"] == 2 and kinds["optional"] == 2 and kinds["silent_handler"] == 1 and kinds["comment"] == 1 and kinds["unstructured_log"] == 1 and kinds["type_checking"] == 1
-    assert (facts[facts.path == "src/50.py"].kind == "parse_error").all()
 
 
 def test_config_leaves(spark):

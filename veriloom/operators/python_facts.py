@@ -27,13 +27,45 @@ SECRETS = ("sk-", "pk-", "api_", "key_", "token_", "secret_", "password", "passw
 SQL_KEYWORDS = re.compile("(SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|TRUNCATE|EXECUTE|EXEC)(?![0-9A-Za-z])")
 TEST_MARKS = ("tests", "conftest", "test_", "_test.py")
 _PATTERNS = [(re.compile(r, re.A), name) for r, name in SQL_PATTERNS]
+# Fixed values of the reference's settings. (AST-05, AST-06, AST-09)
+LOG_METHODS = ("debug", "info", "warning", "error", "critical")
+LOGGERS = ("logger", "_logger", "log", "_log")
+LOG_KEYWORDS = ("exc_info", "stack_info", "stacklevel")
+IMPORT_ERRORS = ("ImportError", "ModuleNotFoundError")
+FLAG = "HAS_"
+EXEMPT_METHODS = ("__exit__", "__aexit__")
 
 SCHEMA = "path string, line int, kind string, detail string, snippet string"
 
 
 def _import_error(handler: ast.ExceptHandler) -> bool:
     names = [handler.type] if not isinstance(handler.type, ast.Tuple) else handler.type.elts
-    return handler.type is None or any(isinstance(n, ast.Name) and n.id in ("ImportError", "ModuleNotFoundError") for n in names)
+    return handler.type is None or any(isinstance(n, ast.Name) and n.id in IMPORT_ERRORS for n in names)
+
+
+def conditional_imports(n: ast.Try) -> list[tuple[int, str, str]]:
+    """Modules imported in a try whose handlers catch a failed import, and flags that they set. (AST-06)"""
+    if not any(map(_import_error, n.handlers)):
+        return []
+    names = [a.name for s in n.body if isinstance(s, ast.Import) for a in s.names]
+    names += ["." * s.level + (s.module or "") for s in n.body if isinstance(s, ast.ImportFrom)]
+    stores = [t for h in n.handlers for s in h.body if isinstance(s, (ast.Assign, ast.AnnAssign)) for t in (s.targets[:1] if isinstance(s, ast.Assign) else [s.target])]
+    names += [t.id for t in stores if isinstance(t, ast.Name) and t.id.startswith(FLAG)]
+    return [(n.lineno, "conditional_import", x) for x in names]
+
+
+def _logs(n: ast.Call) -> bool:
+    """Whether a call logs without a keyword of its own, or with more than a message. (AST-05)"""
+    f = n.func
+    if not isinstance(f, ast.Attribute) or f.attr not in LOG_METHODS:
+        return False
+    name = f.value.id if isinstance(f.value, ast.Name) else f.value.attr if isinstance(f.value, ast.Attribute) else ""
+    own = any(k.arg and k.arg not in LOG_KEYWORDS for k in n.keywords)
+    return name in LOGGERS and (not own or len(n.args) + sum(k.arg is None for k in n.keywords) > 1)
+
+
+def _type_checking(node: ast.expr) -> bool:
+    return isinstance(node, ast.Name) and node.id == "TYPE_CHECKING" or isinstance(node, ast.Attribute) and node.attr == "TYPE_CHECKING" and isinstance(node.value, ast.Name) and node.value.id == "typing"
 
 
 def _silent(body: list[ast.stmt]) -> bool:
@@ -49,9 +81,9 @@ def _silent(body: list[ast.stmt]) -> bool:
 
 
 def _none_union(node: ast.expr | None) -> bool:
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
-        return _none_union(node.left) or _none_union(node.right) or any(isinstance(x, ast.Constant) and x.value is None for x in (node.left, node.right))
-    return False
+    """Whether a union with None stands anywhere in an annotation. (AST-09)"""
+    unions = [x for x in ast.walk(node) if isinstance(x, ast.BinOp) and isinstance(x.op, ast.BitOr)] if node else []
+    return any(isinstance(side, ast.Constant) and side.value is None for x in unions for side in (x.left, x.right))
 
 
 def _docstrings(tree: ast.AST) -> set[int]:
@@ -150,26 +182,23 @@ def facts(source: str | None, path: str = "") -> list[tuple[int, str, str]]:
         elif isinstance(n, ast.ImportFrom):
             module = "." * n.level + (n.module or "")
             out.append((n.lineno, "import_from", f"{module}: " + ", ".join(f"{a.name} as {a.asname}" if a.asname else a.name for a in n.names)))
-            if (module, n.names[0].name) in (("__future__", "annotations"), ("typing", "TYPE_CHECKING")):
-                out.append((n.lineno, "type_checking", module))
-        elif isinstance(n, ast.If) and ast.unparse(n.test).endswith("TYPE_CHECKING"):
+            out += [(n.lineno, "type_checking", module) for a in n.names if (module, a.name) in (("__future__", "annotations"), ("typing", "TYPE_CHECKING"))]
+        elif isinstance(n, ast.If) and _type_checking(n.test):
             out.append((n.lineno, "type_checking", "if"))
         elif isinstance(n, ast.Try):
-            if any(isinstance(s, (ast.Import, ast.ImportFrom)) for s in n.body) and any(map(_import_error, n.handlers)):
-                out.append((n.lineno, "conditional_import", "try"))
+            out += conditional_imports(n)
             out += [(h.lineno, "silent_handler", ast.unparse(h.type) if h.type else "bare") for h in n.handlers if _silent(h.body)]
-            out += [(s.lineno, "conditional_import", t.id) for h in n.handlers for s in h.body if isinstance(s, ast.Assign) for t in s.targets if isinstance(t, ast.Name) and t.id.startswith("HAS_")]
         elif isinstance(n, ast.AnnAssign) and _none_union(n.annotation):
             out.append((n.lineno, "optional", ast.unparse(n.target)))
-        elif isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Name) and n.func.value.id in ("logger", "log", "logging") and n.func.attr in ("debug", "info", "warning", "error", "critical"):
-            if len(n.args) > 1 or not [k for k in n.keywords if k.arg not in ("exc_info", "stack_info", "stacklevel")]:
-                out.append((n.lineno, "unstructured_log", n.func.attr))
+        elif isinstance(n, ast.Call) and _logs(n):
+            out.append((n.lineno, "unstructured_log", n.func.attr))
         elif isinstance(n, ast.Constant) and isinstance(n.value, str) and id(n) not in docs:
             out.append((n.lineno, "string", n.value[:80]))
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            args = [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs]
-            out += [(a.lineno, "optional", a.arg) for a in args if _none_union(a.annotation)]
-            out += [(n.lineno, "optional", "return")] * _none_union(n.returns)
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name not in EXEMPT_METHODS:
+            args = [(a, a.arg) for a in (*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs)]
+            args += [(a, mark + a.arg) for a, mark in ((n.args.vararg, "*"), (n.args.kwarg, "**")) if a]
+            out += [(a.annotation.lineno, "optional", name) for a, name in args if _none_union(a.annotation)]
+            out += [(n.returns.lineno, "optional", "return")] if _none_union(n.returns) else []
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             out += [(d.lineno, "decorator", ast.unparse(d)) for d in n.decorator_list]
             for d in n.decorator_list:

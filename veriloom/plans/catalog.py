@@ -480,26 +480,77 @@ def document_sections(spark, sf_dir):
 
 
 PYTHON = '''"""Module {0}."""
-import os
-from typing import TYPE_CHECKING
+from typing import Any, TYPE_CHECKING
 try:
-    import fast
-except ImportError:
+    import fast, quick
+    from .own import x
+except (ValueError, ImportError):
     HAS_FAST = False
 
 
-def f{0}(a: int | None, b: str = "SELECT a FROM b") -> str | None:
-    logger.info("x %s", a)  # noqa
-    try:
-        return b
-    except ValueError:
-        pass
+class C{0}:
+    field: list[int | None]
+
+    def __exit__(self, a: int | None) -> str | None:
+        self.logger.info("x", exc_info=True)  # noqa
+
+    @mark.slow
+    def f(self, *a: int | None, b: str = "SELECT a FROM b") -> None | str:
+        log.error("x %s", a, key=1)
+        log.error("x", key=1)
+        logger.exception("x")
+        try:
+            return b
+        except ValueError:
+            "why"
+            return None
+        except KeyError:
+            return 1
+
+
+if typing.TYPE_CHECKING or TYPE_CHECKING:
+    pass
+if TYPE_CHECKING:
+    pass
 '''
 
+# What stands in PYTHON, by hand: line, kind, detail, source line.
+FACTS = (
+    (2, "import_from", "typing: Any, TYPE_CHECKING", "from typing import Any, TYPE_CHECKING"),
+    (2, "type_checking", "typing", "from typing import Any, TYPE_CHECKING"),
+    (3, "conditional_import", "fast", "try:"),
+    (3, "conditional_import", "quick", "try:"),
+    (3, "conditional_import", ".own", "try:"),
+    (3, "conditional_import", "HAS_FAST", "try:"),
+    (4, "import", "fast, quick", "import fast, quick"),
+    (5, "import_from", ".own: x", "from .own import x"),
+    (10, "undocumented", "C{0}", "class C{0}:"),
+    (11, "optional", "field", "field: list[int | None]"),
+    (13, "undocumented", "__exit__", "def __exit__(self, a: int | None) -> str | None:"),
+    (14, "unstructured_log", "info", 'self.logger.info("x", exc_info=True)  # noqa'),
+    (14, "string", "x", 'self.logger.info("x", exc_info=True)  # noqa'),
+    (14, "comment", "# noqa", 'self.logger.info("x", exc_info=True)  # noqa'),
+    (16, "decorator", "mark.slow", "@mark.slow"),
+    (17, "undocumented", "f", 'def f(self, *a: int | None, b: str = "SELECT a FROM b") -> None | str:'),
+    (17, "optional", "*a", 'def f(self, *a: int | None, b: str = "SELECT a FROM b") -> None | str:'),
+    (17, "optional", "return", 'def f(self, *a: int | None, b: str = "SELECT a FROM b") -> None | str:'),
+    (17, "string", "SELECT a FROM b", 'def f(self, *a: int | None, b: str = "SELECT a FROM b") -> None | str:'),
+    (17, "sql", "SELECT FROM", 'def f(self, *a: int | None, b: str = "SELECT a FROM b") -> None | str:'),
+    (18, "unstructured_log", "error", 'log.error("x %s", a, key=1)'),
+    (18, "string", "x %s", 'log.error("x %s", a, key=1)'),
+    (19, "string", "x", 'log.error("x", key=1)'),
+    (20, "string", "x", 'logger.exception("x")'),
+    (23, "silent_handler", "ValueError", "except ValueError:"),
+    (24, "string", "why", '"why"'),
+    (32, "type_checking", "if", "if TYPE_CHECKING:"),
+)
+_FACTS = ", ".join("(" + ", ".join([str(x[0]), *("'" + t.replace("'", "''") + "'" for t in x[1:])]) + ")" for x in FACTS)
 
-@query()
+
+@query(f"""SELECT 'src/' || doc_id || '.py' AS path, line, kind, replace(detail, '{{0}}', CAST(doc_id AS VARCHAR)) AS detail, replace(snippet, '{{0}}', CAST(doc_id AS VARCHAR)) AS snippet FROM documents, (VALUES {_FACTS}) f(line, kind, detail, snippet) WHERE doc_id % 50 <> 0
+UNION ALL SELECT 'src/' || doc_id || '.py', 34, 'parse_error', 'SyntaxError', 'def (' FROM documents WHERE doc_id % 50 = 0""")
 def python_facts_query(spark, sf_dir):
-    """Facts of derived Python sources. (AST-03 to AST-10, SRC-15)"""
+    """Facts of derived Python sources. (AST-01, AST-03 to AST-09, SRC-15)"""
     source = F.replace(F.lit(PYTHON), F.lit("{0}"), F.col("doc_id").cast("string"))
     broken = F.when(F.col("doc_id") % 50 == 0, F.concat(source, F.lit("def ("))).otherwise(source)
     return python_facts.python_facts(table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), broken.alias("text")))
