@@ -25,8 +25,8 @@ from veriloom.session import ready
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 8, 32
 #: Places of half a chunk, filters over chunks, and distances and embedding of the second-order input.
 HALF, UNITS, LAGS, PAIR = 8, 32, 24, 4
-#: The bound of the training sample, in rows, and how often training goes over it.
-SAMPLE, EPOCHS = 3000, 12
+#: The bound of the training sample, in rows, how often training goes over it, and how often embeddings learn with it.
+SAMPLE, EPOCHS, DEEP = 3000, 10, 4
 #: Places that a forward step holds at once, a multiple of HALF; memory doesn't grow with a text's length.
 STEP = HALF * 1024
 
@@ -113,7 +113,7 @@ class Network:
                 grads = [np.zeros_like(p) for p in params]
                 picked = order[at : at + batch]
                 for i in picked:
-                    self._learn(raws[i], y[i], weight[i] / len(picked), grads)
+                    self._learn(raws[i], y[i], weight[i] / len(picked), grads, epoch < DEEP)
                 step += 1
                 for k, (q, g) in enumerate(zip(params, grads, strict=True)):
                     first[k] = 0.9 * first[k] + 0.1 * g
@@ -123,8 +123,9 @@ class Network:
                         q *= 1 - rate * 0.002
         return self
 
-    def _learn(self, raw: np.ndarray, y: float, weight: float, grads: list[np.ndarray]) -> None:
-        """Adds one text's gradients; only the chunks that won the pooling hand any on."""
+    def _learn(self, raw: np.ndarray, y: float, weight: float, grads: list[np.ndarray], deep: bool) -> None:
+        """Adds one text's gradients; only the chunks that won the pooling hand any on, all of them at once. deep: to the
+        embeddings as well."""
         mean, counts = self._chunks(raw)
         h = mean @ self.units + self.level
         arg = h.argmax(0)
@@ -136,23 +137,33 @@ class Network:
         up = g * self.out * (top > 0)
         grads[3] += mean[arg].T * up
         grads[4] += up
-        for c in np.unique(arg):
-            back = (self.units[:, arg == c] @ up[arg == c]) / np.float32(counts[c])
-            a = c * HALF * STRIDE
-            part = raw[a : a + (counts[c] - 1) * STRIDE + WIDTH]
-            x, r = self._places(part)
-            low = back[:FILTERS] * (r > 0)
-            grads[1] += x.T @ low
-            grads[2] += low.sum(0)
-            deep = (low @ self.filters.T).reshape(len(x), WIDTH, DIM)
-            seen = part[np.arange(len(x))[:, None] * STRIDE + np.arange(WIDTH)].reshape(-1)
-            for d in range(DIM):
-                grads[0][:, d] += np.bincount(seen, weights=deep[:, :, d].reshape(-1), minlength=256)
-            first = max(0, a - LAGS)
-            near = self.pair[raw[first : a + counts[c] * STRIDE]]
-            gap = np.arange(len(near))[:, None] - np.arange(len(near))
-            w = np.append(np.float32(0), back[FILTERS:] / np.float32(STRIDE))[np.where((gap > 0) & (gap <= LAGS) & (np.arange(len(near)) >= a - first)[:, None], gap, 0)]
-            np.add.at(grads[7], raw[first : a + counts[c] * STRIDE], w @ near + w.T @ near)
+        won = np.unique(arg)
+        back = ((arg == won[:, None]) * up) @ self.units.T / counts[won, None].astype(np.float32)
+        places = won[:, None] * HALF + np.arange(2 * HALF)
+        inside = (np.arange(2 * HALF) < counts[won, None]).reshape(-1)
+        seen = raw[np.minimum(places.reshape(-1, 1) * STRIDE + np.arange(WIDTH), len(raw) - 1)]
+        x = self.emb[seen].reshape(len(seen), -1)
+        low = np.repeat(back[:, :FILTERS], 2 * HALF, axis=0) * ((x @ self.filters + self.bias > 0) & inside[:, None])
+        grads[1] += x.T @ low
+        grads[2] += low.sum(0)
+        if not deep:
+            return
+        down = (low @ self.filters.T).reshape(-1, DIM)
+        for d in range(DIM):
+            grads[0][:, d] += np.bincount(seen.reshape(-1), weights=down[:, d], minlength=256)
+        at = won[:, None] * HALF * STRIDE + np.arange(-LAGS, 2 * HALF * STRIDE)
+        there = (at >= 0) & (np.arange(-LAGS, 2 * HALF * STRIDE) < counts[won, None] * STRIDE) & (at < len(raw))
+        near = raw[np.clip(at, 0, len(raw) - 1)]
+        e = self.pair[near] * there[:, :, None]
+        w = np.concatenate([np.zeros((len(won), 1), np.float32), back[:, FILTERS:] / np.float32(STRIDE)], axis=1)[:, _GAPS] * there[:, :, None]
+        change = (w @ e + w.transpose(0, 2, 1) @ e) * there[:, :, None]
+        for d in range(PAIR):
+            grads[7][:, d] += np.bincount(near.reshape(-1), weights=change[:, :, d].reshape(-1), minlength=256)
+
+
+#: How far back of each byte of a chunk each byte of it and of the LAGS bytes ahead lies; 0 if it doesn't count.
+_GAPS = np.arange(LAGS + 2 * HALF * STRIDE)[:, None] - np.arange(LAGS + 2 * HALF * STRIDE)
+_GAPS = np.where((_GAPS > 0) & (_GAPS <= LAGS) & (np.arange(len(_GAPS)) >= LAGS)[:, None], _GAPS, 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Network:
