@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from veriloom.functions.wrap import wrapped
 from veriloom.operators import imports, modules, principles, render, settings, tools
 
 
@@ -193,11 +194,80 @@ def test_tool_files(spark):
     assert got["ruff.toml"].startswith('# h\n\ntarget-version = "py312"\nline-length = 100\nexclude = [".git", ') and got["ruff.toml"].endswith(
         '\n[lint]\nselect = ["ALL"]\nignore = []\n\n[lint.pylint]\nmax-args = 6\n\n[lint.per-file-ignores]\n"a.py" = ["E1"]\n"db/q.py" = ["S608"]\n"db/sql/**" = ["S608"]\n"tests/**" = ["X"]\n"x/*.py" = ["S101"]\n\n[lint.flake8-tidy-imports.banned-api]\n"b" = { msg = "no" }\n'
     )
+    assert got[".yamllint.yml"] == "# h\n\nextends: default\nrules:\n  line-length:\n    max: 100\n" and got[".golangci.yml"] == "# h\n\nlinters:\n  settings:\n    lll:\n      line-length: 100\nversion: '2'\n"
     right = json.loads(got["pyrightconfig.json"])
     assert (right["include"], right["extraPaths"], right["venv"], right["stubPath"], right["typeCheckingMode"]) == (["src"], ["."], ".venv", "stubs/", "strict")
     notes = tools.enforcement_notes(frame(spark, [("r", json.dumps(config))], "root string, config string")).first().notes
     assert notes[1] == "Target Python version is 3.12." and notes[-3:] == ["Utility centralization is enabled; banned direct imports: json -> fast; yaml.", "SQL centralization is enabled; keep raw query strings in module db and paths db/q.py, db/sql.", "Pytest gate command: uv run."]
     text = "# heading " + "h" * 80 + "\n- " + "word " * 20 + "\n    kept " + "k " * 50 + "\n```\n" + "f " * 60 + "\n```\n  in " + "w " * 50
-    lines = tools.wrapped(text).split("\n")
+    lines = wrapped(text).split("\n")
     assert lines[0].startswith("# heading") and lines[1].startswith("- word") and lines[2].startswith("  word") and len(lines[1]) <= 70 and any(x.startswith("    kept") and len(x) > 70 for x in lines) and lines[-1].startswith("  w")
     assert [r.text for r in tools.wrapped_texts(frame(spark, [("one " * 40,), ("a\n\nb",), (None,)], "text string")).collect()] == ["one " * 40, "a\n\nb", None]
+
+
+YAML = """# head
+version: 2
+metadata:
+  title: "A: \\"b\\"\\n"   # why
+  overview: |
+    One
+      two
+
+    three
+  folded: >-
+    a b
+    c
+
+    d
+agents: {codex: {root_file: A.md, notes: [x, 'y''s', "z, w"]}, "k 2": null}
+principles:
+- id: a
+  order: 1
+  tags: [p, q-r]
+  sections:
+    - id: s
+      body: |-
+        text: not a key
+        # not a comment
+
+    - {id: t}
+-
+  id: b
+  url: http://x.y/z#frag
+  plain: it goes
+    on here
+  empty:
+  flag: yes
+  n: -3
+  f: 1.5
+  - "bad"
+"""
+
+
+def test_yaml():
+    from veriloom.sources import yaml_text
+
+    with pytest.raises(ValueError):
+        yaml_text.load(YAML)
+    got = yaml_text.load(YAML.replace('  - "bad"\n', ""))
+    assert got["metadata"] == {"title": 'A: "b"\n', "overview": "One\n  two\n\nthree\n", "folded": "a b c\nd"} and got["version"] == 2
+    assert got["agents"] == {"codex": {"root_file": "A.md", "notes": ["x", "y's", "z, w"]}, "k 2": None}
+    assert got["principles"] == [
+        {"id": "a", "order": 1, "tags": ["p", "q-r"], "sections": [{"id": "s", "body": "text: not a key\n# not a comment"}, {"id": "t"}]},
+        {"id": "b", "url": "http://x.y/z#frag", "plain": "it goes on here", "empty": None, "flag": True, "n": -3, "f": 1.5},
+    ]
+    assert yaml_text.load("") == {} == yaml_text.load("# only\n") and yaml_text.documents("a: 1\n---\n- b\n...\n")[:2] == [{"a": 1}, ["b"]] and yaml_text.load("- - 1\n  - 2\n- x") == [[1, 2], "x"]
+    for bad in ("a: [1", "a: 'x", "a: b: c", "\ta: 1", "a: &x 1", "a: 1\n  b: 2", "a: 1\nb"):
+        with pytest.raises(ValueError):
+            yaml_text.load(bad)
+    value = {"t": "two\nlines\n", "u": "x\ny", "long": "word " * 30 + "end", "l": [1, "a: b", ["x", {"k": None}], {}], "m": {"yes": "no", "e": "", "q": "it's", "n": "12", "s": " x", "d": "2024-01-01"}, "b": True}
+    assert yaml_text.load(yaml_text.dump(value)) == value
+
+
+def test_yaml_files(spark):
+    from veriloom.sources.config import config_json, config_leaves, syntax_errors
+
+    files = frame(spark, [("a.yml", "x:\n  y: [1, 2]\n"), ("b.yaml", ""), ("c.yml", "- 1"), ("d.toml", "a = 1"), ("e.yml", "a: 1\n---\nb: 2"), ("f.json", "{"), ("g.md", "{")], "path string, text string")
+    assert {r.path: r.config or r.error.split(":")[0] for r in config_json(files.where("path not in ('g.md')")).collect()} == {"a.yml": '{"x": {"y": [1, 2]}}', "b.yaml": "{}", "c.yml": "TypeError", "d.toml": '{"a": 1}', "e.yml": "ValueError", "f.json": "JSONDecodeError"}
+    assert [r.path for r in syntax_errors(files).collect()] == ["f.json"]
+    assert [tuple(r) for r in config_leaves(files.where("path = 'a.yml'")).collect()] == [("a.yml", "x.y", "[1, 2]", None)]

@@ -7,15 +7,16 @@ map over Arrow batches, without a shuffle; nothing is collected.
 from __future__ import annotations
 
 import json
-import textwrap
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.functions.wrap import wrapped
 from veriloom.operators.render import bundled
 from veriloom.session import ready
+from veriloom.sources import yaml_text
 
 # What a setting is where none is given. (SNK-11, PRJ-14, PRJ-19)
 PYRIGHT_EXCLUDE = ["**/tests/**", "**/*_test.py", "**/test_*.py", "**/.venv/**"]
@@ -137,7 +138,34 @@ def ruff(s: Settings) -> str:
     return "\n".join(lines).rstrip() + "\n"
 
 
-FILES: dict[str, Callable[[Settings], str]] = {"pyrightconfig.json": pyright, "mypy.ini": mypy, "ruff.toml": ruff}
+def yamllint(s: Settings) -> str:
+    """.yamllint.yml. (SNK-11)"""
+    rules = s.get("tooling.yamllint.rules", {})
+    if not isinstance(rules, dict):
+        raise TypeError("tooling.yamllint.rules must be a mapping.")
+    length = dict(rules.get("line-length", {})) | {"max": int(s.get("style.line_length", 88))}
+    return yaml_text.dump({"extends": s.text("tooling.yamllint.extends", "default"), "rules": dict(rules) | {"line-length": length}})
+
+
+def golangci(s: Settings) -> str:
+    """.golangci.yml: the configured mapping with its version as text and the shared line length. (SNK-11)"""
+    at, path = s.get("tooling.golangci_lint", {}), "tooling.golangci_lint"
+    out = dict(at) if isinstance(at, dict) else None
+    level = out
+    for key in ("linters", "settings", "lll"):
+        if level is None:
+            break
+        path, below = f"{path}.{key}", level.get(key, {})
+        level[key] = dict(below) if isinstance(below, dict) else None
+        level = level[key]
+    if level is None:
+        raise TypeError(f"{path} must be a mapping.")
+    level["line-length"] = int(s.get("style.line_length", 88))
+    out["version"] = str(out.get("version", "2"))
+    return yaml_text.dump(out)
+
+
+FILES: dict[str, Callable[[Settings], str]] = {"pyrightconfig.json": pyright, "mypy.ini": mypy, "ruff.toml": ruff, ".yamllint.yml": yamllint, ".golangci.yml": golangci}
 
 
 def tool_files(configs: DataFrame, head: str = "") -> DataFrame:
@@ -254,28 +282,6 @@ def prompt_pack(bundles: DataFrame, principles: DataFrame, configs: DataFrame, p
     return rows.mapInPandas(run, "bundle string, path string, content string")
 
 
-WIDTH = 70
-
-
-def wrapped(text: str) -> str:
-    """A text of several lines wrapped at WIDTH: fences, headings and lines that are indented by four stay as they are; list
-    items are indented below their mark, other lines as they begin. (FN-19)"""
-    out, fenced = [], False
-    for line in text.splitlines():
-        bare = line.strip()
-        fence = bare.startswith("```")
-        if fence or fenced or not bare or bare.startswith("#") or line.startswith("    "):
-            out.append(line)
-            fenced ^= fence
-            continue
-        indent = line[: len(line) - len(line.lstrip())]
-        mark, gap, rest = bare.partition(" ")
-        item = gap and (mark in ("-", "*", "+") or mark[:-1].isdigit() and mark[-1] == ".")
-        first = indent + mark + " " * (1 + len(rest) - len(rest.lstrip())) if item else indent
-        out.append(textwrap.fill(rest.lstrip() if item else bare, WIDTH, initial_indent=first, subsequent_indent=" " * len(first) if item else indent, break_long_words=False, break_on_hyphens=False))
-    return "\n".join(out)
-
-
 def wrapped_texts(rows: DataFrame, col: str = "text") -> DataFrame:
     """rows with a column of texts wrapped; texts of one line stay. (FN-19)"""
     ready(rows.sparkSession)
