@@ -271,3 +271,61 @@ def test_yaml_files(spark):
     assert {r.path: r.config or r.error.split(":")[0] for r in config_json(files.where("path not in ('g.md')")).collect()} == {"a.yml": '{"x": {"y": [1, 2]}}', "b.yaml": "{}", "c.yml": "TypeError", "d.toml": '{"a": 1}', "e.yml": "ValueError", "f.json": "JSONDecodeError"}
     assert [r.path for r in syntax_errors(files).collect()] == ["f.json"]
     assert [tuple(r) for r in config_leaves(files.where("path = 'a.yml'")).collect()] == [("a.yml", "x.y", "[1, 2]", None)]
+
+
+def test_calls(spark, tmp_path):
+    import datetime
+
+    from veriloom.operators import calls
+
+    pauses, tries = [], []
+
+    def call(prompt: str) -> str:
+        tries.append(prompt)
+        if len(tries) < 3:
+            raise calls.Refused(503)
+        return prompt.upper()
+
+    assert calls.with_retries(call, "a", 3, 0.5, pauses.append) == ("A", None, 3) and pauses == [0.5, 1.0]
+    refuse = lambda status: lambda prompt: (_ for _ in ()).throw(calls.Refused(status))
+    assert calls.with_retries(refuse(404), "a", 3, 0, pauses.append) == (None, "status 404", 1) and calls.with_retries(refuse(429), "a", 2, 0, pauses.append) == (None, "status 429", 3)
+
+    def answer(prompt: str) -> str:
+        if prompt == "bad":
+            raise calls_refused(400)
+        return prompt[::-1]
+
+    def calls_refused(status):
+        from veriloom.operators.calls import Refused
+
+        return Refused(status)
+
+    requests = frame(spark, [("c", 0, "k0", "abc"), ("c", 1, "k1", "bad"), ("d", 0, "k2", "xyz")], "check string, batch int, key string, prompt string")
+    cache = frame(spark, [("k2", "kept"), ("k2", "kept")], "key string, text string")
+    got = calls.called(requests, answer, cache, at_once=2, retries=1, backoff=0.0)
+    assert sorted((r.check, r.batch, r.reply, r.error, r.attempts, r.cached) for r in got.collect()) == [("c", 0, "cba", None, 1, False), ("c", 1, None, "status 400", 1, False), ("d", 0, "kept", None, 0, True)]
+    calls.cache_replies(got, f"{tmp_path}/cache")
+    calls.cache_replies(got.limit(0), f"{tmp_path}/cache")
+    stored = spark.read.parquet(f"{tmp_path}/cache")
+    assert [tuple(r) for r in calls.valid_replies(stored, F.current_timestamp()).collect()] == [("k0", "cba")] and calls.valid_replies(stored, F.current_timestamp() + F.expr("interval 8 days")).count() == 0
+    day = lambda n: datetime.datetime(2024, 1, n)
+    calls.cache_handles(frame(spark, [("k", "old", day(2)), ("k", "new", day(5)), ("q", "gone", day(1))], "key string, name string, expires_at timestamp"), f"{tmp_path}/handles")
+    assert [tuple(r) for r in calls.valid_handles(spark.read.parquet(f"{tmp_path}/handles"), F.lit(day(2))).collect()] == [("k", "new")]
+    assert one(spark, calls.command(["t", "-p=x"], F.array(F.lit("f")), config=F.lit("c"), flags=("-p",))) == ["t", "-p=x", "f"]
+    empty = calls.coverage(frame(spark, [("documented", "_x")], "kind string, detail string")).first()
+    assert (empty.total, empty.percent, empty.enough) == (0, 100.0, True)
+
+
+def test_files_on_disk(spark, tmp_path):
+    from veriloom.sources.config import text_files
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, data in (("a.txt", "é\n".encode()), ("sub/b.txt", b"x\0y"), ("sub/c.txt", b"\xff")):
+        (tmp_path / "in" / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.size) for r in text_files(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.txt": ("é\n", 3), "b.txt": (None, 3), "c.txt": (None, 1)}
+    rows = frame(spark, [("x.md", "one"), ("y/z.md", "two\n")], "path string, content string")
+    for _ in range(2):
+        render.write_documents(rows, str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "out")).select("path", "content").collect())) == [("x.md", "one"), ("y/z.md", "two\n")]
+    assert [one(spark, render.merges_existing(F.lit(p))) for p in ("AGENTS.md", "x/AGENTS.md")] == [True, False]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
-from veriloom.operators import checks, imports, modules, principles, render, review, settings
+from veriloom.operators import calls, checks, imports, modules, principles, render, review, settings
 from veriloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,3 +525,48 @@ def prompt_packs(spark, sf_dir):
 
     configs = spark.createDataFrame([("root", '{"style": {"line_length": 88}}')], "root string, config string")
     return tools.prompt_pack(*_bundles(spark, sf_dir), configs, {"code": "Review {code_content}"})
+
+
+_PLAN_PATH = "CASE doc_id % 6 WHEN 0 THEN 'src/a' WHEN 1 THEN './scripts/run' WHEN 2 THEN 'x/tests/b' WHEN 3 THEN 'venv/c' ELSE 'lib/d' END || CAST(doc_id AS STRING) || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '' WHEN 2 THEN '.sh' ELSE '.md' END"
+_PLAN_TEXT = "CASE doc_id % 9 WHEN 0 THEN '#!/bin/BASH' || chr(10) ELSE '' END || text || repeat('x', CAST(CASE doc_id % 10 WHEN 0 THEN 40000 ELSE 0 END AS INT))"
+_PLAN = f"""f AS (SELECT doc_id, {_PLAN_PATH.replace('STRING', 'VARCHAR')} AS path, regexp_replace({_PLAN_PATH.replace('STRING', 'VARCHAR')}, '^\\./', '') AS p, strlen({_PLAN_TEXT}) AS size, doc_id % 9 = 0 AS marked FROM documents),
+s AS (SELECT *, ends_with(p, '.sh') OR (contains(p, 'scripts/') AND doc_id % 4 = 1) OR marked AS shell, (ends_with(p, '.py') OR ends_with(p, '.sh') OR marked) AND NOT contains(p, '/tests/') AND NOT starts_with(p, 'venv/') AS code FROM f),
+c AS (SELECT * FROM (VALUES ('code_ethos', 50, 3), ('shell_review', 50, 5), ('shell_ethos', 30, 5), ('shell_documentation', 50, 5), ('shellcheck_suppression', 50, 8), ('shell_placeholder', 50, 10)) c("check", kb, per)),
+plan AS (SELECT c."check", c.per, path, doc_id AS id, CASE WHEN size > kb * 1024 THEN 'skipped-large' ELSE 'included' END AS status FROM s, c WHERE CASE WHEN c."check" = 'code_ethos' THEN code ELSE shell END)"""
+
+
+def _file_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls.file_plan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), both(_PLAN_PATH).alias("path"), both(_PLAN_TEXT).alias("text")))
+
+
+@query(f'WITH {_PLAN} SELECT "check", path, id, status FROM plan')
+def check_plan(spark, sf_dir):
+    """Which files each check reads. (FLT-01, FLT-02, JOIN-16, WIN-02, PRJ-21)"""
+    return _file_plan(spark, sf_dir)
+
+
+@query(f"""WITH {_PLAN}, n AS (SELECT *, (row_number() OVER (PARTITION BY "check" ORDER BY id) - 1) // per AS batch FROM plan WHERE status = 'included') SELECT "check", CAST(batch AS BIGINT) AS batch, count(*) AS n, string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY id) AS items FROM n GROUP BY 1, 2""")
+def check_batches(spark, sf_dir):
+    """Batches of the files of each check. (WIN-01, AGG-05)"""
+    return calls.batch_plan(_file_plan(spark, sf_dir))
+
+
+@query(f"""WITH {_PLAN} SELECT "check", '{{"included":' || count(*) FILTER (status = 'included') || ',"skipped_large":' || count(*) FILTER (status = 'skipped-large') || ',"binary":0,"batches":' || CAST(ceil(count(*) FILTER (status = 'included') / any_value(per)) AS BIGINT) || ',"batch_size":' || any_value(per) || '}}' AS plan FROM plan GROUP BY 1""")
+def check_dry_run(spark, sf_dir):
+    """What would be run, as JSON. (EXT-11)"""
+    return calls.dry_run(_file_plan(spark, sf_dir))
+
+
+@query("""SELECT c_custkey, 'tool|--strict' || CASE WHEN c_custkey % 2 = 0 THEN '|-p|' || c_name ELSE '' END || '|a.py|' || c_custkey || '.py' AS words FROM customer""")
+def checker_commands(spark, sf_dir):
+    """Command lines of a checker. (EXT-05)"""
+    files = F.array(F.lit("a.py"), F.concat(F.col("c_custkey").cast("string"), F.lit(".py")))
+    words = calls.command(["tool", "--strict"], files, config=F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), flags=("-p", "--project"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(words, "|").alias("words"))
+
+
+@query("""SELECT count(*) FILTER (NOT starts_with(event_type, 'c') AND event_id % 9 <> 0) AS documented, count(*) FILTER (NOT starts_with(event_type, 'c')) AS total, 100.0 * count(*) FILTER (NOT starts_with(event_type, 'c') AND event_id % 9 <> 0) / count(*) FILTER (NOT starts_with(event_type, 'c')) AS percent, false AS enough FROM events""")
+def docstring_coverage(spark, sf_dir):
+    """The share of functions and classes with a docstring. (EXT-06)"""
+    name = F.concat(F.when(F.startswith("event_type", F.lit("c")), "_").otherwise(""), "event_type")
+    return calls.coverage(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 9 != 0, "documented").otherwise("undocumented").alias("kind"), name.alias("detail")))
