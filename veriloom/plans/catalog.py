@@ -556,15 +556,26 @@ def python_facts_query(spark, sf_dir):
     return python_facts.python_facts(table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), broken.alias("text")))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, doc_id % 5 AS k, CAST(n_chars AS VARCHAR) AS n, lang FROM documents), l AS (SELECT doc_id, unnest(CASE k WHEN 0 THEN [{'key': 'tool.x.n', 'value': n}] WHEN 1 THEN [{'key': 'tool.n', 'value': n}] WHEN 2 THEN [{'key': 'tool.n', 'value': '"' || n || '"'}] WHEN 3 THEN [{'key': 'value', 'value': '"' || lang || '"'}] ELSE [{'key': 'tool.n', 'value': n}, {'key': 'tool.l', 'value': '["' || lang || '", null]'}] END) AS x FROM d)
+SELECT doc_id || CASE doc_id % 5 WHEN 0 THEN '.toml' WHEN 1 THEN '.json' WHEN 2 THEN '.ini' WHEN 3 THEN '.txt' ELSE '.yml' END AS path, x.key, x.value, NULL AS error FROM l""")
 def config_leaves(spark, sf_dir):
-    """Leaves of derived configuration files. (SRC-03, CHK-14)"""
-    k = F.col("doc_id") % 4
-    name = F.concat(F.col("doc_id").cast("string"), F.when(k == 0, ".toml").when(k == 1, ".json").when(k == 2, ".ini").otherwise(".txt"))
-    body = F.when(k == 0, F.concat(F.lit("[tool.x]\nn = "), F.col("n_chars").cast("string"))).when(k == 1, F.concat(F.lit('{"tool": {"n": '), F.col("n_chars").cast("string"), F.lit("}}"))).when(k == 2, F.concat(F.lit("[tool]\nn = "), F.col("n_chars").cast("string"))).otherwise(F.col("lang"))
+    """Leaves of derived configuration files. (SRC-01 to SRC-03, SRC-12)"""
+    k = F.col("doc_id") % 5
+    name = F.concat(F.col("doc_id").cast("string"), F.when(k == 0, ".toml").when(k == 1, ".json").when(k == 2, ".ini").when(k == 3, ".txt").otherwise(".yml"))
+    n = F.col("n_chars").cast("string")
+    body = F.when(k == 0, F.concat(F.lit("[tool.x]\nn = "), n)).when(k == 1, F.concat(F.lit('{"tool": {"n": '), n, F.lit("}}"))).when(k == 2, F.concat(F.lit("[tool]\nn = "), n)).when(k == 3, F.col("lang")).otherwise(F.concat(F.lit("tool:\n  n: "), n, F.lit("  # x\n  l:\n  - "), F.col("lang"), F.lit("\n  - ~\n")))
     return config.config_leaves(table(spark, sf_dir, "documents").select(name.alias("path"), body.alias("text")))
 
 
+@query("""SELECT doc_id || CASE doc_id % 4 WHEN 0 THEN '.yaml' WHEN 1 THEN '.toml' WHEN 2 THEN '.json' ELSE '.md' END AS path FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 < 3""")
+def syntax_errors(spark, sf_dir):
+    """Files that don't parse. (CHK-14)"""
+    k = F.col("doc_id") % 4
+    name = F.concat(F.col("doc_id").cast("string"), F.when(k == 0, ".yaml").when(k == 1, ".toml").when(k == 2, ".json").otherwise(".md"))
+    good = F.when(k == 0, "a: [1, 2]\n---\nb: c\n").when(k == 1, "a = 1").otherwise('{"a": 1}')
+    return config.syntax_errors(table(spark, sf_dir, "documents").select(name.alias("path"), F.when(F.col("doc_id") % 3 == 0, F.concat(good, F.lit("\n]: [")))  .otherwise(good).alias("text"))).select("path")
+
+
 def log_lines(rows: DataFrame) -> DataFrame:
     """(stream, ord, line): hook output derived from conversations."""
     k = F.col("turn") % 4

@@ -570,3 +570,46 @@ def docstring_coverage(spark, sf_dir):
     """The share of functions and classes with a docstring. (EXT-06)"""
     name = F.concat(F.when(F.startswith("event_type", F.lit("c")), "_").otherwise(""), "event_type")
     return calls.coverage(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 9 != 0, "documented").otherwise("undocumented").alias("kind"), name.alias("detail")))
+
+
+_REPO = "'{\"repo\": {\"name\": \" ' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END || ' \", \"commands\": {\"test\": \"run\", \"all\": [\"a\", \" \", \"b\"]}, \"paths\": {\"src\": \"lib\"}, \"notes\": ' || CASE WHEN c_custkey % 2 = 0 THEN '[\"n1\", \"n2\"]' ELSE '\"n\"' END || '}, \"agent_notes\": ' || CASE c_custkey % 4 WHEN 0 THEN '{\"codex\": \"x\", \"bard\": \"y\"}' ELSE '{}' END || '}'"
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'root' ELSE c_name END AS project, 'test=run;all=a+b' AS commands, 'src=lib' AS paths, CASE WHEN c_custkey % 2 = 0 THEN 'n1+n2' ELSE 'n' END AS notes, CASE c_custkey % 4 WHEN 0 THEN 'claude=;codex=x;gemini=' ELSE '' END AS agent_notes, CASE c_custkey % 4 WHEN 0 THEN 'bard' ELSE '' END AS unknown FROM customer""")
+def repo_contexts(spark, sf_dir):
+    """The repository's part of overlays. (PRJ-02, PRJ-03, PRJ-08, PRJ-10)"""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", both(_REPO).alias("payload")).withColumn("r", principles.repo_context(F.col("payload")))
+    lists = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";")
+    by_agent = F.map_from_entries(F.array_sort(F.map_entries("r.agent_notes")))
+    raw = F.from_json(F.get_json_object("payload", "$.agent_notes"), "map<string,string>")
+    return rows.select(
+        "c_custkey", settings.project_name(F.col("r.name"), F.lit("root"), F.lit("conf")).alias("project"), lists(F.col("r.commands")).alias("commands"), F.array_join(F.transform(F.map_entries("r.paths"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("paths"),
+        F.array_join("r.notes", "+").alias("notes"), lists(by_agent).alias("agent_notes"), F.array_join(principles.unknown_agents(raw), ",").alias("unknown"),
+    )
+
+
+@query("""SELECT agent, CASE agent WHEN 'codex' THEN 'NATION_0.md' WHEN 'claude' THEN 'CLAUDE.md' ELSE '' END AS root_file, CASE agent WHEN 'claude' THEN 'd1+d2' ELSE '' END AS notes, agent = 'none' AS merges FROM (VALUES ('codex'), ('claude'), ('gemini')) a(agent)""")
+def agent_profiles(spark, sf_dir):
+    """Profiles of agents: the given entry as a whole, or the default one. (PRJ-07, FLT-15)"""
+    given = table(spark, sf_dir, "nation").where("n_nationkey = 0").select(F.lit("codex").alias("agent"), F.concat(F.lit('{"root_file": " '), "n_name", F.lit('.md "}')).alias("payload"))
+    rows = principles.profiles(given, {"codex": {"notes": ["lost"]}, "claude": {"root_file": "CLAUDE.md", "notes": ["d1", "d2"]}})
+    return rows.select("agent", "root_file", F.array_join("notes", "+").alias("notes"), render.merges_existing(F.concat(F.lit("x/"), "root_file")).alias("merges"))
+
+
+SECURITY = '''import os
+key = os.getenv("K{0}", "sk-abc")
+other = os.environ.get("K", default="plain")
+sql = f"select abc from {t}"
+os.environ["A"] = "1"
+'''
+_SECURE = "(2, 'DEFAULT_SECRET', 'os.getenv', 'key = os.getenv(\"K{0}\", \"sk-abc\")'), (4, 'SQL_INJECTION', 'SELECT', 'sql = f\"select abc from {t}\"'), (5, 'TEST_ENV_BYPASS', 'os.environ', 'os.environ[\"A\"] = \"1\"')"
+
+
+@query(f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'tests/' ELSE 'src/' END || doc_id || '.py' AS path, line, kind, detail, replace(snippet, '{{0}}', CAST(doc_id AS VARCHAR)) AS snippet FROM documents, (VALUES {_SECURE}) f(line, kind, detail, snippet) WHERE kind <> 'TEST_ENV_BYPASS' OR doc_id % 2 = 0""")
+def security_findings(spark, sf_dir):
+    """Secrets as defaults, SQL in f-strings, and environments that tests change. (AST-10, FN-14, FN-15, FLT-10)"""
+    from veriloom.operators.python_facts import python_facts
+
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "tests/").otherwise("src/"), F.col("doc_id").cast("string"), F.lit(".py"))
+    rows = table(spark, sf_dir, "documents").select(path.alias("path"), F.replace(F.lit(SECURITY), F.lit("{0}"), F.col("doc_id").cast("string")).alias("text"))
+    return python_facts(rows).where(F.col("kind").isin(*imports.CATEGORIES))
