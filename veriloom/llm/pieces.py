@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.names import free
-from veriloom.llm.token_counts import MODEL, pre_tokens, processor
+from veriloom.llm.shingles import span_hashes
+from veriloom.llm.token_counts import MODEL, cut_texts, pre_tokens, processor, spans_of  # noqa: F401
 from veriloom.session import ready
 
 SPACE = "▁"
 NONE, BIG, PAD = 1 << 40, 1 << 30, -(1 << 30)
 PLACE, PIECE = 0x9E3779B1, 0x85EBCA6B
-#: Runs that a worker keeps before it starts anew, the longest pre-token (characters) that has runs, and the pops of a run
+#: Runs that a worker keeps before it starts anew, the longest pre-token (bytes) that has runs, and the pops of a run
 #: that can be skipped in one; whatever is beyond these is segmented alone.
-CACHE, LONG, POPS = 600_000, 64, 63
+CACHE, LONG, POPS = 1_000_000, 64, 63
 #: Characters that are split into pre-tokens at once, but for a longer text.
 AT_ONCE = 1_000_000
 
@@ -53,14 +54,17 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint32(15)
 
 
-def keys_of(text: str, n: int, seed: int) -> np.ndarray:
-    """The key of each of a text's n pre-tokens, from the seed, the whole text and the pre-token's place."""
-    base = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed & (2**64 - 1))
-    x = (np.arange(n, dtype=np.uint64) + np.uint64(base)) * np.uint64(0x9E3779B97F4A7C15)
+def mixed(base: np.ndarray | np.uint64, place: np.ndarray) -> np.ndarray:
+    x = (place.astype(np.uint64) + base) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
+def keys_of(text: str, n: int, seed: int) -> np.ndarray:
+    """The key of each of a text's n pre-tokens, from the seed, the whole text and the pre-token's place."""
+    return mixed(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed & (2**64 - 1))), np.arange(n))
+
+
 class _Rows:
     """Rows of numbers of different lengths, end to end."""
 
@@ -104,14 +108,16 @@ class Pieces:
         self.bytes = [byte.get(f"<0x{b:02X}>", 0) for b in range(256)]
         raw = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.data = [b"" if kinds[i][1] else raw[i] if i in raw else names[i].replace(SPACE, " ").encode("utf-8", "surrogatepass") for i in range(n)]
+        self.texts = _Rows(np.uint8)
+        self.texts.add(np.frombuffer(b"".join(self.data), np.uint8), np.array([len(x) for x in self.data]))
         self._table()
         self.pairs: dict[int, tuple[int, int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         """Starts the tree of runs anew. Words by number, with the symbols of their characters; for each run its word, the
-        bit set of skipped pops, its pops and its ids; runs by run and skipped pop. A word's run without skips has its number in `roots`."""
-        self.roots: dict[str, int] = {}
+        bit set of skipped pops, its pops and its ids; runs by run and skipped pop. Words' runs without skips by the words' hashes."""
+        self.root_keys, self.root_runs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.chars_of, self.pops, self.made = _Rows(np.int32), _Rows(np.uint32), _Rows(np.int32)
         self.words, self.skips = np.zeros(0, np.int32), np.zeros(0, np.uint64)
         self.edges, self.next = np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -300,35 +306,59 @@ class Pieces:
         return self.encode_many([text], seed, rate)[0].tolist()
 
     def encode_many(self, texts: list[str | None], seed: int = 0, rate: float = 0.0) -> list[np.ndarray]:
-        """Ids of whole texts."""
+        """Ids of whole texts. Pre-tokens are found and hashed in numpy, about a megabyte at a time; what is equal has equal
+        64-bit hashes, and only new ones are looked at as texts."""
         limit = int(rate * 2**32)
         if len(self.words) > CACHE:
             self._forget()
-        split = [pre_tokens(text or "") for text in texts]
-        sizes = np.array([len(x) for x in split], dtype=np.int64)
-        words = [w for x in split for w in x]
-        keys = np.concatenate([keys_of(text or "", n, seed) for text, n in zip(texts, sizes.tolist(), strict=True)]) if limit else np.zeros(len(words), np.uint32)
-        new = [w for w in set(words).difference(self.roots) if len(w) < LONG]
-        if new:
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        base = np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), seed & (2**64 - 1)) for t in texts], dtype=np.uint64)
+        done = np.zeros(len(texts), np.int64)
+        for who, parts in cut_texts(texts):
+            raw, starts, ends, part = spans_of(parts)
+            owner = np.array(who)[part]
+            counts = np.bincount(owner, minlength=len(texts))
+            place = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner] + done[owner]
+            done += counts
+            keys = mixed(base[owner], place)
+            run = self._roots(raw, starts, ends)
+            alone = run < 0
+            if limit:
+                alone |= self._draw(run, keys, limit)
+            run[alone] = 0
+            sizes = self.made.size[run].astype(np.int64)
+            sizes[alone] = 0
+            flat = self.made.joined(run[~alone])
+            at = np.flatnonzero(alone)
+            if len(at):
+                data = raw.tobytes()
+                own = [self._long(SPACE + data[starts[i] : ends[i]].decode("utf-8", "surrogatepass").replace(" ", SPACE), int(keys[i]), limit) for i in at.tolist()]
+                flat = np.insert(flat, np.repeat((np.cumsum(sizes) - sizes)[at], [len(x) for x in own]), np.array([x for ids in own for x in ids], dtype=np.int32))
+                sizes[at] = [len(x) for x in own]
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64))])
+            for k in dict.fromkeys(who):
+                out[k].append(flat[cuts[k] : cuts[k + 1]])
+        none = np.zeros(0, np.int32)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else none for x in out]
+
+    def _roots(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The run without skips of each pre-token; -1 for those that have no runs."""
+        keys = span_hashes(raw, starts, ends)
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        short = (ends - starts)[first] < LONG
+        fresh = np.flatnonzero(short & ~np.isin(distinct, self.root_keys, assume_unique=True))
+        if len(fresh):
+            data = raw.tobytes()
+            new = [data[starts[i] : ends[i]].decode("utf-8", "surrogatepass") for i in first[fresh].tolist()]
             marked = "".join(SPACE + w for w in new).replace(" ", SPACE)
-            first = self.chars_of.rows
+            known = self.chars_of.rows
             self.chars_of.add(self.chars[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)], np.array([len(w) + 1 for w in new]))
-            self.roots.update(zip(new, self._grow(np.arange(first, first + len(new)), np.zeros(len(new), np.uint64)).tolist(), strict=True))
-        run = np.array([self.roots.get(w, -1) for w in words], dtype=np.int64)
-        alone = run < 0
-        if limit:
-            alone |= self._draw(run, keys, limit)
-        run[alone] = 0
-        counts = self.made.size[run] if len(words) else np.zeros(0, np.int64)
-        counts[alone] = 0
-        flat = self.made.joined(run[~alone])
-        at = np.flatnonzero(alone)
-        if len(at):
-            own = [self._long(SPACE + words[i].replace(" ", SPACE), int(keys[i]), limit) for i in at.tolist()]
-            flat = np.insert(flat, np.repeat((np.cumsum(counts) - counts)[at], [len(x) for x in own]), np.array([x for ids in own for x in ids], dtype=np.int32))
-            counts[at] = [len(x) for x in own]
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
-        return [flat[a:z] for a, z in zip(ends, ends[1:])]
+            runs = self._grow(np.arange(known, known + len(new)), np.zeros(len(new), np.uint64))
+            where = np.searchsorted(self.root_keys, distinct[fresh])
+            self.root_keys, self.root_runs = np.insert(self.root_keys, where, distinct[fresh]), np.insert(self.root_runs, where, runs)
+        at = np.full(len(distinct), -1, np.int64)
+        at[short] = self.root_runs[np.searchsorted(self.root_keys, distinct[short])]
+        return at[inverse]
 
     def _draw(self, run: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
         """Takes each pre-token from its word's run without skips to the run that its key draws; tells which need an
@@ -366,8 +396,15 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that the encoder puts first goes, control ids give nothing."""
-        text = b"".join(map(self.data.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.decode_many([np.asarray(ids, dtype=np.int64)])[0]
+
+    def decode_many(self, lists: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids."""
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        data = self.texts.joined(flat).tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.texts.size[flat].astype(np.int64))])[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
+        found = [data[a:z].decode("utf-8", "replace") for a, z in zip(ends.tolist(), ends[1:].tolist())]
+        return [t[1:] if t[:1] == " " else t for t in found]
 
 
 def parts(texts: list[str]) -> Iterator[list[str]]:
@@ -423,7 +460,7 @@ def decode(docs: DataFrame, ids_col: str = "piece_ids", *, path: str | None = No
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = pieces(path, 0, 0.0)
         for batch in batches:
-            yield pd.Series(["" if x is None else model.decode(x.tolist() if isinstance(x, np.ndarray) else list(x)) for x in batch], dtype=object)
+            yield pd.Series(model.decode_many([np.zeros(0, np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in batch]), dtype=object)
 
     return docs.withColumn(out, texts(F.col(ids_col)))
 
@@ -444,9 +481,8 @@ def round_trip(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate:
         for batch in batches:
             ids, texts = [], []
             for part in parts(batch.tolist()):
-                for x in model.encode_many(part, seed, rate):
-                    ids.append(x.astype("<u4").tobytes())
-                    texts.append(model.decode(np.frombuffer(ids[-1], dtype="<u4").tolist()))
+                ids += [x.astype("<u4").tobytes() for x in model.encode_many(part, seed, rate)]
+                texts += model.decode_many([np.frombuffer(x, dtype="<u4").astype(np.int64) for x in ids[len(texts) :]])
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "text": pd.Series(texts, dtype=object)})
 
     (name,) = free(docs, "both")

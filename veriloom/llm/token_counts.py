@@ -86,7 +86,7 @@ class Table:
         return out
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+def cut_texts(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
     """About AT_ONCE bytes of texts at a time, as parts that begin with a pre-token's first space, with the text of each;
     a longer text is cut between pre-tokens."""
     who, held, size = [], [], 0
@@ -108,7 +108,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield who, held
 
 
-def _spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of parts, starts and ends of their pre-tokens (their first space left out), and each one's part."""
     raw = np.frombuffer(b"".join(parts), np.uint8)
     begins = np.cumsum([0, *map(len, parts)])
@@ -127,8 +127,8 @@ class Counts:
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
-        for who, parts in _pieces(texts):
-            raw, starts, ends, part = _spans(parts)
+        for who, parts in cut_texts(texts):
+            raw, starts, ends, part = spans_of(parts)
             keys = span_hashes(raw, starts, ends)
             lengths = self.table.get(keys)
             lengths[ends == starts] = 1
