@@ -653,8 +653,8 @@ def jaccard_components(
 
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("least_id"))
     member = groups.select("gid", F.explode("digests").alias("digest")).join(roots, F.col("gid") == F.col("node"), "left").select("digest", F.coalesce("root", "gid").alias("root"))
-    joined = ids.join(member, "digest", "left").select("digest", "least_id", F.coalesce("root", "digest").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    joined = keep(ids.join(member, "digest", "left").select("digest", "least_id", F.coalesce("root", "digest").alias("root")), "members")
+    named = keep(joined.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")  # a table of its own, so that a large component's part of the join can be split
     classes, _ = staged(joined.join(named, "root").select(F.col("digest").alias("class_id"), "component_id"), "classes")
     unstage(spark, *paths)
     return rows.join(classes, rows["digest"] == classes["class_id"]).select(
