@@ -336,6 +336,7 @@ def test_classes_that_tie_and_repeat(spark):
     got = sample(docs, labels, "quality", F.lit(True), 10)
     assert sorted(map(tuple, got.itertuples(index=False))) == [("", 0), ("bad words there", 0), ("good words here", 1), ("good words here", 1)]
     assert len(sample(docs, labels.where("doc_id < 9"), "quality", F.lit(True), 2)) == 2 >= len(sample(docs, labels, "quality", F.lit(True), 2))  # id 9 has no text
+    assert [len(sample(docs, labels, "quality", F.lit(True), 10, most_bytes=n)) for n in (0, 1 << 20)] == [1, 4]
     for module, label in ((toxicity, "toxic"), (quality_cnn, "quality")):
         scores = module.score(docs, module.fit(docs, labels, F.lit(True), label=label)).collect()
         assert len(scores) == 6 and all(0 <= r.score <= 1 for r in scores)
