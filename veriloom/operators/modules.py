@@ -111,7 +111,10 @@ def _overrides(value: Column) -> Column:
     """Findings of a list of overrides: error codes, flags that are true, and other values, for each module."""
 
     def of(raw: Column) -> Column:
-        entry = lambda k: F.element_at(F.from_json(raw, "map<string,string>"), k)
+        return F.get(F.transform(F.array(F.from_json(raw, "map<string,string>")), of_map), 0)
+
+    def of_map(entries: Column) -> Column:
+        entry = lambda k: F.element_at(entries, k)
         named = texts(F.coalesce(entry("module"), entry("modules")))
         modules = F.when(F.size(named) == 0, F.array(F.lit("<unknown>"))).otherwise(named)
         found = []
@@ -132,18 +135,18 @@ def _overrides(value: Column) -> Column:
 def pyproject_findings(configs: DataFrame) -> DataFrame:
     """(path, tool, setting, target, detail), distinct: files and codes that tools are told to pass over, of configurations
     (path, config: JSON). (AGG-12, PRJ-11)"""
-    tool = lambda *keys: value_at(F.col("config"), ".".join(("tool", *keys)))
+    table = lambda text: F.from_json(text, "map<string,string>")
+    # each table is parsed once, in a projection of its own
+    rows = configs.select("path", table(value_at(F.col("config"), "tool")).alias("tool"))
+    rows = rows.select("path", *[table(F.element_at("tool", t)).alias(t) for t in ("ruff", "mypy", "pyright", "pylint")])
+    rows = rows.select("*", table(F.element_at("ruff", "lint")).alias("lint"), table(F.element_at("pylint", "main")).alias("main"))
+    wanted = [(_per_file, "ruff", at, key) for key in RUFF_KEYS for at in ("lint", "ruff")] + [(_patterns, "ruff", "ruff", key) for key in RUFF_EXCLUDES]
+    wanted += [(_per_file, "mypy", "mypy", key) for key in ("per-file-ignores", "per_file_ignores")] + [(_patterns, "mypy", "mypy", "exclude")]
+    wanted += [(_patterns, "pyright", "pyright", key) for key in ("exclude", "ignore")] + [(_patterns, "pylint", at, key) for at in ("pylint", "main") for key in PYLINT_KEYS]
     none = F.array().cast(f"array<{FINDING}>")
-    or_none = lambda value, found: F.when(value.isNotNull(), found).otherwise(none)
-    lists = []
-    for key in RUFF_KEYS:
-        lists += [or_none(tool("ruff", "lint", key), _per_file("ruff", key, tool("ruff", "lint", key))), or_none(tool("ruff", key), _per_file("ruff", key, tool("ruff", key)))]
-    lists += [or_none(tool("ruff", key), _patterns("ruff", key, tool("ruff", key))) for key in RUFF_EXCLUDES]
-    lists += [or_none(tool("mypy", key), _per_file("mypy", key, tool("mypy", key))) for key in ("per-file-ignores", "per_file_ignores")]
-    lists += [or_none(tool("mypy", "exclude"), _patterns("mypy", "exclude", tool("mypy", "exclude"))), _overrides(F.coalesce(tool("mypy", "overrides"), F.lit("")))]
-    lists += [or_none(tool("pyright", key), _patterns("pyright", key, tool("pyright", key))) for key in ("exclude", "ignore")]
-    lists += [or_none(tool(*at, key), _patterns("pylint", key, tool(*at, key))) for at in (("pylint",), ("pylint", "main")) for key in PYLINT_KEYS]
-    return configs.select("path", F.explode(F.concat(*lists)).alias("f")).select("path", "f.*").distinct()
+    found = [F.when(F.element_at(at, key).isNotNull(), read(tool, key, F.element_at(at, key))).otherwise(none) for read, tool, at, key in wanted]
+    found.append(F.when(F.element_at("mypy", "overrides").isNotNull(), _overrides(F.element_at("mypy", "overrides"))).otherwise(none))
+    return rows.select("path", F.explode(F.concat(*found)).alias("f")).select("path", "f.*").distinct()
 
 
 def is_exclude(setting: Column) -> Column:

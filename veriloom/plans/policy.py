@@ -91,7 +91,7 @@ _FLAT = "id, ord, title, summary, directive, body, " + ", ".join(f"array_to_stri
 @query(f"WITH {_MODEL} SELECT {_FLAT} FROM model")
 def principle_model(spark, sf_dir):
     """Principles from items, with derived fields. (PRJ-01, PRJ-04 to PRJ-06, SRT-02, JOIN-18, JOIN-19)"""
-    return _flat(_model(spark, sf_dir).where(F.size("errors") == 0))
+    return _flat(_model(spark, sf_dir))
 
 
 _BROKEN = "CASE event_id % 6 WHEN 0 THEN '{\"title\": \"t\", \"order\": 1, \"body\": \"b\"}' WHEN 1 THEN '{\"id\": \"a\", \"order\": \"x\", \"body\": \"b\"}' WHEN 2 THEN '{\"id\": \"a\", \"title\": \"t\", \"order\": 2}' WHEN 3 THEN '{\"id\": \"a\", \"title\": \"t\", \"order\": 2, \"sections\": [{\"id\": \"s\", \"title\": \"x\", \"body\": \"b\"}, {\"id\": \"s\", \"title\": \"y\", \"kind\": \"odd\", \"body\": \"c\"}]}' WHEN 4 THEN '{\"id\": \"a\", \"title\": \"t\", \"order\": 2, \"body\": \"b\", \"quick_ref\": [\" \"], \"agent_hints\": {\"zed\": \"z\", \"bard\": \"y\"}}' ELSE '{\"id\": \"a\", \"title\": \"t\", \"order\": 2, \"body\": \"b\"}' END"
