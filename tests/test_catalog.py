@@ -34,11 +34,6 @@ def test_query_equals_sql(spark, duck, name):
     assert len(ours) and rows(ours) == rows(theirs)
 
 
-def test_sections(spark):
-    found = catalog.document_sections(spark, SF).toPandas()
-    assert set(found["title"]) == {"Overview", "One", "Two"} and set(found[found.title == "One"].kind) == {"workflow"}
-
-
 def test_config_leaves(spark):
     from veriloom.sources.config import config_leaves
 

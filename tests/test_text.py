@@ -1,5 +1,6 @@
 """Text functions, overlays and the stateful filter on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
@@ -68,6 +69,9 @@ def test_overlay_nulls_and_subtrees(spark):
     over = spark.createDataFrame([("d", "a", "9"), ("d", "b.z", "8"), ("d", "c", None)], "doc string, path string, value string")
     got = {(r.path, r.value) for r in overlay.deep_overlay(base, over).collect()}
     assert got == {("a", "9"), ("b.z", "8"), ("c", None)}
+    assert overlay.union_new(base.limit(1), base.where("path = 'c'"), "path").count() == 2
+    with pytest.raises(ValueError, match="duplicate path: c"):
+        overlay.union_new(base, base.where("path = 'c'"), "path")
 
 
 def test_findings_by_diff(spark):

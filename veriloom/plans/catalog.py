@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
-from veriloom.operators import checks, overlay, python_facts, render, review
+from veriloom.operators import checks, overlay, principles, python_facts, render, review
 from veriloom.plans import policy
 from veriloom.session import table
 from veriloom.sources import config
@@ -401,6 +401,15 @@ def summaries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.summarize(F.expr(_MD.replace("chr(", "char("))).alias("summary"))
 
 
+@query(rf"""WITH b AS (SELECT item_id, {_STRIP.format('text')} AS t, {_plain(_STRIP.format('text'))} AS c FROM benchmark), s AS (SELECT *, rtrim(substring(CASE WHEN regexp_matches(c, '^.+?[.!?](\s|$)') THEN regexp_extract(c, '^(.+?[.!?])(?:\s|$)', 1) ELSE c END, 1, 240)) AS s FROM b)
+SELECT 'first-' || item_id AS id, 1 AS ord, 'First ' || item_id AS title, s AS summary, s AS directive, t || chr(10) || chr(10) || t AS body, s AS quick_ref, 'first ' || item_id AS merge_topics, '' AS tags, '' AS related, 'claude=,codex=,gemini=' AS hints FROM s
+UNION ALL SELECT 'second', 2, 'Second', 'See (#1-first).', 'See (#1-first).', 'See (#1-first).', 'See (#1-first).', 'second', '', 'first', 'claude=,codex=,gemini=' FROM s""")
+def markdown_seed(spark, sf_dir):
+    """Principles from Markdown made of the benchmark's passages. (SRC-17, SNK-02, WIN-03, FN-02, FN-05, SET-02)"""
+    body = F.concat(F.lit("# **Title**\n\nIntro.\n\n## Table of Contents\n\n## **1. First "), F.col("item_id").cast("string"), F.lit("**\n\n"), "text", F.lit("\n\n### Why\n"), "text", F.lit("\n\n## **2. Second**\n\nSee (#1-first).\n"))
+    return policy._flat(principles.seed(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), body.alias("text"))))
+
+
 _SEE = "text || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'See also: b.md' WHEN 1 THEN 'see also:  ' ELSE 'See Also:' END || chr(10) || '    two.md: second' || chr(10) || '    one.md - first' || chr(10) || '    sub/three.md | x' || chr(10) || 'four.md: no'"
 
 
@@ -467,18 +476,6 @@ def version_requirements(spark, sf_dir):
     return code_lines(spark, sf_dir).select("doc_id", T.version_requirement(F.col("text")).alias("version"))
 
 
-def _sections(sql: bool = False):
-    return F.concat(F.col("text"), F.lit("\n## One\nbody\n## Two"))
-
-
-@query()
-def document_sections(spark, sf_dir):
-    """Documents cut at second-level headings."""
-    rows = checks.sections(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), _sections().alias("text")))
-    kind = T.first_rule(F.col("title"), [(("why", "reason"), "rationale"), (("how", "one"), "workflow")], "guidance")
-    return rows.select("path", "section", "title", kind.alias("kind"), F.sha2("body", 256).alias("body"))
-
-
 PYTHON = '''"""Module {0}."""
 from typing import Any, TYPE_CHECKING
 try:

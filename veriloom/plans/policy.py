@@ -502,13 +502,6 @@ def checks_matching(spark, sf_dir):
     return checks.select_files(files, extensions=(".py",)).join(names, "check", "left_semi").groupBy("check").agg(F.count("*").alias("n"))
 
 
-@query()
-def markdown_seed(spark, sf_dir):
-    """Principles from Markdown made of the benchmark's passages. (SRC-17, SNK-02, WIN-03, FN-05, SET-02)"""
-    body = F.concat(F.lit("# **Title**\n\nIntro.\n\n## Table of Contents\n\n## **1. First "), F.col("item_id").cast("string"), F.lit("**\n\n"), "text", F.lit("\n\n### Why\n"), "text", F.lit("\n\n## **2. Second**\n\nSee (#1-first).\n"))
-    return _flat(principles.seed(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), body.alias("text"))))
-
-
 @query()
 def tool_configs(spark, sf_dir):
     """Files of tools from merged settings. (SNK-03, SNK-11, SET-05, PRJ-14, PRJ-19, RND-14)"""
