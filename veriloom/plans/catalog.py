@@ -580,7 +580,9 @@ def log_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").alias("ord"), line.alias("line"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS stream, turn, turn % 4 AS k FROM conversations), n AS (SELECT stream, max(turn) + 1 AS ord, count(*) FILTER (k = 0) AS passed, count(*) FILTER (k = 1) AS failed FROM t GROUP BY stream)
+SELECT stream, turn AS ord, 0 AS part, CASE k WHEN 1 THEN 'types.....Failed' WHEN 2 THEN '' ELSE '- duration: ' || turn END AS line FROM t WHERE k <> 0
+UNION ALL SELECT stream, ord, 0, '  (' || CASE WHEN passed > 0 THEN chr(27) || '[32m' || passed || ' passed' || chr(27) || '[0m, ' ELSE '' END || chr(27) || '[31m' || failed || ' failed' || chr(27) || '[0m)' FROM n WHERE failed > 0""")
 def quiet_filter_query(spark, sf_dir):
     """Hook output filtered by stream. (STM-01 to STM-03, FLT-03, WIN-04, WIN-05, AGG-07)"""
     return quiet_filter.filter_batch(log_lines(table(spark, sf_dir, "conversations")))

@@ -502,7 +502,53 @@ def checks_matching(spark, sf_dir):
     return checks.select_files(files, extensions=(".py",)).join(names, "check", "left_semi").groupBy("check").agg(F.count("*").alias("n"))
 
 
-@query()
+_PYRIGHT = """{
+    "typeCheckingMode": "strict",
+    "include": [
+        "src"
+    ],
+    "exclude": [
+        "**/tests/**",
+        "**/*_test.py",
+        "**/test_*.py",
+        "**/.venv/**"
+    ],
+    "extraPaths": [
+        "."
+    ],
+    "venvPath": ".",
+    "venv": ".venv",
+    "pythonVersion": "3.13"
+}
+"""
+_MYPY = r"""[mypy]
+strict = True
+warn_unused_configs = True
+python_version = 3.13
+files = src
+plugins = pydantic.mypy
+exclude = (^|/)tests/|(^|/).*_test\.py$|(^|/)test_.*\.py$|(^|/)\.venv/
+
+[pydantic-mypy]
+init_forbid_extra = True
+init_typed = True
+warn_required_dynamic_aliases = True
+"""
+_RUFF = """
+exclude = [".git", ".venv", ".mypy_cache", ".ruff_cache", "__pycache__", "*.egg-info", ".eggs", "build", "dist", "node_modules"]
+
+[lint]
+select = ["ALL"]
+ignore = []
+
+[lint.pylint]
+max-args = 6
+"""
+
+
+@query(f"""WITH c AS (SELECT c_name AS root, CAST(c_custkey % 60 + 60 AS VARCHAR) AS n FROM customer)
+SELECT root, 'pyrightconfig.json' AS path, {_chr(_PYRIGHT)} AS content FROM c UNION ALL SELECT root, 'mypy.ini', {_chr(_MYPY)} FROM c UNION ALL SELECT root, 'ruff.toml', {_chr('target-version = "py313"' + chr(10) + 'line-length = ')} || n || {_chr(_RUFF)} FROM c
+UNION ALL SELECT root, '.yamllint.yml', {_chr('extends: default' + chr(10) + 'rules:' + chr(10) + '  line-length:' + chr(10) + '    max: ')} || n || chr(10) FROM c UNION ALL SELECT root, '.golangci.yml', {_chr('linters:' + chr(10) + '  settings:' + chr(10) + '    lll:' + chr(10) + '      line-length: ')} || n || {_chr(chr(10) + "version: '2'" + chr(10))} FROM c""")
 def tool_configs(spark, sf_dir):
     """Files of tools from merged settings. (SNK-03, SNK-11, SET-05, PRJ-14, PRJ-19, RND-14)"""
     from veriloom.operators import tools
