@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -42,6 +44,15 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy() -> None:
+    """Has a Python worker give free memory back; for the end of a task, since workers stay for later ones."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path, so any store will do."""
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
