@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.names import free
 from veriloom.llm.shingles import WIDTH, mix, shingle_sets
-from veriloom.session import ready, staged, unstage
+from veriloom.session import ready, staged, tidy, unstage
 
 #: Linked if 100 * intersection >= 75 * union.
 THRESHOLD = Fraction(75, 100)
@@ -152,6 +152,8 @@ def _first_pass(width: int, t: Fraction, buckets: int):
                     rows, kept, sets = [], {}, []
         if rows:
             yield from flush()
+        rows, kept, sets = [], {}, []
+        tidy()
 
     return run
 
@@ -205,6 +207,7 @@ def _sets_pass(width: int):
         for frame in frames:
             sets = [s for s in shingle_sets(frame["text"].tolist(), width) if len(s)]
             yield pd.DataFrame([(xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), _min_hash(s, 0), s.tobytes()) for s in sets], columns=["digest", "n", "h", "tokens"], dtype=object).astype({"n": "int64", "h": "int64"})
+        tidy()
 
     return run
 
@@ -237,6 +240,8 @@ def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(held, columns=names, dtype=object)
             held, size = [], 0
     yield pd.DataFrame(held, columns=names, dtype=object)
+    held = []
+    tidy()
 
 
 class _Union(dict):

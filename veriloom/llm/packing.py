@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.session import ready
+from veriloom.session import ready, tidy
 
 #: Longest sequence, tiers below it, the id behind each document, sequences' tokens in a step group.
 LENGTH, TIERS, END, STEP = 1024, (128, 256, 512, 1024), 0, 64 * 1024
@@ -213,6 +213,8 @@ def _pack(path: str, length: int, tiers: tuple[int, ...], step: int, window: int
                     ids, docs, held = [], [], 0
         if docs:
             yield from flush()
+        ids, docs = [], []
+        tidy()
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.labelled import sample
-from veriloom.session import ready
+from veriloom.session import ready, tidy
 
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 8, 32
 #: Places of half a chunk, filters over chunks, and distances and embedding of the second-order input.
@@ -186,6 +186,7 @@ def score(docs: DataFrame, model: Network, text_col: str = "text", *, threshold:
         net = shared.value
         for batch in batches:
             yield pd.Series([net.score(x) for x in batch], dtype="float64")
+        tidy()
 
     scored = docs.withColumn(out[0], probability(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.shingles import mix, word_hashes
 from veriloom.llm.names import free
-from veriloom.session import ready, staged, unstage
+from veriloom.session import ready, staged, tidy, unstage
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -79,6 +79,7 @@ def with_stats(docs: DataFrame, text_col: str, name: str) -> DataFrame:
         names = [c.split()[0] for c in STATS.split(", ")]
         for batch in batches:
             yield pd.DataFrame(stats(batch.tolist()), columns=names, dtype="int64")
+        tidy()
 
     return docs.withColumn(name, measure(F.coalesce(F.col(text_col), F.lit(""))))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.labelled import sample
-from veriloom.session import ready
+from veriloom.session import ready, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds: documents that voters and classifier are fitted on, words of all lexicons, word starts of all patterns.
@@ -225,6 +225,8 @@ def score(docs: DataFrame, model: Toxicity, text_col: str = "text", *, threshold
         of = shared.value.scorer()
         for batch in batches:
             yield pd.Series([of(x) for x in batch], dtype="float64")
+        del of
+        tidy()
 
     scored = docs.withColumn(out[0], probability(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))
