@@ -25,7 +25,7 @@ class Layout:
     head: tuple[str, ...] = ()
     notice: str = "<!-- Generated. Edit the sources, then regenerate. -->"
     layer: str = "Shared Ethos"
-    overlay: str = "repo_ethos.yml"
+    overlay: str = "overlay.yml"
     prefix: str = "ETHOS.md:"
     untitled: str = "Engineering Ethos"
 
