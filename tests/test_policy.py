@@ -316,6 +316,19 @@ def test_calls(spark, tmp_path):
     assert (empty.total, empty.percent, empty.enough) == (0, 100.0, True)
 
 
+def test_commands(spark):
+    import sys
+
+    from veriloom.operators import calls, checks
+
+    rows = frame(spark, [("good", [sys.executable, "-c", "print('= 3 passed, 1 skipped in 1s')"]), ("bad", [sys.executable, "-c", "import sys; sys.stderr.write('é'); sys.exit(3)"]), ("slow", [sys.executable, "-c", "import time; time.sleep(60)"]), ("none", ["/no/such/program"])], "name string, words array<string>")
+    got = {r.name: r for r in calls.run_commands(rows, timeout=4, at_once=2).withColumn("counts", checks.pytest_counts(F.col("output"))).collect()}
+    assert got["good"].exit_code == 0 and tuple(got["good"].counts) == (3, 1, 0, 0, 0) and (got["bad"].exit_code, got["bad"].output) == (3, "é")
+    assert got["slow"].exit_code is None and got["slow"].error == "not ended after 4 s" and 3900 < got["slow"].millis < 20_000 and "No such file" in got["none"].error
+    done = frame(spark, [("b", 1, "", None, 5), ("a", 0, "", None, 7), ("c", None, "", "x", 1)], calls.RESULT)
+    assert tuple(calls.outcome(done).first()) == (1, 2, 13, "PASS a (7ms)\nFAIL b (5ms)\nFAIL c (1ms)")
+
+
 def test_files_on_disk(spark, tmp_path):
     from veriloom.sources.config import text_files
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 import time
 from collections.abc import Callable, Iterator
 
@@ -138,6 +139,48 @@ def command(words: list[str], files: Column, *, config: Column | None = None, fl
     return F.concat(*parts)
 
 
+RESULT = "name string, exit_code int, output string, error string, millis long"
+
+
+def run_command(words: list[str], timeout: float) -> tuple[int | None, str, str | None, int]:
+    """(exit code, output of both kinds, error, milliseconds) of an external program; without a code if it can't be started
+    or takes too long."""
+    began = time.monotonic()
+    code, output, error = None, "", None
+    try:
+        done = subprocess.run(words, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, timeout=timeout, check=False)
+        code, output = done.returncode, done.stdout.decode("utf-8", "replace")
+    except subprocess.TimeoutExpired as e:
+        output, error = (e.output or b"").decode("utf-8", "replace"), f"not ended after {timeout:g} s"
+    except OSError as e:
+        error = str(e)
+    return code, output, error, int(1000 * (time.monotonic() - began))
+
+
+def run_commands(commands: DataFrame, *, timeout: float = 120, at_once: int | None = None) -> DataFrame:
+    """(name, exit_code, output, error, millis) of command lines (name, words), run side by side by the tasks that hold
+    them, at_once at a time if given. For checkers, test runs and analyzers, whose output other functions read. A task that
+    is lost runs its programs again. (EXT-04, EXT-07 to EXT-09)"""
+    ready(commands.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(name, *run_command([str(w) for w in words], timeout)) for name, words in zip(frame["name"], frame["words"], strict=True)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"exit_code": "Int64"})
+
+    rows = commands.select("name", "words")
+    return (rows.repartition(at_once) if at_once else rows).mapInPandas(run, RESULT)
+
+
+def outcome(results: DataFrame) -> DataFrame:
+    """(passed, failed, total_millis, text) of checkers' results, one line each in text, by name. (AGG-06)"""
+    good = F.col("exit_code") == 0
+    ok = F.coalesce(good, F.lit(False))
+    line = F.concat(F.when(ok, "PASS ").otherwise("FAIL "), "name", F.lit(" ("), F.col("millis").cast("string"), F.lit("ms)"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("l")))), lambda x: x["l"])
+    return results.agg(F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.sum("millis").alias("total_millis"), F.array_join(lines, "\n").alias("text"))
+
+
 def coverage(facts: DataFrame, threshold: float = 90) -> DataFrame:
     """(documented, total, percent, enough) of the functions and classes among facts (kind, detail) whose names don't begin
     with an underscore; without any the share is whole. (EXT-06)"""
