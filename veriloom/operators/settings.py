@@ -86,9 +86,10 @@ def resolved(checks: DataFrame, settings: DataFrame, overrides: DataFrame, model
     of a check, else the one row of settings, else a default. (PRJ-17)"""
     o = overrides.select(F.col("check").alias("_c"), F.col("model").alias("_m"), F.col("service_tier").alias("_t"), F.col("thinking_budget").alias("_b"))
     named = lambda x: F.when(F.trim(x) != "", F.trim(x))
-    one = F.broadcast(settings.select("model", "service_tier", "thinking_budget").limit(1))  # a single row
-    j = checks.select("check").join(o, F.col("check") == F.col("_c"), "left").join(one, how="cross")
-    return j.select("check", F.coalesce(named(F.col("_m")), named(F.col("model")), F.lit(model)).alias("model"), F.coalesce(tier(F.coalesce("_t", "service_tier")), F.lit("standard")).alias("service_tier"), F.coalesce("_b", "thinking_budget").alias("thinking_budget"))
+    shared = settings.select("model", "service_tier", "thinking_budget").first()  # a single row
+    model_, tier_, budget = (F.lit(x) for x in (shared or (None, None, None)))
+    j = checks.select("check").join(o, F.col("check") == F.col("_c"), "left")
+    return j.select("check", F.coalesce(named(F.col("_m")), named(model_.cast("string")), F.lit(model)).alias("model"), F.coalesce(tier(F.coalesce(F.col("_t"), tier_.cast("string"))), F.lit("standard")).alias("service_tier"), F.coalesce(F.col("_b"), budget.cast("int")).alias("thinking_budget"))
 
 
 def request_key(check: Column, model: Column, service_tier: Column, thinking_budget: Column, filters_off: Column, dependency: Column, prompt: Column) -> Column:
