@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, media, ngram_join, packing, pieces, quality_cnn, quality_rules, secrets, token_counts, toxicity
+from veriloom.llm import chat, media, merkle, near_vectors, ngram_join, packing, pieces, quality_cnn, quality_rules, secrets, token_counts, toxicity
 from veriloom.llm.labelled import fold
 from veriloom.session import table
 
@@ -83,6 +83,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of one label at cosine 0.93."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, proof and root; texts of ids with an even checksum are tampered with."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    names = ["doc_id", "source", "lang", "n_chars"]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    claim = F.when(hit & F.contains("text", F.lit("\n")), merkle.seal(*names, F.replace("text", F.lit("\n"), F.lit(""))))
+    leaf = merkle.seal(*names, "text")
+    done = merkle.manifest(docs, leaf, claim=F.coalesce(claim, leaf))
+    return done.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -92,5 +108,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_token_counts, op3_toxicity, op4_chat_formatting, op5_quality_classifier, op6_piece_encoding, op7_secret_scans, op8_quality_rules, op9_media_columns, op10_packing, pipeline)
+    for f in (op1_ngram_jaccard_join, op2_token_counts, op3_toxicity, op4_chat_formatting, op5_quality_classifier, op6_piece_encoding, op7_secret_scans, op8_quality_rules, op9_media_columns, op10_packing, op11_embedding_near_dedup, op13_merkle_manifest, pipeline)
 }
