@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, media, merkle, near_vectors, ngram_join, packing, pieces, quality_cnn, quality_rules, secrets, token_counts, toxicity
+from veriloom.llm import chat, media, merkle, near_vectors, ngram_join, packing, pair_tables, pieces, quality_cnn, quality_rules, secrets, token_counts, toxicity
 from veriloom.llm.labelled import fold
 from veriloom.session import table
 
@@ -88,6 +88,12 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_co_bucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sales and sale_lines as co-bucketed files in a new folder of the shared one: a row for each file."""
+    starts = (pair_tables.first_files("sale_id"), pair_tables.second_files("item_id"))
+    return pair_tables.rewrite_pair(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), starts=starts)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's leaf, proof and root; texts of ids with an even checksum are tampered with."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -108,5 +114,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_token_counts, op3_toxicity, op4_chat_formatting, op5_quality_classifier, op6_piece_encoding, op7_secret_scans, op8_quality_rules, op9_media_columns, op10_packing, op11_embedding_near_dedup, op13_merkle_manifest, pipeline)
+    for f in (op1_ngram_jaccard_join, op2_token_counts, op3_toxicity, op4_chat_formatting, op5_quality_classifier, op6_piece_encoding, op7_secret_scans, op8_quality_rules, op9_media_columns, op10_packing, op11_embedding_near_dedup, op12_co_bucketed_pair, op13_merkle_manifest, pipeline)
 }
