@@ -87,4 +87,15 @@ FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op4_chat_formatting": OP4, "op7_secret_scans": _op7(), "op8_quality_rules": OP8}
+OP11 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT r, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND NOT list_contains(list_transform(e, lambda x: x IS NULL OR NOT isfinite(x)), true) AND list_contains(list_transform(e, lambda x: x <> 0), true)),
+l AS (SELECT a.r AS x, b.r AS y FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+m AS (SELECT r, vec_id AS m FROM v UNION SELECT l.x, m.m FROM l JOIN m ON l.y = m.r),
+c AS (SELECT r, min(m) AS m FROM m GROUP BY r)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.m AS component_id, vec_id IS NOT DISTINCT FROM c.m AS kept
+FROM v JOIN c ON c.r = v.r LEFT JOIN n ON n.x = v.r
+"""
+
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op4_chat_formatting": OP4, "op7_secret_scans": _op7(), "op8_quality_rules": OP8, "op11_embedding_near_dedup": OP11}
