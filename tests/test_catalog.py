@@ -67,8 +67,12 @@ def test_sql_and_attribution_patterns(spark):
     assert sorted(r.line for r in got) == [2, 4, 6]
 
 
-def test_python_policies():
-    from veriloom.operators.python_facts import facts
+def test_python_policies(spark):
+    from veriloom.operators import python_facts
+
+    def facts(source, path):
+        rows = python_facts.python_facts(spark.createDataFrame([(path, source)], "path string, text string")).collect()
+        return sorted((r.line, r.kind, r.detail) for r in rows)
 
     source = """import os, pytest
 a = "SELECT"

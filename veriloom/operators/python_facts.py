@@ -1,22 +1,19 @@
-"""Facts of Python sources from the standard library's syntax trees, as rows of (path, line, kind, detail, snippet).
+"""Facts of Python sources, as plans over the table of syntax nodes. Rows are (path, line, kind, detail, snippet).
 
-Sources that don't parse give one row of kind parse_error. Sources are independent rows, so this is a map over Arrow
-batches without a shuffle.
+Each detector is a function of the node table to (file, path, line, kind, detail): filters, joins with parents and children,
+joins on intervals. Sources that don't parse give one row of kind parse_error.
 """
 
 from __future__ import annotations
 
-import ast
-import io
-import re
-import tokenize
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from veriloom.operators.checks import SQL_PATTERNS
-from veriloom.session import ready
+from veriloom.operators.checks import SQL_PATTERNS, first_pattern
+from veriloom.operators.imports import is_test_path
+from veriloom.operators.syntax import nodes, within
 
 # Fixed values of the reference's settings. (AST-03, AST-04, AST-10)
 BANNED_MARKERS = ("skip", "skipif")
@@ -24,9 +21,7 @@ MIGRATIONS = ("alembic", "migrations")
 ERROR_KEYWORDS = ("suggestion", "reason", "message", "match", "extra")
 LEAST = 15
 SECRETS = ("sk-", "pk-", "api_", "key_", "token_", "secret_", "password", "passwd", "credential")
-SQL_KEYWORDS = re.compile("(SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|TRUNCATE|EXECUTE|EXEC)(?![0-9A-Za-z])")
-TEST_MARKS = ("tests", "conftest", "test_", "_test.py")
-_PATTERNS = [(re.compile(r, re.A), name) for r, name in SQL_PATTERNS]
+SQL_KEYWORDS = "^(SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|TRUNCATE|EXECUTE|EXEC)(?![0-9A-Za-z])"
 # Fixed values of the reference's settings. (AST-05, AST-06, AST-09)
 LOG_METHODS = ("debug", "info", "warning", "error", "critical")
 LOGGERS = ("logger", "_logger", "log", "_log")
@@ -35,194 +30,167 @@ IMPORT_ERRORS = ("ImportError", "ModuleNotFoundError")
 FLAG = "HAS_"
 EXEMPT_METHODS = ("__exit__", "__aexit__")
 
-SCHEMA = "path string, line int, kind string, detail string, snippet string"
+FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
+DEFINITIONS = (*FUNCTIONS, "ClassDef")
+BLOCKS = ("body", "orelse", "finalbody")
 
 
-def _import_error(handler: ast.ExceptHandler) -> bool:
-    names = [handler.type] if not isinstance(handler.type, ast.Tuple) else handler.type.elts
-    return handler.type is None or any(isinstance(n, ast.Name) and n.id in IMPORT_ERRORS for n in names)
+def _found(rows: DataFrame, kind: Column | str, detail: Column, line: Column | str = "line") -> DataFrame:
+    return rows.select("file", "path", (F.col(line) if isinstance(line, str) else line).alias("line"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), detail.alias("detail"))
 
 
-def conditional_imports(n: ast.Try) -> list[tuple[int, str, str]]:
+def _of(t: DataFrame, *kinds: str) -> DataFrame:
+    return t.where(F.col("kind").isin(*kinds))
+
+
+def _at(rows: DataFrame, node: str, other: DataFrame, how: str = "inner") -> DataFrame:
+    """rows whose (file, node) is the (_f, _n) of other."""
+    return rows.join(other, (F.col("file") == F.col("_f")) & (F.col(node) == F.col("_n")), how).drop("_f", "_n")
+
+
+def _keyed(rows: DataFrame, node: str, **columns: str) -> DataFrame:
+    return rows.select(F.col("file").alias("_f"), F.col(node).alias("_n"), *[F.col(c).alias(a) for a, c in columns.items()])
+
+
+def import_statements(t: DataFrame) -> DataFrame:
+    """(AST-01)"""
+    by = ["file", "path", F.col("parent"), F.col("p_kind"), F.col("p_name"), F.col("p_line").alias("at")]
+    rows = _of(t, "alias").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", "name", "value"))).alias("names"))
+    names = F.array_join(F.transform("names", lambda k: F.concat(k["name"], F.coalesce(F.concat(F.lit(" as "), k["value"]), F.lit("")))), ", ")
+    plain = F.col("p_kind") == "Import"
+    return _found(rows, F.when(plain, "import").otherwise("import_from"), F.when(plain, names).otherwise(F.concat("p_name", F.lit(": "), names)), "at")
+
+
+def type_checking(t: DataFrame) -> DataFrame:
+    """Annotations from the future, TYPE_CHECKING and conditions on it. (AST-07)"""
+    of = _of(t, "alias").where("p_kind = 'ImportFrom' and ((p_name = '__future__' and name = 'annotations') or (p_name = 'typing' and name = 'TYPE_CHECKING'))")
+    tests = t.where("field = 'test' and p_kind = 'If' and ((kind = 'Name' and name = 'TYPE_CHECKING') or (kind = 'Attribute' and dotted = 'typing.TYPE_CHECKING'))")
+    return _found(of, "type_checking", F.col("p_name"), "p_line").unionByName(_found(tests, "type_checking", F.lit("if"), "p_line"))
+
+
+def conditional_imports(t: DataFrame) -> DataFrame:
     """Modules imported in a try whose handlers catch a failed import, and flags that they set. (AST-06)"""
-    if not any(map(_import_error, n.handlers)):
-        return []
-    names = [a.name for s in n.body if isinstance(s, ast.Import) for a in s.names]
-    names += ["." * s.level + (s.module or "") for s in n.body if isinstance(s, ast.ImportFrom)]
-    stores = [t for h in n.handlers for s in h.body if isinstance(s, (ast.Assign, ast.AnnAssign)) for t in (s.targets[:1] if isinstance(s, ast.Assign) else [s.target])]
-    names += [t.id for t in stores if isinstance(t, ast.Name) and t.id.startswith(FLAG)]
-    return [(n.lineno, "conditional_import", x) for x in names]
-
-
-def _logs(n: ast.Call) -> bool:
-    """Whether a call logs without a keyword of its own, or with more than a message. (AST-05)"""
-    f = n.func
-    if not isinstance(f, ast.Attribute) or f.attr not in LOG_METHODS:
-        return False
-    name = f.value.id if isinstance(f.value, ast.Name) else f.value.attr if isinstance(f.value, ast.Attribute) else ""
-    own = any(k.arg and k.arg not in LOG_KEYWORDS for k in n.keywords)
-    return name in LOGGERS and (not own or len(n.args) + sum(k.arg is None for k in n.keywords) > 1)
-
-
-def _type_checking(node: ast.expr) -> bool:
-    return isinstance(node, ast.Name) and node.id == "TYPE_CHECKING" or isinstance(node, ast.Attribute) and node.attr == "TYPE_CHECKING" and isinstance(node.value, ast.Name) and node.value.id == "typing"
-
-
-def _silent(body: list[ast.stmt]) -> bool:
-    rest = [s for s in body if not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str))]
-    if len(rest) != 1:
-        return False
-    s = rest[0]
-    return (
-        isinstance(s, (ast.Pass, ast.Continue))
-        or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and s.value.value is Ellipsis
-        or isinstance(s, ast.Return) and (s.value is None or isinstance(s.value, ast.Constant) and s.value.value is None)
-    )
-
-
-def _none_union(node: ast.expr | None) -> bool:
-    """Whether a union with None stands anywhere in an annotation. (AST-09)"""
-    unions = [x for x in ast.walk(node) if isinstance(x, ast.BinOp) and isinstance(x.op, ast.BitOr)] if node else []
-    return any(isinstance(side, ast.Constant) and side.value is None for x in unions for side in (x.left, x.right))
-
-
-def _docstrings(tree: ast.AST) -> set[int]:
-    return {id(n.body[0].value) for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and n.body and isinstance(n.body[0], ast.Expr) and isinstance(n.body[0].value, ast.Constant)}
-
-
-def _chain(node: ast.expr) -> list[str]:
-    if isinstance(node, ast.Call):
-        return _chain(node.func)
-    if isinstance(node, ast.Attribute):
-        return [*_chain(node.value), node.attr]
-    return [node.id] if isinstance(node, ast.Name) else []
-
-
-def _literal(node: ast.AST | None) -> str | None:
-    """The whole text of a string literal, a space for each interpolation; None for other nodes."""
-    if isinstance(node, ast.JoinedStr):
-        return "".join(x.value if isinstance(x, ast.Constant) else " " for x in node.values)
-    if isinstance(node, ast.Constant) and isinstance(node.value, bytes):
-        return node.value.decode("latin-1")
-    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
-
-
-def _exempt(tree: ast.AST) -> set[int]:
-    """Nodes that are no SQL literals: parts of f-strings, standalone strings at a block's start or behind an assignment,
-    values of error keywords."""
-    out: set[int] = set()
-    for n in ast.walk(tree):
-        if isinstance(n, ast.JoinedStr):
-            out |= {id(x) for x in n.values} | {id(x.format_spec) for x in n.values if isinstance(x, ast.FormattedValue)}
-        elif isinstance(n, ast.keyword) and n.arg in ERROR_KEYWORDS:
-            out.add(id(n.value))
-        for block in (getattr(n, b, None) for b in ("body", "orelse", "finalbody")):
-            if isinstance(block, list):
-                out |= {id(s.value) for k, s in enumerate(block) if isinstance(s, ast.Expr) and (not k or isinstance(block[k - 1], (ast.Assign, ast.AnnAssign)))}
-    return out
-
-
-def sql_literals(tree: ast.AST, path: str) -> list[tuple[int, str, str]]:
-    """(line, "sql", pattern) of whole string literals that hold SQL. (AST-04)"""
-    if any(m in path for m in MIGRATIONS):
-        return []
-    out, exempt = [], _exempt(tree)
-    for n in ast.walk(tree):
-        text = None if id(n) in exempt else _literal(n)
-        flat = " ".join((text or "").split())
-        if len(flat.encode("utf-8", "surrogatepass")) >= LEAST:
-            out += [(n.lineno, "sql", name) for name in [next((name for p, name in _PATTERNS if p.search(flat)), None)] if name]
-    return out
-
-
-def _is_getenv(call: ast.Call) -> bool:
-    f = call.func
-    if not isinstance(f, ast.Attribute):
-        return False
-    return f.attr == "getenv" and isinstance(f.value, ast.Name) and f.value.id == "os" or f.attr == "get" and isinstance(f.value, ast.Attribute) and f.value.attr == "environ"
-
-
-def security(tree: ast.AST, path: str) -> list[tuple[int, str, str]]:
-    """Secrets as defaults of environment variables, f-strings that begin with SQL, and assignments to os.environ in test
-    files. (AST-10)"""
-    name = path.rsplit("/", 1)[-1]
-    is_test, out = any(m in (name if m.endswith(".py") else path) for m in TEST_MARKS), []
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Call) and _is_getenv(n):
-            default = next((k.value for k in n.keywords if k.arg == "default"), n.args[1] if len(n.args) > 1 else None)
-            value = None if isinstance(default, ast.Constant) and isinstance(default.value, bytes) else _literal(default)
-            if value is not None and any(s in value.lower() for s in SECRETS):
-                out.append((default.lineno, "DEFAULT_SECRET", ast.unparse(n.func)))
-        elif isinstance(n, (ast.Assign, ast.AnnAssign)):
-            if isinstance(n.value, ast.JoinedStr) and any(isinstance(x, ast.FormattedValue) for x in n.value.values):
-                hit = SQL_KEYWORDS.match(_literal(n.value).upper().strip())
-                if hit:
-                    out.append((n.value.lineno, "SQL_INJECTION", hit[1]))
-            for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                if is_test and isinstance(t, ast.Subscript) and isinstance(t.value, ast.Attribute) and _chain(t.value) == ["os", "environ"]:
-                    out.append((t.lineno, "TEST_ENV_BYPASS", "os.environ"))
-    return out
-
-
-def facts(source: str | None, path: str = "") -> list[tuple[int, str, str]]:
-    """(line, kind, detail) of one source: imports, decorators, banned markers, strings, SQL literals, log calls,
-    conditional imports, silent handlers, optional annotations, type-checking imports, security findings, comments.
-    (AST-01, AST-03 to AST-10, STM-04)"""
-    source = source or ""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return [(getattr(e, "lineno", None) or 0, "parse_error", type(e).__name__)]
-    out: list[tuple[int, str, str]] = []
-    docs = _docstrings(tree)
-    out += sql_literals(tree, path) + security(tree, path)
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Import):
-            out.append((n.lineno, "import", ", ".join(f"{a.name} as {a.asname}" if a.asname else a.name for a in n.names)))
-        elif isinstance(n, ast.ImportFrom):
-            module = "." * n.level + (n.module or "")
-            out.append((n.lineno, "import_from", f"{module}: " + ", ".join(f"{a.name} as {a.asname}" if a.asname else a.name for a in n.names)))
-            out += [(n.lineno, "type_checking", module) for a in n.names if (module, a.name) in (("__future__", "annotations"), ("typing", "TYPE_CHECKING"))]
-        elif isinstance(n, ast.If) and _type_checking(n.test):
-            out.append((n.lineno, "type_checking", "if"))
-        elif isinstance(n, ast.Try):
-            out += conditional_imports(n)
-            out += [(h.lineno, "silent_handler", ast.unparse(h.type) if h.type else "bare") for h in n.handlers if _silent(h.body)]
-        elif isinstance(n, ast.AnnAssign) and _none_union(n.annotation):
-            out.append((n.lineno, "optional", ast.unparse(n.target)))
-        elif isinstance(n, ast.Call) and _logs(n):
-            out.append((n.lineno, "unstructured_log", n.func.attr))
-        elif isinstance(n, ast.Constant) and isinstance(n.value, str) and id(n) not in docs:
-            out.append((n.lineno, "string", n.value[:80]))
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name not in EXEMPT_METHODS:
-            args = [(a, a.arg) for a in (*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs)]
-            args += [(a, mark + a.arg) for a, mark in ((n.args.vararg, "*"), (n.args.kwarg, "**")) if a]
-            out += [(a.annotation.lineno, "optional", name) for a, name in args if _none_union(a.annotation)]
-            out += [(n.returns.lineno, "optional", "return")] if _none_union(n.returns) else []
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            out += [(d.lineno, "decorator", ast.unparse(d)) for d in n.decorator_list]
-            for d in n.decorator_list:
-                chain = _chain(d)
-                if chain[-2:-1] == ["mark"] and chain[-1] in BANNED_MARKERS:
-                    out.append((d.lineno, "banned_marker", f"pytest.mark.{chain[-1]}"))
-            out.append((n.lineno, "documented" if ast.get_docstring(n) else "undocumented", n.name))
-    try:
-        out += [(t.start[0], "comment", t.string) for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
-    except (tokenize.TokenError, IndentationError):
-        pass
-    return sorted(out)
-
-
-def python_facts(files: DataFrame) -> DataFrame:
-    """Facts of files (path, text). Null texts have none."""
-    ready(files.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, text in zip(frame["path"], frame["text"], strict=True):
-                lines = (text or "").split("\n")
-                rows += [(path, line, kind, detail, lines[line - 1].strip()[:120] if 0 < line <= len(lines) else "<unknown>") for line, kind, detail in facts(text, path or "")]
-            yield pd.DataFrame(rows, columns=["path", "line", "kind", "detail", "snippet"])
-
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
+    handlers = _of(t, "ExceptHandler").where("p_kind = 'Try'")
+    caught = t.where(F.col("name").isin(*IMPORT_ERRORS) & (F.col("kind") == "Name")).where("(field = 'type' and p_kind = 'ExceptHandler') or (field = 'elts' and p_kind = 'Tuple' and p_field = 'type')")
+    named = _keyed(caught.withColumn("handler", F.when(F.col("field") == "type", F.col("parent")).otherwise(F.col("p_parent"))), "handler")
+    catching = _keyed(handlers.where("text is null").unionByName(_at(handlers, "node", named)), "parent", at="p_line").distinct()
+    plain = _at(_of(t, "alias").where("p_kind = 'Import' and p_field = 'body'"), "p_parent", catching)
+    taken = _at(_of(t, "ImportFrom").where("field = 'body' and p_kind = 'Try'"), "parent", catching)
+    stores = t.where((F.col("kind") == "Name") & F.col("name").startswith(FLAG)).where("p_field = 'body' and ((field = 'targets' and idx = 0 and p_kind = 'Assign') or (field = 'target' and p_kind = 'AnnAssign'))")
+    flags = _at(_at(stores, "p_parent", _keyed(handlers, "node", tried="parent")), "tried", catching)
+    return reduce(DataFrame.unionByName, [_found(rows, "conditional_import", F.col("name"), "at") for rows in (plain, taken, flags)])
+
+
+def silent_handlers(t: DataFrame) -> DataFrame:
+    """Handlers whose one statement, but for strings, does nothing. (AST-08)"""
+    body = t.where("field = 'body' and p_kind = 'ExceptHandler'")
+    other = ~((F.col("kind") == "Expr") & F.col("vtype").eqNullSafe("str"))
+    nothing = F.coalesce(F.expr("kind in ('Pass', 'Continue') or (kind = 'Expr' and vtype = 'ellipsis') or (kind = 'Return' and vtype = 'none')"), F.lit(False))
+    rest = body.groupBy(F.col("file").alias("_f"), F.col("parent").alias("_n")).agg(F.count_if(other).alias("rest"), F.count_if(nothing).alias("nothing"))
+    rows = _at(_of(t, "ExceptHandler").where("p_kind = 'Try'"), "node", rest.where("rest = 1 and nothing = 1"))
+    return _found(rows, "silent_handler", F.coalesce("text", F.lit("bare")))
+
+
+def optional_annotations(t: DataFrame) -> DataFrame:
+    """Annotations with a union with None anywhere in them: an interval join of such sides with annotations. (AST-09)"""
+    sides = t.where("kind = 'Constant' and vtype = 'none' and field in ('left', 'right') and p_kind = 'BinOp' and p_name = 'BitOr'").select("file", "node")
+    annotations = t.where("field in ('annotation', 'returns')")
+    hit = _keyed(within(sides, annotations, "node").select("file", "outer_node").distinct(), "outer_node")
+    rows = _at(annotations, "node", hit)
+    exempt = F.col("p_name").isin(*EXEMPT_METHODS)
+    targets = _keyed(t.where("field = 'target' and p_kind = 'AnnAssign'"), "parent", target="text")
+    values = _found(_at(rows.where("p_kind = 'AnnAssign' and field = 'annotation'"), "parent", targets), "optional", F.col("target"), "p_line")
+    returns = _found(rows.where(F.col("p_kind").isin(*FUNCTIONS) & ~exempt), "optional", F.lit("return"))
+    lists = _keyed(_of(t, "arguments").where(F.col("p_kind").isin(*FUNCTIONS) & ~exempt), "node")
+    mark = F.when(F.col("p_field") == "vararg", "*").when(F.col("p_field") == "kwarg", "**").otherwise("")
+    args = _found(_at(rows.where("p_kind = 'arg'"), "p_parent", lists), "optional", F.concat(mark, F.col("p_name")))
+    return values.unionByName(returns).unionByName(args)
+
+
+def log_calls(t: DataFrame) -> DataFrame:
+    """Calls that log without a keyword of their own, or with more than a message. (AST-05)"""
+    called = t.where("field = 'func' and p_kind = 'Call' and kind = 'Attribute'").where(F.col("name").isin(*LOG_METHODS) & F.col("base").isin(*LOGGERS))
+    given = t.where("p_kind = 'Call' and (field = 'args' or kind = 'keyword')").groupBy(F.col("file").alias("_f"), F.col("parent").alias("_n"))
+    own = (F.col("kind") == "keyword") & F.col("name").isNotNull() & ~F.col("name").isin(*LOG_KEYWORDS)
+    counts = given.agg(F.count_if(own).alias("own"), F.count_if((F.col("field") == "args") | F.col("name").isNull()).alias("plain"))
+    rows = _at(called, "parent", counts, "left").where("coalesce(own, 0) = 0 or plain > 1")
+    return _found(rows, "unstructured_log", F.col("name"), "p_line")
+
+
+def strings(t: DataFrame) -> DataFrame:
+    """String literals but for docstrings."""
+    doc = (F.col("p_kind") == "Expr") & (F.col("p_field") == "body") & (F.col("p_idx") == 0) & F.col("pp_kind").isin("Module", *DEFINITIONS)
+    return _found(t.where("kind = 'Constant' and vtype = 'str'").where(~F.coalesce(doc, F.lit(False))), "string", F.col("value"))
+
+
+def sql_literals(t: DataFrame) -> DataFrame:
+    """Whole string literals that hold SQL, but for parts of f-strings, standalone strings at a block's start or behind an
+    assignment, values of error keywords, and migrations. (AST-04)"""
+    flat = F.trim(F.regexp_replace("value", r"(?U)\s+", " "))
+    rows = _of(t, "Constant", "JoinedStr").where(F.col("vtype").isin("str", "fstr", "bytes") & (F.col("field") != "format_spec"))
+    for m in MIGRATIONS:
+        rows = rows.where(~F.contains(F.coalesce("path", F.lit("")), F.lit(m)))
+    loose = (F.col("p_kind") == "Expr") & F.col("p_field").isin(*BLOCKS) & F.col("p_idx").isNotNull() & (F.col("p_prev").isNull() | F.col("p_prev").isin("Assign", "AnnAssign"))
+    exempt = (F.col("p_kind") == "JoinedStr") | ((F.col("p_kind") == "keyword") & F.col("p_name").isin(*ERROR_KEYWORDS)) | loose
+    rows = rows.where(~F.coalesce(exempt, F.lit(False)) & (F.octet_length(flat) >= LEAST))
+    return _found(rows.withColumn("pattern", first_pattern(flat, SQL_PATTERNS)).where("pattern is not null"), "sql", F.col("pattern"))
+
+
+def default_secrets(t: DataFrame) -> DataFrame:
+    """Secrets as defaults of environment variables. (AST-10)"""
+    secret = reduce(lambda a, b: a | b, [F.contains(F.lower("value"), F.lit(s)) for s in SECRETS])
+    rows = _of(t, "Constant", "JoinedStr").where(F.col("vtype").isin("str", "fstr") & secret)
+    reads = t.where("field = 'func' and p_kind = 'Call' and kind = 'Attribute' and (dotted = 'os.getenv' or (name = 'get' and base = 'environ'))")
+    reads = _keyed(reads, "parent", read="text")
+    named = _at(rows.where("p_kind = 'keyword' and p_name = 'default' and field = 'value'"), "p_parent", reads)
+    second = _at(rows.where("p_kind = 'Call' and field = 'args' and idx = 1"), "parent", reads)
+    second = _at(second, "parent", _keyed(_of(t, "keyword").where("name = 'default' and p_kind = 'Call'"), "parent"), "left_anti")
+    return _found(named, "DEFAULT_SECRET", F.col("read")).unionByName(_found(second, "DEFAULT_SECRET", F.col("read")))
+
+
+def sql_in_f_strings(t: DataFrame) -> DataFrame:
+    """Assigned f-strings with values that begin with SQL. (AST-10)"""
+    word = F.regexp_extract(F.trim(F.upper(F.regexp_replace("value", r"(?U)^\s+", ""))), SQL_KEYWORDS, 1)
+    rows = t.where("kind = 'JoinedStr' and field = 'value' and p_kind in ('Assign', 'AnnAssign')").where(word != "")
+    return _found(_at(rows, "node", _keyed(_of(t, "FormattedValue").where("p_kind = 'JoinedStr'"), "parent"), "left_semi"), "SQL_INJECTION", word)
+
+
+def changed_environments(t: DataFrame) -> DataFrame:
+    """Assignments to os.environ in test files. (AST-10)"""
+    rows = t.where("kind = 'Attribute' and field = 'value' and dotted = 'os.environ' and p_kind = 'Subscript' and p_field in ('target', 'targets') and pp_kind in ('Assign', 'AnnAssign')")
+    return _found(rows.where(is_test_path(F.coalesce("path", F.lit("")))), "TEST_ENV_BYPASS", F.lit("os.environ"), "p_line")
+
+
+def decorators(t: DataFrame) -> DataFrame:
+    """Decorators, and those of banned markers. (AST-03)"""
+    rows = t.where("field = 'decorator_list'")
+    mark = F.regexp_extract("dotted", rf"(?:^|\.)mark\.({'|'.join(BANNED_MARKERS)})$", 1)
+    return _found(rows, "decorator", F.col("text")).unionByName(_found(rows.where(mark != ""), "banned_marker", F.concat(F.lit("pytest.mark."), mark)))
+
+
+def documented(t: DataFrame) -> DataFrame:
+    """Functions and classes with and without a docstring."""
+    docs = t.where("kind = 'Constant' and vtype = 'str' and p_kind = 'Expr' and p_field = 'body' and p_idx = 0").where(F.trim(F.regexp_replace("value", r"(?U)\s+", " ")) != "")
+    rows = _at(_of(t, *DEFINITIONS), "node", _keyed(docs.withColumn("has", F.lit(True)), "p_parent", has="has"), "left")
+    return _found(rows, F.when(F.col("has"), "documented").otherwise("undocumented"), F.col("name"))
+
+
+def comments(t: DataFrame) -> DataFrame:
+    """(STM-04)"""
+    return _found(_of(t, "Comment"), "comment", F.col("value"))
+
+
+def errors(t: DataFrame) -> DataFrame:
+    return _found(_of(t, "Error"), "parse_error", F.col("name"))
+
+
+DETECTORS = (import_statements, type_checking, conditional_imports, silent_handlers, optional_annotations, log_calls, strings, sql_literals, default_secrets, sql_in_f_strings, changed_environments, decorators, documented, comments, errors)
+
+
+def python_facts(files: DataFrame, detectors: tuple = DETECTORS) -> DataFrame:
+    """(path, line, kind, detail, snippet) of files (path, text) by the detectors given; snippet is the line, trimmed. Null
+    texts have no facts. (AST-01, AST-03 to AST-10, STM-04)"""
+    t = nodes(files)
+    found = reduce(DataFrame.unionByName, [d(t) for d in detectors])
+    lines = _of(t, "Line").select(F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("value").alias("snippet"))
+    return found.join(lines, (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l"))).select("path", "line", "kind", "detail", "snippet")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
 from veriloom.operators import calls, checks, imports, modules, principles, render, review, settings
+from veriloom.plans.snippets import SNIPPETS
 from veriloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,8 +648,29 @@ _SECURE = "(2, 'DEFAULT_SECRET', 'os.getenv', 'key = os.getenv(\"K{0}\", \"sk-ab
 @query(f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'tests/' ELSE 'src/' END || doc_id || '.py' AS path, line, kind, detail, replace(snippet, '{{0}}', CAST(doc_id AS VARCHAR)) AS snippet FROM documents, (VALUES {_SECURE}) f(line, kind, detail, snippet) WHERE kind <> 'TEST_ENV_BYPASS' OR doc_id % 2 = 0""")
 def security_findings(spark, sf_dir):
     """Secrets as defaults, SQL in f-strings, and environments that tests change. (AST-10, FN-14, FN-15, FLT-10)"""
-    from veriloom.operators.python_facts import python_facts
+    from veriloom.operators import python_facts as pf
 
     path = F.concat(F.when(F.col("doc_id") % 2 == 0, "tests/").otherwise("src/"), F.col("doc_id").cast("string"), F.lit(".py"))
     rows = table(spark, sf_dir, "documents").select(path.alias("path"), F.replace(F.lit(SECURITY), F.lit("{0}"), F.col("doc_id").cast("string")).alias("text"))
-    return python_facts(rows).where(F.col("kind").isin(*imports.CATEGORIES))
+    return pf.python_facts(rows, (pf.default_secrets, pf.sql_in_f_strings, pf.changed_environments))
+
+
+_SNIPPET_LINES = ", ".join(f"({k}, {text.count(chr(10)) + 1})" for k, (text, _) in enumerate(SNIPPETS))
+_quoted_text = lambda x: "'" + x.replace("'", "''") + "'"
+_SNIPPET_FACTS = ", ".join(f"({k}, {line}, {_quoted_text(kind)}, {_quoted_text(detail)}, {_quoted_text(text.split(chr(10))[line - 1].strip())})" for k, (text, found) in enumerate(SNIPPETS) for line, kind, detail in found)
+
+
+@query(f"""WITH s(k, n) AS (VALUES {_SNIPPET_LINES}), f(k, line, kind, detail, snippet) AS (VALUES {_SNIPPET_FACTS}),
+d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'tests/' ELSE 'src/' END || doc_id || '.py' AS path, 'v' || md5(text) AS w, doc_id % {len(SNIPPETS)} AS a, n_chars % {len(SNIPPETS)} AS b, length(replace(text, ' ', '')) % {len(SNIPPETS)} AS c FROM documents),
+o AS (SELECT path, w, a AS k, 0 AS before FROM d UNION ALL SELECT path, w, b, sa.n FROM d JOIN s sa ON sa.k = a UNION ALL SELECT path, w, c, sa.n + sb.n FROM d JOIN s sa ON sa.k = a JOIN s sb ON sb.k = b)
+SELECT path, CAST(before + line AS INTEGER) AS line, kind, replace(detail, '{{w}}', w) AS detail, replace(snippet, '{{w}}', w) AS snippet FROM o JOIN f ON f.k = o.k WHERE kind <> 'TEST_ENV_BYPASS' OR path LIKE 'tests/%'""")
+def syntax_checks(spark, sf_dir):
+    """All detectors of syntax over sources put together by the whole texts. (SRC-15, AST-03 to AST-10, STM-04)"""
+    from veriloom.operators import python_facts as pf
+
+    n, texts = len(SNIPPETS), F.array(*[F.lit(text) for text, _ in SNIPPETS])
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "tests/").otherwise("src/"), F.col("doc_id").cast("string"), F.lit(".py"))
+    picks = (F.col("doc_id") % n, F.col("n_chars") % n, F.char_length(F.replace("text", F.lit(" "), F.lit(""))) % n)
+    source = F.concat_ws("\n", *[F.get(texts, k.cast("int")) for k in picks])
+    rows = table(spark, sf_dir, "documents").select(path.alias("path"), F.replace(source, F.lit("{w}"), F.concat(F.lit("v"), F.md5(F.encode("text", "UTF-8")))).alias("text"))
+    return pf.python_facts(rows, (pf.type_checking, pf.conditional_imports, pf.silent_handlers, pf.optional_annotations, pf.log_calls, pf.sql_literals, pf.default_secrets, pf.sql_in_f_strings, pf.changed_environments, pf.decorators, pf.comments))
