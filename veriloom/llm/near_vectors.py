@@ -46,7 +46,7 @@ SLACK = 1e-6
 _CLASSES = "cid string, h long, dom long, weight long, least long, vec binary"
 _CELLS = "dom long, pivot binary, radius double, again boolean, weight long, cids array<string>, weights array<long>, leasts array<long>, vectors binary"
 _BALLS = "child long, dom long, pivot binary, radius double, again boolean"
-_POSTINGS = "bucket long, ask boolean, cell long"
+_POSTINGS = "bucket long, ask boolean, cell long, s1 long, s2 long, radius double"
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -214,22 +214,27 @@ def _dealt(count: int, seed: int, table: int):
     return run
 
 
+def _sketch(x: np.ndarray, seed: int) -> np.ndarray:
+    """128 signs of random projections of each row, as two longs."""
+    plane = np.random.default_rng([seed, x.shape[1], 7]).standard_normal((x.shape[1], SKETCH))
+    return np.packbits(x @ plane > 0, axis=1).view(np.int64)
+
+
 def _sketched(seed: int):
-    """128 signs of random projections of pivots, as two longs."""
+    """Rows with the sketches of their pivots."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = np.zeros((len(frame), 2), dtype=np.int64)
             for at, x in _matrices(frame, "pivot") if len(frame) else ():
-                plane = np.random.default_rng([seed, x.shape[1], 7]).standard_normal((x.shape[1], SKETCH))
-                out[at] = np.packbits(x @ plane > 0, axis=1).view(np.int64)
+                out[at] = _sketch(x, seed)
             yield frame.assign(s1=out[:, 0], s2=out[:, 1])
 
     return run
 
 
 def _postings(count: int, seed: int, cosine: float):
-    """Buckets of a cell's members in all tables, each once: listed, and asked for with probes."""
+    """Buckets of a cell's members in all tables, each once: listed, and asked for with probes; with the pivot's sketch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -238,14 +243,17 @@ def _postings(count: int, seed: int, cosine: float):
                 own = frame[sizes == size]
                 x = _padded(np.frombuffer(b"".join(own["vectors"]), np.float64).reshape(-1, size // 8))
                 members = own["vectors"].map(len).to_numpy() // size
-                cell, dom = (np.repeat(own[c].to_numpy(np.int64), members) for c in ("cell", "dom"))
+                sketch = _sketch(np.frombuffer(b"".join(own["pivot"]), np.float64).reshape(len(own), -1), seed)
+                row, dom = np.repeat(np.arange(len(own)), members), np.repeat(own["dom"].to_numpy(np.int64), members)
                 names = _shape(x.shape[1], count)
                 for t in range(tables(x.shape[1], names, cosine, seed)):
                     found = _buckets(x, dom.view(np.uint64), seed, t, names, PROBES).view(np.int64)
-                    listed = pd.DataFrame({"bucket": found[:, 0], "ask": False, "cell": cell})
-                    asked = pd.DataFrame({"bucket": found.reshape(-1), "ask": True, "cell": np.repeat(cell, found.shape[1])})
+                    listed = pd.DataFrame({"bucket": found[:, 0], "ask": False, "row": row})
+                    asked = pd.DataFrame({"bucket": found.reshape(-1), "ask": True, "row": np.repeat(row, found.shape[1])})
                     for part in (listed, asked):
-                        yield part.drop_duplicates()
+                        part = part.drop_duplicates()
+                        k = part.pop("row").to_numpy()
+                        yield part.assign(cell=own["cell"].to_numpy(np.int64)[k], s1=sketch[k, 0], s2=sketch[k, 1], radius=own["radius"].to_numpy(np.float64)[k])
         tidy()
 
     return run
@@ -346,9 +354,16 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     # 3: pairs of balls
     weights = keep(held.join(cells.select("cell", "weight"), "cell").groupBy("ball").agg(F.sum("weight").alias("weight")).join(balls, "ball").mapInPandas(_sketched(seed), "ball long, weight long, dom long, pivot binary, radius double, s1 long, s2 long"), "weights")
-    posted = keep(cells.select("cell", "dom", "pivot", "vectors").mapInPandas(_postings(count, seed, cosine), _POSTINGS).join(held, "cell"), "postings")
-    short = weights.select("ball", "s1", "s2", "radius")
-    listed, asked = (posted.where(f"ask = {ask}").select("bucket", "ball").distinct().join(short, "ball").alias(n) for n, ask in (("l", False), ("a", True)))
+    posted = keep(cells.select("cell", "dom", "pivot", "radius", "vectors").mapInPandas(_postings(count, seed, cosine), _POSTINGS), "postings")
+    # postings of balls of several cells are put together; all others go to their bucket as they are
+    several = keep(held.join(held.groupBy("ball").agg(F.count("*").alias("k")).where("k > 1").select("ball"), "ball").select(F.col("cell").alias("_cell"), F.col("ball").alias("_ball")), "several")
+    if several.isEmpty():
+        all_posted = posted.withColumnRenamed("cell", "ball")
+    else:
+        named = posted.join(several, F.col("cell") == F.col("_cell"), "left")
+        shared = named.where("_ball is not null").select("bucket", "ask", F.col("_ball").alias("ball")).distinct().join(weights.select("ball", "s1", "s2", "radius"), "ball")
+        all_posted = named.where("_ball is null").select("bucket", "ask", F.col("cell").alias("ball"), "s1", "s2", "radius").unionByName(shared)
+    listed, asked = (all_posted.where(f"ask = {ask}").alias(n) for n, ask in (("l", False), ("a", True)))
     share = (F.lit(theta) + F.col("l.radius") + F.col("a.radius")) / math.pi
     apart = F.bit_count(F.col("l.s1").bitwiseXOR(F.col("a.s1"))) + F.bit_count(F.col("l.s2").bitwiseXOR(F.col("a.s2")))
     close = apart <= SKETCH * share + 5 * F.sqrt(SKETCH * share * (1 - share))
@@ -362,7 +377,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     of_balls = keep(related(pairs, weights, "ball"), "ball-pairs")
     open_balls = of_balls.where("kind = 0").select("x", "y")
-    sides = [posted.where(f"ask = {ask}").select("bucket", F.col("ball").alias(f"ball_{n}"), F.col("cell").alias(f"cell_{n}")) for n, ask in (("l", False), ("a", True))]
+    ends = open_balls.select(F.explode(F.array("x", "y")).alias("ball")).distinct()
+    opened = keep(posted.select("bucket", "ask", "cell").join(held.join(ends, "ball"), "cell"), "opened")
+    sides = [opened.where(f"ask = {ask}").select("bucket", F.col("ball").alias(f"ball_{n}"), F.col("cell").alias(f"cell_{n}")) for n, ask in (("l", False), ("a", True))]
     both = open_balls.select(F.col("x").alias("ball_l"), F.col("y").alias("ball_a")).unionByName(open_balls.select(F.col("y").alias("ball_l"), F.col("x").alias("ball_a")))
     inner = both.join(sides[0], "ball_l").join(sides[1], ["ball_a", "bucket"]).select(F.least("cell_l", "cell_a").alias("x"), F.greatest("cell_l", "cell_a").alias("y")).distinct()
     of_cells = keep(related(inner, cells, "cell"), "cell-pairs")
