@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
-from veriloom.operators import calls, checks, imports, modules, principles, render, review, settings
+from veriloom.operators import calls, checks, imports, modules, principles, render, review, rules, settings
 from veriloom.plans.snippets import SNIPPETS
 from veriloom.session import table
 
@@ -450,7 +450,7 @@ _REPORT = "'{\"' || event_type || CAST(event_id AS STRING) || '.py\": [{\"name\"
 @query("""SELECT event_type || event_id || '.py' AS path, 'f' AS name, 3 AS line, event_id % 31 AS complexity FROM events WHERE event_id % 31 > 15""")
 def complex_functions(spark, sf_dir):
     """Functions that an analyzer's report finds too complex. (AGG-13, SRC-14)"""
-    return modules.complex_functions(_events(spark, sf_dir, report=_REPORT).join(table(spark, sf_dir, "events").select("event_id"), "event_id"))
+    return modules.complex_functions(_events(spark, sf_dir, report=_REPORT))
 
 
 @query("""SELECT event_type || event_id || '.py' AS path, value AS mi FROM events WHERE value < 50""")
@@ -674,3 +674,29 @@ def syntax_checks(spark, sf_dir):
     source = F.concat_ws("\n", *[F.get(texts, k.cast("int")) for k in picks])
     rows = table(spark, sf_dir, "documents").select(path.alias("path"), F.replace(source, F.lit("{w}"), F.concat(F.lit("v"), F.md5(F.encode("text", "UTF-8")))).alias("text"))
     return pf.python_facts(rows, (pf.type_checking, pf.conditional_imports, pf.silent_handlers, pf.optional_annotations, pf.log_calls, pf.sql_literals, pf.default_secrets, pf.sql_in_f_strings, pf.changed_environments, pf.decorators, pf.comments))
+
+
+_NAME = "'m' || CAST(l_partkey % 7 AS STRING) || '.p' || CAST(l_partkey AS STRING) || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '.x' ELSE '.y.z' END"
+_RULE = "CASE p_partkey % 5 WHEN 1 THEN 'm' || CAST(p_partkey % 7 AS STRING) WHEN 3 THEN 'm0.p' || CAST(p_partkey AS STRING) WHEN 4 THEN 'm' || CAST((p_partkey - 1) % 7 AS STRING) || '.p' || CAST(p_partkey - 1 AS STRING) ELSE 'm' || CAST(p_partkey % 7 AS STRING) || '.p' || CAST(p_partkey AS STRING) || CASE p_partkey % 5 WHEN 2 THEN '.x' ELSE '' END END"
+
+
+@query(f"""WITH n AS (SELECT {_NAME.replace('STRING', 'VARCHAR')} AS module, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT p_partkey AS rank, {_RULE.replace('STRING', 'VARCHAR')} AS rule, p_name AS label FROM part),
+e AS (SELECT module, n, label, rank FROM n JOIN r ON module = rule UNION ALL SELECT module, n, label, rank FROM n JOIN r ON array_to_string(string_split(module, '.')[1:2], '.') = rule AND contains(rule, '.') AND module <> rule)
+SELECT module, any_value(n) AS n, arg_min(label, rank) AS label FROM e GROUP BY module""")
+def rules_by_prefix(spark, sf_dir):
+    """The first of many rules, a table, that bans each module. (JOIN-12)"""
+    names = table(spark, sf_dir, "lineitem").select(both(_NAME).alias("module"))
+    given = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rank"), both(_RULE).alias("rule"), F.col("p_name").alias("label"))
+    return rules.first_banned(names, "module", given).where("label is not null").groupBy("module", "label").agg(F.count("*").alias("n")).select("module", "n", "label")
+
+
+_GLOB = "CASE page_id % 10 WHEN 0 THEN regexp_replace(file, '[^/]+$', '*') WHEN 1 THEN regexp_replace(file, '[^/]$', '?') WHEN 2 THEN regexp_replace(file, '[^/]+$', '') || '**.' || CAST(page_id AS STRING) WHEN 3 THEN file ELSE regexp_replace(file, '^[^/]*', '?') || '+' END"
+
+
+@query(rf"""WITH f AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS file FROM pages), g AS (SELECT DISTINCT {_GLOB.replace('STRING', 'VARCHAR')} AS wild FROM f),
+r AS (SELECT '^' || replace(replace(replace(replace(regexp_replace(wild, '([\\.\[\]{{}}()+^$|])', '\\\1', 'g'), '**', chr(1)), '*', '[^/]*'), '?', '[^/]'), chr(1), '.*') || '$' AS pattern FROM g)
+SELECT page_id FROM f WHERE EXISTS (SELECT 1 FROM r WHERE regexp_matches(f.file, r.pattern))""")
+def globs_by_table(spark, sf_dir):
+    """Pages that one of many globs, a table, matches. (FLT-12, JOIN-08, JOIN-16)"""
+    files = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*/", "").alias("file"))
+    return rules.matched(files, "file", files.select(both(_GLOB).alias("glob"))).select("page_id")
