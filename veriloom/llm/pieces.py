@@ -3,8 +3,9 @@
 A text is cut into pre-tokens (no piece crosses one, see token_counts). Within one, the agenda holds every adjacent pair
 of symbols whose concatenation is a piece, best score first, then leftmost. A popped merge that a keyed hash of (seed,
 text, place of the pre-token in the text, place in it, piece) puts below the dropout rate is skipped. Characters without a
-piece become bytes. With rate 0 the ids are the library's own. Decoding joins pieces, so every segmentation decodes to
-the same text.
+piece become bytes. With rate 0 the ids are the library's own, but for texts that hold the space mark U+2581 itself: the
+library reads it as a space, here it becomes its three bytes. Decoding joins pieces, so every segmentation decodes to the
+very text.
 
 Each pre-token of a text draws its own skips. What a worker keeps is a tree of agenda runs: a run is the sequence of
 merges that a word pops once a given set of pops is skipped, and its ids. Drawing needs no agenda then, only hashes of the
@@ -29,6 +30,8 @@ from veriloom.llm.token_counts import MODEL, cut_texts, pre_tokens, processor, s
 from veriloom.session import ready
 
 SPACE = "▁"
+#: What stands for a text's own space marks until they become bytes; no text of Spark holds a lone surrogate.
+OWN = "\ud800"
 NONE, BIG, PAD = 1 << 40, 1 << 30, -(1 << 30)
 PLACE, PIECE = 0x9E3779B1, 0x85EBCA6B
 #: Runs that a worker keeps before it starts anew, the longest pre-token (bytes) that has runs, and the pops of a run
@@ -38,6 +41,11 @@ CACHE, LONG, POPS = 1_000_000, 64, 63
 AT_ONCE = 1_000_000
 
 
+def words_of(text: str) -> list[str]:
+    """The pre-tokens of text (see pre_tokens), its own space marks in them as OWN."""
+    return pre_tokens(text.replace(SPACE, OWN))
+
+
 def dropped(key: int, place: int, piece: int, limit: int) -> bool:
     """Whether the keyed hash of a candidate merge lies under the limit (a share of 2**32)."""
     h = (key + place * PLACE + piece * PIECE) & 0xFFFFFFFF
@@ -148,6 +156,7 @@ class Pieces:
         for name, piece in self.ids.items():
             if len(name) == 1:
                 self.chars[ord(name)] = piece
+        self.chars[ord(OWN)] = -1 - ord(SPACE)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -248,8 +257,8 @@ class Pieces:
     def segment(self, word: str, key: int, rate: float) -> tuple[int, ...]:
         """Ids of one pre-token, space marks included, by an agenda of its own."""
         limit = int(rate * 2**32)
-        ids, pair = self.ids, self._pair
-        symbols = [ids.get(c, -1 - ord(c)) for c in word]
+        pair = self._pair
+        symbols = [int(self.chars[ord(c)]) for c in word]
         places = list(range(len(word)))
         found = [pair(a, b) for a, b in zip(symbols, symbols[1:])]
         while found:
@@ -275,7 +284,7 @@ class Pieces:
 
     def _long(self, word: str, key: int, limit: int) -> tuple[int, ...]:
         """The same with a heap as agenda, for long pre-tokens."""
-        symbols: list[int | None] = [self.ids.get(c, -1 - ord(c)) for c in word]
+        symbols: list[int | None] = [int(self.chars[ord(c)]) for c in word]
         after, before = [*range(1, len(word)), -1], [*range(-1, len(word) - 1)]
         agenda: list[tuple[int, int, int, int, int]] = []
 
@@ -314,7 +323,7 @@ class Pieces:
         out: list[list[np.ndarray]] = [[] for _ in texts]
         base = np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), seed & (2**64 - 1)) for t in texts], dtype=np.uint64)
         done = np.zeros(len(texts), np.int64)
-        for who, parts in cut_texts(texts):
+        for who, parts in cut_texts([t and t.replace(SPACE, OWN) for t in texts]):
             raw, starts, ends, part = spans_of(parts)
             owner = np.array(who)[part]
             counts = np.bincount(owner, minlength=len(texts))
@@ -436,7 +445,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate: floa
     """docs with the ids of each whole text as an int array; null and empty texts have none.
 
     Equal texts get equal ids; another seed gives other segmentations. Columns named like `out` are replaced, others
-    and repeated rows stay. Texts that hold the space mark itself decode with spaces in its place, as in the library.
+    and repeated rows stay; an empty table gives an empty one. Very long texts are encoded about a megabyte at a time.
     """
     path = _path(path)
     ready(docs.sparkSession)
@@ -452,7 +461,8 @@ def encode(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate: floa
 
 
 def decode(docs: DataFrame, ids_col: str = "piece_ids", *, path: str | None = None, out: str = "decoded") -> DataFrame:
-    """docs with the text of each id array; null arrays and arrays without ids give the empty text."""
+    """docs with the text of each id array; null arrays and arrays without ids give the empty text, an empty table an
+    empty one. Columns named like `out` are replaced, others and repeated rows stay."""
     path = _path(path)
     ready(docs.sparkSession)
 
@@ -469,8 +479,9 @@ def round_trip(docs: DataFrame, text_col: str = "text", *, seed: int = 1, rate:
     """docs with the ids of each whole text as little-endian unsigned 32-bit numbers, and the text that those ids give.
 
     The same ids and texts as encode() and decode(), made in one pass of one worker: ids don't cross to the JVM and back
-    to be decoded. Null and empty texts have no ids (no bytes) and decode to the empty text. Columns named like `out`
-    and `decoded` are replaced, others and repeated rows stay.
+    to be decoded. Null and empty texts have no ids (no bytes) and decode to the empty text; an empty table gives an
+    empty one, very long texts are encoded about a megabyte at a time. Columns named like `out` and `decoded` are
+    replaced, others and repeated rows stay.
     """
     path = _path(path)
     ready(docs.sparkSession)
