@@ -257,7 +257,7 @@ def test_yaml():
         {"id": "b", "url": "http://x.y/z#frag", "plain": "it goes on here", "empty": None, "flag": True, "n": -3, "f": 1.5},
     ]
     assert yaml_text.load("") == {} == yaml_text.load("# only\n") and yaml_text.documents("a: 1\n---\n- b\n...\n")[:2] == [{"a": 1}, ["b"]] and yaml_text.load("- - 1\n  - 2\n- x") == [[1, 2], "x"]
-    for bad in ("a: [1", "a: 'x", "a: b: c", "\ta: 1", "a: &x 1", "a: 1\n  b: 2", "a: 1\nb"):
+    for bad in ("a: [1", "a: 'x", "a: b: c", "\ta: 1", "a: %x 1", "a: 1\n  b: 2", "a: 1\nb"):
         with pytest.raises(ValueError):
             yaml_text.load(bad)
     value = {"t": "two\nlines\n", "u": "x\ny", "long": "word " * 30 + "end", "l": [1, "a: b", ["x", {"k": None}], {}], "m": {"yes": "no", "e": "", "q": "it's", "n": "12", "s": " x", "d": "2024-01-01"}, "b": True}
@@ -342,3 +342,17 @@ def test_files_on_disk(spark, tmp_path):
         render.write_documents(rows, str(tmp_path / "out"))
     assert sorted(map(tuple, spark.read.json(str(tmp_path / "out")).select("path", "content").collect())) == [("x.md", "one"), ("y/z.md", "two\n")]
     assert [one(spark, render.merges_existing(F.lit(p))) for p in ("AGENTS.md", "x/AGENTS.md")] == [True, False]
+
+
+def test_yaml_anchors():
+    from veriloom.sources.yaml_text import load
+
+    text = "a: &a\n  n: 1\n  l: &l [x, &y y, *y]\nb:\n  <<: [{n: 2, m: 3}, *a]\n  all: *l\nc:\n- &i\n  k: 1\n- <<: *i\n  j: 2\nd: {<<: *i, k: 5}\ns: !!str 010\nf: !!float 3\nt: &t plain\n  text\nu: *t\nv: &v |\n  x\nw: *v\nq:\n  '<<': 1\n"
+    assert load(text) == {
+        "a": {"n": 1, "l": ["x", "y", "y"]}, "b": {"n": 2, "l": ["x", "y", "y"], "m": 3, "all": ["x", "y", "y"]}, "c": [{"k": 1}, {"k": 1, "j": 2}], "d": {"k": 5},
+        "s": "010", "f": 3.0, "t": "plain text", "u": "plain text", "v": "x\n", "w": "x\n", "q": {"<<": 1},
+    }
+    laughs = "a0: &a0 [x,x,x,x,x,x,x,x,x,x]\n" + "".join(f"a{i}: &a{i} [{','.join([f'*a{i - 1}'] * 10)}]\n" for i in range(1, 9))
+    for bad in ("a: *b", "a: &a [*a]", "a: !own 1", "a: !!int x", "<<: 1", laughs):
+        with pytest.raises(ValueError):
+            load(bad)

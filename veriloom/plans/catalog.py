@@ -564,6 +564,17 @@ def config_leaves(spark, sf_dir):
     return config.config_leaves(table(spark, sf_dir, "documents").select(name.alias("path"), body.alias("text")))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS n, CAST(p_size + 1 AS VARCHAR) AS more, '["' || p_brand || '", "x"]' AS names FROM part),
+l AS (SELECT k, unnest([{'key': 'base.size', 'value': n}, {'key': 'base.names', 'value': names}, {'key': 'base.id', 'value': '"' || id || '"'}, {'key': 'own.size', 'value': more}, {'key': 'own.names', 'value': names}, {'key': 'own.id', 'value': '"' || id || '"'}, {'key': 'own.all', 'value': '[' || names || ', ' || names || ']'}]) AS x FROM p WHERE k % 10 > 0)
+SELECT k || '.yml' AS path, x.key, x.value, NULL AS error FROM l UNION ALL SELECT k || '.yml', NULL, NULL, 'ValueError: *none has no anchor before it' FROM p WHERE k % 10 = 0""")
+def yaml_anchors(spark, sf_dir):
+    """Leaves of derived YAML files with anchors, aliases, merge keys and tags. (SRC-01, SRC-02)"""
+    text = lambda name: F.col(name).cast("string")
+    base = F.concat(F.lit("base: &base\n  size: "), text("p_size"), F.lit('\n  names: &names ["'), F.col("p_brand"), F.lit('", &x x]\n  id: !!str '), text("p_partkey"))
+    own = F.concat(F.lit("\nown:\n  <<: *base\n  size: "), (F.col("p_size") + 1).cast("string"), F.lit("\n  all: [*names, *names]\n"), F.when(F.col("p_partkey") % 10 == 0, "more: *none\n").otherwise(""))
+    return config.config_leaves(table(spark, sf_dir, "part").select(F.concat(text("p_partkey"), F.lit(".yml")).alias("path"), F.concat(base, own).alias("text")))
+
+
 @query("""SELECT doc_id || CASE doc_id % 4 WHEN 0 THEN '.yaml' WHEN 1 THEN '.toml' WHEN 2 THEN '.json' ELSE '.md' END AS path FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 < 3""")
 def syntax_errors(spark, sf_dir):
     """Files that don't parse. (CHK-14)"""

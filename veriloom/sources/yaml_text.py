@@ -1,5 +1,6 @@
-"""YAML of the kind that settings are written in: block and flow collections, plain, quoted, literal and folded scalars, and
-comments; no anchors, tags or explicit keys. Reading gives what JSON can hold; a text outside this part raises. (SRC-01,
+"""YAML of the kind that settings are written in: block and flow collections, plain, quoted, literal and folded scalars, comments,
+anchors, aliases, merge keys and tags of plain types; no explicit keys, no anchors on keys. Reading gives what JSON can hold; a
+text outside this part raises, as do an alias inside its own anchor and aliases that expand to over LIMIT values. (SRC-01,
 SRC-02, SNK-08)"""
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ _WORDS = {**dict.fromkeys(("", "~", "null", "Null", "NULL")), **dict.fromkeys(("
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "\\": "\\", '"': '"', "/": "/", " ": " ", "e": "\x1b", "a": "\a", "b": "\b"}
 
 
+#: Values that the aliases of one document may give in all.
+LIMIT = 1_000_000
+_PROPERTY, _ALIAS = re.compile(r"([&!])([^\s,\[\]{}]*)\s*"), re.compile(r"\*([^\s,\[\]{}]+)")
+
+
 def plain(text: str) -> object:
     """The value of a plain scalar."""
     if text in _WORDS:
@@ -38,23 +44,104 @@ def _bare(text: str) -> str:
     return re.sub(r"(?:^|\s+)#.*$", "", text).rstrip()
 
 
+def _size(value: object) -> int:
+    below = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return 1 + sum(map(_size, below))
+
+
+def _merged(own: dict) -> dict:
+    """A mapping whose merge key gives the entries that it doesn't have itself; of several mappings the first that has one."""
+    if "<<" not in own:
+        return own
+    given = own["<<"] if isinstance(own["<<"], list) else [own["<<"]]
+    if not all(isinstance(x, dict) for x in given):
+        raise ValueError("a merge key needs mappings")
+    out: dict = {}
+    for x in (*reversed(given), {k: v for k, v in own.items() if k != "<<"}):
+        out.update(x)
+    return out
+
+
+def _tagged(tag: str, value: object) -> object:
+    """A value under a tag; a plain scalar comes as text."""
+    kinds = {"map": dict, "seq": list}
+    name = tag.removeprefix("!") if tag.startswith("!") else "" if not tag else None
+    if name in kinds and isinstance(value, kinds[name]) or name in ("", "str") and isinstance(value, str):
+        return value
+    if name in ("int", "float", "bool", "null") and isinstance(value, str):
+        found = plain(value)
+        if name == "float" and type(found) is int:
+            return float(found)
+        if type(found).__name__ == {"null": "NoneType"}.get(name, name):
+            return found
+    raise ValueError(f"the tag !{tag} isn't read on this value")
+
+
+class _Anchors:
+    """Anchored values of a document."""
+
+    def __init__(self):
+        self.values, self.sizes, self.spent = {}, {}, 0
+
+    def keep(self, name: str, value: object) -> None:
+        self.values[name], self.sizes[name] = value, _size(value)
+
+    def alias(self, name: str) -> object:
+        if name not in self.values:
+            raise ValueError(f"*{name} has no anchor before it")
+        self.spent += self.sizes[name]
+        if self.spent > LIMIT:
+            raise ValueError("aliases give too many values")
+        return self.values[name]
+
+    def under(self, marks: list[tuple[str, str]], read) -> object:
+        """The value that read gives (its argument tells how plain scalars are read), under its anchor and tag."""
+        tag = next((name for mark, name in marks if mark == "!"), None)
+        for mark, name in marks:
+            if mark == "&":
+                self.values.pop(name, None)  # an alias inside refers to nothing
+        value = read(plain if tag is None else str)
+        value = value if tag is None else _tagged(tag, value)
+        for mark, name in marks:
+            if mark == "&":
+                self.keep(name, value)
+        return value
+
+
+def _properties(text: str, at: int = 0) -> tuple[list[tuple[str, str]], int]:
+    marks = []
+    while m := _PROPERTY.match(text, at):
+        marks.append((m[1], m[2]))
+        at = m.end()
+    return marks, at
+
+
 class _Flow:
     """A flow collection or a quoted scalar."""
 
-    def __init__(self, text: str):
-        self.text, self.at = text, 0
+    def __init__(self, text: str, anchors: _Anchors | None = None):
+        self.text, self.at, self.anchors = text, 0, anchors or _Anchors()
 
     def skip(self) -> str:
         m = re.compile(r"(?:\s+|(?<=\s)#[^\n]*)*").match(self.text, self.at)
         self.at = m.end()
         return self.text[self.at : self.at + 1]
 
-    def value(self, inside: bool = True) -> object:
+    def value(self, form=plain) -> object:
         c = self.skip()
+        if c and c in "&!":
+            marks, self.at = _properties(self.text, self.at)
+            return self.anchors.under(marks, self.value)
+        if c == "*":
+            m = _ALIAS.match(self.text, self.at)
+            if not m:
+                raise ValueError("an alias needs a name")
+            self.at = m.end()
+            return self.anchors.alias(m[1])
         if c == "[":
             return self.items("]", lambda: self.value())
         if c == "{":
-            return dict(self.items("}", self.pair))
+            return _merged(dict(self.items("}", self.pair)))
         if c and c in "\"'":
             m = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'', re.S).match(self.text, self.at)
             if not m:
@@ -63,7 +150,7 @@ class _Flow:
             return _unquoted(re.sub(r"[ \t]*\n\s*", " ", m[0]))
         m = re.compile(r"(?:[^,\[\]{}:#]|:(?=[^\s,\]}])|(?<=\S)#)*").match(self.text, self.at)
         self.at = m.end()
-        return plain(" ".join(m[0].split()))
+        return form(" ".join(m[0].split()))
 
     def pair(self) -> tuple:
         key = self.value()
@@ -89,7 +176,7 @@ class _Flow:
 
 class _Reader:
     def __init__(self, text: str):
-        self.lines, self.i = text.split("\n"), 0
+        self.lines, self.i, self.anchors = text.split("\n"), 0, _Anchors()
 
     def here(self) -> tuple[int, str] | None:
         """Indent and text of the next line that says something."""
@@ -104,7 +191,7 @@ class _Reader:
             self.i += 1
         return None
 
-    def node(self, least: int) -> object:
+    def node(self, least: int, form=plain) -> object:
         at = self.here()
         if at is None or at[0] < least:
             return None
@@ -114,7 +201,7 @@ class _Reader:
         if text[0] not in "[{" and _KEY.match(text):
             return self.mapping(indent)
         self.i += 1
-        return self.scalar(text, least - 1)
+        return self.value(text, least - 1, form)
 
     def sequence(self, indent: int) -> list:
         out = []
@@ -130,27 +217,41 @@ class _Reader:
                 out.append(self.node(inner))
             else:
                 self.i += 1
-                out.append(self.scalar(rest, indent))
+                out.append(self.value(rest, indent))
         return out
 
+    def value(self, text: str, indent: int, form=plain, flush: bool = False) -> object:
+        """A value that begins with text, or below it where there is none; indent is that of its parent, flush tells whether
+        a sequence may begin there as well."""
+        if _bare(text) and text[0] in "&!":
+            marks, at = _properties(text)
+            return self.anchors.under(marks, lambda form: self.value(text[at:], indent, form, flush))
+        if _bare(text):
+            return self.scalar(text, indent, form)
+        below = self.here()
+        if flush and below and below[0] == indent and (below[1] == "-" or below[1].startswith("- ")):
+            return self.sequence(indent)
+        found = self.node(indent + 1, form)
+        return "" if found is None and form is str else found
+
     def mapping(self, indent: int) -> dict:
         out: dict = {}
+        quoted = False
         while (at := self.here()) and at[0] == indent and (m := _KEY.match(at[1])) and not at[1].startswith("- "):
             key = _unquoted(m[1]) if m[1][0] in "\"'" else m[1].strip()
             rest = at[1][m.end() :].strip()
             self.i += 1
-            if not _bare(rest):
-                below = self.here()
-                flush = below and below[0] == indent and (below[1] == "-" or below[1].startswith("- "))
-                out[key] = self.sequence(indent) if flush else self.node(indent + 1)
-            else:
-                out[key] = self.scalar(rest, indent)
+            out[key] = self.value(rest, indent, flush=True)
+            quoted = quoted or key == "<<" and m[1][0] in "\"'"
         if (at := self.here()) and at[0] > indent:
             raise ValueError(f"line {self.i + 1}: unexpected indent")
-        return out
+        return out if quoted else _merged(out)
 
-    def scalar(self, text: str, indent: int) -> object:
+    def scalar(self, text: str, indent: int, form=plain) -> object:
         """A value that begins with text; indent is that of its parent."""
+        m = _ALIAS.match(text)
+        if m and not _bare(" " + text[m.end() :].strip()).strip():
+            return self.anchors.alias(m[1])
         if text[0] in "&*!%@`":
             raise ValueError(f"line {self.i}: {text[0]} isn't read here")
         m = _BLOCK.match(text)
@@ -158,11 +259,12 @@ class _Reader:
             return self.block(m[1], m[2] or m[4], int(m[3] or 0), indent)
         if text[0] in "[{\"'":
             while True:
-                flow = _Flow(text)
+                flow, spent = _Flow(text, self.anchors), self.anchors.spent
                 try:
-                    value = flow.value()
+                    value = flow.value(form)
                     break
                 except ValueError:
+                    self.anchors.spent = spent
                     if self.i >= len(self.lines):
                         raise
                     text, self.i = f"{text}\n{self.lines[self.i]}", self.i + 1
@@ -175,7 +277,7 @@ class _Reader:
             self.i += 1
         if any(_KEY.match(p) for p in parts[1:]) or _KEY.match(parts[0]):
             raise ValueError(f"line {self.i}: a mapping isn't allowed here")
-        return plain(" ".join(parts))
+        return form(" ".join(parts))
 
     def block(self, style: str, chomp: str, given: int, indent: int) -> str:
         rows = []
