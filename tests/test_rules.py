@@ -33,3 +33,24 @@ def test_matched_equals_the_regex(spark):
     several = spark.createDataFrame([(g,) for g in globs[:4] + globs[5:6]] + [(None,)], "glob string")
     inside, outside = ({r.i for r in rules.matched(rows, "path", several, how).collect()} for how in ("left_semi", "left_anti"))
     assert inside | outside == {*range(len(paths)), 999} and not inside & outside and 999 in outside
+
+
+def test_matched_meets_by_all_fixed_characters(spark, monkeypatch):
+    rng = random.Random(7)
+    paths = sorted({"/".join(rng.choice(["a", "b", "ab", "é", "x.py", "", "*", "a\nb"]) for _ in range(rng.randint(1, 4))) for _ in range(300)})
+    globs = sorted({"".join(rng.choice(["a", "b", "/", "/", "?", "*", "**", "é", ".py"]) for _ in range(rng.randint(0, 7))) for _ in range(400)})
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    for some in (globs[:5], globs):
+        want = {p for p in paths if any(re.fullmatch(glob_regex(g)[1:-1], p, re.S) for g in some)}
+        assert {r.path for r in rules.matched(rows, "path", spark.createDataFrame([(g,) for g in some], "glob string")).collect()} == want
+
+    def tests(n):  # rows that are tested by a regex
+        seen = spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(rules.F, "regexp_like", lambda p, q: F.udf(lambda x, y: seen.add(1) or re.search(y.replace(r"\z", r"\Z"), x) is not None, "boolean")(F.col(p), q))
+        some = spark.range(n).select(F.format_string("en/%d", "id").alias("path"))
+        table = some.select(F.explode(F.array(F.concat(F.lit("?"), F.substring("path", 2, 20), F.lit("+")), F.concat(F.lit("en/**."), F.substring("path", 4, 20)), F.concat(F.lit("*/x"), F.substring("path", 4, 20)))).alias("glob"))
+        assert rules.matched(some, "path", table).count() == 0
+        monkeypatch.undo()
+        return seen.value
+
+    assert tests(200) <= 200  # before: 120,000
