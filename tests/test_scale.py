@@ -13,3 +13,11 @@ def test_tool_files_of_one_partition_are_made_by_all_tasks(spark):
     configs = spark.range(200).coalesce(1).select(F.col("id").cast("string").alias("root"), F.lit(None).cast("string").alias("config"))
     made = tools.tool_files(configs)
     assert tasks(made.where("path = 'ruff.toml'")) >= 4 and tasks(made.where("path = '.yamllint.yml'")) >= 4  # before: 1
+
+
+def test_config_files_of_one_partition_are_read_by_all_tasks(spark):
+    from veriloom.sources import config
+
+    files = spark.range(200).coalesce(1).select(F.format_string("%d.yml", "id").alias("path"), F.lit("a: 1\n").alias("text"))
+    broken = files.select("path", F.lit("a: [").alias("text"))
+    assert all(tasks(made) >= 4 for made in (config.config_leaves(files), config.config_json(files), config.syntax_errors(broken)))  # before: 1

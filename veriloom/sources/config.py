@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.session import ready
+from veriloom.session import ready, spread
 from veriloom.sources import yaml_text
 
 SCHEMA = "path string, key string, value string, error string"
@@ -58,7 +58,7 @@ def config_leaves(files: DataFrame) -> DataFrame:
                     rows.append((path, None, None, f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(rows, columns=["path", "key", "value", "error"], dtype=object)
 
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
+    return spread(files.select("path", "text")).mapInPandas(run, SCHEMA)
 
 
 def config_json(files: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def config_json(files: DataFrame) -> DataFrame:
                     rows.append((path, None, f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(rows, columns=["path", "config", "error"], dtype=object)
 
-    return files.select("path", "text").mapInPandas(run, "path string, config string, error string")
+    return spread(files.select("path", "text")).mapInPandas(run, "path string, config string, error string")
 
 
 def syntax_errors(files: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def syntax_errors(files: DataFrame) -> DataFrame:
                     rows.append((path, f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(rows, columns=["path", "error"], dtype=object)
 
-    return files.select("path", "text").mapInPandas(run, "path string, error string")
+    return spread(files.select("path", "text")).mapInPandas(run, "path string, error string")
 
 
 def text_files(spark: SparkSession, glob: str) -> DataFrame:
