@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
+from veriloom.session import spread
 
 # Agents, kinds of sections, and words of a heading that tell its kind, in order. (PRJ-03, PRJ-05, FN-05)
 AGENTS = ("codex", "claude", "gemini")
@@ -111,7 +112,7 @@ def principles(items: DataFrame, *, topics: dict[str, str] | None = None, defaul
     """Principles of items (source, payload: a JSON object), with `source`, and `errors`: what is wrong with each, in the
     order in which it is looked for. Missing directives are the summary, missing summaries that of the first section,
     missing short lists and hints are derived. (PRJ-06)"""
-    raw = items.select("source", F.from_json("payload", ITEM).alias("p"))
+    raw = spread(items.select("source", "payload")).select("source", F.from_json("payload", ITEM).alias("p"))
     p = lambda c: F.col("p")[c]
     base = raw.select("source", "p", _text(p("id")).alias("id"), p("order").try_cast("int").alias("ord"), _text(p("title")).alias("title"), sections(p("sections"), p("body"), p("summary")).alias("sections"))
     base = base.withColumn("summary", F.when(_text(p("summary")) != "", _text(p("summary"))).otherwise(F.coalesce(F.get("sections", 0)["summary"], F.lit(""))))

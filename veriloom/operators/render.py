@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.operators.principles import AGENTS
@@ -80,8 +80,11 @@ def bundled(bundles: DataFrame, principles: DataFrame) -> DataFrame:
     """bundles with `principles`: an array in the order of their rank, and `name`: the repository's, or its root's."""
     columns = [c for c in principles.columns if c != "bundle"]
     ranked = principles.groupBy(F.col("bundle").alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("_o"), F.lower("title").alias("_t"), "id", F.struct(*columns).alias("p"))), _by_rank), lambda x: x["p"]).alias("principles"))
-    name = F.when(F.col("repo.name") != "", F.col("repo.name")).otherwise(F.col("root_name"))
-    return bundles.join(ranked, F.col("bundle") == F.col("_b")).withColumn("name", name).drop("_b")
+    return _named(bundles).join(ranked, F.col("bundle") == F.col("_b")).drop("_b")
+
+
+def _named(bundles: DataFrame) -> DataFrame:
+    return bundles.withColumn("name", F.when(F.col("repo.name") != "", F.col("repo.name")).otherwise(F.col("root_name")))
 
 
 def _by_rank(a: Column, b: Column) -> Column:
@@ -117,28 +120,31 @@ def _context() -> Column:
     return any_of, overview
 
 
+def ethos_part(p: Column) -> Column:
+    """A principle's part of the full document."""
+    lines = F.concat(
+        F.array(F.lit(""), F.concat(F.lit("## "), numbered(p)), F.lit(""), p["summary"], F.lit("")),
+        _if(p["directive"] != "", F.array(F.lit("### Directive"), p["directive"], F.lit(""))),
+        _if(F.size(p["quick_ref"]) > 0, _array("### Quick Ref"), _bullets(p["quick_ref"]), _array("")),
+        _if(F.size(p["tags"]) > 0, F.array(F.lit("### Tags"), F.concat(F.lit("- "), F.array_join(p["tags"], ", ")), F.lit(""))),
+        F.flatten(F.transform(p["sections"], lambda s: F.array(F.concat(F.lit("### "), s["title"]), s["body"], F.lit("")))),
+    )
+    return F.array_join(lines, "\n")
+
+
 def ethos(layout: Layout = Layout()) -> Column:
-    """The full document. (RND-01)"""
+    """The full document, of `parts`. (RND-01)"""
     title = F.when(F.trim("title") == "", layout.untitled).otherwise(F.trim("title"))
     bare = F.trim(F.when(F.startswith(title, F.lit(layout.prefix)), F.substring(title, len(layout.prefix) + 1, 2**31 - 1)).otherwise(title))
     any_of, overview = _context()
     context = _if(any_of, F.array(F.lit("## Repo Context"), F.concat(F.lit("- Repo: `"), F.col("name"), F.lit("`"))), overview, _bullets(F.col("repo.notes")), _array(""))
 
-    def one(p: Column) -> Column:
-        return F.concat(
-            F.array(F.lit(""), F.concat(F.lit("## "), numbered(p)), F.lit(""), p["summary"], F.lit("")),
-            _if(p["directive"] != "", F.array(F.lit("### Directive"), p["directive"], F.lit(""))),
-            _if(F.size(p["quick_ref"]) > 0, _array("### Quick Ref"), _bullets(p["quick_ref"]), _array("")),
-            _if(F.size(p["tags"]) > 0, F.array(F.lit("### Tags"), F.concat(F.lit("- "), F.array_join(p["tags"], ", ")), F.lit(""))),
-            F.flatten(F.transform(p["sections"], lambda s: F.array(F.concat(F.lit("### "), s["title"]), s["body"], F.lit("")))),
-        )
-
     lines = F.concat(
         F.array(F.lit(layout.notice), F.concat(F.lit("# "), F.when(bare == "", layout.untitled).otherwise(bare)), F.lit("")),
         _if(F.col("overview") != "", F.array(F.col("overview"), F.lit(""))),
         context,
         _array("## Principles"),
-        F.flatten(F.transform("principles", one)),
+        F.col("parts"),
     )
     return document(lines, layout)
 
@@ -268,15 +274,37 @@ def addon(agent: str, layout: Layout = Layout()) -> Column:
     return document(F.concat(head, main, refs), layout)
 
 
+def ethos_documents(bundles: DataFrame, principles: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """(bundle, path, content): the full document and the two root documents without principles of each bundle that has some.
+
+    A principle's part is made where its row is; a bundle's task only sorts and joins texts. (RND-01, RND-03, RND-04)
+    """
+    p = F.struct(*[c for c in principles.columns if c != "bundle"])
+    parts = principles.select(F.col("bundle").alias("_b"), F.struct(F.col("ord").alias("_o"), F.lower("title").alias("_t"), "id", ethos_part(p).alias("part")).alias("x"))
+    whole = _named(bundles).join(parts.groupBy("_b").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["part"]).alias("parts")), F.col("bundle") == F.col("_b"))
+    fixed = [("ETHOS.md", ethos), ("CLAUDE.md", claude_root), ("GEMINI.md", gemini_root)]
+    return _exploded(whole, [F.struct(F.lit(path).alias("path"), f(layout).alias("content")) for path, f in fixed])
+
+
+def addons(bundles: DataFrame, principles: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """(bundle, path, content): an addon of each agent for each bundle; only its first five principles meet. (RND-11)"""
+    place = F.row_number().over(Window.partitionBy("bundle").orderBy(F.col("ord").asc_nulls_last(), F.lower("title").asc_nulls_last(), F.col("id").asc_nulls_last()))
+    first = principles.withColumn("_place", place).where("_place <= 5").drop("_place")
+    return _exploded(bundled(bundles, first), [F.struct(F.lit(f".agent-context/prompt-addons/{a}.md").alias("path"), addon(a, layout).alias("content")) for a in AGENTS])
+
+
+def _exploded(whole: DataFrame, made: list[Column]) -> DataFrame:
+    return whole.select("bundle", F.explode(F.array(*made)).alias("d")).select("bundle", "d.*")
+
+
 def documents(bundles: DataFrame, principles: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """(bundle, path, content): six documents of each bundle, one of each principle, and one addon of each agent. (RND-12)"""
     whole = bundled(bundles, principles)
-    fixed = [("ETHOS.md", ethos), ("AGENTS.md", agents_root), ("CLAUDE.md", claude_root), (".claude/ethos/MEMORY.md", memory), ("GEMINI.md", gemini_root), (".agents/ethos/README.md", index)]
-    made = [F.struct(F.lit(path).alias("path"), f(layout).alias("content")) for path, f in fixed]
-    made += [F.struct(F.lit(f".agent-context/prompt-addons/{a}.md").alias("path"), addon(a, layout).alias("content")) for a in AGENTS]
-    each = whole.select("bundle", F.explode(F.array(*made)).alias("d")).select("bundle", "d.*")
+    fixed = [("AGENTS.md", agents_root), (".claude/ethos/MEMORY.md", memory), (".agents/ethos/README.md", index)]
+    each = _exploded(whole, [F.struct(F.lit(path).alias("path"), f(layout).alias("content")) for path, f in fixed])
     own = whole.select("bundle", "name", "repo", F.explode("principles").alias("p"))
-    return each.unionByName(own.select("bundle", F.concat(F.lit(".agents/ethos/"), F.col("p.id"), F.lit(".md")).alias("path"), detail(F.col("p"), layout).alias("content")))
+    details = own.select("bundle", F.concat(F.lit(".agents/ethos/"), F.col("p.id"), F.lit(".md")).alias("path"), detail(F.col("p"), layout).alias("content"))
+    return each.unionByName(ethos_documents(bundles, principles, layout)).unionByName(addons(bundles, principles, layout)).unionByName(details)
 
 
 def topics_for(path: str, principles: Column, limit: int = 12) -> Column:
