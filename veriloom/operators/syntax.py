@@ -25,14 +25,17 @@ import ast
 import io
 import tokenize
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.session import ready, staged
+from veriloom.session import ready, spread, staged
 
 NODES = "file long, path string, node int, last int, parent int, depth int, field string, idx int, prev string, kind string, name string, base string, dotted string, vtype string, value string, text string, line int, p_parent int, p_kind string, p_name string, p_field string, p_idx int, p_prev string, p_line int, pp_kind string"
+#: Rows of a page of the table.
+PAGE = 1000
 _SHOWN = ("decorator_list", "func", "target", "targets")
 
 
@@ -67,7 +70,12 @@ def _name(n: ast.AST) -> str | None:
         return "." * n.level + (n.module or "")
     if isinstance(n, (ast.BinOp, ast.UnaryOp, ast.BoolOp)):
         return type(n.op).__name__
-    return next((x for x in (getattr(n, a, None) for a in ("id", "attr", "name", "arg")) if isinstance(x, str)), None)
+    return next((x for x in (getattr(n, a, None) for a in _named(type(n))) if isinstance(x, str)), None)
+
+
+@cache
+def _named(kind: type) -> list[str]:
+    return [a for a in ("id", "attr", "name", "arg") if a in kind._fields]
 
 
 def _extra(kind: str, line: int, value: str | None = None, name: str | None = None) -> tuple:
@@ -75,9 +83,29 @@ def _extra(kind: str, line: int, value: str | None = None, name: str | None = No
     return (*[None] * 7, kind, name, None, None, None, value, None, line, *[None] * 8)
 
 
-def _real(n: object) -> bool:
+@cache
+def _real(kind: type) -> bool:
     """Contexts and operators are no nodes of their own."""
-    return isinstance(n, ast.AST) and (bool(n._fields) or isinstance(n, (ast.Pass, ast.Continue, ast.Break)))
+    return issubclass(kind, ast.AST) and (bool(kind._fields) or issubclass(kind, (ast.Pass, ast.Continue, ast.Break)))
+
+
+def _source(n: ast.AST) -> str:
+    """The source of a node; ast.unparse is slow, and most of those shown are dotted names."""
+    names, at = [], n
+    while type(at) is ast.Attribute:
+        names.append(at.attr)
+        at = at.value
+    return ".".join([at.id, *reversed(names)]) if type(at) is ast.Name else ast.unparse(n)
+
+
+def _comments(source: str, lines: list[str], quoted: bool) -> list[tuple]:
+    """Comments of a source. quoted: a literal of it holds a #; where none does, each line's first # begins a comment."""
+    if not quoted and "\r" not in source:
+        return [_extra("Comment", k, _plain(line[line.index("#") :])) for k, line in enumerate(lines, 1) if "#" in line]
+    try:
+        return [_extra("Comment", t.start[0], _plain(t.string)) for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
+    except (tokenize.TokenError, IndentationError):
+        return []
 
 
 def tree_rows(source: str) -> list[tuple]:
@@ -102,22 +130,22 @@ def tree_rows(source: str) -> list[tuple]:
             elif kind == "alias":
                 value = n.asname
             elif kind == "ExceptHandler":
-                text = ast.unparse(n.type) if n.type else None
+                text = _source(n.type) if n.type else None
             if kind in ("Name", "Attribute", "Call"):
                 dotted = _dotted(n)
             if field in _SHOWN:
-                text = ast.unparse(n)
+                text = _source(n)
             about = (up[2], up[7], up[8], up[4], up[5], up[6], up[14], up[16]) if up else (None,) * 8
             out.append([at, at, parent, depth, field, idx, prev, kind, _name(n), base, dotted, vtype, value, text, getattr(n, "lineno", up[14] if up else 0), *about])
             below = []
             for name in n._fields:
                 child = getattr(n, name, None)
                 if isinstance(child, list):
-                    some, last = [c for c in child if _real(c)], None
+                    some, last = [c for c in child if _real(type(c))], None
                     for k, c in enumerate(some):
                         below.append((c, at, depth + 1, name, k, last))
                         last = type(c).__name__
-                elif _real(child):
+                elif _real(type(child)):
                     below.append((child, at, depth + 1, name, None, None))
             if below:
                 stack.append((None, at, 0, None, None, None))
@@ -129,10 +157,7 @@ def tree_rows(source: str) -> list[tuple]:
         out = [[_plain(x) if isinstance(x, str) else x for x in r] for r in out]
     rows = [tuple(r) for r in out]
     if "#" in source:
-        try:
-            rows += [_extra("Comment", t.start[0], _plain(t.string)) for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
-        except (tokenize.TokenError, IndentationError):
-            pass
+        rows += _comments(source, lines, any(r[12] and "#" in r[12] for r in rows if r[7] in ("Constant", "JoinedStr")))
     return rows + [_extra("Line", at, _plain(lines[at - 1].strip() if 0 < at <= len(lines) else "<unknown>")) for at in sorted({r[14] for r in rows})]
 
 
@@ -147,6 +172,7 @@ def nodes(files: DataFrame) -> DataFrame:
     schema = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]) for name, kind in fields])
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (r[9], r[18] or "", r[6] or ""))  # nodes of a kind share pages, so that others are skipped
         columns = zip(*rows, strict=True) if rows else [()] * len(fields)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -164,7 +190,7 @@ def nodes(files: DataFrame) -> DataFrame:
                     rows = []
             yield packed(rows)
 
-    return staged(files.select("path", "text").mapInArrow(run, NODES), "nodes")[0]
+    return staged(spread(files.select("path", "text")).mapInArrow(run, NODES), "nodes", **{"parquet.page.row.count.limit": PAGE})[0]
 
 
 def within(rows: DataFrame, outer: DataFrame, *columns: str) -> DataFrame:
