@@ -4,6 +4,7 @@ import datetime
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veriloom.streaming import quiet_filter, state_maps
@@ -60,6 +61,29 @@ def test_entries_over_several_tiers(spark, monkeypatch):
     assert (state_maps.scanned(maps)[:, 2][:-1] == [want[i] for i in range(1, 40)]).all()
 
 
+def test_slices_in_one_batch_are_walked_apart(monkeypatch):
+    slices = [np.bitwise_and.reduce(np.random.default_rng(k).integers(0, 1 << 12, (3, n))).tolist() for k, n in enumerate([1, 5, 1, 300, 2, 70])]
+    n, at = len(slices), [3, 0, 1, 0, 2, 0]
+    columns = {"stream": pa.array(["a", "b", None, "a", "b", "c"]), "slice": pa.array(at, pa.int64()), "codes": pa.array(slices, pa.list_(pa.int16())), "marks": pa.array([[f"{k}-{i}" for i in range(len(x))] for k, x in enumerate(slices)]), "state": pa.array([5, 0, 3, 4, 7, 1], pa.int32()), "second": pa.array([0, 9, 3, 4, 15, 1], pa.int32())}
+    columns["firsts"] = pa.array([None if k % 3 == 2 else [at[k] * quiet_filter.SLICE + len(x) - 1] for k, x in enumerate(slices)], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_pydict(columns)
+    made = lambda f, parts: [r for x in f(iter(parts)) for r in x.to_pylist()]
+    for f in (quiet_filter._first_maps, quiet_filter._banners, quiet_filter._second_maps, quiet_filter._decisions):
+        alone = made(f, [batch.slice(k, 1) for k in range(n)])
+        assert alone and made(f, [batch]) == alone
+        monkeypatch.setattr(quiet_filter, "LINES", 7)
+        assert made(f, [batch]) == alone
+        monkeypatch.undo()
+    after, outcome = quiet_filter._first_automaton()
+    for k, r in enumerate(made(quiet_filter._first_maps, [batch])):
+        for state, last in enumerate(r["map"]):
+            for code in slices[k]:
+                state = after[code, state]
+            assert state == last
+    codes = np.arange(len(outcome))
+    assert ((outcome == quiet_filter._BANNER).any(1) == (codes & quiet_filter._NO_BANNER == 0)).all()
+
+
 def at(seconds):
     return datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=seconds)
 

@@ -47,10 +47,13 @@ def entries(maps: DataFrame, group: str, at: str, out: str, states: int, start:
     return done, [*paths, path]
 
 
-def scanned(maps: np.ndarray) -> np.ndarray:
-    """Running composition of (steps, states) maps: row k is what steps 0 to k do together. Doubling, so log2(steps) passes."""
-    out, d = maps.copy(), 1
-    while d < len(out):
-        out[d:] = np.take_along_axis(out[d:], out[:-d].astype(np.intp), axis=1)
+def scanned(maps: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Running composition of (steps, states) maps: row k is what the steps up to k do together, from the first one on or,
+    with `place` (a step's place in its run, from 0), from the first of its run. Doubling, so log2(longest run) passes."""
+    place = np.arange(len(maps)) if place is None else place
+    out, d, last = maps.copy(), 1, place.max(initial=0)
+    while d <= last:
+        at = np.flatnonzero(place >= d)
+        out[at] = np.take_along_axis(out[at], out[at - d].astype(np.intp), axis=1)
         d *= 2
     return out
